@@ -8,8 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import packing, quality, secrets, simhash, substrings
-from corpusloom.llm.common import table
+from corpusloom.llm import bpe, lines, neighbours, packing, quality, rollups, secrets, simhash, substrings, warc
+from corpusloom.llm.common import cut, scratch, table
+
+BYTE_BPE = "byte_bpe_50k.tiktoken"
+WORD_BPE = "word_bpe_49k.json"
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,8 +23,13 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return left.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op4_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
@@ -31,17 +39,52 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(secrets.joined("base"), 256).alias("base_sha256"), secrets.joined("spans").alias("spans"))
 
 
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path(BYTE_BPE)
+    decoded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path)
+    return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op7_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after four batches over all documents: all are inserted, the same batch comes again, later exact copies
+    are deleted, and texts with runs of spaces are counted anew without them."""
+    docs = table(spark, sf_dir, "documents")
+    count = lambda d: rollups.count_tokens(d, public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN, "byte_bpe_50k/1")
+    counts = cut(count(docs), "token-counts")
+    path = scratch(spark, "token-rollup")
+    for _ in range(2):
+        rollups.commit(rollups.inserts(counts), path, 0)
+    copies = rollups.later_copies(docs)
+    rollups.commit(rollups.deletes(counts.join(copies, "doc_id", "left_semi")), path, 1)
+    squeezed = docs.withColumn("new", F.regexp_replace("text", "  +", " ")).where("new <> text").drop("text").withColumnRenamed("new", "text").join(copies, "doc_id", "left_anti")
+    rollups.commit(rollups.revisions(counts.join(squeezed.select("doc_id").distinct(), "doc_id", "left_semi"), count(squeezed)), path, 2)
+    return rollups.totals(spark, path)
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = substrings.remove_repeats(table(spark, sf_dir, "documents"))
     return left.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op9_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.rewrite(table(spark, sf_dir, "pages"), scratch(spark, "warc"))
+
+
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op3_line_dedup": op3_line_dedup,
     "op4_cost_balanced_packing": op4_cost_balanced_packing,
     "op5_secret_scan": op5_secret_scan,
+    "op6_byte_bpe": op6_byte_bpe,
+    "op7_token_rollups": op7_token_rollups,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_warc_revisits": op9_warc_revisits,
+    "op10_nearest_neighbours": op10_nearest_neighbours,
 }
 
 ORACLE_SQL: dict[str, str] = {}
