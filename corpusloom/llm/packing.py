@@ -14,53 +14,94 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from corpusloom.llm.common import codes, slices, words
+from corpusloom.llm.common import codes, filled, slices, words
 
 SEQUENCE = 2048
 END = 1  # the id after each document
 GROUP_SEQUENCES = 512
 LINEAR = 1.0
 QUADRATIC = 1.0 / 2048
-KNOWN_WORDS = 1 << 18  # words whose ids a task remembers
 
 _OUT = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, cost double"
 
 
+#: Between a letter and an ASCII symbol the tokenizer's splitter always has a boundary, so white space there changes nothing.
+SPACED = (r"(\pL)([!-/:-@\[-`{-~])", r"\1 \2")
+#: Words that are one pre-token and that normalisation only puts in lower case: Latin letters, or ASCII symbols but the apostrophe.
+PLAIN = r"^(?:[A-Za-zÀ-ÖØ-öø-ÿ]+|[!-&(-/:-@\[-`{-~]+)$"
+END_BYTE = "\0"  # stands for the end of a word in the rank table
+
+
+def _byte_alphabet() -> dict[str, int]:
+    """Bytes by the character that stands for each in a byte-level vocabulary: printable ones for themselves, the others from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    other = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
+
+
+def word_ranks(vocabulary: dict[str, int], suffix: str, special: set[str]) -> dict[bytes, int]:
+    """The vocabulary as ranks by bytes, with ``END_BYTE`` for the suffix that ends a word.
+
+    Its ids are in the order of the merges, after the bytes and the bytes that
+    end a word, so merging by smallest rank is merging in order.
+    """
+    alphabet = _byte_alphabet()
+    out = {}
+    for token, i in vocabulary.items():
+        if token not in special:
+            body = token.removesuffix(suffix)
+            out[bytes(alphabet[c] for c in body) + END_BYTE.encode() * (body != token)] = i
+    return out
+
+
 class WordEncoder:
-    """Ids of whole texts by a tokenizer that never joins what ASCII white space parts.
+    """Ids of whole texts by a word tokenizer that never joins what white space parts.
 
-    Its normaliser and its splitter look at no more than a word, so equal words
-    have equal ids and each is encoded once.
+    Each distinct word of a slice is encoded once.  Plain words are merged
+    together in one call by rank; the others go through the tokenizer.
     """
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[str, np.ndarray] = {}
+        special = {x.content for x in self.tokenizer.get_added_tokens_decoder().values()}
+        ranks = word_ranks(self.tokenizer.get_vocab(), self.tokenizer.model.end_of_word_suffix, special)
+        self.merges = tiktoken.Encoding("words", pat_str=rf"[^{END_BYTE}]+{END_BYTE}", mergeable_ranks=ranks, special_tokens={})
+        self.ends = np.zeros(max(ranks.values()) + 1, bool)
+        self.ends[[i for token, i in ranks.items() if token.endswith(END_BYTE.encode())]] = True
+
+    def _plain(self, values: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.array(self.merges.encode_ordinary("".join([w + END_BYTE for w in values]).lower()), np.uint32)
+        return ids, np.diff(np.r_[0, np.flatnonzero(self.ends[ids]) + 1])
+
+    def _other(self, values: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [x.ids for x in self.tokenizer.encode_batch_fast(values, add_special_tokens=False)]
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum())), size
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end, and how many each text has."""
-        flat, n_words = words(texts)
+        flat, n_words = words(pc.replace_substring_regex(pc.ascii_lower(filled(texts)), *SPACED))
         code, distinct = codes(flat)
-        values = distinct.to_pylist()
-        if len(self.known) > KNOWN_WORDS:
-            self.known.clear()
-        new = [w for w in values if w not in self.known]
-        for a in range(0, len(new), 4096):
-            some = new[a : a + 4096]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, np.uint32)
-        ids = [self.known[w] for w in values]
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        table, begin = np.concatenate([*ids, np.zeros(0, np.uint32)]), np.cumsum(size) - size
+        plain = pc.match_substring_regex(distinct, PLAIN)
+        chosen = plain.to_numpy(zero_copy_only=False).astype(bool)
+        ids_a, size_a = self._plain(distinct.filter(plain).to_pylist())
+        ids_b, size_b = self._other(distinct.filter(pc.invert(plain)).to_pylist())
+        size, begin = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
+        size[chosen], size[~chosen] = size_a, size_b
+        begin[chosen], begin[~chosen] = np.cumsum(size_a) - size_a, len(ids_a) + np.cumsum(size_b) - size_b
+        table = np.concatenate([ids_a, ids_b])
         lengths = size[code]
         stop = np.cumsum(lengths)
         gather = np.arange(stop[-1] if len(stop) else 0) + np.repeat(begin[code] - (stop - lengths), lengths)

@@ -65,3 +65,31 @@ def test_costs_are_balanced():
 
 def test_empty_table(spark):
     assert packing.pack(documents(spark, []), PATH).count() == 0
+
+
+def test_merging_by_rank_is_merging_in_order():
+    """Every token comes out of its own bytes, so ranks can't join what the merges don't."""
+    import json
+
+    with open(PATH) as f:
+        model = json.load(f)["model"]
+    rank = {tuple(m if isinstance(m, list) else m.split(" ")): i for i, m in enumerate(model["merges"])}
+    assert all(model["vocab"][a + b] == 512 + i for (a, b), i in rank.items())
+    for token, i in model["vocab"].items():
+        if 512 <= i < 512 + len(rank):
+            parts = [*token.removesuffix("</w>")]
+            if token.endswith("</w>"):
+                parts[-1] += "</w>"
+            while len(parts) > 1:
+                best = min(range(len(parts) - 1), key=lambda k: rank.get((parts[k], parts[k + 1]), len(rank)))
+                assert (parts[best], parts[best + 1]) in rank
+                parts[best : best + 2] = [parts[best] + parts[best + 1]]
+
+
+def test_words_like_the_tokenizer():
+    tokenizer = Tokenizer.from_file(PATH)
+    tokenizer.encode_special_tokens = True
+    texts = ["Été, ÉTÉ! don't DON'T's a.b(c)d e=f≠g e̸=x ≠ (abc)' 'tis ab'", "x\x00y z\x00 \x00", "ªµº ÿ Ÿ ſ K İI ΑΣ", "12ab34 ½ ² 漢字。 <|startoftext|>a<|endoftext|>", "á. Áb", None, ""]
+    ids, counts = packing.WordEncoder(PATH).encode(packing.pa.array(texts))
+    want = [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert counts.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
