@@ -30,9 +30,10 @@ from corpusloom.llm.common import codes, cut, filled, shuffle_partitions, slices
 WINDOW = 13
 GRAM = 4
 MAX_RUN = 2048  # windows in one packed string
-SUBBUCKETS = 8  # parts of a bucket that are looked at one after the other
-BUCKET_BYTES = 48 << 20  # a bucket with more packed bytes is dealt out window by window
-SLICE = 8 << 20
+SUBBUCKETS = 4  # parts of a bucket that are looked at one after the other
+BUCKET_BYTES = 24 << 20  # a bucket with more packed bytes is dealt out window by window
+SLICE = 3 << 20
+BUCKETS = 4  # for each partition of the shuffle
 
 _RANGE = "wkey binary, doc_id long, text_hash long, start long, stop long"
 
@@ -211,7 +212,7 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, max_bytes=SLICE):
-                made = list(_super_kmers(part, window, 2 * partitions))
+                made = list(_super_kmers(part, window, BUCKETS * partitions))
                 if made:
                     yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in made], pa.int64()), pa.array([x[1] for x in made], pa.binary())], ["bucket", "blob"])
 
