@@ -1,10 +1,681 @@
-"""The registered queries of the retrieval and question-answering engine, with their SQL."""
+"""The registered queries of the retrieval and question-answering engine, with their SQL.
+
+Documents stand for chunks, benchmark items for questions, embeddings for
+chunk vectors, conversations for sessions and events for model calls and
+requests; columns that the tables lack are derived the same way on both sides.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from corpusloom.config import DEFAULT
+from corpusloom.functions import policy, text
+from corpusloom.operators import answers, chunking, incremental, retrieval, state, tables
+from corpusloom.sources import sinks
+from corpusloom.sources.readers import chunks, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+K = DEFAULT.retrieval.route_top_k
+
+
+def query(sql: str | None = None) -> Callable:
+    """Register a query under its function's name."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+CHUNKS = """
+chunks AS (
+  SELECT d.doc_id AS chunk_id, d.doc_id // 10 AS document_id, d.lang AS tenant,
+         CASE WHEN d.doc_id % 5 <> 0 THEN CAST(2020 + d.doc_id % 5 AS INTEGER) END AS year,
+         CAST(d.doc_id % 40 AS INTEGER) AS page_start, CAST(d.doc_id % 40 + d.n_chars // 3000 AS INTEGER) AS page_end,
+         d.text AS content, t.doc_id IS NOT NULL AS is_deleted
+  FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1) t ON d.doc_id = t.doc_id)
+"""
+STRIP = "regexp_replace({0}, '^[\\s\\x0B\\x{{3000}}\\x{{A0}}\\x{{85}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}]+|[\\s\\x0B\\x{{3000}}\\x{{A0}}\\x{{85}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}]+$', '', 'g')"
+
+
+def strip_sql(x: str) -> str:
+    return STRIP.format(x)
+
+
+# Chunks and incremental loading
+
+
+@query(f"WITH {CHUNKS} SELECT chunk_id, tenant, substring(content, 1, 200) AS preview FROM chunks WHERE NOT is_deleted")
+def tenant_live_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.live(chunks(spark, sf_dir)).select("chunk_id", "tenant", text.preview(F.col("content")).alias("preview"))
+
+
+@query("SELECT sha256(text) AS content_sha256, count(*) AS copies, min(doc_id) AS first_id FROM documents GROUP BY 1")
+def content_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hashed = chunks(spark, sf_dir).withColumn("content_sha256", text.sha256(F.col("content")))
+    return incremental.duplicate_groups(hashed)
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("tenant"), text.sha256(F.col("text")).alias("file_sha256"))
+
+
+def _known_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled documents are known: good ones parsed, the others still pending."""
+    status = F.when(F.col("quality") == 1, "parsed").otherwise("pending").alias("parse_status")
+    return _files(spark, sf_dir).join(table(spark, sf_dir, "labels").select("doc_id", status), "doc_id")
+
+
+_FILES = """
+files AS (SELECT doc_id, lang AS tenant, sha256(text) AS file_sha256 FROM documents),
+known AS (SELECT f.tenant, f.file_sha256, CASE WHEN l.quality = 1 THEN 'parsed' ELSE 'pending' END AS parse_status FROM files f JOIN labels l USING (doc_id))
+"""
+
+
+@query(f"WITH {_FILES} SELECT f.* FROM files f WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.tenant = f.tenant AND k.file_sha256 = f.file_sha256 AND k.parse_status = 'parsed')")
+def file_skip_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return incremental.new_files(_files(spark, sf_dir), _known_files(spark, sf_dir)).select("doc_id", "tenant", "file_sha256")
+
+
+@query(
+    f"""WITH {_FILES}, state AS (SELECT tenant, file_sha256, max(CASE WHEN parse_status = 'parsed' THEN 1 ELSE 0 END) AS parsed FROM known GROUP BY 1, 2)
+SELECT f.doc_id, CASE s.parsed WHEN 1 THEN 'skip' WHEN 0 THEN 'reparse' ELSE 'create' END AS action FROM files f LEFT JOIN state s USING (tenant, file_sha256)"""
+)
+def file_action(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return incremental.file_action(_files(spark, sf_dir), _known_files(spark, sf_dir)).select("doc_id", "action")
+
+
+@query(
+    f"""WITH {CHUNKS}, stored AS (SELECT DISTINCT tenant, sha256(content) AS h FROM chunks WHERE is_deleted)
+SELECT c.document_id, count(*) AS total, count(s.h) AS reused_chunks, count(*) - count(s.h) AS new_chunks
+FROM chunks c LEFT JOIN stored s ON s.tenant = c.tenant AND s.h = sha256(c.content) GROUP BY 1"""
+)
+def chunk_reuse_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hashed = chunks(spark, sf_dir).withColumn("content_sha256", text.sha256(F.col("content")))
+    return incremental.reuse_counters(incremental.mark_reuse(hashed, hashed.where("is_deleted")), ("document_id",))
+
+
+@query(
+    f"""WITH {CHUNKS}, active AS (SELECT sha256(c.content) AS h, min(e.vec_id) AS source_id FROM embeddings e JOIN chunks c ON c.chunk_id = e.vec_id GROUP BY 1)
+SELECT c.chunk_id, a.source_id, e.embedding[1] AS first_component FROM chunks c LEFT JOIN active a ON a.h = sha256(c.content) LEFT JOIN embeddings e ON e.vec_id = a.source_id"""
+)
+def embedding_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors found by content, so that every copy of a chunk has one."""
+    hashed = chunks(spark, sf_dir).withColumn("content_sha256", text.sha256(F.col("content")))
+    vectors = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "chunk_id").join(hashed.select("chunk_id", "content_sha256"), "chunk_id")
+    stored = vectors.select(F.col("chunk_id").alias("id"), "content_sha256", F.lit("default").alias("embed_model"), F.struct(F.col("chunk_id").alias("id"), F.col("embedding").alias("v")).alias("vector"), F.lit(True).alias("is_active"))
+    found = incremental.vectors_for(hashed, stored)
+    return found.select("chunk_id", F.col("vector.id").alias("source_id"), F.get("vector.v", F.lit(0)).alias("first_component"))
+
+
+@query(
+    f"""WITH {CHUNKS}, v AS (SELECT chunk_id, document_id, CAST(row_number() OVER (PARTITION BY document_id ORDER BY chunk_id) AS INTEGER) AS version_no FROM chunks)
+SELECT *, version_no = max(version_no) OVER (PARTITION BY document_id) AS is_current FROM v"""
+)
+def version_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    numbered = incremental.number_versions(chunks(spark, sf_dir), "document_id", F.col("chunk_id"))
+    return numbered.select("chunk_id", "document_id", "version_no", (F.col("version_no") == F.max("version_no").over(Window.partitionBy("document_id"))).alias("is_current"))
+
+
+@query(f"WITH {CHUNKS} SELECT document_id, count(*) AS chunk_count, sha256(string_agg(content, chr(10) ORDER BY chunk_id)) AS content_sha256 FROM chunks GROUP BY 1")
+def content_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return incremental.content_digest(chunks(spark, sf_dir), "document_id", "chunk_id")
+
+
+@query(
+    f"""WITH {CHUNKS}, gone AS (SELECT DISTINCT document_id FROM chunks WHERE is_deleted), lost AS (SELECT chunk_id FROM chunks WHERE document_id IN (SELECT document_id FROM gone))
+SELECT 'documents' AS table_name, count(DISTINCT document_id) AS n FROM chunks WHERE document_id NOT IN (SELECT document_id FROM gone)
+UNION ALL SELECT 'chunks', count(*) FROM chunks WHERE document_id NOT IN (SELECT document_id FROM gone)
+UNION ALL SELECT 'embeddings', count(*) FROM embeddings WHERE vec_id NOT IN (SELECT chunk_id FROM lost)"""
+)
+def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    all_chunks = chunks(spark, sf_dir)
+    stored = {
+        "documents": all_chunks.select("document_id").distinct(),
+        "chunks": all_chunks.select("document_id", "chunk_id"),
+        "embeddings": table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id")),
+    }
+    left = incremental.cascade_delete(stored, all_chunks.where("is_deleted"))
+    counted = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("table_name"), "n") for name, df in left.items()]
+    return counted[0].unionByName(counted[1]).unionByName(counted[2])
+
+
+# Text
+
+
+@query(
+    f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
+s AS (SELECT *, {strip_sql("line")} AS x FROM l),
+kept AS (SELECT * FROM s WHERE NOT (regexp_matches(x, '^[0-9]{{1,5}}$') OR regexp_matches(x, '^(第\\s*[0-9]+\\s*页|Page\\s*[0-9]+)$', 'i') OR (length(x) <= 10 AND regexp_matches(x, '^[0-9\\s./\\-]+$')))),
+agg AS (SELECT doc_id, count(*) AS n_lines, string_agg(line, chr(10) ORDER BY n) AS t FROM kept GROUP BY 1)
+SELECT d.doc_id, CASE WHEN {strip_sql("d.text")} = '' THEN sha256(d.text) ELSE sha256(coalesce(a.t, '')) END AS cleaned_sha256 FROM documents d LEFT JOIN agg a USING (doc_id)"""
+)
+def page_noise_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", text.sha256(text.drop_page_noise(F.col("text"))).alias("cleaned_sha256"))
+
+
+@query(
+    f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
+r AS (SELECT doc_id, line FROM l WHERE {strip_sql("line")} <> '' GROUP BY 1, 2 HAVING count(*) >= 3),
+s AS (SELECT l.doc_id, l.line, l.n, {strip_sql("l.line")} AS x FROM l),
+kept AS (SELECT s.* FROM s LEFT JOIN r ON r.doc_id = s.doc_id AND r.line = s.x
+  WHERE s.x = '' OR NOT (r.line IS NOT NULL OR regexp_matches(s.x, '第\\s*[0-9]+\\s*页\\s*共\\s*[0-9]+\\s*页|Page\\s+[0-9]+\\s+of\\s+[0-9]+|[0-9]{{4}}\\s*年\\s*[0-9]{{1,2}}\\s*月\\s*[0-9]{{1,2}}\\s*日')
+    OR (regexp_matches(s.x, '^[0-9]+$') AND length(s.x) < 5) OR regexp_matches(s.x, '^[0-9]{{4}}[-/][0-9]{{1,2}}[-/][0-9]{{1,2}}$'))),
+agg AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY n) AS t FROM kept GROUP BY 1),
+c AS (SELECT d.doc_id, {strip_sql("regexp_replace(coalesce(a.t, ''), '\\n{3,}', chr(10) || chr(10), 'g')")} AS t FROM documents d LEFT JOIN agg a USING (doc_id))
+SELECT doc_id, length(t) AS n_chars, sha256(t) AS cleaned_sha256 FROM c"""
+)
+def header_footer_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = table(spark, sf_dir, "documents").select("doc_id", text.clean_text(F.col("text")).alias("t"))
+    return cleaned.select("doc_id", F.length("t").cast("long").alias("n_chars"), text.sha256(F.col("t")).alias("cleaned_sha256"))
+
+
+NUMBERED_SQL = "regexp_matches({0}, '^第[一二三四五六七八九十0-9]+[章节部分]|^[一二三四五六七八九十]+、|^[0-9]+[.、]|^[（(][0-9]+[）)]')"
+
+
+@query(
+    f"""WITH p AS (SELECT doc_id, unnest(list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda x: {strip_sql("x")}), lambda x: x <> '')) AS p FROM documents),
+q AS (SELECT doc_id, p, string_split(p, chr(10))[1] AS f, len(string_split(p, chr(10))) AS n FROM p)
+SELECT doc_id, CASE WHEN length(f) < 100 AND NOT regexp_matches(f, '[。.；;]$') AND ({NUMBERED_SQL.format("f")} OR (length(f) < 50 AND n = 1)) THEN 'Title' ELSE 'NarrativeText' END AS element_type,
+count(*) AS n_elements, sum(length(p)) AS n_chars FROM q GROUP BY 1, 2"""
+)
+def paragraph_title_typing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = table(spark, sf_dir, "documents").select("doc_id", F.explode(text.paragraphs(F.col("text"))).alias("p"))
+    return parts.groupBy("doc_id", text.element_type(F.col("p")).alias("element_type")).agg(F.count("*").alias("n_elements"), F.sum(F.length("p")).cast("decimal(38,0)").alias("n_chars"))
+
+
+@query(
+    f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
+s AS (SELECT doc_id, n, {strip_sql("line")} AS x FROM l),
+v AS (SELECT *, CASE WHEN regexp_matches(x, '^第[一二三四五六七八九十0-9]+[章节部分]') THEN 1 WHEN regexp_matches(x, '^[一二三四五六七八九十]+、') THEN 2 WHEN regexp_matches(x, '^[0-9]+[.、]') THEN 3 WHEN regexp_matches(x, '^[（(][0-9]+[）)]') THEN 4 ELSE 0 END AS level FROM s WHERE x <> ''),
+i AS (SELECT *, sum(CASE WHEN level > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS section_no FROM v)
+SELECT doc_id, CAST(section_no AS INTEGER) AS section_no, CAST(max(level) AS INTEGER) AS level, max(x) FILTER (level > 0) AS title, coalesce(string_agg(x || chr(10), '' ORDER BY n) FILTER (level = 0), '') AS content
+FROM i WHERE section_no > 0 GROUP BY doc_id, section_no"""
+)
+def section_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.section_outline(table(spark, sf_dir, "documents"))
+
+
+@query(
+    f"""WITH l AS (SELECT doc_id, list_transform(string_split({strip_sql("text")}, chr(10)), lambda x: {strip_sql("x")})[1:10] AS t FROM documents),
+u AS (SELECT doc_id, t, unnest(t) AS x, generate_subscripts(t, 1) AS n FROM l),
+g AS (SELECT doc_id, x, n FROM u WHERE x <> '' AND ((length(x) < 200 AND regexp_matches(x, '报告|公告|说明|摘要|目录')) OR (list_position(t, x) <= 3 AND length(x) > 10 AND length(x) < 100)))
+SELECT d.doc_id, (SELECT arg_min(g.x, g.n) FROM g WHERE g.doc_id = d.doc_id) AS title FROM documents d"""
+)
+def doc_title_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", text.document_title(F.col("text")).alias("title"))
+
+
+@query()
+def chunk_live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks by paragraph and sentence; a fold, so tested against a model rather than by SQL."""
+    pieces = chunking.explode_chunks(table(spark, sf_dir, "documents"), chunking.by_paragraphs)
+    return pieces.select("doc_id", "piece", F.length("content").alias("n_chars"), text.sha256(F.col("content")).alias("content_sha256"))
+
+
+@query()
+def chunk_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = chunking.explode_chunks(table(spark, sf_dir, "documents"), chunking.by_window)
+    return pieces.select("doc_id", "piece", F.length("content").alias("n_chars"), text.sha256(F.col("content")).alias("content_sha256"))
+
+
+# Tables, made of the lines of an order
+
+
+def _order_rows() -> Column:
+    ordered = F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p"), F.col("l_quantity").cast("long").alias("q"))))
+    return F.transform(ordered, lambda r: F.array(r["n"].cast("string"), r["p"].cast("string"), r["q"].cast("string")))
+
+
+@query(
+    """WITH t AS (SELECT l_orderkey, count(*) AS n, string_agg('| ' || l_linenumber || ' | ' || l_partkey || ' | ' || CAST(l_quantity AS BIGINT) || ' |', chr(10) ORDER BY l_linenumber, l_partkey, CAST(l_quantity AS BIGINT)) AS body,
+string_agg('["' || l_linenumber || '", "' || l_partkey || '", "' || CAST(l_quantity AS BIGINT) || '"]', ', ' ORDER BY l_linenumber, l_partkey, CAST(l_quantity AS BIGINT)) AS cells FROM lineitem GROUP BY 1)
+SELECT l_orderkey, CAST(n + 1 AS INTEGER) AS row_count, sha256('| 序号 | 代码 | 数量 |' || chr(10) || '| --- | --- | --- |' || chr(10) || body) AS markdown_sha256,
+sha256('{"col_count": 3, "data": [' || cells || '], "header": ["序号", "代码", "数量"], "row_count": ' || (n + 1) || '}') AS table_sha256 FROM t"""
+)
+def table_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    header = F.array(*[F.lit(x) for x in ("序号", "代码", "数量")])
+    made = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(tables.table_data(F.concat(F.array(header), _order_rows())).alias("t"))
+    return made.select("l_orderkey", F.col("t.row_count").alias("row_count"), text.sha256(tables.markdown(F.col("t"))).alias("markdown_sha256"), tables.table_sha256(F.col("t")).alias("table_sha256"))
+
+
+@query(
+    """SELECT o_custkey, count(*) AS n_tables, count(*) - 1 AS n_injected, sum(CASE WHEN n = 1 THEN 1 ELSE 2 END) AS n_rows FROM
+(SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders) GROUP BY 1"""
+)
+def cross_page_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer's orders as a table that goes on over pages: only the first has the header."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    row = F.array(F.col("o_orderkey").cast("string"), F.lit("100"))
+    pages = table(spark, sf_dir, "orders").withColumn("page_no", F.row_number().over(w))
+    header = F.when(F.col("page_no") == 1, F.array(F.lit("项目"), F.lit("金额"))).otherwise(row)
+    parts = pages.select(F.col("o_custkey").alias("doc_id"), "page_no", F.lit(1).alias("seq"), tables.table_data(F.array(header)).alias("table_data"))
+    carried = tables.carry_headers(parts)
+    return carried.groupBy(F.col("doc_id").alias("o_custkey")).agg(F.count("*").alias("n_tables"), F.count_if("injected").alias("n_injected"), F.sum("table_data.row_count").cast("decimal(38,0)").alias("n_rows"))
+
+
+# Retrieval
+
+TOKENS = "list_filter(regexp_extract_all({0}, '[一-龥]+|[a-zA-Z]+|[0-9]+'), lambda t: length(t) > 1)"
+BM25 = f"""
+tok AS (SELECT chunk_id, unnest({TOKENS.format("content")}) AS term FROM chunks WHERE NOT is_deleted),
+tfs AS (SELECT chunk_id, term, count(*) AS tf, CAST(sum(count(*)) OVER (PARTITION BY chunk_id) AS BIGINT) AS dl FROM tok GROUP BY 1, 2),
+stats AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM (SELECT DISTINCT chunk_id, dl FROM tfs)),
+raw AS (SELECT term, count(*) AS df, ln((SELECT n FROM stats) - count(*) + 0.5) - ln(count(*) + 0.5) AS r FROM tfs GROUP BY 1),
+idf AS (SELECT term, df, CASE WHEN r < 0 THEN 0.25 * (SELECT avg(r) FROM raw) ELSE r END AS idf FROM raw),
+qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest({TOKENS.format("text")}) AS term FROM benchmark) GROUP BY 1, 2),
+sc AS (SELECT query_id, chunk_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / (SELECT avgdl FROM stats)))), 9) AS score FROM qt JOIN idf USING (term) JOIN tfs USING (term) GROUP BY 1, 2),
+worded AS (SELECT * FROM (SELECT query_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM sc WHERE score > 0) WHERE rank <= {K})
+"""
+
+
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item as a question, with the vector of its id and the years it asks for."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    asked = F.when(F.col("query_id") % 3 != 0, F.array((2020 + F.col("query_id") % 5).cast("int"))).otherwise(F.array().cast("array<int>"))
+    return items.join(vectors, "query_id", "left").withColumn("years", asked)
+
+
+def vectors_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
+
+
+def _live_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.postings(retrieval.live(chunks(spark, sf_dir)))
+
+
+@query(f"WITH {CHUNKS}, {BM25} SELECT chunk_id, term, tf, dl FROM tfs")
+def bm25_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _live_postings(spark, sf_dir)
+
+
+@query(f"WITH {CHUNKS}, {BM25} SELECT term, df, round(idf, 6) AS idf FROM idf")
+def bm25_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    posts = _live_postings(spark, sf_dir)
+    return retrieval.term_idf(posts, retrieval.corpus_stats(posts).first()["n"]).select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+def _worded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.bm25(_live_postings(spark, sf_dir), questions(spark, sf_dir), K)
+
+
+@query(f"WITH {CHUNKS}, {BM25} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM worded")
+def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _worded(spark, sf_dir).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
+KNN = f"""
+pairs AS (SELECT b.item_id AS query_id, c.vec_id AS chunk_id, list_transform(range(1, 65), lambda i: q.embedding[i]::DOUBLE) AS a, c.embedding AS b
+  FROM benchmark b JOIN embeddings q ON q.vec_id = b.item_id CROSS JOIN embeddings c),
+l2 AS (SELECT query_id, chunk_id, round(list_sum(list_transform(range(1, 65), lambda i: pow(a[i] - b[i]::DOUBLE, 2))), 9) AS distance FROM pairs),
+cosine AS (SELECT query_id, chunk_id, round(list_sum(list_transform(range(1, 65), lambda i: a[i] * b[i]::DOUBLE)) / (sqrt(list_sum(list_transform(range(1, 65), lambda i: a[i] * a[i]))) * sqrt(list_sum(list_transform(range(1, 65), lambda i: b[i]::DOUBLE * b[i]::DOUBLE)))), 9) AS distance FROM pairs)
+"""
+
+
+@query(
+    f"""WITH {KNN} SELECT query_id, chunk_id, round(1 / (1 + distance), 6) AS score, rank FROM
+(SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS INTEGER) AS rank FROM l2) WHERE rank <= {K}"""
+)
+def knn_l2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.knn(vectors_of(spark, sf_dir), questions(spark, sf_dir), K).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(
+    f"""WITH {KNN} SELECT query_id, chunk_id, round(distance, 6) AS score, rank FROM
+(SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance DESC, chunk_id) AS INTEGER) AS rank FROM cosine) WHERE rank <= {K}"""
+)
+def knn_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.knn(vectors_of(spark, sf_dir), questions(spark, sf_dir), K, "cosine").select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
+HITS = f"""
+near AS (SELECT query_id, chunk_id, round(1 / (1 + distance), 9) AS score, rank FROM
+  (SELECT l2.*, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, l2.chunk_id) AS INTEGER) AS rank FROM l2 JOIN chunks c ON c.chunk_id = l2.chunk_id WHERE NOT c.is_deleted) WHERE rank <= {K}),
+hits AS (SELECT query_id, 'vector' AS route, 1 AS r, chunk_id, score, rank FROM near UNION ALL SELECT query_id, 'keyword', 2, chunk_id, score, rank FROM worded),
+asked AS (SELECT item_id AS query_id, CASE WHEN item_id % 3 <> 0 THEN [CAST(2020 + item_id % 5 AS INTEGER)] ELSE [] END AS years FROM benchmark),
+marked AS (SELECT h.*, len(a.years) = 0 AS unasked, coalesce(c.year IS NULL OR list_contains(a.years, c.year) OR len(list_filter(a.years, lambda y: contains(c.content, CAST(y AS VARCHAR)))) > 0, FALSE) AS allowed
+  FROM hits h JOIN chunks c USING (chunk_id) LEFT JOIN asked a USING (query_id)),
+counted AS (SELECT *, (SELECT count(DISTINCT m.chunk_id) FROM marked m WHERE m.query_id = marked.query_id AND m.allowed) AS n FROM marked)
+"""
+
+
+def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = retrieval.live(chunks(spark, sf_dir))
+    known = vectors_of(spark, sf_dir).join(kept.select("chunk_id"), "chunk_id", "left_semi")
+    near = retrieval.knn(known, questions(spark, sf_dir), K).select("query_id", F.lit("vector").alias("route"), "chunk_id", "score", "rank")
+    return near.unionByName(_worded(spark, sf_dir).select("query_id", F.lit("keyword").alias("route"), "chunk_id", "score", "rank"))
+
+
+def _years_kept(spark: SparkSession, sf_dir: str, least: int) -> DataFrame:
+    kept = retrieval.year_filter(_hits(spark, sf_dir), chunks(spark, sf_dir), questions(spark, sf_dir).select("query_id", "years"), least)
+    return kept.select("query_id", "route", "chunk_id", "rank")
+
+
+@query(f"WITH {CHUNKS}, {BM25}, {KNN}, {HITS} SELECT query_id, route, chunk_id, rank FROM marked WHERE unasked OR allowed")
+def year_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _years_kept(spark, sf_dir, 0)
+
+
+@query(f"WITH {CHUNKS}, {BM25}, {KNN}, {HITS} SELECT query_id, route, chunk_id, rank FROM counted WHERE unasked OR allowed OR n < 3")
+def year_filter_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _years_kept(spark, sf_dir, DEFAULT.retrieval.min_year_hits)
+
+
+def _rrf_sql(source: str) -> str:
+    return f"""
+placed AS (SELECT *, row_number() OVER (PARTITION BY query_id, route ORDER BY rank, chunk_id) AS place FROM ({source})),
+fused0 AS (SELECT query_id, chunk_id, round(sum(CASE WHEN r = 1 THEN 0.6::DOUBLE ELSE 0.4::DOUBLE END / (60 + place)), 9) AS f, arg_min(score, r * 1000000 + place) AS score, min(r * 1000000 + place) AS first, min(r) AS low, max(r) AS high FROM placed GROUP BY 1, 2),
+fused1 AS (SELECT *, CASE WHEN min(low) OVER (PARTITION BY query_id) <> max(high) OVER (PARTITION BY query_id) THEN f END AS rrf_score FROM fused0),
+fused AS (SELECT query_id, chunk_id, score, rrf_score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC NULLS LAST, first) AS INTEGER) AS rank FROM fused1)
+"""
+
+
+@query(f"WITH {CHUNKS}, {BM25}, {KNN}, {HITS}, {_rrf_sql('SELECT * FROM hits')} SELECT query_id, chunk_id, round(score, 6) AS score, round(rrf_score, 6) AS rrf_score, rank FROM fused")
+def rrf_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fused = retrieval.weighted_rrf(_hits(spark, sf_dir))
+    return fused.select("query_id", "chunk_id", F.round("score", 6).alias("score"), F.round("rrf_score", 6).alias("rrf_score"), "rank")
+
+
+@query(
+    f"""WITH {CHUNKS}, {BM25}, {KNN}, {HITS}, placed AS (SELECT *, row_number() OVER (PARTITION BY query_id, route ORDER BY rank, chunk_id) AS place FROM hits),
+f AS (SELECT query_id, chunk_id, round(sum(1 / (60 + place)::DOUBLE), 9) AS s, min(CASE WHEN route = 'keyword' THEN 0 ELSE 1000000 END + place) AS first FROM placed GROUP BY 1, 2)
+SELECT query_id, chunk_id, round(s, 6) AS rrf_score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, first) AS INTEGER) AS rank FROM f) WHERE rank <= {K}"""
+)
+def rrf_multi_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.multi_route_rrf(_hits(spark, sf_dir), K).select("query_id", "chunk_id", F.round("rrf_score", 6).alias("rrf_score"), "rank")
+
+
+@query(
+    f"""WITH {CHUNKS}, {BM25}, {KNN}, {HITS}, {_rrf_sql('SELECT * FROM counted WHERE unasked OR allowed OR n < 3')}
+SELECT f.query_id, f.rank, f.chunk_id, c.document_id, c.year, round(f.score, 6) AS score, round(f.rrf_score, 6) AS rrf_score, substring(c.content, 1, 200) AS preview
+FROM fused f JOIN chunks c USING (chunk_id) WHERE f.rank <= {DEFAULT.retrieval.top_k}"""
+)
+def hybrid_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.hybrid(chunks(spark, sf_dir), vectors_of(spark, sf_dir), questions(spark, sf_dir))
+
+
+_HYDRATE = "SELECT e.vec_id AS chunk_id, c.document_id, substring(c.content, 1, 200) AS preview FROM embeddings e {0} JOIN (SELECT * FROM chunks WHERE NOT is_deleted) c ON c.chunk_id = e.vec_id"
+
+
+def _vector_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors_of(spark, sf_dir).select("chunk_id")
+
+
+@query(f"WITH {CHUNKS} {_HYDRATE.format('LEFT')}")
+def hydrate_left(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.hydrate(_vector_ids(spark, sf_dir), retrieval.live(chunks(spark, sf_dir)), "left").select("chunk_id", "document_id", "preview")
+
+
+@query(f"WITH {CHUNKS} {_HYDRATE.format('')}")
+def hydrate_inner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.hydrate(_vector_ids(spark, sf_dir), retrieval.live(chunks(spark, sf_dir))).select("chunk_id", "document_id", "preview")
+
+
+@query(f"WITH {CHUNKS} SELECT chunk_id, document_id, year FROM chunks WHERE NOT is_deleted AND chunk_id IN (SELECT vec_id FROM embeddings)")
+def hydrate_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.live(chunks(spark, sf_dir)).join(_vector_ids(spark, sf_dir), "chunk_id", "left_semi").select("chunk_id", "document_id", "year")
+
+
+@query(f"WITH {CHUNKS}, {BM25}, {KNN}, {HITS} SELECT DISTINCT query_id, chunk_id FROM hits")
+def set_ops_route_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hits(spark, sf_dir).select("query_id", "chunk_id").distinct()
+
+
+@query(
+    f"""WITH {CHUNKS}, {BM25}, {KNN}, {HITS} SELECT query_id, route, count(*) AS hits, round(min(score), 6) AS min_score, round(max(score), 6) AS max_score, round(avg(score), 6) AS avg_score FROM hits GROUP BY 1, 2"""
+)
+def score_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return answers.score_distribution(_hits(spark, sf_dir), ("query_id", "route"))
+
+
+# Answers
+
+
+@query(
+    f"""WITH {CHUNKS}, p AS (SELECT *, CASE WHEN page_end <> 0 THEN page_end ELSE page_start END AS e FROM chunks),
+m AS (SELECT *, max(e) OVER (PARTITION BY document_id ORDER BY page_start, chunk_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM p),
+i AS (SELECT *, sum(CASE WHEN b IS NULL OR page_start > b + 5 THEN 1 ELSE 0 END) OVER (PARTITION BY document_id ORDER BY page_start, chunk_id) AS island FROM m)
+SELECT document_id, CAST(island AS INTEGER) AS island, string_agg(chunk_id, ',' ORDER BY page_start, chunk_id) AS chunk_ids, sha256(string_agg(content, chr(10) || chr(10) ORDER BY page_start, chunk_id)) AS content_sha256 FROM i GROUP BY 1, 2"""
+)
+def adjacent_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    merged = answers.merge_adjacent(chunks(spark, sf_dir))
+    return merged.select("document_id", "island", F.array_join(F.transform("chunk_ids", lambda x: x.cast("string")), ",").alias("chunk_ids"), text.sha256(F.col("content")).alias("content_sha256"))
+
+
+def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as answers: two of three cite chunks, one kind twice, and every fifth refuses."""
+    turns = table(spark, sf_dir, "conversations")
+    n = F.col("conv_id") + F.col("turn")
+    cite = F.when(n % 3 == 1, F.concat(F.lit(" [Chunk "), F.col("conv_id").cast("string"), F.lit("]"))).when(n % 3 == 2, F.concat(F.lit("[chunk  "), n.cast("string"), F.lit("][Chunk "), n.cast("string"), F.lit("]"))).otherwise("")
+    return turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("request_id"), F.concat("text", cite, F.when(n % 5 == 0, "无法确定").otherwise("")).alias("answer"))
+
+
+ANSWERS = """
+answers AS (SELECT conv_id * 1000 + turn AS request_id, text || CASE (conv_id + turn) % 3 WHEN 1 THEN ' [Chunk ' || conv_id || ']' WHEN 2 THEN '[chunk  ' || (conv_id + turn) || '][Chunk ' || (conv_id + turn) || ']' ELSE '' END
+  || CASE WHEN (conv_id + turn) % 5 = 0 THEN '无法确定' ELSE '' END AS answer FROM conversations),
+ids AS (SELECT request_id, answer, list_transform(regexp_extract_all(answer, '(?i)\\[Chunk\\s+([0-9]+)\\]', 1), lambda x: CAST(x AS BIGINT)) AS cited FROM answers)
+"""
+
+
+@query(f"WITH {ANSWERS} SELECT request_id, CAST(generate_subscripts(cited, 1) AS INTEGER) AS rank_no, unnest(cited) AS chunk_id FROM ids")
+def citation_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _answers(spark, sf_dir).select("request_id", F.posexplode(policy.citations(F.col("answer"))).alias("pos", "chunk_id")).select("request_id", (F.col("pos") + 1).alias("rank_no"), "chunk_id")
+
+
+@query(
+    f"""WITH {CHUNKS}, {ANSWERS}, u AS (SELECT request_id, CAST(generate_subscripts(cited, 1) AS INTEGER) AS rank_no, unnest(cited) AS chunk_id FROM ids)
+SELECT u.*, substring(c.content, 1, 200) AS quote FROM u JOIN chunks c USING (chunk_id)"""
+)
+def citation_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return answers.cited(_answers(spark, sf_dir), chunks(spark, sf_dir))
+
+
+@query(
+    f"""WITH {ANSWERS}, c AS (SELECT *, round(greatest(0, least(1, 0.5::DOUBLE + CASE WHEN len(cited) > 0 THEN 0.3::DOUBLE + least(len(cited) * 0.05::DOUBLE, 0.15::DOUBLE) ELSE -0.2::DOUBLE END
+  + CASE WHEN length(trim(answer)) < 10 THEN -0.3::DOUBLE WHEN length(trim(answer)) > 50 THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN regexp_matches(answer, '无法|不知道|没有找到|未找到|不清楚|无法确定') THEN -0.2::DOUBLE ELSE 0 END)), 6) AS confidence FROM ids)
+SELECT request_id, confidence, trim(answer) = '' OR confidence < 0.6 OR len(cited) = 0 AS is_refused FROM c"""
+)
+def confidence_refusal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _answers(spark, sf_dir).select("request_id", policy.confidence(F.col("answer")).alias("confidence"), policy.is_refused(F.col("answer")).alias("is_refused"))
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("conv_id") + F.col("turn")
+    word = F.when(n % 4 == 0, " 请总结").when(n % 4 == 1, " 同比是多少").when(n % 4 == 2, " 2023 增长的汇总，2021 与 2023").otherwise("")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.concat("text", word).alias("query"))
+
+
+ASKED = """
+asked0 AS (SELECT conv_id, turn, role, text || CASE (conv_id + turn) % 4 WHEN 0 THEN ' 请总结' WHEN 1 THEN ' 同比是多少' WHEN 2 THEN ' 2023 增长的汇总，2021 与 2023' ELSE '' END AS query FROM conversations)
+"""
+INTENT_SQL = "CASE WHEN regexp_matches(query, '报表|总结|汇总|概括|核心观点|主要内容|奋斗') THEN 'SUMMARY' WHEN regexp_matches(query, '增长|同期|比例|谁更多|差值|计算|同比|环比') THEN 'CALC' ELSE 'FACT' END"
+
+
+@query(f"WITH {ASKED} SELECT conv_id, turn, {INTENT_SQL} AS intent FROM asked0")
+def intent_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _asked(spark, sf_dir).select("conv_id", "turn", policy.intent(F.col("query")).alias("intent"))
+
+
+@query(
+    """WITH r AS (SELECT event_id, CASE event_type WHEN 'view' THEN ' calc ' WHEN 'click' THEN 'Summary.' WHEN 'error' THEN 'the FACT is' WHEN 'signup' THEN 'CALC or FACT' ELSE 'none' END AS raw FROM events),
+u AS (SELECT event_id, upper(trim(raw)) AS t FROM r)
+SELECT event_id, CASE WHEN split_part(t, ' ', 1) IN ('FACT', 'CALC', 'SUMMARY') THEN split_part(t, ' ', 1) WHEN starts_with(t, 'FACT') OR list_contains(string_split(t, ' '), 'FACT') THEN 'FACT'
+WHEN starts_with(t, 'CALC') OR list_contains(string_split(t, ' '), 'CALC') THEN 'CALC' WHEN starts_with(t, 'SUMMARY') OR list_contains(string_split(t, ' '), 'SUMMARY') THEN 'SUMMARY' ELSE 'FACT' END AS intent FROM u"""
+)
+def intent_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.create_map(*[F.lit(x) for x in ("view", " calc ", "click", "Summary.", "error", "the FACT is", "signup", "CALC or FACT")])
+    return table(spark, sf_dir, "events").select("event_id", policy.parse_intent(F.coalesce(F.try_element_at(said, F.col("event_type")), F.lit("none"))).alias("intent"))
+
+
+@query(
+    """WITH y AS (SELECT o_custkey, year(o_orderdate) AS year, count(*)::DOUBLE AS a FROM orders GROUP BY 1, 2),
+p AS (SELECT *, lag(a) OVER (PARTITION BY o_custkey ORDER BY year) AS b FROM y)
+SELECT o_custkey, year, op, round(CASE op WHEN 'growth' THEN (a - b) / b WHEN 'diff' THEN a - b ELSE a / b END, 6) AS result,
+CASE op WHEN 'growth' THEN format('({} - {}) / {} = {:.2f}%', a::BIGINT, b::BIGINT, b::BIGINT, (a - b) / b * 100) WHEN 'diff' THEN format('{} - {} = {}', a::BIGINT, b::BIGINT, (a - b)::BIGINT) ELSE format('{} / {} = {:.2f}%', a::BIGINT, b::BIGINT, a / b * 100) END AS formula
+FROM p CROSS JOIN (VALUES ('growth'), ('diff'), ('ratio')) o(op) WHERE b IS NOT NULL"""
+)
+def calc_growth_diff_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer's orders of a year against the year before."""
+    yearly = table(spark, sf_dir, "orders").groupBy("o_custkey", F.year("o_orderdate").cast("long").alias("year")).agg(F.count("*").cast("double").alias("a"))
+    pairs = yearly.withColumn("b", F.lag("a").over(Window.partitionBy("o_custkey").orderBy("year"))).where("b is not null")
+    asked = pairs.withColumn("op", F.explode(F.array(*[F.lit(x) for x in ("growth", "diff", "ratio")])))
+    return answers.formulas(asked).select("o_custkey", "year", "op", F.round("result", 6).alias("result"), "formula")
+
+
+@query(
+    f"""WITH {ASKED}, g AS (SELECT *, CASE turn % 5 WHEN 0 THEN [] WHEN 1 THEN [query] WHEN 2 THEN ['a'] WHEN 3 THEN ['a', query] ELSE ['a', 'b', 'c', 'd'] END AS given FROM asked0),
+f AS (SELECT *, CASE WHEN len(given) = 0 THEN [query] ELSE given END AS first FROM g),
+w AS (SELECT *, CASE WHEN list_contains(first, query) THEN first ELSE list_append(first, query) END AS with_query FROM f),
+r AS (SELECT conv_id, turn, (CASE WHEN len(first) >= 3 THEN first WHEN len(with_query) < 3 THEN list_append(with_query, query || ' 详细信息') ELSE with_query END)[1:3] AS all_ FROM w)
+SELECT conv_id, turn, CAST(generate_subscripts(all_, 1) - 1 AS INTEGER) AS route, unnest(all_) AS route_query FROM r"""
+)
+def rewrite_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lit = lambda *x: F.array(*[F.lit(y) for y in x])
+    turn = F.col("turn") % 5
+    given = F.when(turn == 0, F.array().cast("array<string>")).when(turn == 1, F.array("query")).when(turn == 2, lit("a")).when(turn == 3, F.array(F.lit("a"), F.col("query"))).otherwise(lit("a", "b", "c", "d"))
+    return answers.fan_out(_asked(spark, sf_dir).withColumn("given", given)).select("conv_id", "turn", "route", "route_query")
+
+
+@query(f"WITH {ASKED}, y AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(query, '(?:19|20)[0-9]{{2}}')) AS ys FROM asked0) SELECT conv_id, turn, CAST(unnest(ys) AS INTEGER) AS year FROM y")
+def year_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _asked(spark, sf_dir).select("conv_id", "turn", F.explode(text.years(F.col("query"))).alias("year"))
+
+
+# Sessions, requests and events
+
+
+def _turn_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    year = F.when(F.col("turn") % 2 == 0, (2020 + (F.col("conv_id") + F.col("turn")) % 5).cast("string")).otherwise(" ")
+    dept = F.when(F.col("conv_id") % 3 != 0, F.concat(F.lit(" "), F.col("role"))).otherwise("")
+    slots = F.create_map(F.lit("date"), year, F.lit("dept"), dept, F.lit("other"), F.lit("x"))
+    return table(spark, sf_dir, "conversations").withColumn("slots", slots)
+
+
+_SLOTS = """
+s AS (SELECT conv_id, turn, 'date' AS slot, CASE WHEN turn % 2 = 0 THEN CAST(2020 + (conv_id + turn) % 5 AS VARCHAR) ELSE '' END AS value FROM conversations
+  UNION ALL SELECT conv_id, turn, 'dept', CASE WHEN conv_id % 3 <> 0 THEN role ELSE '' END FROM conversations),
+merged AS (SELECT conv_id, slot, arg_max(value, turn) AS value FROM s WHERE value <> '' GROUP BY 1, 2)
+"""
+
+
+@query(f"WITH {_SLOTS} SELECT conv_id, slot, value FROM merged")
+def slot_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state.merge_slots(_turn_slots(spark, sf_dir), "conv_id", "turn", "slots")
+
+
+@query(
+    f"""WITH {_SLOTS}, c AS (SELECT DISTINCT conv_id FROM conversations), h AS (SELECT c.conv_id, d.value AS year, p.value AS dept FROM c LEFT JOIN merged d ON d.conv_id = c.conv_id AND d.slot = 'date' LEFT JOIN merged p ON p.conv_id = c.conv_id AND p.slot = 'dept')
+SELECT conv_id, concat_ws(',', CASE WHEN year IS NULL THEN 'year' END, CASE WHEN dept IS NULL THEN 'dept' END) AS missing,
+CASE WHEN year IS NULL THEN '请问您要查询哪一年（年份）？' WHEN dept IS NULL THEN '请问您要查询哪个部门？' END AS question FROM h"""
+)
+def slot_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a summary still has to ask for, per session; a date stands in for the year."""
+    turns = _turn_slots(spark, sf_dir)
+    merged = state.merge_slots(turns, "conv_id", "turn", "slots").groupBy("conv_id").agg(F.map_from_entries(F.collect_list(F.struct("slot", "value"))).alias("slots"))
+    sessions = turns.select("conv_id").distinct().join(merged, "conv_id", "left").withColumn("slots", F.coalesce("slots", F.create_map().cast("map<string,string>")))
+    return state.missing(sessions, F.lit("SUMMARY"), F.col("slots")).select("conv_id", F.array_join("missing", ",").alias("missing"), "question")
+
+
+@query("SELECT conv_id, turn, role, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n <= 6")
+def history_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return answers.history_tail(table(spark, sf_dir, "conversations")).select("conv_id", "turn", "role", "text")
+
+
+@query(
+    """WITH k AS (SELECT event_id, ts, event_type <> 'error' AS ok, sha256(user_id || '|' || CASE event_type WHEN 'error' THEN 'click' ELSE event_type END) AS task_id FROM events)
+SELECT event_id, task_id, CASE WHEN coalesce(max(ok::INT) OVER (PARTITION BY task_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 THEN 'cached' ELSE 'run' END AS action FROM k"""
+)
+def idempotency_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's events as requests, an error being a click that failed."""
+    asked = F.when(F.col("event_type") == "error", "click").otherwise(F.col("event_type"))
+    out = state.replay(table(spark, sf_dir, "events"), policy.task_id(F.col("user_id"), asked), ("ts", "event_id"), F.col("event_type") != "error")
+    return out.select("event_id", "task_id", "action")
+
+
+@query(
+    """WITH k AS (SELECT *, sum((event_type <> 'error')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM events)
+SELECT event_id, user_id, sum((event_type = 'error')::INT) OVER (PARTITION BY user_id, g ORDER BY ts, event_id)::BIGINT AS streak FROM k"""
+)
+def failure_streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state.failure_streaks(table(spark, sf_dir, "events"), "user_id", ("ts", "event_id"), F.col("event_type") == "error").select("event_id", "user_id", "streak")
+
+
+@query()
+def circuit_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's calls through a breaker; clicks and errors fail.  A fold, so tested against a model rather than by SQL."""
+    calls = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
+    out = state.breaker(calls, "user_id", ("ts", "event_id"), F.unix_millis(F.col("ts").cast("timestamp")) / 1000.0, F.col("event_type").isin("click", "error"))
+    return out.select("event_id", "user_id", "allowed", "state")
+
+
+def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.get_json_object("props", "$.k").cast("int")
+    status = F.when(F.col("event_type") == "error", F.when(k % 4 == 0, 429).when(k % 4 == 1, 500 + k).when(k % 4 == 2, 404))
+    error = F.when((F.col("event_type") == "error") & (k % 4 == 3), F.when(k % 8 == 3, "timeout").otherwise("parse"))
+    return table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value", "event_type", status.cast("int").alias("status"), error.alias("error"))
+
+
+CALLS = """
+k AS (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events),
+calls AS (SELECT event_id, user_id, ts, value, event_type, CASE WHEN event_type = 'error' THEN CASE k % 4 WHEN 0 THEN 429 WHEN 1 THEN 500 + k WHEN 2 THEN 404 END END AS status,
+  CASE WHEN event_type = 'error' AND k % 4 = 3 THEN CASE WHEN k % 8 = 3 THEN 'timeout' ELSE 'parse' END END AS error FROM k),
+kinds AS (SELECT *, CASE WHEN error = 'timeout' THEN 'timeout' WHEN status = 429 THEN 'rate_limit' WHEN status BETWEEN 500 AND 599 THEN '5xx' WHEN error = 'parse' THEN 'parse_error' ELSE 'fallback' END AS kind,
+  coalesce(error = 'timeout', FALSE) OR coalesce(status = 429 OR status BETWEEN 500 AND 599, FALSE) AS retryable FROM calls)
+"""
+
+
+@query(f"WITH {CALLS} SELECT event_id, kind, retryable FROM kinds WHERE event_type = 'error'")
+def event_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    failed = _calls(spark, sf_dir).where("event_type = 'error'")
+    return failed.select("event_id", policy.error_kind(F.col("error"), F.col("status")).alias("kind"), policy.is_retryable(F.col("error"), F.col("status")).alias("retryable"))
+
+
+@query(f"WITH {CALLS} SELECT user_id, CASE WHEN event_type = 'error' THEN kind ELSE 'ok' END AS kind, count(*) AS n, count(*) FILTER (retryable) AS n_retryable, min(ts) AS first_ts, max(ts) AS last_ts FROM kinds GROUP BY 1, 2")
+def model_event_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("event_type") == "error", policy.error_kind(F.col("error"), F.col("status"))).otherwise("ok").alias("kind")
+    calls = _calls(spark, sf_dir).withColumn("retryable", policy.is_retryable(F.col("error"), F.col("status")))
+    return calls.groupBy("user_id", kind).agg(F.count("*").alias("n"), F.count_if("retryable").alias("n_retryable"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+
+
+@query(
+    """WITH k AS (SELECT *, sum((event_type <> 'error')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM events),
+s AS (SELECT event_id, event_type, sum((event_type = 'error')::INT) OVER (PARTITION BY user_id, g ORDER BY ts, event_id) AS attempt FROM k)
+SELECT event_id, attempt::BIGINT AS attempt, least(pow(2.0, attempt - 1), 10.0)::DOUBLE AS wait FROM s WHERE event_type = 'error'"""
+)
+def retry_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How long to wait after each failure in a row, without jitter."""
+    streaks = state.failure_streaks(table(spark, sf_dir, "events"), "user_id", ("ts", "event_id"), F.col("event_type") == "error").where("event_type = 'error'")
+    return streaks.select("event_id", F.col("streak").alias("attempt"), policy.backoff(F.col("streak")).alias("wait"))
+
+
+@query(
+    """SELECT user_id, event_type, count(*) AS n, sum(cast(round(value * 1000) AS BIGINT))::BIGINT AS total_ms, min(cast(round(value * 1000) AS BIGINT)) AS min_ms, max(cast(round(value * 1000) AS BIGINT)) AS max_ms FROM events GROUP BY 1, 2"""
+)
+def qa_latency_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ms = F.round(F.col("value") * 1000).cast("long")
+    return table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.sum(ms).alias("total_ms"), F.min(ms).alias("min_ms"), F.max(ms).alias("max_ms"))
+
+
+@query("SELECT event_id, user_id, event_type, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
+def audit_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last row of each request: an append-only log seen as if it were updated in place."""
+    events = table(spark, sf_dir, "events")
+    return sinks.latest(events, ("user_id", "event_type"), F.struct("ts", "event_id")).select("event_id", "user_id", "event_type", "ts")
+
+
+@query(
+    f"""WITH {CHUNKS} SELECT tenant, 'vector' AS index_type, '{{"chunk_overlap":"100","chunk_size":"500"}}' AS params, count(DISTINCT document_id) AS doc_count, count(*) AS chunk_count, 'success' AS status FROM chunks WHERE NOT is_deleted GROUP BY tenant"""
+)
+def index_build_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = DEFAULT.chunking
+    return sinks.index_build_log(retrieval.live(chunks(spark, sf_dir)), "vector", {"chunk_size": str(size.size), "chunk_overlap": str(size.overlap)})
