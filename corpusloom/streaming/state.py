@@ -1,4 +1,4 @@
-"""The state machines over streams: keyed, checkpointed by Structured Streaming, with a timeout where one makes sense."""
+"""The state machines over streams: keyed, checkpointed by Structured Streaming."""
 
 from __future__ import annotations
 
@@ -40,14 +40,10 @@ def breaker(events: DataFrame, settings: Resilience = DEFAULT.resilience) -> Dat
     return events.groupBy("model").applyInPandasWithState(step, "model string, at double, allowed boolean, state string", "failures int, opened double, mode string", "append", GroupStateTimeout.NoTimeout)
 
 
-def session_slots(turns: DataFrame, idle: str = "30 minutes") -> DataFrame:
-    """Turns (session_id, seq, slots) to session_id, seq and the slots merged so far; an idle session is forgotten."""
-    minutes = int(idle.split()[0])
+def session_slots(turns: DataFrame) -> DataFrame:
+    """Turns (session_id, seq, slots) to session_id, seq and the slots merged so far; a session is kept for good."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         merged = dict(state.get[0]) if state.exists else {}
         seqs, slots = [], []
         for row in pd.concat(batches).sort_values("seq").itertuples():
@@ -55,11 +51,10 @@ def session_slots(turns: DataFrame, idle: str = "30 minutes") -> DataFrame:
             seqs.append(row.seq)
             slots.append(dict(merged))
         state.update((merged,))
-        state.setTimeoutDuration(minutes * 60_000)
         yield pd.DataFrame({"session_id": key[0], "seq": seqs, "slots": slots})
 
     cleaned = turns.where(F.col("session_id").isNotNull()).withColumn("slots", policy.clean_slots(F.col("slots")))
-    return cleaned.groupBy("session_id").applyInPandasWithState(step, "session_id string, seq long, slots map<string,string>", "slots map<string,string>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return cleaned.groupBy("session_id").applyInPandasWithState(step, "session_id string, seq long, slots map<string,string>", "slots map<string,string>", "append", GroupStateTimeout.NoTimeout)
 
 
 def first_requests(requests: DataFrame, time: str = "ts", late: str = "10 minutes") -> DataFrame:
