@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import bpe, lines, neighbours, packing, quality, rollups, secrets, simhash, substrings, warc
 from corpusloom.llm.common import cut, scratch, table
+from corpusloom.llm.oracles import ORACLE_SQL as ORACLE_SQL
 
 BYTE_BPE = "byte_bpe_50k.tiktoken"
 WORD_BPE = "word_bpe_49k.json"
@@ -86,5 +87,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc_revisits": op9_warc_revisits,
     "op10_nearest_neighbours": op10_nearest_neighbours,
 }
-
-ORACLE_SQL: dict[str, str] = {}
