@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +18,11 @@ TOKEN = r"[一-龥]+|[a-zA-Z]+|[0-9]+"
 _SPACE = r"[\s\x{3000}\x{A0}\x{85}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}]"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Without white space at either end, the ideographic space included."""
     return F.regexp_replace(c, rf"^{_SPACE}+|{_SPACE}+$", "")
@@ -31,9 +38,11 @@ def lines(c: Column) -> Column:
 
 def is_page_noise(line: Column) -> Column:
     """A page number, a page label, or a short run of digits and separators."""
-    s = strip(line)
-    label = s.rlike(r"(?i)^(第\s*[0-9]+\s*页|Page\s*[0-9]+)$")
-    return s.rlike(r"^[0-9]{1,5}$") | label | ((F.length(s) <= 10) & s.rlike(r"^[0-9\s./\-]+$"))
+
+    def judged(s: Column) -> Column:
+        return s.rlike(r"^[0-9]{1,5}$") | s.rlike(r"(?i)^(第\s*[0-9]+\s*页|Page\s*[0-9]+)$") | ((F.length(s) <= 10) & s.rlike(r"^[0-9\s./\-]+$"))
+
+    return let(strip(line), judged)
 
 
 def drop_page_noise(text: Column) -> Column:
@@ -42,9 +51,12 @@ def drop_page_noise(text: Column) -> Column:
 
 def is_header_footer(line: Column, repeated: Column | None = None) -> Column:
     """``repeated``: the raw lines that stand at least three times in the element."""
-    s = strip(line)
-    fixed = s.rlike("|".join(HEADER_FOOTER)) | (s.rlike(r"^[0-9]+$") & (F.length(s) < 5)) | s.rlike(r"^[0-9]{4}[-/][0-9]{1,2}[-/][0-9]{1,2}$")
-    return (s != "") & (fixed if repeated is None else fixed | F.array_contains(repeated, s))
+
+    def judged(s: Column) -> Column:
+        fixed = s.rlike("|".join(HEADER_FOOTER)) | (s.rlike(r"^[0-9]+$") & (F.length(s) < 5)) | s.rlike(r"^[0-9]{4}[-/][0-9]{1,2}[-/][0-9]{1,2}$")
+        return (s != "") & (fixed if repeated is None else F.array_contains(repeated, s) | fixed)
+
+    return let(strip(line), judged)
 
 
 def repeated_lines(text: Column, threshold: int = 3) -> Column:
@@ -52,17 +64,25 @@ def repeated_lines(text: Column, threshold: int = 3) -> Column:
 
     In the sorted lines, one that equals the line ``threshold - 1`` places on stands that often.
     """
-    ordered = F.array_sort(lines(text))
-    again = F.slice(ordered, F.lit(threshold), F.greatest(F.size(ordered), F.lit(1)))
-    pairs = F.arrays_zip(F.slice(ordered, F.lit(1), F.greatest(F.size(ordered) - (threshold - 1), F.lit(0))).alias("a"), again.alias("b"))
-    return F.array_distinct(F.transform(F.filter(pairs, lambda p: (p["a"] == p["b"]) & (strip(p["a"]) != "")), lambda p: p["a"]))
+
+    def found(ordered: Column) -> Column:
+        return F.array_distinct(F.filter(ordered, lambda x, i: (F.get(ordered, i + (threshold - 1)) == x) & (strip(x) != "")))
+
+    return let(F.array_sort(lines(text)), found)
 
 
 def clean_text(text: Column, keep_blank: bool = True) -> Column:
-    """Without headers and footers; at most one blank line in a row; stripped."""
-    repeated = repeated_lines(text)
-    kept = F.filter(lines(text), lambda x: ~is_header_footer(x, repeated) & (F.lit(keep_blank) | (strip(x) != "")))
-    return strip(F.regexp_replace(F.array_join(kept, "\n"), r"\n{3,}", "\n\n"))
+    """Without headers and footers; at most one blank line in a row; stripped.
+
+    Split and repeated lines are bound once for each text, as the value of a
+    lambda, rather than worked out again for each line.
+    """
+
+    def kept(t: Column) -> Column:
+        return F.filter(t["lines"], lambda x: ~is_header_footer(x, t["repeated"]) & (F.lit(keep_blank) | (strip(x) != "")))
+
+    left = let(F.struct(lines(text).alias("lines"), repeated_lines(text).alias("repeated")), kept)
+    return strip(F.regexp_replace(F.array_join(left, "\n"), r"\n{3,}", "\n\n"))
 
 
 def is_numbered(line: Column) -> Column:
@@ -98,10 +118,15 @@ def element_type(paragraph: Column) -> Column:
 
 def document_title(text: Column) -> Column:
     """The first of ten lines that is under 200 characters with a title word, or one of the first three with 11 to 99 characters."""
-    top = F.slice(F.transform(lines(strip(text)), strip), 1, 10)
-    placed = F.transform(top, lambda x, i: F.struct(x.alias("x"), F.array_position(top, x).alias("first")))
-    good = F.filter(placed, lambda s: (s["x"] != "") & (((F.length(s["x"]) < 200) & any_of(s["x"], DOCUMENT_TITLE_WORDS)) | ((s["first"] <= 3) & (F.length(s["x"]) > 10) & (F.length(s["x"]) < 100))))
-    return F.get(good, F.lit(0))["x"]
+
+    def first_good(top: Column) -> Column:
+        def good(x: Column) -> Column:
+            worded = (F.length(x) < 200) & any_of(x, DOCUMENT_TITLE_WORDS)
+            return (x != "") & (worded | ((F.array_position(top, x) <= 3) & (F.length(x) > 10) & (F.length(x) < 100)))
+
+        return F.get(F.filter(top, good), F.lit(0))
+
+    return let(F.transform(F.slice(lines(strip(text)), 1, 10), strip), first_good)
 
 
 def tokens(text: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from corpusloom.config import DEFAULT, Retrieval
 from corpusloom.functions.text import preview, tokens
 
+BROADCAST_TERMS = 100_000  # query terms up to which their weights go to every task; more are joined by term
 QUERY_BLOCK = 1024  # query vectors sent to the executors at once
 
 
@@ -26,9 +27,14 @@ def _top(df: DataFrame, by: tuple[str, ...], k: int, *order: Column) -> DataFram
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= k)
 
 
+def _split(chunks: DataFrame, text: str) -> DataFrame:
+    """chunk_id and t, the tokens, of chunks that have any; the generator keeps Spark from splitting a text once for each use."""
+    return chunks.select("chunk_id", F.explode(F.array(tokens(F.col(text)))).alias("t")).where(F.size("t") > 0)
+
+
 def postings(chunks: DataFrame, text: str = "content") -> DataFrame:
     """chunk_id, term, tf and dl, the chunk's tokens; chunks without tokens have none."""
-    split = chunks.select("chunk_id", tokens(F.col(text)).alias("t")).where(F.size("t") > 0)
+    split = _split(chunks, text)
     terms = split.select("chunk_id", F.size("t").alias("dl"), F.explode("t").alias("term"))
     return terms.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.first("dl").cast("long").alias("dl"))
 
@@ -39,23 +45,36 @@ def corpus_stats(posts: DataFrame) -> DataFrame:
     return lengths.agg(F.count("*").alias("n"), F.sum("dl").alias("total"), F.avg("dl").alias("avgdl"))
 
 
-def term_idf(posts: DataFrame, n: int, epsilon: float = DEFAULT.retrieval.bm25_epsilon) -> DataFrame:
-    """term, df and idf; a negative idf becomes ``epsilon`` times the mean of all."""
-    raw = posts.groupBy("term").agg(F.count("*").alias("df")).withColumn("raw", F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+def weigh_terms(frequencies: DataFrame, n: int, epsilon: float = DEFAULT.retrieval.bm25_epsilon) -> DataFrame:
+    """term, df and idf from term and df; a negative idf becomes ``epsilon`` times the mean of all."""
+    raw = frequencies.withColumn("raw", F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean")).first()["mean"] or 0.0
     return raw.select("term", "df", F.when(F.col("raw") < 0, epsilon * mean).otherwise(F.col("raw")).alias("idf"))
 
 
-def bm25(posts: DataFrame, queries: DataFrame, k: int, settings: Retrieval = DEFAULT.retrieval) -> DataFrame:
+def term_idf(posts: DataFrame, n: int, epsilon: float = DEFAULT.retrieval.bm25_epsilon) -> DataFrame:
+    return weigh_terms(posts.groupBy("term").agg(F.count("*").alias("df")), n, epsilon)
+
+
+def bm25(chunks: DataFrame, queries: DataFrame, k: int, settings: Retrieval = DEFAULT.retrieval, text: str = "content") -> DataFrame:
     """query_id, chunk_id, score, rank: the k best chunks of positive score for each query (query_id, query).
 
-    Query tokens count as often as they stand.  Ties of the rounded score go to the smaller id.
+    Query tokens count as often as they stand.  Ties of the rounded score go to
+    the smaller id.  Only the tokens that a query asks for are shuffled, once by
+    chunk, which serves both sums; document frequencies are summed before the shuffle, and their table,
+    no larger than the vocabulary, is kept for its mean and the join.
     """
-    stats = corpus_stats(posts).first()
+    split = _split(chunks, text).select("chunk_id", F.size("t").cast("long").alias("dl"), "t")
+    stats = split.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
+    frequencies = split.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count("*").alias("df")).persist()
+    idf = weigh_terms(frequencies, stats["n"], settings.bm25_epsilon)
     terms = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    idf = term_idf(posts, stats["n"], settings.bm25_epsilon)
-    saturation = F.col("tf") * (settings.bm25_k1 + 1) / (F.col("tf") + settings.bm25_k1 * (1 - settings.bm25_b + settings.bm25_b * F.col("dl") / float(stats["avgdl"] or 1)))
     weighted = terms.join(idf, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight"))
+    if terms.count() <= BROADCAST_TERMS:
+        weighted = F.broadcast(weighted)
+    wanted = split.select("chunk_id", "dl", F.explode("t").alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
+    posts = wanted.repartition("chunk_id").groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    saturation = F.col("tf") * (settings.bm25_k1 + 1) / (F.col("tf") + settings.bm25_k1 * (1 - settings.bm25_b + settings.bm25_b * F.col("dl") / float(stats["avgdl"] or 1)))
     scored = posts.join(weighted, "term").groupBy("query_id", "chunk_id").agg(F.sum(F.col("weight") * saturation).alias("score"))
     scored = scored.withColumn("score", F.round("score", 9)).where("score > 0")
     return _top(scored, ("query_id",), k, F.desc("score"), F.asc("chunk_id"))
@@ -159,16 +178,15 @@ def hydrate(hits: DataFrame, chunks: DataFrame, how: str = "inner") -> DataFrame
     return hits.join(chunks.select("chunk_id", "document_id", "year", "page_start", "content"), "chunk_id", how).withColumn("preview", preview(F.col("content")))
 
 
-def hybrid(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, settings: Retrieval = DEFAULT.retrieval, posts: DataFrame | None = None) -> DataFrame:
+def hybrid(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, settings: Retrieval = DEFAULT.retrieval) -> DataFrame:
     """Queries (query_id, query, vector, years) to their top chunks with fused scores.
 
     Deleted chunks are left out before anything is ranked, so none takes a place in the result.
     """
     kept = live(chunks)
-    posts = postings(kept) if posts is None else posts
     known = vectors.join(kept.select("chunk_id"), "chunk_id", "left_semi")
     near = knn(known, queries, settings.route_top_k).select("query_id", F.lit("vector").alias("route"), "chunk_id", "score", "rank")
-    worded = bm25(posts, queries, settings.route_top_k, settings).select("query_id", F.lit("keyword").alias("route"), "chunk_id", "score", "rank")
+    worded = bm25(kept, queries, settings.route_top_k, settings).select("query_id", F.lit("keyword").alias("route"), "chunk_id", "score", "rank")
     hits = year_filter(near.unionByName(worded), kept, queries.select("query_id", "years"), settings.min_year_hits)
     fused = weighted_rrf(hits, settings).where(F.col("rank") <= settings.top_k)
     return hydrate(fused, kept).select("query_id", "rank", "chunk_id", "document_id", "year", F.round("score", 6).alias("score"), F.round("rrf_score", 6).alias("rrf_score"), "preview")

@@ -16,7 +16,7 @@ from corpusloom.config import DEFAULT
 from corpusloom.functions import policy, text
 from corpusloom.operators import answers, chunking, incremental, retrieval, state, tables
 from corpusloom.sources import sinks
-from corpusloom.sources.readers import chunks, table
+from corpusloom.sources.readers import chunks, documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -66,7 +66,7 @@ def content_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("tenant"), text.sha256(F.col("text")).alias("file_sha256"))
+    return documents(spark, sf_dir).select("doc_id", F.col("lang").alias("tenant"), text.sha256(F.col("text")).alias("file_sha256"))
 
 
 def _known_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,7 +160,7 @@ agg AS (SELECT doc_id, count(*) AS n_lines, string_agg(line, chr(10) ORDER BY n)
 SELECT d.doc_id, CASE WHEN {strip_sql("d.text")} = '' THEN sha256(d.text) ELSE sha256(coalesce(a.t, '')) END AS cleaned_sha256 FROM documents d LEFT JOIN agg a USING (doc_id)"""
 )
 def page_noise_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", text.sha256(text.drop_page_noise(F.col("text"))).alias("cleaned_sha256"))
+    return documents(spark, sf_dir).select("doc_id", text.sha256(text.drop_page_noise(F.col("text"))).alias("cleaned_sha256"))
 
 
 @query(
@@ -175,7 +175,7 @@ c AS (SELECT d.doc_id, {strip_sql("regexp_replace(coalesce(a.t, ''), '\\n{3,}',
 SELECT doc_id, length(t) AS n_chars, sha256(t) AS cleaned_sha256 FROM c"""
 )
 def header_footer_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned = table(spark, sf_dir, "documents").select("doc_id", text.clean_text(F.col("text")).alias("t"))
+    cleaned = documents(spark, sf_dir).select("doc_id", text.clean_text(F.col("text")).alias("t"))
     return cleaned.select("doc_id", F.length("t").cast("long").alias("n_chars"), text.sha256(F.col("t")).alias("cleaned_sha256"))
 
 
@@ -189,7 +189,7 @@ SELECT doc_id, CASE WHEN length(f) < 100 AND NOT regexp_matches(f, '[。.；;]$'
 count(*) AS n_elements, sum(length(p)) AS n_chars FROM q GROUP BY 1, 2"""
 )
 def paragraph_title_typing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = table(spark, sf_dir, "documents").select("doc_id", F.explode(text.paragraphs(F.col("text"))).alias("p"))
+    parts = documents(spark, sf_dir).select("doc_id", F.explode(text.paragraphs(F.col("text"))).alias("p"))
     return parts.groupBy("doc_id", text.element_type(F.col("p")).alias("element_type")).agg(F.count("*").alias("n_elements"), F.sum(F.length("p")).cast("decimal(38,0)").alias("n_chars"))
 
 
@@ -202,7 +202,7 @@ SELECT doc_id, CAST(section_no AS INTEGER) AS section_no, CAST(max(level) AS INT
 FROM i WHERE section_no > 0 GROUP BY doc_id, section_no"""
 )
 def section_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.section_outline(table(spark, sf_dir, "documents"))
+    return chunking.section_outline(documents(spark, sf_dir))
 
 
 @query(
@@ -212,19 +212,19 @@ g AS (SELECT doc_id, x, n FROM u WHERE x <> '' AND ((length(x) < 200 AND regexp_
 SELECT d.doc_id, (SELECT arg_min(g.x, g.n) FROM g WHERE g.doc_id = d.doc_id) AS title FROM documents d"""
 )
 def doc_title_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", text.document_title(F.col("text")).alias("title"))
+    return documents(spark, sf_dir).select("doc_id", text.document_title(F.col("text")).alias("title"))
 
 
 @query()
 def chunk_live(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks by paragraph and sentence; a fold, so tested against a model rather than by SQL."""
-    pieces = chunking.explode_chunks(table(spark, sf_dir, "documents"), chunking.by_paragraphs)
+    pieces = chunking.explode_chunks(documents(spark, sf_dir), chunking.by_paragraphs)
     return pieces.select("doc_id", "piece", F.length("content").alias("n_chars"), text.sha256(F.col("content")).alias("content_sha256"))
 
 
 @query()
 def chunk_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = chunking.explode_chunks(table(spark, sf_dir, "documents"), chunking.by_window)
+    pieces = chunking.explode_chunks(documents(spark, sf_dir), chunking.by_window)
     return pieces.select("doc_id", "piece", F.length("content").alias("n_chars"), text.sha256(F.col("content")).alias("content_sha256"))
 
 
@@ -306,7 +306,7 @@ def bm25_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _worded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.bm25(_live_postings(spark, sf_dir), questions(spark, sf_dir), K)
+    return retrieval.bm25(retrieval.live(chunks(spark, sf_dir)), questions(spark, sf_dir), K)
 
 
 @query(f"WITH {CHUNKS}, {BM25} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM worded")

@@ -14,6 +14,16 @@ from corpusloom.functions.text import sha256
 from corpusloom.schemas import TABLES
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores.  A file of few row groups is dealt out; a large table is read in enough parts as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def documents(spark: SparkSession, root: str) -> DataFrame:
+    return spread(table(spark, root, "documents"))
+
+
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """A table of the data folder, or one of the engine's own tables with its schema."""
     reader = spark.read.schema(TABLES[name]) if name in TABLES and root.rstrip("/").endswith("_store") else spark.read
@@ -36,7 +46,7 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     A document stands for a chunk; ten ids in a row make a file, the language
     is the tenant, and documents labelled toxic count as deleted.
     """
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    docs, labels = documents(spark, sf_dir), table(spark, sf_dir, "labels")
     toxic = labels.where("toxic = 1").select(F.col("doc_id").alias("toxic_id")).distinct()
     return docs.join(toxic, docs["doc_id"] == F.col("toxic_id"), "left").select(
         F.col("doc_id").alias("chunk_id"),

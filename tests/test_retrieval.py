@@ -57,9 +57,9 @@ def test_bm25_like_the_formula(spark):
             if round(s, 9) > 0:
                 scores[i] = round(s, 9)
         want[q] = [i for i, _ in sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:10]]
-    posts = retrieval.postings(spark.createDataFrame(docs, "chunk_id long, content string"))
+    chunks = spark.createDataFrame(docs, "chunk_id long, content string")
     got = {1: [], 2: [], 3: []}
-    for r in retrieval.bm25(posts, spark.createDataFrame(queries, "query_id long, query string"), 10).orderBy("query_id", "rank").collect():
+    for r in retrieval.bm25(chunks, spark.createDataFrame(queries, "query_id long, query string"), 10).orderBy("query_id", "rank").collect():
         got[r.query_id].append(r.chunk_id)
     assert got == want
 
