@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import cut, filled, shuffle_partitions
+from corpusloom.llm.common import cut, filled, shuffle_partitions, slices
 
 CHUNK = 32768  # characters; a text of no more is one chunk
 OVERLAP = 1024
@@ -74,8 +74,9 @@ def boundaries(text: str, pattern: str, begin: int, end: int, closed: bool) -> l
 def _encode_short(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [encode_text(x.as_py(), path, pattern) for x in filled(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
+            for part in slices(batch):
+                ids = [encode_text(x.as_py(), path, pattern) for x in filled(part.column(1))]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
 
     return docs.mapInArrow(run, _ENCODED)
 
@@ -161,7 +162,8 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _bytes_by_id(path)
         for batch in batches:
-            decoded = [b"".join([table[i] for i in np.frombuffer(x.as_buffer(), "<u4").tolist()]) for x in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.binary())], ["doc_id", "n_tokens", "ids", "decoded"])
+            for part in slices(batch, "ids"):
+                decoded = [b"".join([table[i] for i in np.frombuffer(x.as_buffer(), "<u4").tolist()]) for x in part.column(2)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(decoded, pa.binary())], ["doc_id", "n_tokens", "ids", "decoded"])
 
     return encoded.mapInArrow(run, _ENCODED + ", decoded binary")
