@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -90,10 +91,9 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l2") -> D
     """
     spark = vectors.sparkSession
     source = vectors.where("vector is not null").select("chunk_id", F.col("vector").cast("array<double>").alias("vector"))
-    asked = queries.where("vector is not null").select("query_id", F.col("vector").cast("array<double>").alias("vector")).distinct().collect()
+    asked = queries.where("vector is not null").select("query_id", F.col("vector").cast("array<double>").alias("vector")).distinct().toLocalIterator()
     out = spark.createDataFrame([], "query_id long, chunk_id long, distance double")
-    for a in range(0, len(asked), QUERY_BLOCK):
-        block = asked[a : a + QUERY_BLOCK]
+    while block := list(islice(asked, QUERY_BLOCK)):
         out = out.unionByName(_knn_block(source, np.array([r["query_id"] for r in block], np.int64), np.array([r["vector"] for r in block], float), k, metric))
     similarity = F.when(F.lit(metric == "l2"), 1 / (1 + F.col("distance"))).otherwise(F.col("distance"))
     ranked = out.withColumn("score", F.round(similarity, 9)).withColumn("distance", F.round("distance", 9))
