@@ -222,7 +222,7 @@ def links(distinct: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp[a + index]), pa.array(home)], ["key", "fp", "home"])
 
     partitions = shuffle_partitions(spark)
-    dealt_out = distinct.select("fp").repartition(partitions, "fp")  # each gives some 43 keys, which few tasks shouldn't make
+    dealt_out = distinct.select("fp").repartition(partitions)  # each gives some 43 keys, which few tasks shouldn't make
     met = dealt_out.mapInArrow(keys, "key long, fp long, home boolean").repartition(partitions, "key").sortWithinPartitions("key")
     found = cut(met.mapInArrow(_links, "key long, u long, v long, home boolean"), "simhash-links")
     small = found.where("key is null").select("u", "v")
