@@ -7,11 +7,16 @@ that stand once in the corpus are dropped; where the others stand, the match is
 extended both ways, as far as the windows reach that chose the fingerprint.
 Of equal windows the first stays and the later ones are deleted; windows side
 by side make up longer runs.
+
+On request (``passages``) single lines and pairs of lines take part as well, in
+documents of any number of lines: those of many words wherever they repeat,
+and shorter lines that stand in many documents.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +24,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RUN = 3
+LONG_WORDS = 50  # a line, or two lines together, with as many words is a passage by itself
+FREQUENT_DOCS = 10  # a shorter line goes if it stands in as many documents
+FREQUENT_WORDS = 4  # and has as many words; shorter ones are marks and headings
 
 
 def hashed_lines(text: Column) -> Column:
@@ -28,7 +36,7 @@ def hashed_lines(text: Column) -> Column:
 
 
 def repeated_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
-    """doc_id, text_hash and gone (numbers of lines to delete) of the texts that lose any.
+    """doc_id, text_hash and line, the numbers of the lines to delete; a line can come several times.
 
     ``docs`` has doc_id, text_hash and text.  Rows without doc_id or text take no part.
     """
@@ -58,15 +66,46 @@ def repeated_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
     )
     first = extended.groupBy("w").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     later = extended.join(first, "w").where(F.struct("doc_id", "start") > F.col("first"))
-    return later.select("doc_id", "text_hash", F.explode("numbers").alias("line")).groupBy("doc_id", "text_hash").agg(F.collect_set("line").alias("gone"))
+    return later.select("doc_id", "text_hash", F.explode("numbers").alias("line"))
+
 
+def repeated_passages(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash and line of the later places of single lines and pairs of lines that are passages or frequent.
 
-def dedup(docs: DataFrame, text: str = "text", id_column: str = "doc_id", run: int = RUN) -> DataFrame:
+    Lines are equal if two 64-bit hashes of theirs are, and their numbers of words.
+    """
+    numbered = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("line"), x.alias("x"), F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+")).alias("words")))
+    hashed = F.transform(
+        F.filter(numbered, lambda s: s["words"] > 0), lambda s: F.struct(s["line"].alias("line"), F.xxhash64(s["x"]).alias("h"), F.xxhash64(F.lit(1), s["x"]).alias("g"), s["words"].alias("words"))
+    )
+    source = docs.where("doc_id is not null and text is not null").select("doc_id", "text_hash", hashed.alias("lines"))
+
+    def unit(a: Column, b: Column | None = None) -> Column:
+        both = [a] if b is None else [a, b]
+        h, g = (a[k] if b is None else F.xxhash64(a[k], b[k], F.lit(k)) for k in ("h", "g"))
+        words = a["words"] if b is None else a["words"] + b["words"]
+        return F.struct(h.alias("h"), g.alias("g"), words.alias("words"), F.lit(len(both)).alias("size"), F.array(*[x["line"] for x in both]).alias("numbers"))
+
+    one = F.filter(F.transform("lines", lambda a: unit(a)), lambda u: u["words"] >= FREQUENT_WORDS)
+    two = F.filter(F.zip_with(F.slice("lines", 1, F.greatest(F.size("lines") - 1, F.lit(0))), F.slice("lines", 2, F.size("lines")), lambda a, b: unit(a, b)), lambda u: u["words"] >= LONG_WORDS)
+    units = source.select("doc_id", "text_hash", F.explode(F.concat(one, two)).alias("u")).select("doc_id", "text_hash", "u.*").withColumn("start", F.col("numbers")[0])
+    key = ["h", "g", "words", "size"]
+    in_doc = units.groupBy(*key, "doc_id").agg(F.min("start").alias("start"), F.count("*").alias("n"))
+    shared = in_doc.groupBy(*key).agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("docs"), F.sum("n").alias("n"))
+    shared = shared.where((F.col("n") > 1) & ((F.col("words") >= LONG_WORDS) | (F.col("docs") >= FREQUENT_DOCS))).drop("docs", "n")
+    later = units.join(shared, key).where(F.struct("doc_id", "start") > F.col("first"))
+    return later.select("doc_id", "text_hash", F.explode("numbers").alias("line"))
+
+
+def dedup(docs: DataFrame, text: str = "text", id_column: str = "doc_id", run: int | None = RUN, passages: bool = False) -> DataFrame:
     """``docs`` with later repeated runs of lines deleted from ``text``, then n_lines and n_removed.
 
     A line with a word is deleted if a window of ``run`` such lines covers it
     whose lines, in order, also stand at an earlier place: in a smaller doc_id,
-    or further up in the same one.  Windows are judged on the input.  Lines
+    or further up in the same one.  With ``passages`` so are later places of a
+    line or two neighbouring lines of ``LONG_WORDS`` words in all, and of a line of
+    ``FREQUENT_WORDS`` words in ``FREQUENT_DOCS`` documents; without ``run`` only
+    those.  All is judged on the input.  Lines
     without a word count as no line and stay.  Null texts stay null with no
     lines.  Rows without doc_id are left alone; equal rows, which have equal
     places, get equal results.  Other columns pass through, whatever their
@@ -76,7 +115,8 @@ def dedup(docs: DataFrame, text: str = "text", id_column: str = "doc_id", run: i
     plain = docs.toDF(*[f"c{i}" for i in range(n)])
     doc, body = (F.col(f"c{docs.columns.index(x)}") for x in (id_column, text))
     keyed = plain.select("*", doc.cast("long").alias("doc_id"), F.xxhash64(body).alias("text_hash"), body.alias("text"))
-    gone = repeated_lines(keyed, run)
+    found = ([repeated_lines(keyed, run)] if run else []) + ([repeated_passages(keyed)] if passages else [])
+    gone = reduce(DataFrame.union, found).groupBy("doc_id", "text_hash").agg(F.collect_set("line").alias("gone"))
     joined = keyed.join(gone, ["doc_id", "text_hash"], "left").select(*plain.columns, "gone")
     at = docs.columns.index(text)
 
