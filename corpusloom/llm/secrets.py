@@ -1,6 +1,7 @@
 """Secret scans: fixed patterns, and a battery of randomness tests under false-discovery control.
 
-The battery looks at runs of key-like characters that no pattern covers.  Each
+The battery looks at runs of key-like characters, as far as no pattern covers
+them; a run that isn't random as a whole is looked at in its parts.  Each
 candidate's encoding is inferred from its characters.  Three tests ask whether
 it could be uniform over that alphabet: chi-squared of the counts, runs above
 and below the middle, and serial correlation.  A candidate that any of them
@@ -30,7 +31,6 @@ MIN_SECRET = 8
 MIN_ACCESS = 16
 MIN_HEX = 32
 MIN_RANDOM = 20
-MAX_TESTED = 4096  # a longer run is data rather than a key
 UNIFORM_LEVEL = 0.001  # a test that rejects uniformity at this level makes a candidate ordinary
 FALSE_DISCOVERY = 0.01
 LENGTH_CLASSES = (24, 32, 48, 64, 128)  # upper bounds; longer ones make the last class
@@ -39,7 +39,9 @@ P_BINS = 400  # of -log10 p, a hundred to a unit
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{20,}(?:={1,2}(?![A-Za-z0-9+/_=-]))?")
+#: Where a run is parted that has no encoding or isn't random as a whole: base64 parts, base64url parts, base62 parts.
+PARTS = tuple(re.compile(x) for x in (r"[A-Za-z0-9+/]{20,}=*", r"[A-Za-z0-9_-]{20,}=*", r"[A-Za-z0-9]{20,}=*"))
 
 #: What a text with any span has, in a dialect that is matched in linear time.
 HINTS = (r"(?i)(?:password|passwd|secret|token|api_?key)", r"AKIA", r"[0-9a-f]{32}", r"[A-Za-z0-9+/_=-]{20}")
@@ -114,19 +116,32 @@ def battery(symbols: np.ndarray, size: int) -> tuple[float, float, float, float]
     return chi2, chi2_tail(chi2, size - 1), p_runs, p_serial
 
 
-def candidates(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, int, str, int, float]]:
-    """Runs that may be keys and pass every test of uniformity: start, end, encoding, symbols, chi-squared."""
+def _uniform(text: str, start: int) -> tuple[int, int, str, int, float, np.ndarray] | None:
+    found = infer(text)
+    if found is None or len(found[1]) < MIN_RANDOM:
+        return None
+    chi2, *p = battery(found[1], found[2])
+    return (start, start + len(text), found[0], len(found[1]), chi2, np.bincount(found[1], minlength=found[2])) if min(p) >= UNIFORM_LEVEL else None
+
+
+def candidates(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, int, str, int, float, np.ndarray]]:
+    """Runs or parts of runs that may be keys and pass every test of uniformity: start, end, encoding, symbols, chi-squared, counts by symbol.
+
+    No candidate overlaps a base span or another candidate; ``=`` is only the end of one.
+    """
     out = []
     for m in CANDIDATE.finditer(text):
         a, b = m.span()
-        if b - a > MAX_TESTED or any(a < e and s < b for _, s, e in spans):
-            continue
-        found = infer(m[0])
-        if found is None or len(found[1]) < MIN_RANDOM:
-            continue
-        chi2, *p = battery(found[1], found[2])
-        if min(p) >= UNIFORM_LEVEL:
-            out.append((a, b, found[0], len(found[1]), chi2))
+        for _, s, e in [*sorted((x for x in spans if a < x[2] and x[1] < b), key=lambda x: x[1]), ("", b, b)]:
+            piece, at, a = text[a : max(a, s)], a, max(a, e)
+            if len(piece) < MIN_RANDOM:
+                continue
+            whole = _uniform(piece, at)
+            taken = [whole] if whole else []
+            for pattern in () if whole else PARTS:
+                parts = (_uniform(x[0], at + x.start()) for x in pattern.finditer(piece) if len(x[0]) < len(piece))
+                taken += [x for x in parts if x and not any(x[0] < y[1] and y[0] < x[1] for y in taken)]
+            out += sorted(taken, key=lambda x: x[:2])
     return out
 
 
@@ -169,7 +184,7 @@ def _moments(counts: bytes, encoding: str, length: int) -> tuple[float, float]:
     return text_moments(np.frombuffer(counts, np.int64), encoding, length)
 
 
-def p_bin(counts: bytes, encoding: str, length: int, chi2: float) -> int:
+def p_bin(counts: bytes, encoding: str, length: int, chi2: float, symbols: np.ndarray) -> int:
     """-log10 of the lower-tail probability of ``chi2`` in text, rounded down to a bin."""
     mean, spread = _moments(counts, encoding, length)
     p = math.erfc(-(chi2 - mean) / spread / math.sqrt(2)) / 2
@@ -197,7 +212,7 @@ def thresholds(docs: DataFrame, counts: bytes, text: str = "text") -> dict[int,
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rated = [(length_class(n), p_bin(counts, e, n, chi2)) for *_, found in _looked_at(filled(batch.column(0))) for _, _, e, n, chi2 in found]
+            rated = [(length_class(n), p_bin(counts, e, n, chi2, own)) for *_, found in _looked_at(filled(batch.column(0))) for _, _, e, n, chi2, own in found]
             if rated:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int32()) for x in zip(*rated, strict=True)], ["length_class", "bin"])
 
@@ -216,7 +231,7 @@ def thresholds(docs: DataFrame, counts: bytes, text: str = "text") -> dict[int,
 
 
 def _accepted(found: list, counts: bytes, limits: dict[int, int]) -> list[tuple[str, int, int]]:
-    return [("random", a, b) for a, b, e, n, chi2 in found if p_bin(counts, e, n, chi2) >= limits.get(length_class(n), P_BINS)]
+    return [("random", a, b) for a, b, e, n, chi2, own in found if p_bin(counts, e, n, chi2, own) >= limits.get(length_class(n), P_BINS)]
 
 
 def scan(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
