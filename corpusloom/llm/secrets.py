@@ -5,9 +5,9 @@ them; a run that isn't random as a whole is looked at in its parts.  Each
 candidate's encoding is inferred from its characters.  Three tests ask whether
 it could be uniform over that alphabet: chi-squared of the counts, runs above
 and below the middle, and serial correlation.  A candidate that any of them
-rejects is ordinary.  For the rest, the chi-squared statistic is held against
-what text of the same length gives, from the character counts of the whole
-corpus; Benjamini-Hochberg over all candidates, apart for each class of
+rejects is ordinary.  For the rest, the chi-squared statistic and the symbols'
+likelihood are held against what text of the same length gives, from the
+character counts of the whole corpus; Benjamini-Hochberg over all candidates, apart for each class of
 lengths, then bounds the share of false finds.
 """
 
@@ -34,7 +34,7 @@ MIN_RANDOM = 20
 UNIFORM_LEVEL = 0.001  # a test that rejects uniformity at this level makes a candidate ordinary
 FALSE_DISCOVERY = 0.01
 LENGTH_CLASSES = (24, 32, 48, 64, 128)  # upper bounds; longer ones make the last class
-P_BINS = 400  # of -log10 p, a hundred to a unit
+P_BINS = 30001  # of -log10 p, a hundred to a unit, down to 1e-300
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -184,11 +184,31 @@ def _moments(counts: bytes, encoding: str, length: int) -> tuple[float, float]:
     return text_moments(np.frombuffer(counts, np.int64), encoding, length)
 
 
+@lru_cache(maxsize=64)
+def _evidence(counts: bytes, encoding: str) -> np.ndarray:
+    """Of each symbol, the logarithm of how much likelier it is in a key than in text."""
+    q = _text_model(np.frombuffer(counts, np.int64), encoding)
+    return -np.log(q * len(q))
+
+
+def combined(*p: float) -> float:
+    """One p-value of several that may depend on each other (Cauchy combination)."""
+    t = sum(1 / math.tan(math.pi * min(max(x, 1e-300), 1 - 1e-9)) for x in p) / len(p)
+    return math.atan(1 / t) / math.pi if t > 1 else 0.5 - math.atan(t) / math.pi
+
+
 def p_bin(counts: bytes, encoding: str, length: int, chi2: float, symbols: np.ndarray) -> int:
-    """-log10 of the lower-tail probability of ``chi2`` in text, rounded down to a bin."""
+    """-log10 of a candidate's probability in text, rounded down to a bin.
+
+    Combined of the lower tail of ``chi2`` and of the likelihood ratio x of a
+    key to text, which in text is x or more with probability 1/x at most.
+    Runs and serial correlation aren't part of it: in text they follow the
+    shapes of words, so they tell keys from no particular law and only reject.
+    """
     mean, spread = _moments(counts, encoding, length)
-    p = math.erfc(-(chi2 - mean) / spread / math.sqrt(2)) / 2
-    return min(P_BINS - 1, int(-100 * math.log10(max(p, 1e-300))))
+    p_chi2 = math.erfc(-(chi2 - mean) / spread / math.sqrt(2)) / 2
+    p_ratio = math.exp(-max(0.0, float(_evidence(counts, encoding) @ symbols)))
+    return min(P_BINS - 1, int(-100 * math.log10(max(combined(p_chi2, p_ratio), 1e-300))))
 
 
 def _worth_a_look(texts: pa.Array) -> np.ndarray:

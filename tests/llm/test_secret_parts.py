@@ -26,3 +26,14 @@ def test_keys_joined_to_names_and_text(spark):
     k, k64, long = key(rng, 40), key(rng, 43, BASE62 + "+/"), key(rng, 6000, BASE62 + "+/")
     texts = [f"session={k}", f"export AUTH={k64}=", f"GET /a?sig={k}&x=1", f"long-name-of-a-thing_here/{k}+tail-end", f"blob {long}", f"{'0123456789abcdef' * 2}/{k}", f"some_very_long_name_of_a_value={k}"]
     assert found(spark, texts) == [[k], [k64 + "="], [k], [f"here/{k}+tail"], [long], [f"/{k}"], [k]]
+
+
+def test_rare_keys_among_many_ordinary_candidates(spark):
+    rng = random.Random(9)
+    syllables = [a + b + c for a in "bcdfglmnprst" for b in "aeiou" for c in "lnrst"]
+    ordinary = ["".join(rng.choice(syllables) for _ in range(rng.randint(8, 24))) + str(rng.randint(1, 9)) for _ in range(3000)]
+    keys = [key(rng, n, letters) for n in (20, 24, 32, 48, 64) for letters in (BASE62, string.ascii_lowercase + string.digits) for _ in range(4)]
+    got = found(spark, [f"the name {x} here" for x in ordinary + keys])
+    wrong, right = sum(map(bool, got[: len(ordinary)])), [x == [k] for x, k in zip(got[len(ordinary) :], keys, strict=True)]
+    assert wrong <= 2
+    assert sum(right) >= 36 and all(right[8:])  # those of 24 or more symbols, and most shorter ones
