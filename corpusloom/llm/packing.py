@@ -12,6 +12,7 @@ sequence of a task can be short.  Nothing is shuffled, so no key can be hot.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -36,8 +37,9 @@ QUADRATIC = 1.0 / 2048
 _OUT = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, cost double"
 
 
-#: Between a letter and an ASCII symbol the tokenizer's splitter always has a boundary, so white space there changes nothing.
-SPACED = (r"(\pL)([!-/:-@\[-`{-~])", r"\1 \2")
+#: Between a Latin letter and an ASCII symbol the tokenizer's splitter has a boundary, so white space there changes nothing.
+#: U+0130 isn't among them, since its lower case ends in a mark; nor is any other script, for the same reason here and there.
+SPACED = (r"([A-Za-zÀ-ÖØ-öø-įı-ſ])([!-/:-@\[-`{-~])", r"\1 \2")
 #: Words that are one pre-token and that normalisation only puts in lower case: Latin letters, or ASCII symbols but the apostrophe.
 PLAIN = r"^(?:[A-Za-zÀ-ÖØ-öø-ÿ]+|[!-&(-/:-@\[-`{-~]+)$"
 END_BYTE = "\0"  # stands for the end of a word in the rank table
@@ -69,13 +71,16 @@ class WordEncoder:
     """Ids of whole texts by a word tokenizer that never joins what white space parts.
 
     Each distinct word of a slice is encoded once.  Plain words are merged
-    together in one call by rank; the others go through the tokenizer.
+    together in one call by rank; the others go through the tokenizer, and so
+    does the whole of a text with the string of a special token.
     """
 
     def __init__(self, path: str) -> None:
+        self.whole = Tokenizer.from_file(path)
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = True  # a word may look like a special token only once it is in lower case
         special = {x.content for x in self.tokenizer.get_added_tokens_decoder().values()}
+        self.special = "|".join(map(re.escape, sorted(special)))
         ranks = word_ranks(self.tokenizer.get_vocab(), self.tokenizer.model.end_of_word_suffix, special)
         self.merges = tiktoken.Encoding("words", pat_str=rf"[^{END_BYTE}]+{END_BYTE}", mergeable_ranks=ranks, special_tokens={})
         self.ends = np.zeros(max(ranks.values()) + 1, bool)
@@ -85,14 +90,25 @@ class WordEncoder:
         ids = np.array(self.merges.encode_ordinary("".join([w + END_BYTE for w in values]).lower()), np.uint32)
         return ids, np.diff(np.r_[0, np.flatnonzero(self.ends[ids]) + 1])
 
-    def _other(self, values: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [x.ids for x in self.tokenizer.encode_batch_fast(values, add_special_tokens=False)]
+    def _other(self, values: list[str], tokenizer: Tokenizer | None = None) -> tuple[np.ndarray, np.ndarray]:
+        ids = [x.ids for x in (tokenizer or self.tokenizer).encode_batch_fast(values, add_special_tokens=False)]
         size = np.fromiter(map(len, ids), np.int64, len(ids))
         return np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum())), size
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end, and how many each text has."""
-        flat, n_words = words(pc.replace_substring_regex(pc.ascii_lower(filled(texts)), *SPACED))
+        texts = filled(texts)
+        special = pc.match_substring_regex(texts, self.special).to_numpy(zero_copy_only=False).astype(bool)
+        if not special.any():
+            return self._by_words(texts)
+        ids, size = self._by_words(pc.if_else(pa.array(special), "", texts))
+        own, n = self._other(texts.filter(pa.array(special)).to_pylist(), self.whole)
+        at = np.repeat((np.cumsum(size) - size)[special], n)
+        size[special] = n
+        return np.insert(ids, at, own), size
+
+    def _by_words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        flat, n_words = words(pc.replace_substring_regex(texts, *SPACED))
         code, distinct = codes(flat)
         plain = pc.match_substring_regex(distinct, PLAIN)
         chosen = plain.to_numpy(zero_copy_only=False).astype(bool)
@@ -194,11 +210,14 @@ def pack(
 ) -> DataFrame:
     """Pieces of all documents: doc_id, start, length, ids (little-endian 32 bits), doc_tokens, sequence_id, offset, cost.
 
-    ``tokenizer`` is the path of a word tokenizer's file on every executor.  A
-    null or empty text is the end id alone; null and repeated doc_ids are
-    packed like any other.  Sequence ids are unique over the result, and
-    offsets in a sequence start at 0 without gaps.  A lost task makes the same
-    pieces again, since its input is the same.
+    ``tokenizer`` is the path of a word tokenizer's file on every executor; ids
+    are those of its plain call without special tokens, so the string of a
+    special token in a text is that token.  A null or empty text is the end id
+    alone; null and repeated doc_ids are packed like any other; no documents
+    give no pieces.  Other columns, whatever their names, aren't looked at.
+    Sequence ids are unique over the result, and offsets in a sequence start at
+    0 without gaps.  A lost task makes the same pieces again, since its input
+    is the same.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,3 +1,5 @@
+import unicodedata
+
 import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
@@ -33,7 +35,6 @@ def test_every_id_in_one_piece(spark):
         pieces = packing.pack(documents(spark, rows).coalesce(2), PATH, capacity=capacity, group_sequences=group).collect()
         want, by_doc, by_sequence = checked(rows, pieces, capacity)
         tokenizer = Tokenizer.from_file(PATH)
-        tokenizer.encode_special_tokens = True
         for doc, text, *_ in rows:
             ids = (*tokenizer.encode(text or "", add_special_tokens=False).ids, 1)
             got = sorted(by_doc[-1 if doc is None else doc], key=lambda x: x[0])
@@ -86,10 +87,33 @@ def test_merging_by_rank_is_merging_in_order():
                 parts[best : best + 2] = [parts[best] + parts[best + 1]]
 
 
-def test_words_like_the_tokenizer():
+def same_ids(encoder, tokenizer, texts):
+    for a in range(0, len(texts), 4096):
+        part = texts[a : a + 4096]
+        ids, counts = encoder.encode(packing.pa.array(part, packing.pa.string()))
+        want = [tokenizer.encode(t or "", add_special_tokens=False).ids for t in part] if None in part else [x.ids for x in tokenizer.encode_batch(part, add_special_tokens=False)]
+        assert counts.tolist() == [len(x) for x in want]
+        wrong = np.flatnonzero(ids != np.array([i for x in want for i in x], np.uint32))
+        assert not len(wrong), part[int(np.searchsorted(np.cumsum(counts), wrong[0], side="right"))]
+
+
+def test_words_like_the_plain_call():
+    texts = ["Été, ÉTÉ! don't DON'T's a.b(c)d e=f≠g e̸=x ≠ (abc)' 'tis ab'", "x\x00y z\x00 \x00", "ªµº ÿ Ÿ ſ K İI ΑΣ", "12ab34 ½ ² 漢字。", "á. Áb J̌ T̈ H̱", "ŞİRKETİ. क़!", None, ""]
+    special = ["<|startoftext|>a<|endoftext|>", "a<|EndOfText|>b", "<|endoftext |>", "e<|endoftext|>\u0301x! ", "<|endoftext|>", "x < |endoftext|>"]
+    same_ids(packing.WordEncoder(PATH), Tokenizer.from_file(PATH), [*texts, *special, *texts])
+
+
+def test_every_code_point_next_to_letters_and_symbols():
+    symbols = [chr(c) for c in (*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F))]
+    every = [chr(c) for c in range(0x110000) if unicodedata.category(chr(c)) not in ("Cs", "Cn", "Co")]
+    encoder, tokenizer = packing.WordEncoder(PATH), Tokenizer.from_file(PATH)
+    same_ids(encoder, tokenizer, [f"{c} a{c}b A{c} {c}! !{c} {c}'s '{c} J{c} T{c}!" for c in every])
+    same_ids(encoder, tokenizer, [" ".join(f"{c}{s} {s}{c} x{c}{s}Y" for s in symbols) for c in every if ord(c) < 0x3000])
+
+
+def test_special_strings_in_a_table(spark):
+    rows = [(1, "a<|endoftext|>b", None, None, None), (2, "<|startoftext|>", None, None, None), (3, "<|Endoftext|>", None, None, None)]
+    got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in packing.pack(documents(spark, rows), PATH).collect()}
     tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
-    texts = ["Été, ÉTÉ! don't DON'T's a.b(c)d e=f≠g e̸=x ≠ (abc)' 'tis ab'", "x\x00y z\x00 \x00", "ªµº ÿ Ÿ ſ K İI ΑΣ", "12ab34 ½ ² 漢字。 <|startoftext|>a<|endoftext|>", "á. Áb", None, ""]
-    ids, counts = packing.WordEncoder(PATH).encode(packing.pa.array(texts))
-    want = [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
-    assert counts.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+    assert got == {d: [*tokenizer.encode(t, add_special_tokens=False).ids, 1] for d, t, *_ in rows}
+    assert 49407 in got[1] and got[2] == [49406, 1] and 49407 not in got[3]
