@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import bytes_of, filled, slices
+from corpusloom.llm.common import bytes_of, cut, filled, slices
 
 KINDS = ("assign", "access", "hex", "random")
 MIN_SECRET = 8
@@ -60,6 +61,7 @@ ALPHABETS = (
 _SETS = tuple((name, {c: i for i, c in enumerate(letters)}) for name, letters in ALPHABETS)
 
 _SPAN = "struct<kind:string,start:long,end:long>"
+_FOUND = "struct<start:long,end:long,encoding:string,length:long,chi2:double,symbols:array<long>>"
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -124,40 +126,63 @@ def _uniform(text: str, start: int) -> tuple[int, int, str, int, float, np.ndarr
     return (start, start + len(text), found[0], len(found[1]), chi2, np.bincount(found[1], minlength=found[2])) if min(p) >= UNIFORM_LEVEL else None
 
 
+def _gaps(a: int, b: int, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """What [a, b) has outside of the ranges taken, which are in order and apart."""
+    for s, e in taken:
+        if s > a:
+            yield a, s
+        a = max(a, e)
+    if a < b:
+        yield a, b
+
+
+def _apart(spans: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
+    """The ranges that the spans, in order of their starts, cover together."""
+    out: list[tuple[int, int]] = []
+    for _, s, e in spans:
+        if out and s <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], e))
+        else:
+            out.append((s, e))
+    return out
+
+
+def _in_piece(piece: str, at: int) -> list[tuple[int, int, str, int, float, np.ndarray]]:
+    """The piece, if it is uniform as a whole, or else its parts that are; parts of an earlier pattern come first."""
+    whole = _uniform(piece, at)
+    if whole:
+        return [whole]
+    taken: list[tuple] = []
+    for pattern in PARTS:
+        starts = [x[0] for x in taken]
+        for m in pattern.finditer(piece):
+            k = bisect_right(starts, at + m.start())
+            free = (not k or taken[k - 1][1] <= at + m.start()) and (k == len(starts) or starts[k] >= at + m.end())
+            part = _uniform(m[0], at + m.start()) if free and len(m[0]) < len(piece) else None
+            if part:
+                taken.append(part)
+        taken.sort(key=lambda x: x[:2])
+    return taken
+
+
 def candidates(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, int, str, int, float, np.ndarray]]:
     """Runs or parts of runs that may be keys and pass every test of uniformity: start, end, encoding, symbols, chi-squared, counts by symbol.
 
-    No candidate overlaps a base span or another candidate; ``=`` is only the end of one.
+    ``spans`` are the base spans in order.  No candidate overlaps one of them
+    or another candidate; ``=`` is only the end of one.  Runs and spans are
+    gone through side by side, so the time is linear in the text.
     """
-    out = []
+    out, covered, k = [], _apart(spans), 0
     for m in CANDIDATE.finditer(text):
         a, b = m.span()
-        for _, s, e in [*sorted((x for x in spans if a < x[2] and x[1] < b), key=lambda x: x[1]), ("", b, b)]:
-            piece, at, a = text[a : max(a, s)], a, max(a, e)
-            if len(piece) < MIN_RANDOM:
-                continue
-            whole = _uniform(piece, at)
-            taken = [whole] if whole else []
-            for pattern in () if whole else PARTS:
-                parts = (_uniform(x[0], at + x.start()) for x in pattern.finditer(piece) if len(x[0]) < len(piece))
-                taken += [x for x in parts if x and not any(x[0] < y[1] and y[0] < x[1] for y in taken)]
-            out += sorted(taken, key=lambda x: x[:2])
-    return out
-
-
-def character_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """How often each ASCII character stands in the texts; 128 sums come to the driver."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(256, np.int64)
-        for batch in batches:
-            for part in slices(batch):
-                total += np.bincount(bytes_of(part.column(0))[0], minlength=256)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(128)), pa.array(total[:128])], ["c", "n"])
-
-    out = np.zeros(128, np.int64)
-    for row in docs.select(F.col(text).alias("text")).mapInArrow(count, "c long, n long").groupBy("c").agg(F.sum("n").alias("n")).collect():
-        out[row["c"]] = row["n"]
+        while k < len(covered) and covered[k][1] <= a:
+            k += 1
+        last = k
+        while last < len(covered) and covered[last][0] < b:
+            last += 1
+        for s, e in _gaps(a, b, covered[k:last]):
+            if e - s >= MIN_RANDOM:
+                out += _in_piece(text[s:e], s)
     return out
 
 
@@ -224,21 +249,58 @@ def _looked_at(texts: pa.Array) -> Iterator[tuple[int, str, list, list]]:
         yield i, text, spans, candidates(text, spans)
 
 
-def thresholds(docs: DataFrame, counts: bytes, text: str = "text") -> dict[int, int]:
+def findings(docs: DataFrame, text: str = "text", id_column: str = "doc_id", every_row: bool = True) -> DataFrame:
+    """What one scan of all texts finds, written as a table: doc_id, base and found for each row, and rows of ``counts``.
+
+    ``counts``, one row for each slice of texts, says how often each ASCII character stands in it.
+    Without ``every_row`` only texts with candidates have a row.
+    """
+    span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+    found = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("encoding", pa.string()), ("length", pa.int64()), ("chi2", pa.float64()), ("symbols", pa.list_(pa.int64()))]))
+    counts = pa.list_(pa.int64())
+    names = ["doc_id", "base", "found", "counts"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                texts = filled(part.column(1))
+                base: list[list[dict]] = [[] for _ in range(part.num_rows)]
+                runs = list(base)
+                for i, _, spans, own in _looked_at(texts):
+                    base[i], runs[i] = _as_spans(spans), [dict(zip(("start", "end", "encoding", "length", "chi2", "symbols"), x, strict=True)) for x in own]
+                whole = pa.RecordBatch.from_arrays([part.column(0), pa.array(base, span), pa.array(runs, found), pa.nulls(part.num_rows, counts)], names)
+                yield whole if every_row else whole.filter(pc.greater(pc.list_value_length(whole.column(2)), 0))
+                own_counts = np.bincount(bytes_of(texts)[0], minlength=256)[:128]
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, span), pa.nulls(1, found), pa.array([own_counts], counts)], names)
+
+    source = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return cut(source.mapInArrow(run, f"doc_id long, base array<{_SPAN}>, found array<{_FOUND}>, counts array<long>"), "secret-findings")
+
+
+def character_counts(made: DataFrame) -> np.ndarray:
+    """How often each ASCII character stands in the texts; 128 sums come to the driver."""
+    out = np.zeros(128, np.int64)
+    for row in made.where("counts is not null").select(F.posexplode("counts").alias("c", "n")).groupBy("c").agg(F.sum("n").alias("n")).collect():
+        out[row["c"]] = row["n"]
+    return out
+
+
+def thresholds(made: DataFrame, counts: bytes) -> dict[int, int]:
     """The smallest bin that Benjamini-Hochberg accepts in each class of lengths.
 
-    All candidates of the corpus take part; at most classes x bins counts come to the driver.
+    ``made`` is a table of ``findings``.  All candidates of the corpus take part; at most classes x bins counts come to the driver.
     """
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rated = [(length_class(n), p_bin(counts, e, n, chi2, own)) for *_, found in _looked_at(filled(batch.column(0))) for _, _, e, n, chi2, own in found]
+            found = batch.column(0).to_pylist()
+            rated = [(length_class(x["length"]), _bin(x, counts)) for x in found]
             if rated:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int32()) for x in zip(*rated, strict=True)], ["length_class", "bin"])
 
     by: dict[int, np.ndarray] = {}
-    binned = docs.select(F.col(text).alias("text")).mapInArrow(rate, "length_class int, bin int").groupBy("length_class", "bin").count()
-    for row in binned.collect():
+    each = made.where(F.size("found") > 0).select(F.explode("found").alias("x"))
+    for row in each.mapInArrow(rate, "length_class int, bin int").groupBy("length_class", "bin").count().collect():
         by.setdefault(row["length_class"], np.zeros(P_BINS, np.int64))[row["bin"]] = row["count"]
     out = {}
     for k, n in by.items():
@@ -250,48 +312,64 @@ def thresholds(docs: DataFrame, counts: bytes, text: str = "text") -> dict[int,
     return out
 
 
-def _accepted(found: list, counts: bytes, limits: dict[int, int]) -> list[tuple[str, int, int]]:
-    return [("random", a, b) for a, b, e, n, chi2, own in found if p_bin(counts, e, n, chi2, own) >= limits.get(length_class(n), P_BINS)]
+def _bin(found: dict, counts: bytes) -> int:
+    return p_bin(counts, found["encoding"], found["length"], found["chi2"], np.array(found["symbols"]))
+
+
+def _accepted(found: list[dict], counts: bytes, limits: dict[int, int]) -> list[tuple[str, int, int]]:
+    return [("random", x["start"], x["end"]) for x in found if _bin(x, counts) >= limits.get(length_class(x["length"]), P_BINS)]
+
+
+def _as_spans(spans: list[tuple[str, int, int]]) -> list[dict]:
+    return [dict(zip(("kind", "start", "end"), x, strict=True)) for x in spans]
 
 
 def scan(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
     """doc_id, base and spans (arrays of kind, start, end by start, then kind) for every row; ``spans`` has the battery's too.
 
-    A null or empty text has none.  Rows are scanned one by one, so repeated
-    rows get equal spans; a null doc_id is kept.
+    A null or empty text has none, and no rows give none.  Rows are scanned one
+    by one, so repeated rows get equal spans; a null doc_id is kept.  Other
+    columns, whatever their names, aren't looked at.  Texts are read once; what
+    is found in them goes through a table.
     """
-    counts = character_counts(docs, text).tobytes()
-    limits = thresholds(docs, counts, text)
+    made = findings(docs, text, id_column)
+    counts = character_counts(made).tobytes()
+    limits = thresholds(made, counts)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            base: list[list[dict]] = [[] for _ in range(batch.num_rows)]
-            spans = list(base)
-            for i, _, own, found in _looked_at(filled(batch.column(1))):
-                base[i], spans[i] = ([dict(zip(("kind", "start", "end"), x, strict=True)) for x in part] for part in (own, in_order(own + _accepted(found, counts, limits))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base, kind), pa.array(spans, kind)], ["doc_id", "base", "spans"])
+            spans = batch.column(1).to_pylist()
+            for i in np.flatnonzero(pc.list_value_length(batch.column(2)).to_numpy() > 0).tolist():
+                own = [(x["kind"], x["start"], x["end"]) for x in spans[i]]
+                spans[i] = _as_spans(in_order(own + _accepted(batch.column(2)[i].as_py(), counts, limits)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(spans, kind)], ["doc_id", "base", "spans"])
 
-    source = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return source.mapInArrow(run, f"doc_id long, base array<{_SPAN}>, spans array<{_SPAN}>")
+    return made.where("counts is null").select("doc_id", "base", "found").mapInArrow(run, f"doc_id long, base array<{_SPAN}>, spans array<{_SPAN}>")
 
 
 def redact(docs: DataFrame, text: str = "text", mask: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span that ``scan`` finds in ``text`` replaced by ``mask``, overlapping ones by one.
 
-    Null texts stay null; rows and all other columns, whatever their names, are as they were.
+    Null texts stay null; rows and all other columns, whatever their names, are
+    as they were.  Texts are read twice: once for the thresholds, and once to
+    mask, since finding candidates again is cheaper than shuffling all texts to
+    join them with what was found.
     """
-    counts = character_counts(docs, text).tobytes()
-    limits = thresholds(docs, counts, text)
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
     at = docs.columns.index(text)
+    made = findings(plain.select(F.lit(None).cast("long").alias("doc_id"), F.col(f"c{at}").alias("text")), every_row=False)
+    counts = character_counts(made).tobytes()
+    limits = thresholds(made, counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(at)
             values = column.to_pylist()
             for i, own, spans, found in _looked_at(filled(column)):
+                keys = [dict(zip(("start", "end", "encoding", "length", "chi2", "symbols"), x, strict=True)) for x in found]
                 parts, done = [], 0
-                for _, a, b in in_order(spans + _accepted(found, counts, limits)):
+                for _, a, b in in_order(spans + _accepted(keys, counts, limits)):
                     if a >= done:
                         parts += [own[done:a], mask]
                     done = max(done, b)
@@ -300,7 +378,6 @@ def redact(docs: DataFrame, text: str = "text", mask: str = "[SECRET]") -> DataF
             columns = [pa.array(values, pa.string()) if k == at else x for k, x in enumerate(batch.columns)]
             yield pa.RecordBatch.from_arrays(columns, [f"c{k}" for k in range(len(columns))])
 
-    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
     return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
