@@ -1,6 +1,8 @@
 """Nearest neighbours by inner product over shifted space-filling curves.
 
-A few projections, each with its own rotation and shift, give every vector a
+Vectors get one more component that makes them all equally long, queries a zero
+there, so that the largest product is the smallest distance.  A few projections,
+each with its own rotation and shift, give every vector and every query a
 place on as many Hilbert curves.  Spark range-partitions the rows by curve and
 key; a task then compares each query with the key windows next to it, and the
 finds of all curves merge.  The curves alone are approximate.  What they find
@@ -14,9 +16,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,11 +28,11 @@ from pyspark.sql import types as T
 
 from corpusloom.llm.common import cut, shuffle_partitions
 
-CURVES = 3
+CURVES = 6
 AXES = 6  # projected axes of a curve
 BITS = 10  # of a key for each axis
 WINDOW = 256  # rows looked at on either side of a query's key
-FIT_ROWS = 4096  # vectors on which projections are fitted
+FIT_ROWS = 4096  # vectors, drawn from all, on which projections are fitted (on average; twice as many at most)
 MIN_BLOCK = 2048  # rows of a block at least
 MAX_BLOCKS = 1024  # blocks at most, but for the last one of each partition
 PART = 512  # rows of a block with a bound of their own
@@ -92,6 +96,17 @@ def fit(sample: np.ndarray, curves: int = CURVES, axes: int = AXES, seed: int =
     return Curves(np.stack(directions), low - margin * spread, (1 << BITS) / (spread * 1.3))
 
 
+def lifted(vectors: np.ndarray, longest: float) -> np.ndarray:
+    """Vectors over the longest one's length, with one more component that makes each as long as that."""
+    scaled = vectors / (longest or 1.0)
+    return np.c_[scaled, np.sqrt(np.maximum(0.0, 1 - (scaled**2).sum(axis=1)))]
+
+
+def as_query(vectors: np.ndarray) -> np.ndarray:
+    """Where the lifted vectors lie nearest that have the largest product with each."""
+    return np.c_[vectors / np.maximum(np.sqrt((vectors**2).sum(axis=1, keepdims=True)), 1e-300), np.zeros(len(vectors))]
+
+
 def _sound(v: Column) -> Column:
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     return v.isNotNull() & finite & F.exists(v, lambda x: x != 0)
@@ -106,15 +121,27 @@ def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _best(ids: np.ndarray, queries: np.ndarray, least: np.ndarray, others: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
-    """Query id, vector id and score of each query's k best among ``rows`` with at least ``least``, itself left out."""
+    """Query id, vector id and score of each query's k best among ``rows`` with at least ``least``, itself left out.
+
+    Of rows with one id only the best counts.
+    """
+    order = np.argsort(others, kind="stable")
+    others, rows = others[order], rows[order]
     score = queries @ rows.T
     score[ids[:, None] == others[None, :]] = -np.inf
     slack = 1e-9 * (1 + np.abs(np.where(np.isfinite(score), score, 0)).max(initial=0))
+    first = np.flatnonzero(np.r_[True, others[1:] != others[:-1]]) if len(others) else np.zeros(0, np.int64)
+    of_ids = score if len(first) == len(others) else np.maximum.reduceat(score, first, axis=1)
     floor = least
-    if score.shape[1] > k:
-        floor = np.maximum(least, np.partition(score, -k, axis=1)[:, -k])
+    if of_ids.shape[1] > k:
+        floor = np.maximum(least, np.partition(of_ids, -k, axis=1)[:, -k])
     i, j = np.nonzero((score >= (floor - slack)[:, None]) & np.isfinite(score))
     s = exact(queries[i], rows[j])
+    if len(first) < len(others):
+        order = np.lexsort((-s, others[j], i))
+        i, j, s = i[order], j[order], s[order]
+        lead = np.r_[True, (i[1:] != i[:-1]) | (others[j[1:]] != others[j[:-1]])] if len(i) else np.zeros(0, bool)
+        i, j, s = i[lead], j[lead], s[lead]
     order = np.lexsort((others[j], -s, i))
     i, j, s = i[order], j[order], s[order]
     start = np.searchsorted(i, i)
@@ -146,30 +173,52 @@ def nearest(
     """query_id, rank (from 1), vec_id, score: the k vectors of largest inner product with each query but itself.
 
     Ties go to the smaller id.  A vector that is null, zero, or holds a null or
-    non-finite component takes no part, nor does one shorter than the longest,
-    or one without id.  Vectors with the same id aren't candidates of each
-    other, and count once in a result.  ``complete=False`` leaves the finds of the curves alone.
+    non-finite component takes no part, nor does one without id.  Vectors are
+    compared with those of as many components only; each such size has curves
+    of its own, made one after the other, so sizes should be few.  Vectors with
+    the same id aren't candidates of each other, and of those only the best
+    counts in a result; two queries with one id make one, with the best of
+    both.  Other columns, whatever their names, aren't looked at; an empty
+    table gives no rows.  ``complete=False`` leaves the finds of the curves alone.
     """
-    spark = vectors.sparkSession
-    single = isinstance(vectors.schema[vector_column].dataType.elementType, T.FloatType)
+    vectors = vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector_column).alias("v"), is_query.alias("q")).where(_sound(F.col("v")) & F.col("vec_id").isNotNull())
+    squares = F.aggregate("v", F.lit(0.0), lambda total, x: total + x.cast("double") * x.cast("double"))
+    sizes = vectors.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.sqrt(F.max(squares)).alias("longest")).orderBy("dim").collect()
+    if not sizes:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    found = [_of_size(vectors.where(F.size("v") == x["dim"]), x["dim"], x["n"], x["longest"], k, curves, window, complete, min_block) for x in sizes]
+    hits = reduce(DataFrame.union, found)
+    if len(found) > 1:  # a query id may have vectors of several sizes
+        hits = _top(hits, k)
+    return hits.select("query_id", "rank", "vec_id", "score")
+
+
+def _top(hits: DataFrame, k: int) -> DataFrame:
+    """The k best of each query, each vector id once."""
+    by_query = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return hits.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k)
+
+
+def _of_size(source: DataFrame, dim: int, n: int, longest: float, k: int, curves: int, window: int, complete: bool, min_block: int) -> DataFrame:
+    """``nearest`` among the n vectors of ``dim`` components; the longest has length ``longest``."""
+    spark = source.sparkSession
+    single = isinstance(source.schema["v"].dataType.elementType, T.FloatType)
     dtype = np.dtype(np.float32 if single else np.float64)
-    source = vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector_column).alias("v"), is_query.alias("q")).where(_sound(F.col("v")) & F.col("vec_id").isNotNull())
-    shape = source.agg(F.max(F.size("v")).alias("dim"), F.count("*").alias("n")).first()
-    if not shape["n"]:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim = shape["dim"]
-    source = source.where(F.size("v") == dim)
-    block_rows = max(min_block, -(-shape["n"] // MAX_BLOCKS))
-    model = fit(np.array([r["v"] for r in source.select("v").limit(FIT_ROWS).collect()], np.float64), curves)
+    block_rows = max(min_block, -(-n // MAX_BLOCKS))
+    drawn = source.select("v") if n <= FIT_ROWS else source.where(F.rand(0) < FIT_ROWS / n).select("v").limit(2 * FIT_ROWS)
+    model = fit(lifted(np.array([r["v"] for r in drawn.collect()], np.float64).reshape(-1, dim), longest), curves)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.column(1).flatten().to_numpy().reshape(-1, dim)
             data = pa.array([x.tobytes() for x in rows.astype(dtype)], pa.binary())
-            for c in range(curves):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(rows), c, np.int32)), pa.array(model.keys(rows.astype(np.float64), c)), batch.column(0), batch.column(2), data], ["curve", "key", "vec_id", "q", "data"]
-                )
+            asked = np.flatnonzero(pc.fill_null(batch.column(2), False).to_numpy(zero_copy_only=False))
+            wide = rows.astype(np.float64)
+            for q, own, points in ((False, np.arange(len(rows)), lifted(wide, longest)), (True, asked, as_query(wide[asked]))):
+                for c in range(curves if len(own) else 0):
+                    at = pa.array(own)
+                    flag = pa.array(np.full(len(own), q))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), c, np.int32)), pa.array(model.keys(points, c)), batch.column(0).take(at), flag, data.take(at)], ["curve", "key", "vec_id", "q", "data"])
 
     placed = source.mapInArrow(place, "curve int, key long, vec_id long, q boolean, data binary")
     sorted_rows = placed.repartitionByRange(shuffle_partitions(spark), "curve", "key", "vec_id").sortWithinPartitions("curve", "key", "vec_id")
@@ -187,7 +236,8 @@ def nearest(
                 b = min(a + window, end)
                 own = a + np.flatnonzero(q[a:b])
                 if len(own):
-                    near = slice(max(0, a - window), min(len(ids), b + window))
+                    low = max(0, a - window)
+                    near = low + np.flatnonzero(~q[low : min(len(ids), b + window)])
                     found.append(_best(ids[own], rows[own], np.full(len(own), -np.inf), ids[near], rows[near], k))
             if found:
                 hits = _hits(found)
@@ -222,8 +272,8 @@ def nearest(
                         yield from search(*held, done, len(held[0]))
                     yield from blocks(last=True)
                     curve, held, done = c, None, 0
-                if c == 0:
-                    open_block.append((ids, rows))
+                if c == 0 and not q.all():
+                    open_block.append((ids[~q], rows[~q]))
                     yield from blocks(last=False)
                 held = (ids, rows, q) if held is None else tuple(np.concatenate(x) for x in zip(held, (ids, rows, q), strict=True))
                 end = max(done, (len(held[0]) - window) // window * window)
@@ -236,14 +286,9 @@ def nearest(
         yield from blocks(last=True)
 
     index = cut(sorted_rows.mapInArrow(windows, index_schema), "curve-index")
-    by_query = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-
-    def top(hits: DataFrame) -> DataFrame:
-        return hits.select("query_id", "vec_id", "score").distinct().withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k)
-
-    near = top(index.where("block is null"))
+    near = _top(index.where("block is null"), k)
     if complete:
-        near = top(near.unionByName(_rest(source, index, near, k, dim, dtype), allowMissingColumns=True))
+        near = _top(near.unionByName(_rest(source, index, near, k, dim, dtype), allowMissingColumns=True), k)
     return near.select("query_id", "rank", "vec_id", "score")
 
 

@@ -63,3 +63,35 @@ def test_fewer_vectors_than_asked_for_and_none(spark):
     assert got(neighbours.nearest(spark.createDataFrame(rows[:8], SCHEMA), F.col("vec_id") % 4 == 0)) == brute(rows[:8], 20, 4)
     assert all(len(v) == 8 for v in got(neighbours.nearest(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") == 8)).values())
     assert neighbours.nearest(spark.createDataFrame([], SCHEMA), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def brute_of_sizes(rows, k, every):
+    """As ``brute``, for vectors of several sizes and ids that come several times."""
+    best = {}
+    sound = [(i, np.array(v, np.float32).astype(float)) for i, v, _ in rows if i is not None and v is not None and None not in v and np.isfinite(np.array(v, float)).all() and any(v)]
+    for i, v in sound:
+        if i % every == 0:
+            own = best.setdefault(i, {})
+            for j, w in sound:
+                if j != i and len(w) == len(v):
+                    own[j] = max(own.get(j, -np.inf), float(neighbours.exact(v[None], w[None])[0]))
+    return {i: sorted(own.items(), key=lambda x: (-x[1], x[0]))[:k] for i, own in best.items() if own}
+
+
+def test_several_sizes_and_repeated_ids(spark):
+    rng = np.random.default_rng(3)
+    vector = lambda n: (rng.standard_normal(n) * rng.choice((0.1, 1, 5))).astype(np.float32).tolist()
+    rows = [(i, vector(8), 0) for i in range(400)] + [(i, vector(5), 0) for i in range(400, 460)] + [(500, vector(9), 0), (501, [], 0), (None, vector(8), 0)]
+    rows += [(i, vector(8), 0) for i in (10, 10, 20, 20, 33)] + [(40, vector(5), 0)] + rows[50:60]
+    frame = spark.createDataFrame(rows, SCHEMA).repartition(3).withColumn("v", F.lit(1)).withColumn("q", F.lit("x"))
+    assert got(neighbours.nearest(frame, F.col("vec_id") % 10 == 0, k=7, window=16, min_block=50)) == brute_of_sizes(rows, 7, 10)
+
+
+def test_lengths_don_t_mislead_the_curves(spark):
+    """A third component of long vectors is what products are made of; distances alone would look elsewhere."""
+    rng = np.random.default_rng(4)
+    m = rng.standard_normal((4000, 3)) * rng.choice((0.05, 1, 4), (4000, 1), p=(0.9, 0.09, 0.01))
+    rows = [(i, v.astype(np.float32).tolist(), 0) for i, v in enumerate(m)]
+    want = brute(rows, 20, 20)
+    alone = got(neighbours.nearest(spark.createDataFrame(rows, SCHEMA).repartition(3), F.col("vec_id") % 20 == 0, complete=False))
+    assert np.mean([len({i for i, _ in alone[q]} & {i for i, _ in want[q]}) / len(want[q]) for q in want]) > 0.9
