@@ -15,9 +15,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows of text that one numpy step looks at; bounds the memory of a task.
 SLICE_BYTES = 4 << 20
+HOT_KEYS = 1000  # a key with a larger share of all rows than one over this is dealt out in a join
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,10 +30,12 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see.
 
     Read from ``spark.checkpoint.dir``; a folder of our own is made only where
-    that is unset, as in tests on one machine.
+    that is unset and all runs on one machine, as in tests.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="spark-checkpoint-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(path)
@@ -53,6 +57,23 @@ def cut(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def join_few(many: DataFrame, few: DataFrame, keys: list[str], by: list[str], how: str = "inner") -> DataFrame:
+    """``many`` joined with ``few``, which has one row for each key and ``n``, how many rows of ``many`` have it.
+
+    A key with over a ``1 / HOT_KEYS`` share of the rows that ``few`` counts is
+    dealt out by the columns ``by``, in as many parts as keep a part no larger
+    than an even share of a shuffle partition.  There are fewer than
+    ``HOT_KEYS`` such keys, whatever the data, so their list is broadcast.
+    ``few`` is read several times: it should be a table.  ``n`` isn't in the result.
+    """
+    total = few.agg(F.sum("n")).first()[0] or 0
+    parts = F.ceil(F.col("n") * F.lit(shuffle_partitions(many.sparkSession)) / F.lit(max(total, 1))).cast("int")
+    hot = F.broadcast(few.where(F.col("n") * HOT_KEYS > total).select(*keys, parts.alias("parts")))
+    dealt = many.join(hot, keys, "left").withColumn("part", F.pmod(F.xxhash64(*by), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    spread = few.drop("n").join(hot, keys, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return dealt.join(spread, [*keys, "part"], how).drop("part")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

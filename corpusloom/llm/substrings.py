@@ -9,8 +9,10 @@ finds equal windows and their smallest document exactly.
 Before the shuffle each task keeps, of equal packed strings, only those of the
 smallest document it has seen; the words of the others are already known to be
 covered.  So a passage in a third of all documents is one row for each slice of
-text.  A bucket that is still too large for one task's memory is not held: its
-windows go on one by one and Spark aggregates them by content.
+text.  The number of buckets follows the bytes of text, so that a bucket fits a
+task's memory at any size of input.  One that is still too large, since one
+minimiser is very common, is not held: its windows go on one by one and Spark
+aggregates them by content.
 """
 
 from __future__ import annotations
@@ -25,15 +27,17 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import codes, cut, filled, shuffle_partitions, slices, window_hash, words
+from corpusloom.llm.common import codes, cut, filled, join_few, shuffle_partitions, slices, window_hash, words
 
 WINDOW = 13
 GRAM = 4
 MAX_RUN = 2048  # windows in one packed string
 SUBBUCKETS = 4  # parts of a bucket that are looked at one after the other
 BUCKET_BYTES = 24 << 20  # a bucket with more packed bytes is dealt out window by window
+MEAN_BUCKET = 6 << 20  # packed bytes of a bucket on average, at most
+PARTITION_BYTES = 192 << 20  # packed bytes of a shuffle partition on average, at most
+EXPANSION = 3  # packed bytes for each byte of text: runs of some six windows are 18 words
 SLICE = 3 << 20
-BUCKETS = 4  # for each partition of the shuffle
 
 _RANGE = "wkey binary, doc_id long, text_hash long, start long, stop long"
 
@@ -149,7 +153,7 @@ def _covered(doc: np.ndarray, text_hash: np.ndarray, pos: np.ndarray, packed: np
 
 
 def _one_by_one(blob: bytes, window: int) -> Iterator[pa.RecordBatch]:
-    """Every window of a bucket that is too large, keyed by its content."""
+    """Every window of a bucket that is too large, keyed by its words."""
     doc, text_hash, pos, count, _, packed = _unpack(blob)
     known = packed == b""
     if known.any():
@@ -158,15 +162,15 @@ def _one_by_one(blob: bytes, window: int) -> Iterator[pa.RecordBatch]:
     length = pc.binary_length(flat).to_numpy().astype(np.int64)
     end = np.cumsum(length + 1) - 1
     joined = b" ".join(flat.cast(pa.binary()).to_pylist())
-    digest = xxhash.xxh3_128_digest
-    keys = [digest(joined[a:b]) for a, b in zip((end - length)[at].tolist(), end[at + window - 1].tolist(), strict=True)]
+    keys = [joined[a:b] for a, b in zip((end - length)[at].tolist(), end[at + window - 1].tolist(), strict=True)]
     own = owner[at]
     start = pos[own] + at - first[own]
     yield _rows(doc[own], text_hash[own], start, start + window, keys)
 
 
-def _in_buckets(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+def _in_buckets(batches: Iterator[pa.RecordBatch], window: int, bucket_bytes: int | None = None) -> Iterator[pa.RecordBatch]:
     """Rows (bucket, blob) come sorted by bucket."""
+    limit = bucket_bytes or BUCKET_BYTES
     bucket, held, size, large = None, [], 0, False
 
     def look() -> Iterator[pa.RecordBatch]:
@@ -190,7 +194,7 @@ def _in_buckets(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.R
             if not large:
                 held.append(_unpack(blob))
                 size += sum(map(len, held[-1][5]))
-                if size > BUCKET_BYTES:
+                if size > limit:
                     large = True
                     for x in held:
                         yield from _one_by_one(_pack(*x[:5], x[5].tolist()), window)
@@ -201,42 +205,51 @@ def _in_buckets(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.R
         yield from look()
 
 
-def repeated_ranges(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, text_hash, start, stop: word ranges covered by windows that a smaller doc_id has too.
-
-    ``docs`` has doc_id, text_hash and text.  Rows without doc_id or text take no part.
-    """
-    spark = docs.sparkSession
-    partitions = shuffle_partitions(spark)
+def met_in_buckets(docs: DataFrame, window: int = WINDOW, bucket_bytes: int = BUCKET_BYTES, mean_bucket: int = MEAN_BUCKET) -> DataFrame:
+    """wkey, doc_id, text_hash, start, stop: the ranges that buckets give, and each window of too large ones with its words."""
+    source = docs.where("doc_id is not null and text is not null").select("doc_id", "text_hash", "text")
+    packed = EXPANSION * (source.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    partitions = max(shuffle_partitions(docs.sparkSession), -(-packed // PARTITION_BYTES))
+    buckets = max(4 * partitions, -(-packed // mean_bucket))
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, max_bytes=SLICE):
-                made = list(_super_kmers(part, window, BUCKETS * partitions))
+                made = list(_super_kmers(part, window, buckets))
                 if made:
                     yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in made], pa.int64()), pa.array([x[1] for x in made], pa.binary())], ["bucket", "blob"])
 
-    source = docs.where("doc_id is not null and text is not null").select("doc_id", "text_hash", "text")
     met = source.mapInArrow(cut_up, "bucket long, blob binary").repartition(partitions, "bucket").sortWithinPartitions("bucket")
-    found = cut(met.mapInArrow(lambda it: _in_buckets(it, window), _RANGE), "substring-ranges")
+    return cut(met.mapInArrow(lambda it: _in_buckets(it, window, bucket_bytes), _RANGE), "substring-ranges")
+
+
+def repeated_ranges(docs: DataFrame, window: int = WINDOW, bucket_bytes: int = BUCKET_BYTES, mean_bucket: int = MEAN_BUCKET) -> DataFrame:
+    """doc_id, text_hash, start, stop: word ranges covered by windows that a smaller doc_id has too.
+
+    ``docs`` has doc_id, text_hash and text.  Rows without doc_id or text take no part.
+    """
+    found = met_in_buckets(docs, window, bucket_bytes, mean_bucket)
     single = found.where("wkey is not null")
-    first = single.groupBy("wkey").agg(F.min("doc_id").alias("first"))
-    later = single.join(first, "wkey").where("doc_id > first")
+    first = cut(single.groupBy("wkey").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1"), "substring-windows")
+    later = join_few(single, first, ["wkey"], ["doc_id", "text_hash"]).where("doc_id > first")
     columns = ("doc_id", "text_hash", "start", "stop")
     return found.where("wkey is null").select(*columns).union(later.select(*columns))
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", id_column: str = "doc_id", window: int = WINDOW) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", id_column: str = "doc_id", window: int = WINDOW, bucket_bytes: int = BUCKET_BYTES, mean_bucket: int = MEAN_BUCKET) -> DataFrame:
     """doc_id, n_words, n_removed and kept_text (the words left, joined by a space) for every row.
 
     A word goes if it is covered by a window whose words also start in a
     document with a smaller doc_id; windows are judged on the input.  A null
     text has no words.  A row without doc_id keeps all and no other row is
     compared with it.  Rows with an equal doc_id aren't compared with each
-    other; equal rows get equal results.
+    other; equal rows get equal results.  Other columns, whatever their names,
+    aren't looked at; an empty table gives no rows.  A bucket has
+    ``mean_bucket`` packed bytes on average; one of over ``bucket_bytes`` is
+    worked off window by window.
     """
     keyed = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
-    ranges = repeated_ranges(keyed, window).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
+    ranges = repeated_ranges(keyed, window, bucket_bytes, mean_bucket).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
 
     def leave(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -63,3 +63,22 @@ def test_large_bucket_goes_on_window_by_window():
 
 def test_empty_table(spark):
     assert substrings.remove_repeats(documents(spark, [])).count() == 0
+
+
+def test_small_buckets_and_a_hot_one(spark):
+    rng = random.Random(5)
+    passage = " ".join(f"p{rng.randint(0, 999)}" for _ in range(60))
+    rows = [(i, " ".join([*(rng.choice(("a", "b", "c")) + str(rng.randint(0, 40)) for _ in range(rng.randint(5, 60))), passage if i % 3 else "alone"]), None, None, None) for i in range(300)]
+    for bucket_bytes, mean_bucket in ((400, 150), (1 << 20, 100)):
+        assert found(substrings.remove_repeats(documents(spark, rows).repartition(12), bucket_bytes=bucket_bytes, mean_bucket=mean_bucket)) == brute(rows, 13)
+
+
+def test_number_of_buckets_follows_the_input(spark):
+    """At any size few windows are worked off one by one."""
+    rng = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    for n in (100, 200, 400, 800):
+        rows = [(i, " ".join(rng.choice(vocabulary) for _ in range(400)), None, None, None) for i in range(n)]
+        keyed = documents(spark, rows).select("doc_id", substrings.F.xxhash64("text").alias("text_hash"), "text")
+        one_by_one = substrings.met_in_buckets(keyed, bucket_bytes=40_000, mean_bucket=10_000).where("wkey is not null").count()
+        assert one_by_one <= 0.01 * n * 388
