@@ -3,10 +3,10 @@
 Lines with a word are hashed.  Of every window of ``RUN`` consecutive ones the
 smallest hash (the last one of equals) is a fingerprint, so two equal runs of
 ``RUN`` lines are sure to share a fingerprint at the same place.  Fingerprints
-that stand once in the corpus are dropped; where the others stand, the match is
-extended both ways, as far as the windows reach that chose the fingerprint.
-Of equal windows the first stays and the later ones are deleted; windows side
-by side make up longer runs.
+that stand once in the corpus are dropped.  Each other position is joined with
+the first position whose lines match around the fingerprint, over a window that
+chose it, and the match is extended both ways for as long as the two positions
+go on alike.  The first run stays and the later ones are deleted.
 
 On request (``passages``) single lines and pairs of lines take part as well, in
 documents of any number of lines: those of many words wherever they repeat,
@@ -20,9 +20,11 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.llm.common import cut, join_few
+
 RUN = 3
 LONG_WORDS = 50  # a line, or two lines together, with as many words is a passage by itself
 FREQUENT_DOCS = 10  # a shorter line goes if it stands in as many documents
@@ -35,10 +37,14 @@ def hashed_lines(text: Column) -> Column:
     return F.transform(F.filter(numbered, lambda s: s["x"].rlike(r"[^\x20\x09-\x0D]")), lambda s: F.struct(s["line"].alias("line"), F.xxhash64(s["x"]).alias("h")))
 
 
-def repeated_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
-    """doc_id, text_hash and line, the numbers of the lines to delete; a line can come several times.
+def repeated_runs(docs: DataFrame, run: int = RUN) -> DataFrame:
+    """Runs of lines to delete: doc_id, text_hash, start, n_lines, first_doc, first_start and ``numbers``.
 
-    ``docs`` has doc_id, text_hash and text.  Rows without doc_id or text take no part.
+    ``start`` and ``first_start`` count lines with a word; ``numbers`` are the
+    run's lines in the text.  A line can lie in several runs, each with another
+    first place.  Lines are equal if their 64-bit hashes are, and a run has
+    ``run`` of them at least.  ``docs`` has doc_id, text_hash and text.  Rows
+    without doc_id or text take no part.
     """
     source = docs.where("doc_id is not null and text is not null").select("doc_id", "text_hash", hashed_lines(F.col("text")).alias("lines"))
     source = source.where(F.size("lines") >= run).select("doc_id", "text_hash", F.col("lines.h").alias("h"), F.col("lines.line").alias("numbers"))
@@ -56,17 +62,23 @@ def repeated_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
     starts = F.sequence(F.lit(0), F.size("h") - run)
     chosen = F.array_distinct(F.transform(starts, lambda i: i + last_smallest(F.slice(F.col("h"), i + 1, run))))
     places = source.select("doc_id", "text_hash", F.explode(F.transform(chosen, context)).alias("c")).select("doc_id", "text_hash", "c.*")
-    shared = places.groupBy("value").agg(F.count("*").alias("n")).where("n > 1").select("value")
-    met = places.join(shared, "value")
+    shared = cut(places.groupBy("value").agg(F.count("*").alias("n")).where("n > 1"), "line-fingerprints")
+    met = join_few(places, shared, ["value"], ["doc_id", "from"])
 
     around = F.transform(F.sequence(F.lit(0), F.size("h") - run), lambda i: F.struct(i.alias("start"), F.slice(F.col("h"), i + 1, run).alias("w")))
     own = F.filter(around, lambda s: last_smallest(s["w"]) + s["start"] == F.col("at"))
-    extended = met.select("doc_id", "text_hash", "from", "numbers", F.explode(own).alias("m")).select(
+    windows = met.select("doc_id", "text_hash", "from", "numbers", F.explode(own).alias("m")).select(
         "doc_id", "text_hash", (F.col("from") + F.col("m.start")).alias("start"), F.col("m.w").alias("w"), F.slice("numbers", F.col("m.start") + 1, run).alias("numbers")
     )
-    first = extended.groupBy("w").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = extended.join(first, "w").where(F.struct("doc_id", "start") > F.col("first"))
-    return later.select("doc_id", "text_hash", F.explode("numbers").alias("line"))
+    windows = cut(windows, "line-windows")
+    first = cut(windows.groupBy("w").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1"), "line-first-windows")
+    later = join_few(windows, first, ["w"], ["doc_id", "start"]).where(F.struct("doc_id", "start") > F.col("first"))
+
+    pairs = later.select("doc_id", "text_hash", "start", "numbers", F.col("first.doc_id").alias("first_doc"), (F.col("start") - F.col("first.start")).alias("apart"))
+    side_by_side = Window.partitionBy("doc_id", "text_hash", "first_doc", "apart").orderBy("start")
+    runs = pairs.withColumn("island", F.col("start") - F.dense_rank().over(side_by_side)).groupBy("doc_id", "text_hash", "first_doc", "apart", "island")
+    found = runs.agg(F.min("start").alias("start"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("numbers")))).alias("numbers"))
+    return found.select("doc_id", "text_hash", "start", F.size("numbers").alias("n_lines"), "first_doc", (F.col("start") - F.col("apart")).alias("first_start"), "numbers")
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
@@ -92,8 +104,8 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     key = ["h", "g", "words", "size"]
     in_doc = units.groupBy(*key, "doc_id").agg(F.min("start").alias("start"), F.count("*").alias("n"))
     shared = in_doc.groupBy(*key).agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("docs"), F.sum("n").alias("n"))
-    shared = shared.where((F.col("n") > 1) & ((F.col("words") >= LONG_WORDS) | (F.col("docs") >= FREQUENT_DOCS))).drop("docs", "n")
-    later = units.join(shared, key).where(F.struct("doc_id", "start") > F.col("first"))
+    shared = cut(shared.where((F.col("n") > 1) & ((F.col("words") >= LONG_WORDS) | (F.col("docs") >= FREQUENT_DOCS))).drop("docs"), "line-passages")
+    later = join_few(units, shared, key, ["doc_id", "start"]).where(F.struct("doc_id", "start") > F.col("first"))
     return later.select("doc_id", "text_hash", F.explode("numbers").alias("line"))
 
 
@@ -115,7 +127,7 @@ def dedup(docs: DataFrame, text: str = "text", id_column: str = "doc_id", run: i
     plain = docs.toDF(*[f"c{i}" for i in range(n)])
     doc, body = (F.col(f"c{docs.columns.index(x)}") for x in (id_column, text))
     keyed = plain.select("*", doc.cast("long").alias("doc_id"), F.xxhash64(body).alias("text_hash"), body.alias("text"))
-    found = ([repeated_lines(keyed, run)] if run else []) + ([repeated_passages(keyed)] if passages else [])
+    found = ([repeated_runs(keyed, run).select("doc_id", "text_hash", F.explode("numbers").alias("line"))] if run else []) + ([repeated_passages(keyed)] if passages else [])
     gone = reduce(DataFrame.union, found).groupBy("doc_id", "text_hash").agg(F.collect_set("line").alias("gone"))
     joined = keyed.join(gone, ["doc_id", "text_hash"], "left").select(*plain.columns, "gone")
     at = docs.columns.index(text)

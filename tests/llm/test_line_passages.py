@@ -51,3 +51,11 @@ def test_passages_of_odd_rows_like_brute_force(spark):
     rows = corpus()
     got = sorted(((-1 if r.doc_id is None else r.doc_id, r.text) for r in lines.dedup(documents(spark, rows), passages=True).collect()), key=str)
     assert got == brute(rows)
+
+
+def test_runs_are_extended_both_ways(spark):
+    line = [f"line number {i}" for i in range(40)]
+    rows = [(1, "\n".join(line[:20])), (2, "\n".join(["own"] + line[2:9] + ["own too", ""] + line[12:17])), (3, "\n".join(["else"] + line[5:8]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("text_hash", lines.F.xxhash64("text"))
+    got = sorted((r.doc_id, r.start, r.n_lines, r.first_doc, r.first_start, r.numbers) for r in lines.repeated_runs(docs).collect())
+    assert got == [(2, 1, 7, 1, 2, list(range(1, 8))), (2, 9, 5, 1, 12, list(range(10, 15))), (3, 1, 3, 1, 5, [1, 2, 3])]
