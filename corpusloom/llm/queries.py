@@ -55,7 +55,7 @@ def op7_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "token-rollup")
     for _ in range(2):
         rollups.commit(rollups.inserts(counts), path, 0)
-    copies = rollups.later_copies(docs)
+    copies = cut(rollups.later_copies(docs), "later-copies")
     rollups.commit(rollups.deletes(counts.join(copies, "doc_id", "left_semi")), path, 1)
     squeezed = docs.withColumn("new", F.regexp_replace("text", "  +", " ")).where("new <> text").drop("text").withColumnRenamed("new", "text").join(copies, "doc_id", "left_anti")
     rollups.commit(rollups.revisions(counts.join(squeezed.select("doc_id").distinct(), "doc_id", "left_semi"), count(squeezed)), path, 2)

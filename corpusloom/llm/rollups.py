@@ -3,27 +3,41 @@
 Changes are signed: an insert adds a document and its tokens, a delete takes
 them away, a revised count takes the old one away and adds the new one.  A
 batch of changes is summed by key before it is shuffled and committed under its
-id; committing the same id again replaces the same rows, so a batch counts once
-however often it is sent.  Totals are the sum of all batches.
+id.  A commit reads the totals so far, adds the batch, takes away what the same
+id brought before, and writes new totals; so it costs as much as the batch and
+the keys, never the history, and a batch counts once however often it is sent.
+
+Nothing is changed in place.  A commit writes new folders and then a manifest,
+``log/<version>.json``, that names the current totals and each batch's folder,
+by a rename: readers see all of it or nothing, and a commit that died leaves
+folders that no manifest names.  The file system must rename a file atomically.
 """
 
 from __future__ import annotations
 
+import json
+import re
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.bpe import encoding
-from corpusloom.llm.common import filled
+from corpusloom.llm.common import cut, filled, join_few
 
 KEYS = ("source", "lang", "tokenizer")
 SUMS = ("n_docs", "n_tokens", "n_chars")
+_SCHEMA = ", ".join([f"{x} string" for x in KEYS] + [f"{x} long" for x in SUMS])
 
 
 def count_tokens(docs: DataFrame, path: str, pattern: str, version: str, text: str = "text", id_column: str = "doc_id") -> DataFrame:
-    """doc_id, source, lang, tokenizer, n_tokens, n_chars for every row; a null text has none of either."""
+    """doc_id, source, lang, tokenizer, n_tokens, n_chars for every row; a null text has none of either.
+
+    Rows are counted one by one, whatever else their table has; no rows give none.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoding(path, pattern).encode_ordinary
@@ -49,33 +63,84 @@ def revisions(old: DataFrame, new: DataFrame) -> DataFrame:
     return deletes(old).unionByName(inserts(new))
 
 
+def _files(spark: SparkSession, path: str) -> tuple:
+    """Hadoop's file system of ``path``, and its class of paths."""
+    of = spark._jvm.org.apache.hadoop.fs.Path
+    return of(path).getFileSystem(spark._jsc.hadoopConfiguration()), of
+
+
+def _manifest(spark: SparkSession, path: str) -> tuple[int, dict]:
+    """The last version and what it names; version 0, which names nothing, before the first commit."""
+    files, of = _files(spark, path)
+    log = of(f"{path}/log")
+    names = [x.getPath().getName() for x in files.listStatus(log)] if files.exists(log) else []
+    last = max([int(x.removesuffix(".json")) for x in names if re.fullmatch(r"\d{12}\.json", x)], default=0)
+    if not last:
+        return 0, {"totals": None, "batches": {}}
+    return last, json.loads(spark.read.text(f"{path}/log/{last:012d}.json", wholetext=True).first()[0])
+
+
+def _publish(spark: SparkSession, path: str, version: int, manifest: dict) -> bool:
+    """Make ``manifest`` the given version; False if another commit has taken it."""
+    files, of = _files(spark, path)
+    temporary, final = of(f"{path}/log/tmp-{uuid.uuid4().hex}"), of(f"{path}/log/{version:012d}.json")
+    stream = files.create(temporary, False)
+    stream.write(bytearray(json.dumps(manifest).encode()))
+    stream.close()
+    if not files.exists(final) and files.rename(temporary, final):
+        return True
+    files.delete(temporary, False)
+    return False
+
+
+def _summed(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(*KEYS).agg(*[F.sum(x).alias(x) for x in SUMS])
+
+
+def _negative(rows: DataFrame) -> DataFrame:
+    return rows.select(*KEYS, *[(-F.col(x)).alias(x) for x in SUMS])
+
+
+def _stored(spark: SparkSession, path: str, folder: str | None) -> DataFrame:
+    return spark.read.schema(_SCHEMA).parquet(f"{path}/{folder}") if folder else spark.createDataFrame([], _SCHEMA)
+
+
 def commit(changes: DataFrame, path: str, batch_id: int) -> None:
-    """Add a batch of signed changes to the rollup in ``path``.
+    """Add a batch of signed changes to the totals in ``path``.
 
-    The batch's folder is written whole or, after a failure, again; readers see
-    files only once Spark has committed them.
+    A batch whose id was committed before replaces what that brought.  Commits
+    at the same time take turns: one that finds its version taken adds its
+    batch to the newer totals.  An empty batch is a batch like any other.
     """
-    summed = changes.groupBy(*KEYS).agg(*[F.sum(x).alias(x) for x in SUMS])
-    summed.write.mode("overwrite").parquet(f"{path}/batch={batch_id:012d}")
+    spark = changes.sparkSession
+    batch = f"batches/{batch_id:012d}-{uuid.uuid4().hex}"
+    _summed(changes).write.parquet(f"{path}/{batch}")
+    while True:
+        version, manifest = _manifest(spark, path)
+        before = manifest["batches"].get(str(batch_id))
+        parts = [_stored(spark, path, manifest["totals"]), _stored(spark, path, batch), _negative(_stored(spark, path, before))]
+        folder = f"totals/{version + 1:012d}-{uuid.uuid4().hex}"
+        _summed(reduce(DataFrame.union, parts)).where(" or ".join(f"{x} <> 0" for x in SUMS)).write.parquet(f"{path}/{folder}")
+        if _publish(spark, path, version + 1, {"totals": folder, "batches": manifest["batches"] | {str(batch_id): batch}}):
+            return
 
 
 def compact(spark: SparkSession, path: str, into: str) -> None:
-    """The totals of ``path`` as the first batch of a new rollup."""
+    """The totals of ``path`` as the first batch of a new rollup, whose manifest names no other batch."""
     commit(totals(spark, path), into, 0)
 
 
 def totals(spark: SparkSession, path: str) -> DataFrame:
-    """The sums of all batches by source, lang and tokenizer; null keys make groups of their own.
+    """The totals by source, lang and tokenizer as of the last commit; null keys make groups of their own.
 
-    A key whose documents have all gone is left out.  No committed rows give no totals.
+    A key whose documents have all gone is left out.  Without any commit there are no rows.
     """
-    schema = ", ".join([f"{x} string" for x in KEYS] + [f"{x} long" for x in SUMS])
-    batches = spark.read.schema(schema).parquet(f"{path}/batch=*")
-    return batches.groupBy(*KEYS).agg(*[F.sum(x).alias(x) for x in SUMS]).where("n_docs <> 0 or n_tokens <> 0 or n_chars <> 0")
+    return _stored(spark, path, _manifest(spark, path)[1]["totals"])
 
 
 def later_copies(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
     """doc_id of rows whose exact text a smaller doc_id has too; null texts and ids take no part."""
-    keyed = docs.where(F.col(text).isNotNull() & F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("doc_id"), F.sha2(text, 256).alias("digest"))
-    first = keyed.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return keyed.join(first, "digest").where("doc_id > first").select("doc_id").distinct()
+    digest = F.unhex(F.sha2(F.col(text), 256)).alias("digest")
+    keyed = cut(docs.where(F.col(text).isNotNull() & F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("doc_id"), digest), "text-digests")
+    first = cut(keyed.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1"), "text-copies")
+    return join_few(keyed, first, ["digest"], ["doc_id"]).where("doc_id > first").select("doc_id").distinct()

@@ -1,9 +1,14 @@
 """WARC archives: revisits resolved by payload digest, archives written with fresh headers and read back.
 
-Archives are written by Spark's own writer: a record is a header block, an
-empty line and its block, and the two line ends that close it are the writer's
-line separator.  So archives can lie wherever Spark can write, and a lost task
-leaves no half-written file.
+Only headers are shuffled by digest.  Payloads stay where they are read, unless
+there are more revisits than may be broadcast; then those of revisit size are
+shuffled once.
+
+An archive has a gzip member for each record, so that records can be read one
+by one, and holds about ``ARCHIVE_BYTES``.  It is packed in a task and written
+by Spark's own writer as a row of its own, so archives can lie wherever Spark
+can write, and a lost task leaves no half-written file.  The writer ends a row
+with a separator; here that is an empty gzip member.
 """
 
 from __future__ import annotations
@@ -11,6 +16,7 @@ from __future__ import annotations
 import gzip
 import hashlib
 import io
+import zlib
 from collections.abc import Iterator
 from typing import BinaryIO
 
@@ -18,45 +24,44 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import cut
+from corpusloom.llm.common import cut, join_few
 
 MIN_REVISIT_BYTES = 1000  # smaller payloads are never revisits
-SALTS = 16  # parts of a payload digest's rows in a join
-RECORDS_IN_FILE = 4096
+ARCHIVE_BYTES = 16 << 20  # compressed
+PIECE = 1 << 16  # compressed bytes looked at in one step
+BROADCAST_REVISITS = 200_000  # some 80 bytes each; more are joined by a shuffle of the payloads of revisit size
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 _HEADER = "page_id long, record_type string, payload_digest string, payload_bytes long, refers_to long, target_uri string"
 
 
-def _salted(df: DataFrame) -> DataFrame:
-    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-
-
-def _with_salt(df: DataFrame) -> DataFrame:
-    return df.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
-
-
-def resolve(pages: DataFrame, html: str = "html", id_column: str = "page_id", url: str = "url", min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
+def resolve(pages: DataFrame, html: str = "html", id_column: str = "page_id", url: str = "url", min_bytes: int = MIN_REVISIT_BYTES, broadcast_rows: int = BROADCAST_REVISITS) -> DataFrame:
     """page_id, url, payload, payload_bytes, payload_digest, record_type and refers_to for every row.
 
     Of equal payloads of ``min_bytes`` or more, rows with the largest page_id
     are responses and the others revisit it; all smaller ones are responses.  A
     null html is an empty payload.  A row without page_id revisits like any
     other, but leads only where all its copies lack one; repeated rows that
-    lead are all responses.
+    lead are all responses.  Other columns, whatever their names, aren't looked
+    at; no pages give no records.  Up to ``broadcast_rows`` revisits go to all tasks.
     """
     payload = F.coalesce(F.col(html), F.lit(""))
     records = pages.select(F.col(id_column).cast("long").alias("page_id"), F.col(url).alias("url"), payload.alias("payload")).select(
         "*", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1(F.col("payload").cast("binary")).alias("payload_digest")
     )
-    headers = records.where(F.col("payload_bytes") >= min_bytes).select("page_id", "payload_digest")
-    first = headers.groupBy("payload_digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("payload_digest", "first")
-    joined = _with_salt(records).join(_salted(first), ["payload_digest", "salt"], "left")
-    revisits = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))
-    return joined.select(
-        "page_id", "url", "payload", "payload_bytes", "payload_digest", F.when(revisits, "revisit").otherwise("response").alias("record_type"), F.when(revisits, F.col("first")).alias("refers_to")
-    )
+    large = F.col("payload_bytes") >= min_bytes
+    headers = cut(records.where(large).select("page_id", F.unhex("payload_digest").alias("digest")), "warc-digests")
+    first = cut(headers.groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null"), "warc-originals")
+    revisits = join_few(headers, first, ["digest"], ["page_id"]).where(~F.col("first").eqNullSafe(F.col("page_id"))).distinct()
+    revisits = cut(revisits.select(F.col("page_id").alias("id"), F.lower(F.hex("digest")).alias("of"), "first"), "warc-revisits")
+    same = records["page_id"].eqNullSafe(revisits["id"]) & (records["payload_digest"] == revisits["of"])
+    columns = ["page_id", "url", "payload", "payload_bytes", "payload_digest", F.when(F.col("first").isNotNull(), "revisit").otherwise("response").alias("record_type"), F.col("first").alias("refers_to")]
+    if revisits.count() <= broadcast_rows:
+        return records.join(F.broadcast(revisits), same & large, "left").select(*columns)
+    met = records.where(large).join(revisits.hint("shuffle_merge"), same, "left").select(*columns)
+    small = records.where(~large).select("*", F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
+    return met.union(small)
 
 
 def _uri(page_id: Column) -> Column:
@@ -84,10 +89,43 @@ def record_text(date: str = DATE) -> Column:
     )
 
 
-def write_archives(resolved: DataFrame, path: str, date: str = DATE) -> None:
-    """Write the records as gzipped archives in the folder ``path``, which all executors see."""
-    records = resolved.select(record_text(date).alias("value"))
-    records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS_IN_FILE).text(path)
+def write_archives(resolved: DataFrame, path: str, date: str = DATE, archive_bytes: int = ARCHIVE_BYTES) -> None:
+    """Write the records as archives in the folder ``path``, which all executors see.
+
+    An archive is closed once it holds ``archive_bytes``, so it is larger by one record at most.
+    """
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[bytes] = []
+        size = 0
+        archive = lambda: pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], ["archive"])
+        for batch in batches:
+            for record in batch.column(0):
+                held.append(gzip.compress(record.as_buffer().to_pybytes() + b"\r\n\r\n", mtime=0))
+                size += len(held[-1])
+                if size >= archive_bytes:
+                    yield archive()
+                    held, size = [], 0
+        if held:
+            yield archive()
+
+    archives = resolved.select(record_text(date).cast("binary").alias("record")).mapInArrow(packed, "archive binary").select(F.col("archive").cast("string").alias("value"))
+    separator = gzip.compress(b"", mtime=0).decode("latin-1")
+    archives.write.option("encoding", "ISO-8859-1").option("lineSep", separator).option("maxRecordsPerFile", 1).text(path)
+
+
+def members(data: memoryview) -> Iterator[bytes]:
+    """What each member of a gzip file holds, one at a time."""
+    at = 0
+    while at < len(data):
+        stream, held = zlib.decompressobj(31), []
+        while not stream.eof:
+            piece = data[at : at + PIECE]
+            if not len(piece):
+                raise ValueError("an archive ends within a record")
+            held.append(stream.decompress(piece))
+            at += len(piece) - len(stream.unused_data)
+        yield b"".join(held)
 
 
 def records(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -125,8 +163,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for content in batch.column(0):
                 rows = []
-                with gzip.open(io.BytesIO(content.as_buffer())) as stream:
-                    for fields, block in records(stream):
+                for member in members(memoryview(content.as_buffer())):
+                    for fields, block in records(io.BytesIO(member)):
                         digest = fields["warc-payload-digest"].partition(":")[2]
                         size = None
                         if fields["warc-type"] == "response":
@@ -138,16 +176,16 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
     return files.mapInArrow(parse, _HEADER)
 
 
 def join_revisits(headers: DataFrame) -> DataFrame:
     """The headers, with each revisit's payload_bytes taken from the response that it refers to."""
     revisits = headers.where("record_type = 'revisit'")
-    wanted = revisits.select("payload_digest").distinct()
-    originals = headers.where("record_type = 'response'").select("payload_digest", F.col("payload_bytes").alias("bytes")).distinct().join(wanted, "payload_digest", "left_semi")
-    found = _with_salt(revisits).join(_salted(originals), ["payload_digest", "salt"], "left")
+    wanted = revisits.groupBy("payload_digest").agg(F.count("*").alias("n"))
+    originals = headers.where("record_type = 'response'").groupBy("payload_digest").agg(F.max("payload_bytes").alias("bytes"))
+    found = join_few(revisits, cut(wanted.join(originals, "payload_digest", "left"), "warc-sizes"), ["payload_digest"], ["page_id"], "left")
     columns = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
     return headers.where("record_type <> 'revisit'").select(*columns).union(found.select("page_id", F.col("bytes"), *columns[2:]))
 

@@ -1,9 +1,10 @@
 import random
+import re
 
 import public_tokenizers
 import tiktoken
 
-from corpusloom.llm import bpe, lines, rollups
+from corpusloom.llm import bpe, lines, queries, rollups
 from corpusloom.llm.common import scratch
 from tests.llm.helpers import WORD, corpus, documents
 
@@ -95,3 +96,67 @@ def test_rollup_of_nothing(spark):
     path = scratch(spark, "test-rollup")
     rollups.commit(rollups.inserts(rollups.count_tokens(documents(spark, []), RANKS, public_tokenizers.PATTERN, "v1")), path, 0)
     assert rollups.totals(spark, path).count() == 0
+
+
+def test_no_commit_and_commits_again(spark):
+    path = scratch(spark, "test-rollup")
+    assert rollups.totals(spark, path).count() == 0
+    change = lambda *rows: spark.createDataFrame(rows, rollups._SCHEMA)
+    result = lambda: sorted(map(tuple, rollups.totals(spark, path).collect()), key=str)
+    rollups.commit(change(("a", "en", "v", 1, 10, 50), ("a", "en", "v", 1, 5, 20), (None, "en", "v", 1, 1, 1)), path, 7)
+    assert result() == [("a", "en", "v", 2, 15, 70), (None, "en", "v", 1, 1, 1)]
+    rollups.commit(change(("a", "en", "v", -1, -5, -20), (None, "en", "v", -1, -1, -1)), path, 8)
+    assert result() == [("a", "en", "v", 1, 10, 50)]
+    rollups.commit(change(("a", "en", "v", 1, 10, 50), ("b", "de", "v", 1, 2, 3)), path, 7)  # another batch under the same id
+    assert result() == sorted([("a", "en", "v", 0, 5, 30), ("b", "de", "v", 1, 2, 3), (None, "en", "v", -1, -1, -1)], key=str)
+    before = rollups.totals(spark, path)
+    rollups.commit(change(), path, 7)
+    rollups.commit(change(), path, 8)
+    assert result() == [] and before.count() == 3  # who reads the totals of before still does
+
+
+def test_a_commit_that_died_and_one_at_the_same_time(spark, monkeypatch):
+    path = scratch(spark, "test-rollup")
+    one = spark.createDataFrame([("a", "en", "v", 1, 10, 50)], rollups._SCHEMA)
+    rollups.commit(one, path, 0)
+    publish = rollups._publish
+
+    def late(*args):
+        monkeypatch.setattr(rollups, "_publish", publish)
+        rollups.commit(one, path, 2)
+        return publish(*args)
+
+    monkeypatch.setattr(rollups, "_publish", late)
+    rollups.commit(one, path, 1)
+    assert [tuple(r) for r in rollups.totals(spark, path).collect()] == [("a", "en", "v", 3, 30, 150)]
+
+    def dies(*args):
+        raise RuntimeError
+
+    monkeypatch.setattr(rollups, "_publish", dies)
+    try:
+        rollups.commit(one, path, 3)
+    except RuntimeError:
+        pass
+    monkeypatch.setattr(rollups, "_publish", publish)
+    assert rollups.totals(spark, path).first().n_docs == 3
+    rollups.commit(one, path, 3)
+    assert rollups.totals(spark, path).first().n_docs == 4
+
+
+def test_the_query_like_brute_force(spark, sf_dir):
+    whole = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe._ranks(RANKS), special_tokens={})
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    first = {}
+    for r in rows:
+        if r.text is not None:
+            first[r.text] = min(first.get(r.text, r.doc_id), r.doc_id)
+    want = {}
+    for r in rows:
+        if r.text is None or first[r.text] == r.doc_id:
+            text = re.sub("  +", " ", r.text or "")
+            held = want.setdefault((r.source, r.lang, "byte_bpe_50k/1"), [0, 0, 0])
+            for k, x in enumerate((1, len(whole.encode_ordinary(text)), len(text))):
+                held[k] += x
+    got = {(r.source, r.lang, r.tokenizer): [r.n_docs, r.n_tokens, r.n_chars] for r in queries.op7_token_rollups(spark, sf_dir).collect()}
+    assert got == want and len(got) > 3

@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 import io
 
@@ -33,6 +34,27 @@ def test_archives_round_trip(spark):
     assert found > 0
 
 
+def test_large_pages_and_small_archives(spark):
+    rng = np.random.default_rng(8)
+    big = ["".join(map(chr, rng.integers(0x20, 0x3000, 1_500_000))) for _ in range(2)]
+    rows = [(i, f"http://a/{i}", big[i % 3]) if i % 3 < 2 else (i, "u", f"small {i}") for i in range(9)]
+    path = scratch(spark, "test-warc")
+    resolved = warc.resolve(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1))
+    warc.write_archives(resolved, path, archive_bytes=1 << 20)
+    files = spark.read.format("binaryFile").load(path).where("path like '%part-%'").collect()
+    sizes = [[len(list(warc.records(io.BytesIO(x)))) for x in warc.members(memoryview(f.content))] for f in files]
+    assert all(max(own) == 1 and own[-1] == 0 for own in sizes) and sum(map(sum, sizes)) == 9 and len(files) > 1
+    assert all(gzip.decompress(f.content).count(b"WARC-Record-ID") == sum(own) for f, own in zip(files, sizes))
+    got = sorted(tuple(r) for r in warc.join_revisits(warc.read_archives(spark, path)).collect())
+    lead = {0: 6, 1: 7}
+    assert got == [(i, len(h.encode()), hashlib.sha1(h.encode()).hexdigest(), "revisit" if lead.get(i % 3, i) != i else "response", lead[i % 3] if lead.get(i % 3, i) != i else None) for i, _, h in rows]
+
+
+def test_more_revisits_than_may_be_broadcast(spark):
+    frame = spark.createDataFrame(pages(), "page_id long, url string, html string").withColumn("digest", warc.F.lit(1)).withColumn("first", warc.F.lit(2))
+    assert sorted(map(tuple, warc.resolve(frame, broadcast_rows=0).collect()), key=str) == sorted(map(tuple, warc.resolve(frame).collect()), key=str)
+
+
 def test_no_pages(spark):
     assert warc.rewrite(spark.createDataFrame([], "page_id long, url string, html string"), scratch(spark, "test-warc")).count() == 0
 
