@@ -1,10 +1,12 @@
 """Quality rules as a short-circuit cascade.
 
-Every rule looks at a slice of texts and says which it rejects.  The cascade
-first measures each rule's cost and selectivity on a sample of each input
-partition, orders the rules by rejections per second, and then lets a rule see
-only the texts that the rules before it let pass.  The verdict is the same in
-any order; the order only saves work.
+Every rule looks at a slice of texts and says which it rejects.  Each task
+first lets all rules see a sample, the first ``SAMPLE_ROWS`` of its texts that
+the base verdict passes, and estimates their cost and selectivity from that; it
+orders the rules by rejections per second, and from then on a rule sees only
+the texts that the rules before it let pass.  So the sample costs no scan of
+its own, and no task waits for another.  The verdict is the same in any order;
+the order only saves work.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from corpusloom.llm.common import bytes_of, codes, equal_windows, lines, slices,
 WINDOW = 8  # words in a window of n_repeat_words
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
-SAMPLE_ROWS = 64  # rows of each partition on which the rules' cost and selectivity are measured
+SAMPLE_ROWS = 64  # texts of each task on which the rules' cost and selectivity are measured
 SYMBOLS = b"#*$%&|<>"
 
 BASE_SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean"
@@ -62,91 +64,114 @@ def repeated_words(code: np.ndarray, counts: np.ndarray, size: int = WINDOW) ->
     return np.bincount(owner[np.cumsum(edge)[:n] > 0], minlength=len(counts))
 
 
-def base_counts(texts: pa.Array) -> dict[str, np.ndarray]:
+class Texts:
+    """A slice of texts with its bytes, words and lines, which are found once for all rules."""
+
+    def __init__(self, texts: pa.Array) -> None:
+        self.n = len(texts)
+        self.data, self.offsets = bytes_of(texts)
+        flat, self.n_words = words(texts)
+        self.code = codes(flat)[0]
+        self.line, self.line_owner = lines(texts)
+
+    @property
+    def owner(self) -> np.ndarray:
+        """The text of each word."""
+        return np.repeat(np.arange(self.n), self.n_words)
+
+    @property
+    def n_lines(self) -> np.ndarray:
+        return np.bincount(self.line_owner, minlength=self.n)
+
+    def where(self, keep: np.ndarray) -> Texts:
+        """The texts that are flagged."""
+        if keep.all():
+            return self
+        out = object.__new__(Texts)
+        out.n = int(keep.sum())
+        size = np.diff(self.offsets)
+        out.data, out.offsets = self.data[np.repeat(keep, size)], np.r_[0, np.cumsum(size[keep])]
+        out.code, out.n_words = self.code[np.repeat(keep, self.n_words)], self.n_words[keep]
+        lines_kept = keep[self.line_owner]
+        out.line, out.line_owner = self.line.filter(pa.array(lines_kept)), (np.cumsum(keep) - 1)[self.line_owner[lines_kept]]
+        return out
+
+
+def base_counts(texts: pa.Array | Texts) -> dict[str, np.ndarray]:
     """The base counts and verdict of each text."""
-    data, offsets = bytes_of(texts)
-    flat, n_words = words(texts)
-    line, owner = lines(texts)
-    real = pc.greater(pc.binary_length(pc.ascii_trim(line, " \t\n\x0b\x0c\r")), 0).to_numpy(zero_copy_only=False)
-    line, owner = line.filter(pa.array(real)), owner[real]
+    t = texts if isinstance(texts, Texts) else Texts(texts)
+    real = pc.greater(pc.binary_length(pc.ascii_trim(t.line, " \t\n\x0b\x0c\r")), 0).to_numpy(zero_copy_only=False).astype(bool)
+    line, owner = t.line.filter(pa.array(real)), t.line_owner[real]
     distinct = np.unique(owner * (len(line) + 1) + codes(line)[0]) // (len(line) + 1) if len(line) else owner
-    n_repeat = repeated_words(codes(flat)[0], n_words)
+    n_repeat = repeated_words(t.code, t.n_words)
     return {
-        "n_words": n_words,
-        "word_chars": sums(((data & 0xC0) != 0x80) & ~_is_space(data), offsets),
-        "n_symbols": sums(_any_of(data, SYMBOLS), offsets),
-        "n_dup_lines": np.bincount(owner, minlength=len(texts)) - np.bincount(distinct, minlength=len(texts)),
+        "n_words": t.n_words,
+        "word_chars": sums(((t.data & 0xC0) != 0x80) & ~_is_space(t.data), t.offsets),
+        "n_symbols": sums(_any_of(t.data, SYMBOLS), t.offsets),
+        "n_dup_lines": np.bincount(owner, minlength=t.n) - np.bincount(distinct, minlength=t.n),
         "n_repeat_words": n_repeat,
-        "base_failed": (n_words < MIN_WORDS) | (100 * n_repeat > MAX_REPEAT_PERCENT * n_words),
+        "base_failed": (t.n_words < MIN_WORDS) | (100 * n_repeat > MAX_REPEAT_PERCENT * t.n_words),
     }
 
 
 @dataclass(frozen=True)
 class Rule:
-    """``rejects(texts, base)`` gives a flag for each text; ``base`` has the base counts of the same texts."""
+    """``of(texts, base)`` gives a flag for each text that it rejects; ``base`` has the base counts of the same texts."""
 
     name: str
-    rejects: Callable[[pa.Array, dict[str, np.ndarray]], np.ndarray]
+    of: Callable[[Texts, dict[str, np.ndarray]], np.ndarray]
 
+    def rejects(self, texts: pa.Array | Texts, base: dict[str, np.ndarray]) -> np.ndarray:
+        return self.of(texts if isinstance(texts, Texts) else Texts(texts), base)
 
-def _symbols(texts: pa.Array, base: dict) -> np.ndarray:
+
+def _symbols(t: Texts, base: dict) -> np.ndarray:
     return _ratio(base["n_symbols"], base["n_words"]) > 0.1
 
 
-def _word_length(texts: pa.Array, base: dict) -> np.ndarray:
+def _word_length(t: Texts, base: dict) -> np.ndarray:
     mean = _ratio(base["word_chars"], base["n_words"])
     return (mean < 2.5) | (mean > 15)
 
 
-def _duplicate_lines(texts: pa.Array, base: dict) -> np.ndarray:
-    _, owner = lines(texts)
-    return _ratio(base["n_dup_lines"], np.bincount(owner, minlength=len(texts))) > 0.5
+def _duplicate_lines(t: Texts, base: dict) -> np.ndarray:
+    return _ratio(base["n_dup_lines"], t.n_lines) > 0.5
 
 
-def _words_without_letters(texts: pa.Array, base: dict) -> np.ndarray:
+def _words_without_letters(t: Texts, base: dict) -> np.ndarray:
     """Under 70 % of the words have a letter (any byte beyond ASCII counts as one)."""
-    data, offsets = bytes_of(texts)
-    letter = (data >= 0x80) | ((data | 0x20) >= 0x61) & ((data | 0x20) <= 0x7A)
-    space = _is_space(data)
-    first = np.zeros(len(data) + 1, bool)
-    first[:-1][~space & np.r_[True, space[:-1]]] = True
-    first[offsets[:-1][np.diff(offsets) > 0]] |= ~space[offsets[:-1][np.diff(offsets) > 0]]
-    word = np.cumsum(first[:-1]) - 1
-    with_letter = np.zeros(int(first.sum()) + 1, bool)
-    with_letter[word[letter & ~space]] = True
-    owner = np.searchsorted(offsets, np.flatnonzero(first), side="right") - 1
-    n = np.bincount(owner, minlength=len(texts))
-    return _ratio(np.bincount(owner, with_letter[:-1], minlength=len(texts)), n) < 0.7
-
-
-def _shouting(texts: pa.Array, base: dict) -> np.ndarray:
+    letter = (t.data >= 0x80) | ((t.data | 0x20) >= 0x61) & ((t.data | 0x20) <= 0x7A)
+    space = _is_space(t.data)
+    begins = ~space & np.r_[True, space[:-1]][: len(space)]
+    filled_at = t.offsets[:-1][np.diff(t.offsets) > 0]
+    begins[filled_at] = ~space[filled_at]
+    with_letter = np.zeros(len(t.code), bool)
+    with_letter[(np.cumsum(begins) - 1)[letter & ~space]] = True
+    return _ratio(np.bincount(t.owner, with_letter, minlength=t.n), t.n_words) < 0.7
+
+
+def _shouting(t: Texts, base: dict) -> np.ndarray:
     """Over half of the ASCII letters are capitals."""
-    data, offsets = bytes_of(texts)
-    upper, lower = sums((data >= 0x41) & (data <= 0x5A), offsets), sums((data >= 0x61) & (data <= 0x7A), offsets)
+    upper, lower = sums((t.data >= 0x41) & (t.data <= 0x5A), t.offsets), sums((t.data >= 0x61) & (t.data <= 0x7A), t.offsets)
     return upper > lower
 
 
-def _exclamation(texts: pa.Array, base: dict) -> np.ndarray:
-    data, offsets = bytes_of(texts)
-    return _ratio(sums(data == 0x21, offsets), base["n_words"]) > 0.3
+def _exclamation(t: Texts, base: dict) -> np.ndarray:
+    return _ratio(sums(t.data == 0x21, t.offsets), base["n_words"]) > 0.3
 
 
-def _bullets_and_ellipses(texts: pa.Array, base: dict) -> np.ndarray:
+def _bullets_and_ellipses(t: Texts, base: dict) -> np.ndarray:
     """Over 90 % of the lines start with a bullet or over 30 % end in an ellipsis."""
-    line, owner = lines(texts)
-    n = np.bincount(owner, minlength=len(texts))
-    flags = [pc.match_substring_regex(line, p).to_numpy(zero_copy_only=False) for p in (r"^\s*[-*\x{2022}]\s", r"(\.\.\.|\x{2026})\s*$")]
-    bullet, ellipsis = (np.bincount(owner, f, minlength=len(texts)) for f in flags)
-    return (_ratio(bullet, n) > 0.9) | (_ratio(ellipsis, n) > 0.3)
+    flags = [pc.match_substring_regex(t.line, p).to_numpy(zero_copy_only=False) for p in (r"^\s*[-*\x{2022}]\s", r"(\.\.\.|\x{2026})\s*$")]
+    bullet, ellipsis = (np.bincount(t.line_owner, f, minlength=t.n) for f in flags)
+    return (_ratio(bullet, t.n_lines) > 0.9) | (_ratio(ellipsis, t.n_lines) > 0.3)
 
 
-def _stutter(texts: pa.Array, base: dict) -> np.ndarray:
+def _stutter(t: Texts, base: dict) -> np.ndarray:
     """Over 30 % of the words equal the word before them."""
-    flat, n = words(texts)
-    code = codes(flat)[0]
-    owner = np.repeat(np.arange(len(texts)), n)
-    same = np.r_[False, (code[1:] == code[:-1]) & (owner[1:] == owner[:-1])]
-    return _ratio(np.bincount(owner[same[: len(owner)]], minlength=len(texts)), n) > 0.3
+    owner = t.owner
+    same = np.r_[False, (t.code[1:] == t.code[:-1]) & (owner[1:] == owner[:-1])][: len(owner)]
+    return _ratio(np.bincount(owner[same], minlength=t.n), t.n_words) > 0.3
 
 
 RULES = (
@@ -161,54 +186,99 @@ RULES = (
 )
 
 
-def measure(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", rows: int = SAMPLE_ROWS) -> DataFrame:
-    """Seconds, rejections and texts of each rule on the first ``rows`` rows of each partition."""
+class Cascade:
+    """A task's cascade: it measures the rules on the texts it sees first, and then keeps to the order found.
+
+    ``rejected`` and ``seconds`` are by rule, over ``sampled`` texts.
+    """
+
+    def __init__(self, rules: tuple[Rule, ...], sample_rows: int) -> None:
+        self.rules, self.sample_rows = rules, sample_rows
+        self.sampled, self.rejected, self.seconds = 0, dict.fromkeys(rules, 0), dict.fromkeys(rules, 0.0)
+        self.order = rules
+
+    def _measured(self, t: Texts, base: dict[str, np.ndarray]) -> np.ndarray:
+        good = np.ones(t.n, bool)
+        for rule in self.rules:
+            began = time.perf_counter()
+            rejected = rule.rejects(t, base)
+            self.seconds[rule] += time.perf_counter() - began
+            self.rejected[rule] += int(rejected.sum())
+            good &= ~rejected
+        self.sampled += t.n
+        self.order = tuple(sorted(self.rules, key=lambda r: -self.rejected[r] / max(self.seconds[r], 1e-9)))
+        return good
+
+    def _short_circuit(self, t: Texts, base: dict[str, np.ndarray]) -> np.ndarray:
+        """The places of the texts that pass."""
+        alive = np.arange(t.n)
+        for rule in self.order:
+            if not len(alive):
+                break
+            keep = ~rule.rejects(t, base)
+            t, base, alive = t.where(keep), {k: v[keep] for k, v in base.items()}, alive[keep]
+        return alive
+
+    def passes(self, texts: pa.Array) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        """The base counts of all texts, and which pass the base verdict and all rules."""
+        t = Texts(texts)
+        base = base_counts(t)
+        good = ~base["base_failed"]
+        alive = np.flatnonzero(good)
+        left, own = t.where(good), {k: v[good] for k, v in base.items()}
+        n = min(max(self.sample_rows - self.sampled, 0), left.n)
+        first = np.arange(left.n) < n
+        if n:
+            good[alive[first]] = self._measured(left.where(first), {k: v[first] for k, v in own.items()})
+        if n < left.n:
+            rest = alive[~first]
+            good[rest] = False
+            good[rest[self._short_circuit(left.where(~first), {k: v[~first] for k, v in own.items()})]] = True
+        return base, good
+
+
+def measure(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
+    """For each rule its seconds, the texts it rejects and the texts it saw: all of ``docs`` that the base verdict passes.
+
+    A report, for instance on a sample of the caller's; the cascade has its own.
+    """
 
     def trial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cascade = Cascade(rules, np.iinfo(np.int64).max)
         for batch in batches:
-            texts = batch.column(0).slice(0, rows)
-            base = base_counts(texts)
-            out = []
-            for rule in rules:
-                began = time.perf_counter()
-                out.append((rule.name, int(rule.rejects(texts, base).sum()), time.perf_counter() - began, len(texts)))
-            yield pa.RecordBatch.from_pylist([dict(zip(("rule", "rejected", "seconds", "texts"), x, strict=True)) for x in out])
-            return
-
-    sample = docs.select(F.col(text).alias("text")).mapInArrow(trial, "rule string, rejected long, seconds double, texts long")
-    return sample.groupBy("rule").agg(F.sum("rejected").alias("rejected"), F.sum("seconds").alias("seconds"), F.sum("texts").alias("texts"))
-
-
-def ordered(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", rows: int = SAMPLE_ROWS) -> tuple[Rule, ...]:
-    """The rules by rejections per second on the sample, best first.  One row for each rule comes to the driver."""
-    score = {r["rule"]: r["rejected"] / max(r["seconds"], 1e-9) for r in measure(docs, rules, text, rows).collect()}
+            for part in slices(batch):
+                cascade.passes(part.column(0))
+        for rule in rules:
+            yield pa.RecordBatch.from_pydict({"rule": [rule.name], "rejected": [cascade.rejected[rule]], "seconds": [cascade.seconds[rule]], "texts": [cascade.sampled]})
+
+    seen = docs.select(F.col(text).alias("text")).mapInArrow(trial, "rule string, rejected long, seconds double, texts long")
+    return seen.groupBy("rule").agg(F.sum("rejected").alias("rejected"), F.sum("seconds").alias("seconds"), F.sum("texts").alias("texts"))
+
+
+def ordered(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> tuple[Rule, ...]:
+    """The rules by rejections per second on all of ``docs``, best first.  One row for each rule comes to the driver."""
+    score = {r["rule"]: r["rejected"] / max(r["seconds"], 1e-9) for r in measure(docs, rules, text).collect()}
     return tuple(sorted(rules, key=lambda r: -score.get(r.name, 0.0)))
 
 
-def judge(docs: DataFrame, rules: tuple[Rule, ...], text: str = "text", keep_columns: tuple[str, ...] = ()) -> DataFrame:
-    """``keep_columns`` of every row, then the base counts and ``kept``; rules run in the order given.
+def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", keep_columns: tuple[str, ...] = (), sample_rows: int = 0) -> DataFrame:
+    """``keep_columns`` of every row, then the base counts and ``kept``.
 
-    A null text has no words and fails.  A rule sees only texts that the base
-    verdict and the rules before it passed.  Rows are judged one by one, so
-    repeated rows and ties get equal verdicts.
+    Rules run in the order given, or with ``sample_rows`` in the order that
+    each task finds best on as many texts.  A null text has no words and fails.
+    A rule sees only texts that the base verdict and the rules before it
+    passed.  Rows are judged one by one, so repeated rows and ties get equal
+    verdicts.
     """
     prefixed = [F.col(c).alias(f"k{i}") for i, c in enumerate(keep_columns)]
     source = docs.select(*prefixed, F.col(text).alias("text"))
     names = [x.split()[0] for x in BASE_SCHEMA.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cascade = Cascade(rules, sample_rows)
         for batch in batches:
             for part in slices(batch):
-                texts = part.column(len(keep_columns))
-                base = base_counts(texts)
-                alive = np.flatnonzero(~base["base_failed"])
-                for rule in rules:
-                    if not len(alive):
-                        break
-                    rejected = rule.rejects(texts.take(pa.array(alive)), {k: v[alive] for k, v in base.items()})
-                    alive = alive[~rejected]
-                kept = np.zeros(part.num_rows, bool)
-                kept[alive] = True
+                base, kept = cascade.passes(part.column(len(keep_columns)))
                 made = [pa.array(base[x].astype(bool if x == "base_failed" else np.int64)) for x in names]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *made, pa.array(kept)], [f"k{i}" for i in range(len(keep_columns))] + names + ["kept"])
 
@@ -218,13 +288,13 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...], text: str = "text", keep_col
 
 
 def quality_verdicts(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """doc_id, the base counts, base_failed and kept for every row of ``docs``."""
-    return judge(docs, ordered(docs, rules, rows=sample_rows), keep_columns=("doc_id",))
+    """doc_id, the base counts, base_failed and kept for every row of ``docs``; no rows give none."""
+    return judge(docs, rules, keep_columns=("doc_id",), sample_rows=sample_rows)
 
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The rows of ``docs`` that pass, all columns as they were, whatever the other columns are called."""
     plain = docs.select(F.col("`text`").alias("text"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
     names = tuple(plain.columns[1:])
-    verdicts = judge(plain, ordered(plain, rules, rows=sample_rows), keep_columns=names)
+    verdicts = judge(plain, rules, keep_columns=names, sample_rows=sample_rows)
     return verdicts.where("kept").select(*names).toDF(*docs.columns)

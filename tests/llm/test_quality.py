@@ -59,6 +59,30 @@ def test_order_changes_cost_but_no_verdict(spark):
     assert quality.ordered(documents(spark, [rows[0]] * 30))[0].rejects is not None
 
 
+def test_a_task_finds_the_order_on_its_own_texts():
+    texts = pa.array([GOOD, BAD["stutter"], "short"] * 40 + [BAD["stutter"]] * 80 + [GOOD, None, BAD["shouting"]])
+    seen = Counter()
+
+    def counted(rule):
+        def of(t, base):
+            seen[rule.name] += t.n
+            return rule.of(t, base)
+
+        return quality.Rule(rule.name, of)
+
+    cascade = quality.Cascade(tuple(map(counted, quality.RULES)), 16)
+    flags = [x for a in range(0, len(texts), 50) for x in cascade.passes(texts.slice(a, 50))[1].tolist()]
+    assert flags == [t == GOOD for t in texts.to_pylist()]
+    assert cascade.sampled == 16 and cascade.order[0].name == "stutter"
+    assert seen["stutter"] == 162 and seen["symbols"] < 70  # base failures are seen by none, stutterers after the sample by one rule
+
+
+def test_rejections_by_rule(spark):
+    docs = documents(spark, [(i, t, None, None, None) for i, t in enumerate([*BAD.values(), GOOD, None, "short"])])
+    got = {r.rule: (r.rejected, r.texts) for r in quality.measure(docs).collect()}
+    assert set(got) == set(BAD) and got["shouting"] == (1, sum(not brute(t)[-1] for t in [*BAD.values(), GOOD]))
+
+
 def test_keep_good_keeps_columns(spark):
     docs = documents(spark, [(1, GOOD, "en", "s", 1), (2, "x", None, None, None), (3, BAD["shouting"], "en", "s", 2)])
     clashing = docs.withColumn("kept", quality.F.lit("mine")).withColumn("n_words", quality.F.lit(-1)).withColumn("c0", quality.F.lit(0))
