@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import nearcopies
-from corpusloom.llm.common import cut, filled, shuffle_partitions
+from corpusloom.llm.common import cut, filled, join_few, shuffle_partitions
 from corpusloom.llm.components import components, contract
 
 SHINGLE = 3
@@ -211,7 +211,9 @@ def links(distinct: DataFrame) -> DataFrame:
     """Links u, v between distinct fingerprints (column fp), contracted to few edges with the same components.
 
     All pairs at three or fewer bits are found.  Buckets are streamed; one of
-    over ``BUCKET_ROWS`` rows is dealt out in pairs of blocks.
+    over ``BUCKET_ROWS`` rows is dealt out in pairs of blocks, which takes a row
+    of n in a bucket to n / ``BUCKET_ROWS`` tasks.  Fingerprints are distinct
+    here, so no number of exact copies makes a bucket large.
     """
     spark = distinct.sparkSession
 
@@ -246,12 +248,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_column: str = "doc_i
     is never a component's id (a component of nulls alone has a null id).
     """
     prints = cut(fingerprints(docs, text, id_column), "simhash-fingerprints")
-    first = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    first = prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
     root = components(links(first)).withColumnRenamed("node", "fp")
-    rooted = first.join(root, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    rooted = first.join(root, "fp", "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
     component = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_print = rooted.join(component, "root").select("fp", "component_id")
-    return prints.join(by_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    by_print = cut(rooted.join(component, "root").select("fp", "component_id", "n"), "simhash-components")
+    return join_few(prints, by_print, ["fp"], ["doc_id"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one_each(docs: DataFrame) -> DataFrame:

@@ -62,3 +62,21 @@ def test_nearly_all_pairs_meet_at_the_threshold():
         x = rng.integers(0, 1 << 63, 225, np.uint64)
         met += bool((nearcopies.band_keys(x[:200]) == nearcopies.band_keys(np.r_[x[:200][25:], x[200:]])).any())  # 175 of 225: 0.78
     assert met >= 980
+
+
+def test_many_blocks_under_one_key(spark, monkeypatch):
+    monkeypatch.setattr(nearcopies, "BLOCK_ROWS", 2)
+    rows = near_corpus()
+    assert {r.doc_id for r in simhash.keep_one_each(documents(spark, rows)).collect()} == brute_leaders(rows)
+
+
+def test_links_between_components_like_brute_force():
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        base = rng.integers(0, 1 << 63, 60, np.uint64)
+        sets = [np.unique(np.r_[rng.choice(base, rng.integers(53, 60), replace=False), rng.integers(0, 1 << 63, rng.integers(0, 5), np.uint64)]) for _ in range(30)]
+        sig, root = rng.permutation(30), rng.integers(0, 4, 30)
+        pairs = [(i, j) for i in range(30) for j in range(i) if root[i] != root[j] and nearcopies.similar(sets[i], sets[j])]
+        want = union_find([(sig[i], sig[j]) for i, j in pairs], range(30))
+        got = union_find(list(zip(*(x.tolist() for x in nearcopies.cross_links(sets, sig, root)))), range(30))
+        assert want == got and pairs
