@@ -14,6 +14,7 @@ class Retrieval:
     top_k: int = 5
     max_rewrites: int = 3
     rerank: bool = False
+    rerank_top_k: int = 5
     min_year_hits: int = 3
     bm25_k1: float = 1.5
     bm25_b: float = 0.75

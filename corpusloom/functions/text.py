@@ -8,12 +8,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Patterns and word lists that decide results.
-HEADER_FOOTER = (r"第\s*[0-9]+\s*页\s*共\s*[0-9]+\s*页", r"Page\s+[0-9]+\s+of\s+[0-9]+", r"[0-9]{4}\s*年\s*[0-9]{1,2}\s*月\s*[0-9]{1,2}\s*日")
-NUMBERING = (r"^第[一二三四五六七八九十0-9]+[章节部分]", r"^[一二三四五六七八九十]+、", r"^[0-9]+[.、]", r"^[（(][0-9]+[）)]")
+# Digits are those of any script, full-width ones included.
+HEADER_FOOTER = (r"第\s*\p{Nd}+\s*页\s*共\s*\p{Nd}+\s*页", r"Page\s+\p{Nd}+\s+of\s+\p{Nd}+", r"\p{Nd}{4}\s*年\s*\p{Nd}{1,2}\s*月\s*\p{Nd}{1,2}\s*日")
+NUMBERING = (r"^第[一二三四五六七八九十\p{Nd}]+[章节部分]", r"^[一二三四五六七八九十]+、", r"^\p{Nd}+[.、]", r"^[（(]\p{Nd}+[）)]")
 SENTENCE_END = r"[。.；;]$"
 TITLE_WORDS = ("报告", "公告", "说明", "摘要", "目录", "概述", "总结")
 DOCUMENT_TITLE_WORDS = ("报告", "公告", "说明", "摘要", "目录")
-TOKEN = r"[一-龥]+|[a-zA-Z]+|[0-9]+"
+TOKEN = r"[一-龥]+|[a-zA-Z]+|\p{Nd}+"
 
 _SPACE = r"[\s\x{3000}\x{A0}\x{85}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}]"
 
@@ -40,7 +41,7 @@ def is_page_noise(line: Column) -> Column:
     """A page number, a page label, or a short run of digits and separators."""
 
     def judged(s: Column) -> Column:
-        return s.rlike(r"^[0-9]{1,5}$") | s.rlike(r"(?i)^(第\s*[0-9]+\s*页|Page\s*[0-9]+)$") | ((F.length(s) <= 10) & s.rlike(r"^[0-9\s./\-]+$"))
+        return s.rlike(r"^\p{Nd}{1,5}$") | s.rlike(r"(?i)^(第\s*\p{Nd}+\s*页|Page\s*\p{Nd}+)$") | ((F.length(s) <= 10) & s.rlike(r"^[\p{Nd}\s./\-]+$"))
 
     return let(strip(line), judged)
 
@@ -53,7 +54,7 @@ def is_header_footer(line: Column, repeated: Column | None = None) -> Column:
     """``repeated``: the raw lines that stand at least three times in the element."""
 
     def judged(s: Column) -> Column:
-        fixed = s.rlike("|".join(HEADER_FOOTER)) | (s.rlike(r"^[0-9]+$") & (F.length(s) < 5)) | s.rlike(r"^[0-9]{4}[-/][0-9]{1,2}[-/][0-9]{1,2}$")
+        fixed = s.rlike("|".join(HEADER_FOOTER)) | (s.rlike(r"^\p{Nd}+$") & (F.length(s) < 5)) | s.rlike(r"^\p{Nd}{4}[-/]\p{Nd}{1,2}[-/]\p{Nd}{1,2}$")
         return (s != "") & (fixed if repeated is None else F.array_contains(repeated, s) | fixed)
 
     return let(strip(line), judged)

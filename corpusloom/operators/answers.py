@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from corpusloom.config import DEFAULT
 from corpusloom.functions import policy
@@ -42,30 +44,28 @@ def fan_out(requests: DataFrame, query: str = "query", given: str = "given") ->
     return requests.select("*", F.posexplode(policy.rewrites(F.col(query), F.col(given))).alias("route", "route_query"))
 
 
-def _number(x: float) -> str:
-    return str(int(x)) if x == int(x) else str(x)
+def number_text(x: Column) -> Column:
+    """A number in its shortest form: whole ones without decimals, very small ones with an exponent of two digits."""
+    plain = F.regexp_replace(x.cast("string").try_cast("decimal(38,20)").cast("string"), r"\.?0+$", "")
+    small = F.regexp_replace(F.regexp_replace(x.cast("string"), r"(\.0)?E", "e"), r"e-(\p{Nd})$", "e-0$1")
+    return F.when(F.rint(x) == x, x.try_cast("decimal(38,0)").cast("string")).when(F.abs(x) < 1e-4, small).otherwise(plain)
 
 
-def formulas(df: DataFrame, op: str = "op", a: str = "a", b: str = "b") -> DataFrame:
-    """``df`` with result and formula.  Numbers are printed in a vectorised function, since the JVM rounds halves another way."""
-
-    @F.pandas_udf("string")
-    def write(kind: pd.Series, x: pd.Series, y: pd.Series, value: pd.Series) -> pd.Series:
-        out = []
-        for k, p, q, v in zip(kind, x, y, value, strict=True):
-            if pd.isna(v):
-                out.append(None)
-            elif k == "growth":
-                out.append(f"({_number(p)} - {_number(q)}) / {_number(q)} = {v * 100:.2f}%")
-            elif k == "ratio":
-                out.append(f"{_number(p)} / {_number(q)} = {v * 100:.2f}%")
-            else:
-                out.append(f"{_number(p)} - {_number(q)} = {_number(v)}")
-        return pd.Series(out)
+@F.pandas_udf(StringType())
+def percent(ratio: pd.Series) -> pd.Series:
+    """Two decimals, rounded from the exact binary value, which the JVM's formatting doesn't do."""
+    return pd.Series(np.char.mod("%.2f%%", ratio.to_numpy(float) * 100)).where(ratio.notna().to_numpy(), None)
+
 
+def formulas(df: DataFrame, op: str = "op", a: str = "a", b: str = "b") -> DataFrame:
+    """``df`` with result and formula; without a result the formula says what is wrong, or is null for numbers that aren't finite."""
     result = policy.calculate(F.col(op), F.col(a), F.col(b))
-    text = write(F.col(op), F.col(a).cast("double"), F.col(b).cast("double"), result)
-    return df.withColumn("result", result).withColumn("formula", F.coalesce(text, policy.calculation_problem(F.col(op), F.col(b))))
+    x, y = (number_text(F.col(c).cast("double")) for c in (a, b))
+    growth = F.concat(F.lit("("), x, F.lit(" - "), y, F.lit(") / "), y, F.lit(" = "), percent(result))
+    ratio = F.concat(x, F.lit(" / "), y, F.lit(" = "), percent(result))
+    diff = F.concat(x, F.lit(" - "), y, F.lit(" = "), number_text(result))
+    text = F.when(F.col(op) == "growth", growth).when(F.col(op) == "ratio", ratio).otherwise(diff)
+    return df.withColumn("result", result).withColumn("formula", F.coalesce(F.when(result.isNotNull(), text), policy.calculation_problem(F.col(op), F.col(b))))
 
 
 def with_formula(answer: Column, formula: Column) -> Column:
@@ -104,3 +104,12 @@ def stream_events(requests: DataFrame) -> DataFrame:
     )
     return requests.select("request_id", F.posexplode(F.concat(F.array(F.struct(F.lit("connected").alias("event"), F.lit("{}").alias("payload"))), events)).alias("seq", "e")).select("request_id", "seq", "e.event", "e.payload")
 
+
+
+def with_response_defaults(responses: DataFrame) -> DataFrame:
+    """Responses with every field of an answer: what is missing or null takes its default."""
+    have = set(responses.columns)
+    field = lambda name, default: (F.coalesce(F.col(name), default) if name in have else default).alias(name)
+    defaults = {"success": F.lit(False), "answer": F.lit(""), "confidence": F.lit(0.0), "is_refused": F.lit(False), "citations": F.array().cast("array<bigint>"), "retrieved_chunks_count": F.lit(0), "cited_chunks_count": F.lit(0), "latency_ms": F.lit(0)}
+    optional = [(F.col(c) if c in have else F.lit(None).cast("string")).alias(c) for c in ("model_name", "error")]
+    return responses.select(*[c for c in responses.columns if c not in defaults and c not in ("model_name", "error")], *[field(k, v) for k, v in defaults.items()], *optional)

@@ -21,26 +21,49 @@ def _tail(chunk: str, overlap: int) -> str:
     return chunk[-overlap:] if 0 < overlap < len(chunk) else chunk
 
 
-def pack_sentences(paragraph: str, size: int, overlap: int) -> Iterator[str]:
-    """Chunks of whole sentences of about ``size`` characters; a longer sentence is a chunk by itself."""
-    if len(paragraph) <= size:
-        yield paragraph
-        return
-    current = ""
+def _packed(paragraph: str, size: int, overlap: int) -> Iterator[tuple[str, int]]:
+    """Chunks of a long paragraph as they are put together, and where each begins in it."""
+    current, begin = "", 0
     for sentence in filter(None, (m[0].strip() for m in _SENTENCE.finditer(paragraph))):
         if current and len(current) + len(sentence) + 1 > size:
-            yield current.strip()
-            current = f"{_tail(current, overlap)} {sentence}"
+            yield current, begin
+            tail = _tail(current, overlap)
+            begin = max(0, paragraph.find(tail, max(0, paragraph.find(current))))
+            current = f"{tail} {sentence}"
+        elif current:
+            current = f"{current} {sentence}"
         else:
-            current = f"{current} {sentence}" if current else sentence
-    if current.strip():
-        yield current.strip()
+            current, begin = sentence, max(0, paragraph.find(sentence))
+    if current:
+        yield current, begin
+
+
+def placed_by_paragraphs(text: str, size: int = DEFAULT.chunking.size, overlap: int = DEFAULT.chunking.overlap) -> Iterator[tuple[str, int, int]]:
+    """Chunks of whole sentences of about ``size`` characters, with their first place in the text and the place after the last.
+
+    A longer sentence is a chunk by itself.  A chunk that is put together of
+    sentences without the white space between them ends where it would if that were one space each.
+    """
+    at = 0
+    for part in (text or "").split("\n\n"):
+        if paragraph := part.strip():
+            start = at + part.index(paragraph)
+            for chunk, begin in [(paragraph, 0)] if len(paragraph) <= size else _packed(paragraph, size, overlap):
+                if chunk.strip():
+                    yield chunk.strip(), start + begin, start + begin + len(chunk)
+        at += len(part) + 2
+
+
+def pack_sentences(paragraph: str, size: int, overlap: int) -> Iterator[str]:
+    """Chunks of one paragraph."""
+    if len(paragraph) <= size:
+        yield paragraph
+    else:
+        yield from filter(None, (chunk.strip() for chunk, _ in _packed(paragraph, size, overlap)))
 
 
 def by_paragraphs(text: str, size: int = DEFAULT.chunking.size, overlap: int = DEFAULT.chunking.overlap) -> Iterator[str]:
-    for paragraph in (text or "").split("\n\n"):
-        if paragraph := paragraph.strip():
-            yield from pack_sentences(paragraph, size, overlap)
+    return (chunk for chunk, _, _ in placed_by_paragraphs(text, size, overlap))
 
 
 def by_table_rows(markdown: str, size: int = DEFAULT.chunking.size) -> Iterator[str]:
@@ -82,23 +105,30 @@ def by_window(text: str, size: int = DEFAULT.chunking.window_size, overlap: int
         begin = max(begin + 1, _after_sentence(text, max(0, back - overlap), back)) if back > begin else end
 
 
-def explode_chunks(df: DataFrame, split: Callable[..., Iterator[str]], text: str = "text", keep: tuple[str, ...] = ("doc_id",), **options: int) -> DataFrame:
-    """``keep`` columns with piece (from 1) and content for each chunk of ``text``; a null or blank text has none."""
+def explode_chunks(df: DataFrame, split: Callable[..., Iterator], text: str = "text", keep: tuple[str, ...] = ("doc_id",), placed: bool = False, **options: int) -> DataFrame:
+    """``keep`` columns with piece (from 1) and content for each chunk of ``text``; a null or blank text has none.
+
+    With ``placed``, ``split`` gives places too: start and end, which follow the content.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, numbers, contents = [], [], []
+            rows, numbers, pieces = [], [], []
             for i, value in enumerate(batch.column(len(keep))):
                 for n, piece in enumerate(split(value.as_py() or "", **options), 1):
                     rows.append(i)
                     numbers.append(n)
-                    contents.append(piece)
+                    pieces.append(piece if placed else (piece,))
             index = pa.array(rows, pa.int64())
             kept = [batch.column(k).take(index) for k in range(len(keep))]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(numbers, pa.int32()), pa.array(contents, pa.string())], [*keep, "piece", "content"])
+            made = [pa.array([x[c] for x in pieces], t) for c, t in enumerate((pa.string(), pa.int32(), pa.int32())[: 3 if placed else 1])]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(numbers, pa.int32()), *made], [*keep, "piece", *names])
 
+    names = ["content", "start", "end"] if placed else ["content"]
     source = df.select(*keep, F.col(text).alias("_text"))
     schema = source.drop("_text").schema.add("piece", IntegerType()).add("content", StringType())
+    if placed:
+        schema = schema.add("start", IntegerType()).add("end", IntegerType())
     return source.mapInArrow(run, schema)
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.sources.readers import base_name
+
 
 def new_files(incoming: DataFrame, known: DataFrame) -> DataFrame:
     """Files (tenant, file_sha256) that no parsed file of the tenant has."""
@@ -90,6 +92,32 @@ def cascade_delete(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str, D
     return out
 
 
+def by_file_name(documents: DataFrame, names: DataFrame) -> DataFrame:
+    """tenant, file_name and document_id of the stored document of each name (tenant, file_name); of several the oldest.
+
+    ``documents`` has document_id, tenant and file_uri.  A name is what follows the last slash of either kind.
+    """
+    named = documents.select("tenant", base_name(F.col("file_uri")).alias("file_name"), "document_id").groupBy("tenant", "file_name").agg(F.min("document_id").alias("document_id"))
+    return names.select("tenant", "file_name").distinct().join(named, ["tenant", "file_name"])
+
+
+def overwrite(tables: dict[str, DataFrame], incoming: DataFrame) -> dict[str, DataFrame]:
+    """``tables`` without what files of the same tenant and name had brought, so that ``incoming`` (tenant, file_uri) can be loaded anew."""
+    names = incoming.select("tenant", base_name(F.col("file_uri")).alias("file_name"))
+    return cascade_delete(tables, by_file_name(tables["documents"], names))
+
+
+def with_document_defaults(documents: DataFrame) -> DataFrame:
+    """Documents with a tenant, a type and a source."""
+    defaults = {"tenant_id": F.lit(0), "doc_type": F.lit("annual_report"), "source": F.lit("upload")}
+    return documents.withColumns({c: F.coalesce(F.col(c), v) if c in documents.columns else v for c, v in defaults.items()})
+
+
+def vector_id(store: str, chunk_id: Column) -> Column:
+    """The name of a chunk's vector in a vector store."""
+    return F.concat(F.lit(f"{store}_"), chunk_id.cast("string"))
+
+
 def orphans(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
     """Child rows whose parent is missing."""
     return child.where(F.col(key).isNotNull()).join(parent.select(key), key, "left_anti")

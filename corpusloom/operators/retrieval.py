@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import islice
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +13,7 @@ from corpusloom.config import DEFAULT, Retrieval
 from corpusloom.functions.text import preview, tokens
 
 BROADCAST_TERMS = 100_000  # query terms up to which their weights go to every task; more are joined by term
-QUERY_BLOCK = 1024  # query vectors sent to the executors at once
+QUERY_BLOCK = 1024  # query vectors that a task holds
 
 
 def live(chunks: DataFrame, tenant: Column | None = None) -> DataFrame:
@@ -49,7 +48,7 @@ def corpus_stats(posts: DataFrame) -> DataFrame:
 def weigh_terms(frequencies: DataFrame, n: int, epsilon: float = DEFAULT.retrieval.bm25_epsilon) -> DataFrame:
     """term, df and idf from term and df; a negative idf becomes ``epsilon`` times the mean of all."""
     raw = frequencies.withColumn("raw", F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.agg(F.avg("raw").alias("mean")).first()["mean"] or 0.0
+    mean = raw.agg(F.avg("raw")).scalar()
     return raw.select("term", "df", F.when(F.col("raw") < 0, epsilon * mean).otherwise(F.col("raw")).alias("idf"))
 
 
@@ -62,12 +61,12 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int, settings: Retrieval = DE
 
     Query tokens count as often as they stand.  Ties of the rounded score go to
     the smaller id.  Only the tokens that a query asks for are shuffled, once by
-    chunk, which serves both sums; document frequencies are summed before the shuffle, and their table,
-    no larger than the vocabulary, is kept for its mean and the join.
+    chunk, which serves both sums; document frequencies are summed before the shuffle, whose
+    result serves their mean and the join.
     """
     split = _split(chunks, text).select("chunk_id", F.size("t").cast("long").alias("dl"), "t")
     stats = split.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
-    frequencies = split.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count("*").alias("df")).persist()
+    frequencies = split.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     idf = weigh_terms(frequencies, stats["n"], settings.bm25_epsilon)
     terms = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     weighted = terms.join(idf, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight"))
@@ -84,42 +83,66 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int, settings: Retrieval = DE
 def knn(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l2") -> DataFrame:
     """query_id, chunk_id, distance (l2: squared) or cosine, score, rank: exact neighbours of a stated query set.
 
-    ``vectors`` has chunk_id and vector, ``queries`` query_id and vector.  The
-    query set goes to the executors in blocks of bounded size; every vector is
-    held against all of it there, and each task passes on its k best only.  A
-    null vector takes no part, nor does a zero one by cosine.
+    ``vectors`` has chunk_id and vector, ``queries`` query_id and vector.  Both
+    are shuffled: queries in blocks of some ``QUERY_BLOCK``, vectors in as many
+    parts as keep all cores busy, and a task holds one block against one part
+    and passes on its k best only.  So vectors are copied once for each block of
+    queries, and nothing goes through the driver.  A null vector takes no part,
+    nor does a zero one by cosine.
     """
-    spark = vectors.sparkSession
-    source = vectors.where("vector is not null").select("chunk_id", F.col("vector").cast("array<double>").alias("vector"))
-    asked = queries.where("vector is not null").select("query_id", F.col("vector").cast("array<double>").alias("vector")).distinct().toLocalIterator()
-    out = spark.createDataFrame([], "query_id long, chunk_id long, distance double")
-    while block := list(islice(asked, QUERY_BLOCK)):
-        out = out.unionByName(_knn_block(source, np.array([r["query_id"] for r in block], np.int64), np.array([r["vector"] for r in block], float), k, metric))
+    as_double = lambda df, key: df.where("vector is not null").select(F.col(key).alias("id"), F.col("vector").cast("array<double>").alias("vector"))
+    asked = as_double(queries, "query_id").distinct()
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    parts = max(1, -(-vectors.sparkSession.sparkContext.defaultParallelism // blocks))
+    copies = lambda name, n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    dealt = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    questions = asked.select("id", "vector", F.lit(True).alias("asks"), dealt(blocks).alias("block"), copies("part", parts))
+    stored = as_double(vectors, "chunk_id").select("id", "vector", F.lit(False).alias("asks"), dealt(parts).alias("part"), copies("block", blocks))
+    met = questions.unionByName(stored).repartition(max(blocks * parts, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "block", "part")
+    found = met.sortWithinPartitions("block", "part", F.desc("asks")).select("block", "part", "asks", "id", "vector").mapInArrow(_block_search(k, metric), "query_id long, chunk_id long, distance double")
     similarity = F.when(F.lit(metric == "l2"), 1 / (1 + F.col("distance"))).otherwise(F.col("distance"))
-    ranked = out.withColumn("score", F.round(similarity, 9)).withColumn("distance", F.round("distance", 9))
+    ranked = found.withColumn("score", F.round(similarity, 9)).withColumn("distance", F.round("distance", 9))
     order = (F.asc("distance") if metric == "l2" else F.desc("distance"), F.asc("chunk_id"))
     return _top(ranked, ("query_id",), k, *order)
 
 
-def _knn_block(source: DataFrame, ids: np.ndarray, asked: np.ndarray, k: int, metric: str) -> DataFrame:
+def _block_search(k: int, metric: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows come by block and part, a block's queries before the vectors that are held against them."""
+
+    def matrix(column: pa.Array) -> np.ndarray:
+        return column.flatten().to_numpy().reshape(len(column), -1)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, ids, asked = None, [], []
         for batch in batches:
-            rows = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
-            chunk = batch.column(0).to_numpy()
-            measure = np.zeros((len(asked), len(rows)))
-            for d in range(rows.shape[1]):  # in the order of the components, so every engine gets the same sum
-                measure += (asked[:, d, None] - rows[None, :, d]) ** 2 if metric == "l2" else asked[:, d, None] * rows[None, :, d]
-            sign = 1
-            if metric == "cosine":
-                norms = np.sqrt((asked**2).sum(axis=1))[:, None] * np.sqrt((rows**2).sum(axis=1))[None, :]
-                measure = np.where(norms > 0, measure / np.where(norms > 0, norms, 1), np.nan)
-                sign = -1
-            keyed = np.where(np.isnan(measure), np.inf, sign * np.round(measure, 9))
-            kth = np.partition(keyed, k - 1, axis=1)[:, k - 1 : k] if len(rows) > k else np.full((len(asked), 1), np.finfo(float).max)
-            i, j = np.nonzero(keyed <= kth)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(chunk[j]), pa.array(measure[i, j])], ["query_id", "chunk_id", "distance"])
-
-    return source.mapInArrow(run, "query_id long, chunk_id long, distance double")
+            keys = np.stack([batch.column(c).to_numpy() for c in (0, 1)] + [batch.column(2).to_numpy(zero_copy_only=False)], axis=1).astype(np.int64)
+            edges = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1), True])
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if place != tuple(keys[a, :2]):
+                    place, ids, asked = tuple(keys[a, :2]), [], []
+                part = batch.slice(a, b - a)
+                if keys[a, 2]:
+                    ids.append(part.column(3).to_numpy())
+                    asked.append(matrix(part.column(4)))
+                elif ids:
+                    yield _nearest(np.concatenate(ids), np.concatenate(asked), part.column(3).to_numpy(), matrix(part.column(4)), k, metric)
+
+    return run
+
+
+def _nearest(ids: np.ndarray, asked: np.ndarray, chunk: np.ndarray, rows: np.ndarray, k: int, metric: str) -> pa.RecordBatch:
+    measure = np.zeros((len(asked), len(rows)))
+    for d in range(rows.shape[1]):  # in the order of the components, so every engine gets the same sum
+        measure += (asked[:, d, None] - rows[None, :, d]) ** 2 if metric == "l2" else asked[:, d, None] * rows[None, :, d]
+    sign = 1
+    if metric == "cosine":
+        norms = np.sqrt((asked**2).sum(axis=1))[:, None] * np.sqrt((rows**2).sum(axis=1))[None, :]
+        measure = np.where(norms > 0, measure / np.where(norms > 0, norms, 1), np.nan)
+        sign = -1
+    keyed = np.where(np.isnan(measure), np.inf, sign * np.round(measure, 9))
+    kth = np.partition(keyed, k - 1, axis=1)[:, k - 1 : k] if len(rows) > k else np.full((len(asked), 1), np.finfo(float).max)
+    i, j = np.nonzero(keyed <= kth)
+    return pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(chunk[j]), pa.array(measure[i, j])], ["query_id", "chunk_id", "distance"])
 
 
 def year_filter(hits: DataFrame, chunks: DataFrame, asked: DataFrame, least: int = DEFAULT.retrieval.min_year_hits) -> DataFrame:
@@ -173,6 +196,17 @@ def multi_route_rrf(hits: DataFrame, k: int | None = None, rrf_k: int = DEFAULT.
     return (ranked if k is None else ranked.where(F.col("rank") <= k)).select("query_id", "chunk_id", "score", "rrf_score", "rank")
 
 
+def keep_best(hits: DataFrame) -> DataFrame:
+    """Of a query's hits with one chunk_id the first by rank, ranked anew."""
+    best = _top(hits.withColumnRenamed("rank", "_place"), ("query_id", "chunk_id"), 1, F.asc("_place")).drop("rank")
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("_place", "chunk_id"))).drop("_place")
+
+
+def rerank(hits: DataFrame, settings: Retrieval = DEFAULT.retrieval) -> DataFrame:
+    """The hits that go on: as many of the best as a reranker would keep where one is asked for, else ``top_k``."""
+    return hits.where(F.col("rank") <= (settings.rerank_top_k if settings.rerank else settings.top_k))
+
+
 def hydrate(hits: DataFrame, chunks: DataFrame, how: str = "inner") -> DataFrame:
     """Hits with document_id, year, pages, content and a preview; ``how="left"`` keeps hits without a chunk."""
     return hits.join(chunks.select("chunk_id", "document_id", "year", "page_start", "content"), "chunk_id", how).withColumn("preview", preview(F.col("content")))
@@ -188,5 +222,5 @@ def hybrid(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, settings:
     near = knn(known, queries, settings.route_top_k).select("query_id", F.lit("vector").alias("route"), "chunk_id", "score", "rank")
     worded = bm25(kept, queries, settings.route_top_k, settings).select("query_id", F.lit("keyword").alias("route"), "chunk_id", "score", "rank")
     hits = year_filter(near.unionByName(worded), kept, queries.select("query_id", "years"), settings.min_year_hits)
-    fused = weighted_rrf(hits, settings).where(F.col("rank") <= settings.top_k)
+    fused = rerank(weighted_rrf(hits, settings), settings)
     return hydrate(fused, kept).select("query_id", "rank", "chunk_id", "document_id", "year", F.round("score", 6).alias("score"), F.round("rrf_score", 6).alias("rrf_score"), "preview")

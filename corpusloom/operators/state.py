@@ -27,10 +27,13 @@ class Breaker:
     opened: float = -1.0
     mode: str = "CLOSED"
 
+    def may_call(self, at: float, settings: Resilience = DEFAULT.resilience) -> bool:
+        return self.mode != "OPEN" or at - self.opened >= settings.breaker_seconds
+
     def call(self, at: float, failed: bool, settings: Resilience = DEFAULT.resilience) -> tuple[bool, str]:
         """Whether the call at second ``at`` is let through, and the state after it."""
         if self.mode == "OPEN":
-            if at - self.opened < settings.breaker_seconds:
+            if not self.may_call(at, settings):
                 return False, self.mode
             self.mode = "HALF_OPEN"
         if failed:

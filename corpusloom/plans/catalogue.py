@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusloom import providers
 from corpusloom.config import DEFAULT
 from corpusloom.functions import policy, text
 from corpusloom.operators import answers, chunking, incremental, retrieval, state, tables
@@ -133,9 +134,9 @@ def content_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {CHUNKS}, gone AS (SELECT DISTINCT document_id FROM chunks WHERE is_deleted), lost AS (SELECT chunk_id FROM chunks WHERE document_id IN (SELECT document_id FROM gone))
-SELECT 'documents' AS table_name, count(DISTINCT document_id) AS n FROM chunks WHERE document_id NOT IN (SELECT document_id FROM gone)
-UNION ALL SELECT 'chunks', count(*) FROM chunks WHERE document_id NOT IN (SELECT document_id FROM gone)
-UNION ALL SELECT 'embeddings', count(*) FROM embeddings WHERE vec_id NOT IN (SELECT chunk_id FROM lost)"""
+SELECT DISTINCT 'documents' AS table_name, document_id AS id FROM chunks WHERE document_id NOT IN (SELECT document_id FROM gone)
+UNION ALL SELECT 'chunks', chunk_id FROM chunks WHERE document_id NOT IN (SELECT document_id FROM gone)
+UNION ALL SELECT 'embeddings', vec_id FROM embeddings WHERE vec_id NOT IN (SELECT chunk_id FROM lost)"""
 )
 def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     all_chunks = chunks(spark, sf_dir)
@@ -145,89 +146,146 @@ def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
         "embeddings": table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id")),
     }
     left = incremental.cascade_delete(stored, all_chunks.where("is_deleted"))
-    counted = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("table_name"), "n") for name, df in left.items()]
-    return counted[0].unionByName(counted[1]).unionByName(counted[2])
+    rows = [df.select(F.lit(name).alias("table_name"), F.col(df.columns[-1]).alias("id")) for name, df in left.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
-# Text
+# Text: documents with page marks, dates, titles and numbered headings around their texts
+
+AROUND = (
+    ("公司年度报告\n第 3 页\n1. 范围\n", "\n第 4 页 共 9 页\n2、结束"),
+    ("第一章 总则\n一、概述\n（2）细则\n", "\nPage 1 of 9\n第２节 附录\nlast words"),
+    ("12\n２０２４\n3 / 10\nPAGE 7\n", "\n\n\n\n2024-01-02\n第１２页"),
+    ("截至2024年12月31日\n\n123456\n", "\n\n摘要说明\n\n三、尾声\nthe end"),
+    ("", ""),
+)
+
+
+def noted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("doc_id") % len(AROUND)
+    around = [F.get(F.array(*[F.lit(x[k]) for x in AROUND]), n.cast("int")) for k in (0, 1)]
+    return documents(spark, sf_dir).withColumn("text", F.concat(around[0], "text", around[1]))
+
+
+def _around_sql(k: int) -> str:
+    return f"[{', '.join(chr(39) + x[k] + chr(39) for x in AROUND)}][doc_id % {len(AROUND)} + 1]"
+
+
+NOTED = f"noted AS (SELECT doc_id, {_around_sql(0)} || text || {_around_sql(1)} AS text FROM documents)"
 
 
 @query(
-    f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
+    f"""WITH {NOTED}, l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM noted),
 s AS (SELECT *, {strip_sql("line")} AS x FROM l),
-kept AS (SELECT * FROM s WHERE NOT (regexp_matches(x, '^[0-9]{{1,5}}$') OR regexp_matches(x, '^(第\\s*[0-9]+\\s*页|Page\\s*[0-9]+)$', 'i') OR (length(x) <= 10 AND regexp_matches(x, '^[0-9\\s./\\-]+$')))),
+kept AS (SELECT * FROM s WHERE NOT (regexp_matches(x, '^\\p{{Nd}}{{1,5}}$') OR regexp_matches(x, '^(第\\s*\\p{{Nd}}+\\s*页|Page\\s*\\p{{Nd}}+)$', 'i') OR (length(x) <= 10 AND regexp_matches(x, '^[\\p{{Nd}}\\s./\\-]+$')))),
 agg AS (SELECT doc_id, count(*) AS n_lines, string_agg(line, chr(10) ORDER BY n) AS t FROM kept GROUP BY 1)
-SELECT d.doc_id, CASE WHEN {strip_sql("d.text")} = '' THEN sha256(d.text) ELSE sha256(coalesce(a.t, '')) END AS cleaned_sha256 FROM documents d LEFT JOIN agg a USING (doc_id)"""
+SELECT d.doc_id, CASE WHEN {strip_sql("d.text")} = '' THEN sha256(d.text) ELSE sha256(coalesce(a.t, '')) END AS cleaned_sha256 FROM noted d LEFT JOIN agg a USING (doc_id)"""
 )
 def page_noise_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir).select("doc_id", text.sha256(text.drop_page_noise(F.col("text"))).alias("cleaned_sha256"))
+    return noted(spark, sf_dir).select("doc_id", text.sha256(text.drop_page_noise(F.col("text"))).alias("cleaned_sha256"))
 
 
 @query(
-    f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
+    f"""WITH {NOTED}, l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM noted),
 r AS (SELECT doc_id, line FROM l WHERE {strip_sql("line")} <> '' GROUP BY 1, 2 HAVING count(*) >= 3),
 s AS (SELECT l.doc_id, l.line, l.n, {strip_sql("l.line")} AS x FROM l),
 kept AS (SELECT s.* FROM s LEFT JOIN r ON r.doc_id = s.doc_id AND r.line = s.x
-  WHERE s.x = '' OR NOT (r.line IS NOT NULL OR regexp_matches(s.x, '第\\s*[0-9]+\\s*页\\s*共\\s*[0-9]+\\s*页|Page\\s+[0-9]+\\s+of\\s+[0-9]+|[0-9]{{4}}\\s*年\\s*[0-9]{{1,2}}\\s*月\\s*[0-9]{{1,2}}\\s*日')
-    OR (regexp_matches(s.x, '^[0-9]+$') AND length(s.x) < 5) OR regexp_matches(s.x, '^[0-9]{{4}}[-/][0-9]{{1,2}}[-/][0-9]{{1,2}}$'))),
+  WHERE s.x = '' OR NOT (r.line IS NOT NULL OR regexp_matches(s.x, '第\\s*\\p{{Nd}}+\\s*页\\s*共\\s*\\p{{Nd}}+\\s*页|Page\\s+\\p{{Nd}}+\\s+of\\s+\\p{{Nd}}+|\\p{{Nd}}{{4}}\\s*年\\s*\\p{{Nd}}{{1,2}}\\s*月\\s*\\p{{Nd}}{{1,2}}\\s*日')
+    OR (regexp_matches(s.x, '^\\p{{Nd}}+$') AND length(s.x) < 5) OR regexp_matches(s.x, '^\\p{{Nd}}{{4}}[-/]\\p{{Nd}}{{1,2}}[-/]\\p{{Nd}}{{1,2}}$'))),
 agg AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY n) AS t FROM kept GROUP BY 1),
-c AS (SELECT d.doc_id, {strip_sql("regexp_replace(coalesce(a.t, ''), '\\n{3,}', chr(10) || chr(10), 'g')")} AS t FROM documents d LEFT JOIN agg a USING (doc_id))
+c AS (SELECT d.doc_id, {strip_sql("regexp_replace(coalesce(a.t, ''), '\\n{3,}', chr(10) || chr(10), 'g')")} AS t FROM noted d LEFT JOIN agg a USING (doc_id))
 SELECT doc_id, length(t) AS n_chars, sha256(t) AS cleaned_sha256 FROM c"""
 )
 def header_footer_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned = documents(spark, sf_dir).select("doc_id", text.clean_text(F.col("text")).alias("t"))
+    cleaned = noted(spark, sf_dir).select("doc_id", text.clean_text(F.col("text")).alias("t"))
     return cleaned.select("doc_id", F.length("t").cast("long").alias("n_chars"), text.sha256(F.col("t")).alias("cleaned_sha256"))
 
 
-NUMBERED_SQL = "regexp_matches({0}, '^第[一二三四五六七八九十0-9]+[章节部分]|^[一二三四五六七八九十]+、|^[0-9]+[.、]|^[（(][0-9]+[）)]')"
+NUMBERED_SQL = "regexp_matches({0}, '^第[一二三四五六七八九十\\p{{Nd}}]+[章节部分]|^[一二三四五六七八九十]+、|^\\p{{Nd}}+[.、]|^[（(]\\p{{Nd}}+[）)]')"
 
 
 @query(
-    f"""WITH p AS (SELECT doc_id, unnest(list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda x: {strip_sql("x")}), lambda x: x <> '')) AS p FROM documents),
+    f"""WITH {NOTED}, p AS (SELECT doc_id, unnest(list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda x: {strip_sql("x")}), lambda x: x <> '')) AS p FROM noted),
 q AS (SELECT doc_id, p, string_split(p, chr(10))[1] AS f, len(string_split(p, chr(10))) AS n FROM p)
 SELECT doc_id, CASE WHEN length(f) < 100 AND NOT regexp_matches(f, '[。.；;]$') AND ({NUMBERED_SQL.format("f")} OR (length(f) < 50 AND n = 1)) THEN 'Title' ELSE 'NarrativeText' END AS element_type,
 count(*) AS n_elements, sum(length(p)) AS n_chars FROM q GROUP BY 1, 2"""
 )
 def paragraph_title_typing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = documents(spark, sf_dir).select("doc_id", F.explode(text.paragraphs(F.col("text"))).alias("p"))
+    parts = noted(spark, sf_dir).select("doc_id", F.explode(text.paragraphs(F.col("text"))).alias("p"))
     return parts.groupBy("doc_id", text.element_type(F.col("p")).alias("element_type")).agg(F.count("*").alias("n_elements"), F.sum(F.length("p")).cast("decimal(38,0)").alias("n_chars"))
 
 
 @query(
-    f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
+    f"""WITH {NOTED}, l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM noted),
 s AS (SELECT doc_id, n, {strip_sql("line")} AS x FROM l),
-v AS (SELECT *, CASE WHEN regexp_matches(x, '^第[一二三四五六七八九十0-9]+[章节部分]') THEN 1 WHEN regexp_matches(x, '^[一二三四五六七八九十]+、') THEN 2 WHEN regexp_matches(x, '^[0-9]+[.、]') THEN 3 WHEN regexp_matches(x, '^[（(][0-9]+[）)]') THEN 4 ELSE 0 END AS level FROM s WHERE x <> ''),
+v AS (SELECT *, CASE WHEN regexp_matches(x, '^第[一二三四五六七八九十\\p{{Nd}}]+[章节部分]') THEN 1 WHEN regexp_matches(x, '^[一二三四五六七八九十]+、') THEN 2 WHEN regexp_matches(x, '^\\p{{Nd}}+[.、]') THEN 3 WHEN regexp_matches(x, '^[（(]\\p{{Nd}}+[）)]') THEN 4 ELSE 0 END AS level FROM s WHERE x <> ''),
 i AS (SELECT *, sum(CASE WHEN level > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS section_no FROM v)
 SELECT doc_id, CAST(section_no AS INTEGER) AS section_no, CAST(max(level) AS INTEGER) AS level, max(x) FILTER (level > 0) AS title, coalesce(string_agg(x || chr(10), '' ORDER BY n) FILTER (level = 0), '') AS content
 FROM i WHERE section_no > 0 GROUP BY doc_id, section_no"""
 )
 def section_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.section_outline(documents(spark, sf_dir))
+    return chunking.section_outline(noted(spark, sf_dir))
 
 
 @query(
-    f"""WITH l AS (SELECT doc_id, list_transform(string_split({strip_sql("text")}, chr(10)), lambda x: {strip_sql("x")})[1:10] AS t FROM documents),
+    f"""WITH {NOTED}, l AS (SELECT doc_id, list_transform(string_split({strip_sql("text")}, chr(10)), lambda x: {strip_sql("x")})[1:10] AS t FROM noted),
 u AS (SELECT doc_id, t, unnest(t) AS x, generate_subscripts(t, 1) AS n FROM l),
 g AS (SELECT doc_id, x, n FROM u WHERE x <> '' AND ((length(x) < 200 AND regexp_matches(x, '报告|公告|说明|摘要|目录')) OR (list_position(t, x) <= 3 AND length(x) > 10 AND length(x) < 100)))
-SELECT d.doc_id, (SELECT arg_min(g.x, g.n) FROM g WHERE g.doc_id = d.doc_id) AS title FROM documents d"""
+SELECT d.doc_id, (SELECT arg_min(g.x, g.n) FROM g WHERE g.doc_id = d.doc_id) AS title FROM noted d"""
 )
 def doc_title_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir).select("doc_id", text.document_title(F.col("text")).alias("title"))
+    return noted(spark, sf_dir).select("doc_id", text.document_title(F.col("text")).alias("title"))
+
 
+def _sentence_chunks_sql(source: str) -> str:
+    """Chunks of a table's texts as out_: doc_id, n (paragraph), i (order in it), c (the chunk) and start."""
+    return f"""
+raw AS (SELECT doc_id, text, unnest(string_split(text, chr(10) || chr(10))) AS r, generate_subscripts(string_split(text, chr(10) || chr(10)), 1) AS n FROM {source}),
+par AS (SELECT doc_id, n, {strip_sql("r")} AS p, sum(length(r) + 2) OVER (PARTITION BY doc_id ORDER BY n) - length(r) - 2 + strpos(r, {strip_sql("r")}) - 1 AS at_ FROM raw),
+sen AS (SELECT *, list_filter(list_transform(CASE WHEN length(p) <= 500 THEN [p] ELSE regexp_extract_all(p, '[^。.]*[。.]|[^。.]+') END, lambda x: {strip_sql("x")}), lambda x: x <> '') AS s FROM par WHERE p <> ''),
+f AS (SELECT doc_id, n, p, at_, s, 1 AS i, s[1] AS current, greatest(strpos(p, s[1]) - 1, 0) AS b, NULL::VARCHAR AS said, 0::BIGINT AS said_at FROM sen
+  UNION ALL SELECT doc_id, n, p, at_, s, i + 1, CASE WHEN over_ THEN tail || ' ' || s[i + 1] ELSE current || ' ' || s[i + 1] END,
+    CASE WHEN over_ THEN CASE WHEN k > 0 THEN from_ + k - 1 ELSE 0 END ELSE b END, CASE WHEN over_ THEN current END, b
+  FROM (SELECT *, strpos(substring(p, from_ + 1), tail) AS k FROM (SELECT *, length(current) + length(s[i + 1]) + 1 > 500 AS over_, right(current, 100) AS tail, greatest(strpos(p, current) - 1, 0) AS from_ FROM f WHERE i < len(s)))),
+out_ AS (SELECT doc_id, n, i, said AS c, at_ + said_at AS start FROM f WHERE said IS NOT NULL UNION ALL SELECT doc_id, n, i + 1, current, at_ + b FROM f WHERE i = len(s))
+"""
 
-@query()
+
+@query(
+    f"""WITH RECURSIVE {NOTED}, {_sentence_chunks_sql("noted")}
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n, i) AS INTEGER) AS piece, CAST(length({strip_sql("c")}) AS INTEGER) AS n_chars, CAST(start AS INTEGER) AS "start", CAST(start + length(c) AS INTEGER) AS "end", sha256({strip_sql("c")}) AS content_sha256 FROM out_ WHERE {strip_sql("c")} <> ''"""
+)
 def chunk_live(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks by paragraph and sentence; a fold, so tested against a model rather than by SQL."""
-    pieces = chunking.explode_chunks(documents(spark, sf_dir), chunking.by_paragraphs)
-    return pieces.select("doc_id", "piece", F.length("content").alias("n_chars"), text.sha256(F.col("content")).alias("content_sha256"))
+    """Chunks by paragraph and sentence with their places."""
+    pieces = chunking.explode_chunks(noted(spark, sf_dir), chunking.placed_by_paragraphs, placed=True)
+    return pieces.select("doc_id", "piece", F.length("content").alias("n_chars"), "start", "end", text.sha256(F.col("content")).alias("content_sha256"))
+
 
+def _after_sentence_sql(low: str, high: str) -> str:
+    return f"({low} + length(regexp_extract(substring(t, {low} + 1, {high} - {low}), '(?s)^.*[。！？.!?\\n]')))"
 
-@query()
+
+@query(
+    f"""WITH RECURSIVE w AS (SELECT doc_id, text AS t, length(text) AS n, 0::BIGINT AS b, 0::BIGINT AS e, 0 AS k FROM documents WHERE text IS NOT NULL
+  UNION ALL SELECT doc_id, t, n, b2, CASE WHEN b2 + 512 >= n THEN n ELSE greatest({_after_sentence_sql("(b2 + 384)", "(b2 + 512)")}, b2 + 1) END, k + 1
+  FROM (SELECT doc_id, t, n, k, CASE WHEN k = 0 THEN 0 WHEN e - 50 > b THEN greatest(b + 1, {_after_sentence_sql("greatest(0, e - 100)", "(e - 50)")}) ELSE e END AS b2 FROM w WHERE k = 0 OR e < n) WHERE b2 < n),
+p AS (SELECT doc_id, k, {strip_sql("substring(t, b + 1, e - b)")} AS c FROM w WHERE k > 0)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) AS INTEGER) AS piece, CAST(length(c) AS INTEGER) AS n_chars, sha256(c) AS content_sha256 FROM p WHERE c <> ''"""
+)
 def chunk_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = chunking.explode_chunks(documents(spark, sf_dir), chunking.by_window)
     return pieces.select("doc_id", "piece", F.length("content").alias("n_chars"), text.sha256(F.col("content")).alias("content_sha256"))
 
 
+@query(
+    f"""WITH {NOTED}, l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS r FROM noted), s AS (SELECT doc_id, {strip_sql("r")} AS x FROM l)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (x <> '' AND ({NUMBERED_SQL.format("x")} OR (length(x) BETWEEN 5 AND 100 AND NOT regexp_matches(x, '[。.；;]$') AND regexp_matches(x, '报告|公告|说明|摘要|目录|概述|总结')))) AS n_titles FROM s GROUP BY 1"""
+)
+def title_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = noted(spark, sf_dir).select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line"))
+    return line.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if(text.is_title_line(F.col("line"))).alias("n_titles"))
+
+
 # Tables, made of the lines of an order
 
 
@@ -249,23 +307,95 @@ def table_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT o_custkey, count(*) AS n_tables, count(*) - 1 AS n_injected, sum(CASE WHEN n = 1 THEN 1 ELSE 2 END) AS n_rows FROM
-(SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders) GROUP BY 1"""
+    """WITH p AS (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders),
+k AS (SELECT *, n % 5 = 1 AS header, n % 5 <> 1 AND n % 7 = 0 AS wide FROM p),
+c AS (SELECT *, last_value(CASE WHEN header THEN 1 WHEN wide THEN 0 END IGNORE NULLS) OVER (PARTITION BY o_custkey ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) = 1 AND NOT header AND NOT wide AS injected FROM k)
+SELECT o_custkey, count(*) AS n_tables, count(*) FILTER (injected) AS n_injected, sum(CASE WHEN injected THEN 2 ELSE 1 END) AS n_rows, sum(CASE WHEN wide THEN 3 ELSE 2 END) AS n_columns FROM c GROUP BY 1"""
 )
 def cross_page_header(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A customer's orders as a table that goes on over pages: only the first has the header."""
+    """A customer's orders as a table that goes on over pages: every fifth page has a header, and every seventh one column more, which ends it."""
     w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
     row = F.array(F.col("o_orderkey").cast("string"), F.lit("100"))
     pages = table(spark, sf_dir, "orders").withColumn("page_no", F.row_number().over(w))
-    header = F.when(F.col("page_no") == 1, F.array(F.lit("项目"), F.lit("金额"))).otherwise(row)
-    parts = pages.select(F.col("o_custkey").alias("doc_id"), "page_no", F.lit(1).alias("seq"), tables.table_data(F.array(header)).alias("table_data"))
+    first = F.when(F.col("page_no") % 5 == 1, F.array(F.lit("项目"), F.lit("金额"))).when(F.col("page_no") % 7 == 0, F.array_append(row, "7")).otherwise(row)
+    parts = pages.select(F.col("o_custkey").alias("doc_id"), "page_no", F.lit(1).alias("seq"), tables.table_data(F.array(first)).alias("table_data"))
     carried = tables.carry_headers(parts)
-    return carried.groupBy(F.col("doc_id").alias("o_custkey")).agg(F.count("*").alias("n_tables"), F.count_if("injected").alias("n_injected"), F.sum("table_data.row_count").cast("decimal(38,0)").alias("n_rows"))
+    return carried.groupBy(F.col("doc_id").alias("o_custkey")).agg(
+        F.count("*").alias("n_tables"), F.count_if("injected").alias("n_injected"), F.sum("table_data.row_count").cast("decimal(38,0)").alias("n_rows"), F.sum("table_data.col_count").cast("decimal(38,0)").alias("n_columns")
+    )
+
+
+@query(
+    """WITH b AS (SELECT l_orderkey AS doc_id, CAST(l_linenumber * 100 + l_quantity AS INTEGER) AS seq, (l_partkey % 400)::DOUBLE AS top, (l_suppkey % 3)::DOUBLE AS left_, l_quantity FROM lineitem)
+SELECT doc_id, seq, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY top, left_, seq) AS INTEGER) AS elem_no, top < 180 AND l_quantity >= 10 AS may_continue FROM b"""
+)
+def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order's lines as tables on a page: their order by place, and which may go on from the page before."""
+    boxes = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page_no"), (F.col("l_linenumber") * 100 + F.col("l_quantity")).cast("int").alias("seq"), (F.col("l_partkey") % 400).cast("double").alias("top"), (F.col("l_suppkey") % 3).cast("double").alias("left"), "l_quantity"
+    )
+    first = F.when(F.col("l_quantity") >= 10, F.array(F.lit("10.5"), F.lit("3%"))).otherwise(F.array(F.lit("项目"), F.lit("金额")))
+    return tables.reading_order(boxes).select("doc_id", "seq", "elem_no", tables.may_continue(F.col("top"), first).alias("may_continue"))
+
+
+@query(
+    f"""WITH RECURSIVE {_sentence_chunks_sql("documents")},
+e AS (SELECT doc_id AS d, 1 AS elem_no, n, i, {strip_sql("c")} AS c FROM out_ WHERE {strip_sql("c")} <> ''
+  UNION ALL SELECT doc_id, 2, 1, 1, '| a | b |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || doc_id || ' | ' || n_chars || ' |' FROM documents)
+SELECT d // 10 AS doc_id, CAST(row_number() OVER (PARTITION BY d // 10 ORDER BY d % 10, elem_no, n, i) AS INTEGER) AS chunk_no, CASE elem_no WHEN 1 THEN 'text' ELSE 'table' END AS kind, sha256(c) AS content_sha256 FROM e"""
+)
+def chunk_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten documents as the text of a file's pages, each with a small table below it."""
+    docs = documents(spark, sf_dir)
+    place = [F.expr("doc_id div 10").alias("doc_id"), (F.col("doc_id") % 10).cast("int").alias("page_no")]
+    table_text = F.concat(F.lit("| a | b |\n| --- | --- |\n| "), F.col("doc_id").cast("string"), F.lit(" | "), F.col("n_chars").cast("string"), F.lit(" |"))
+    parts = docs.select(*place, F.lit(1).alias("elem_no"), F.lit("text").alias("kind"), F.col("text").alias("content")).unionByName(docs.select(*place, F.lit(2).alias("elem_no"), F.lit("table").alias("kind"), table_text.alias("content")))
+    return chunking.chunk_elements(parts).select("doc_id", "chunk_no", "kind", text.sha256(F.col("content")).alias("content_sha256"))
+
+
+@query(
+    f"""WITH {CHUNKS}, t AS (SELECT tenant, sha256(content) AS h, min(chunk_id) AS table_id FROM chunks WHERE is_deleted OR chunk_id % 3 = 0 GROUP BY 1, 2)
+SELECT c.chunk_id, t.table_id FROM chunks c LEFT JOIN t ON t.tenant = c.tenant AND t.h = sha256(c.content)"""
+)
+def table_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks with the stored table of equal content; every third document and the deleted ones are stored."""
+    hashed = chunks(spark, sf_dir).withColumn("table_sha256", text.sha256(F.col("content")))
+    stored = hashed.where("is_deleted or chunk_id % 3 = 0").select(F.col("chunk_id").alias("id"), "tenant", "table_sha256")
+    return incremental.with_tables(hashed, stored).select("chunk_id", "table_id")
+
+
+_NAMED = """
+stored AS (SELECT page_id AS document_id, page_id % 3 AS tenant, CASE page_id % 2 WHEN 0 THEN 'a/' ELSE 'b\\' END || 'file' || (page_id % 50) || '.pdf' AS file_uri FROM pages),
+asked AS (SELECT DISTINCT page_id % 3 AS tenant, 'file' || (page_id % 50) || '.pdf' AS file_name FROM pages WHERE page_id % 4 = 0),
+same AS (SELECT a.tenant, a.file_name, min(s.document_id) AS document_id FROM asked a JOIN stored s ON s.tenant = a.tenant AND regexp_extract(s.file_uri, '[^/\\\\]*$') = a.file_name GROUP BY 1, 2)
+"""
+
+
+def _stored_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("page_id")
+    uri = F.concat(F.when(n % 2 == 0, "a/").otherwise("b\\"), F.lit("file"), (n % 50).cast("string"), F.lit(".pdf"))
+    return table(spark, sf_dir, "pages").select(n.alias("document_id"), (n % 3).alias("tenant"), uri.alias("file_uri"))
+
+
+@query(f"WITH {_NAMED} SELECT * FROM same")
+def find_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The oldest stored page of each name that every fourth page asks for, within its tenant."""
+    n = F.col("page_id")
+    names = table(spark, sf_dir, "pages").where(n % 4 == 0).select((n % 3).alias("tenant"), F.concat(F.lit("file"), (n % 50).cast("string"), F.lit(".pdf")).alias("file_name"))
+    return incremental.by_file_name(_stored_files(spark, sf_dir), names)
+
+
+@query(f"WITH {_NAMED} SELECT document_id, tenant, 'annual_report' AS doc_type, 'upload' AS source, 'faiss_' || document_id AS vector_id FROM stored WHERE document_id NOT IN (SELECT document_id FROM same)")
+def overwrite_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of the store when every fourth page comes again, with the defaults of a document."""
+    stored = _stored_files(spark, sf_dir)
+    left = incremental.overwrite({"documents": stored, "chunks": stored.select("document_id", F.col("document_id").alias("chunk_id"))}, stored.where(F.col("document_id") % 4 == 0))["documents"]
+    return incremental.with_document_defaults(left).select("document_id", "tenant", "doc_type", "source", incremental.vector_id("faiss", F.col("document_id")).alias("vector_id"))
 
 
 # Retrieval
 
-TOKENS = "list_filter(regexp_extract_all({0}, '[一-龥]+|[a-zA-Z]+|[0-9]+'), lambda t: length(t) > 1)"
+TOKENS = "list_filter(regexp_extract_all({0}, '[一-龥]+|[a-zA-Z]+|\\p{{Nd}}+'), lambda t: length(t) > 1)"
 BM25 = f"""
 tok AS (SELECT chunk_id, unnest({TOKENS.format("content")}) AS term FROM chunks WHERE NOT is_deleted),
 tfs AS (SELECT chunk_id, term, count(*) AS tf, CAST(sum(count(*)) OVER (PARTITION BY chunk_id) AS BIGINT) AS dl FROM tok GROUP BY 1, 2),
@@ -610,9 +740,16 @@ def failure_streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.failure_streaks(table(spark, sf_dir, "events"), "user_id", ("ts", "event_id"), F.col("event_type") == "error").select("event_id", "user_id", "streak")
 
 
-@query()
+@query(
+    """WITH RECURSIVE u AS (SELECT user_id, list({'id': event_id, 'at_': epoch_ms(ts) / 1000.0, 'bad': event_type IN ('click', 'error')} ORDER BY ts, event_id) AS l FROM events GROUP BY 1),
+f AS (SELECT user_id, l, 0::BIGINT AS i, 0 AS failures, -1.0::DOUBLE AS opened, 'CLOSED' AS mode, NULL::BOOLEAN AS allowed FROM u
+  UNION ALL SELECT user_id, l, i + 1, CASE WHEN NOT pass THEN failures WHEN bad THEN failures + 1 ELSE 0 END, CASE WHEN pass AND bad AND failures + 1 >= 5 THEN at_ ELSE opened END,
+    CASE WHEN NOT pass THEN mode WHEN NOT bad THEN 'CLOSED' WHEN failures + 1 >= 5 THEN 'OPEN' WHEN mode = 'OPEN' THEN 'HALF_OPEN' ELSE mode END, pass
+  FROM (SELECT *, l[i + 1].at_::DOUBLE AS at_, l[i + 1].bad AS bad, NOT (mode = 'OPEN' AND l[i + 1].at_::DOUBLE - opened < 60) AS pass FROM f WHERE i < len(l)))
+SELECT l[i].id AS event_id, user_id, allowed, mode AS state FROM f WHERE i > 0"""
+)
 def circuit_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each user's calls through a breaker; clicks and errors fail.  A fold, so tested against a model rather than by SQL."""
+    """Each user's calls through a breaker; clicks and errors fail."""
     calls = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
     out = state.breaker(calls, "user_id", ("ts", "event_id"), F.unix_millis(F.col("ts").cast("timestamp")) / 1000.0, F.col("event_type").isin("click", "error"))
     return out.select("event_id", "user_id", "allowed", "state")
@@ -679,3 +816,112 @@ def audit_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def index_build_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = DEFAULT.chunking
     return sinks.index_build_log(retrieval.live(chunks(spark, sf_dir)), "vector", {"chunk_size": str(size.size), "chunk_overlap": str(size.overlap)})
+
+
+# Models: what they are given, what they say, and what users are told
+
+
+@query(
+    f"""WITH {CHUNKS}, p AS (SELECT *, CASE WHEN page_end <> 0 THEN page_end ELSE page_start END AS e FROM chunks),
+m AS (SELECT *, max(e) OVER (PARTITION BY document_id ORDER BY page_start, chunk_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM p),
+i AS (SELECT *, sum(CASE WHEN b IS NULL OR page_start > b + 5 THEN 1 ELSE 0 END) OVER (PARTITION BY document_id ORDER BY page_start, chunk_id) AS island FROM m),
+g AS (SELECT document_id, island, string_agg('[Chunk ' || chunk_id || ']', ' ' ORDER BY page_start, chunk_id) || chr(10) || string_agg(content, chr(10) || chr(10) ORDER BY page_start, chunk_id) AS t FROM i GROUP BY 1, 2),
+c AS (SELECT document_id // 3 AS request_id, string_agg(t, chr(10) || chr(10) ORDER BY document_id, island) AS context FROM g GROUP BY 1)
+SELECT request_id, sha256(context) AS context_sha256, sha256('【参考资料】' || chr(10) || context || chr(10) || chr(10) || '【用户问题】' || chr(10) || 'question ' || request_id) AS prompt_sha256 FROM c"""
+)
+def summary_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three documents as the context of a question, and the prompt made of both."""
+    merged = answers.merge_adjacent(chunks(spark, sf_dir)).withColumn("request_id", F.expr("document_id div 3"))
+    context = answers.contexts(merged, ("request_id",))
+    prompt = providers.filled_prompt(providers.SUMMARY_PROMPT, context=F.col("context"), query=F.concat(F.lit("question "), F.col("request_id").cast("string")))
+    return context.select("request_id", text.sha256(F.col("context")).alias("context_sha256"), text.sha256(prompt).alias("prompt_sha256"))
+
+
+@query(
+    """WITH s AS (SELECT conv_id, turn, text, CASE turn % 3 WHEN 0 THEN ['product', 'date'] WHEN 1 THEN ['year'] ELSE [] END AS names, 2020 + conv_id % 5 AS y FROM conversations)
+SELECT conv_id, turn, CASE WHEN len(names) > 0 THEN '槽位名列表：' || array_to_string(names, '、') || chr(10) || chr(10) || '用户输入：' || trim(text) END AS prompt,
+CASE WHEN turn % 4 = 3 THEN '' WHEN turn % 3 = 0 THEN 'date=' || y WHEN turn % 3 = 1 THEN 'year=' || y ELSE '' END AS slots FROM s"""
+)
+def slot_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What asks for a turn's slots, and what is taken from replies that are plain, fenced or no JSON."""
+    turns = table(spark, sf_dir, "conversations")
+    lit = lambda *x: F.array(*[F.lit(y) for y in x]) if x else F.array().cast("array<string>")
+    names = F.when(F.col("turn") % 3 == 0, lit("product", "date")).when(F.col("turn") % 3 == 1, lit("year")).otherwise(lit())
+    body = F.format_string('{"date": " %d ", "year": "%d", "product": "  ", "other": "x"}', 2020 + F.col("conv_id") % 5, 2020 + F.col("conv_id") % 5)
+    raw = F.when(F.col("turn") % 4 == 3, "I can't say").when(F.col("turn") % 2 == 0, F.concat(F.lit("```JSON\n"), body, F.lit("\n```"))).otherwise(body)
+    slots = F.array_sort(F.transform(F.map_entries(providers.parsed_slots(raw, names)), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    return turns.select("conv_id", "turn", providers.slot_prompt(F.col("text"), names).alias("prompt"), F.array_join(slots, ",").alias("slots"))
+
+
+@query(
+    """WITH k AS (SELECT event_id, CASE event_type WHEN 'view' THEN 'growth' WHEN 'click' THEN 'ratio' WHEN 'error' THEN 'power' ELSE 'diff' END AS op, event_id % 100 AS a, event_id % 7 AS b, event_type FROM events)
+SELECT event_id, CASE WHEN event_type <> 'signup' THEN op END AS op_type, CASE WHEN event_type <> 'signup' THEN a::DOUBLE END AS val1, CASE WHEN event_type <> 'signup' AND event_id % 11 <> 0 THEN b::DOUBLE END AS val2,
+op = 'power' OR event_type = 'signup' OR event_id % 11 = 0 AS fallback FROM k"""
+)
+def calc_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calculations that a model asks for in JSON, fenced or not, some with a wrong kind, no number, or no JSON at all."""
+    n = F.col("event_id")
+    op = F.when(F.col("event_type") == "view", "growth").when(F.col("event_type") == "click", "ratio").when(F.col("event_type") == "error", "power").otherwise("diff")
+    body = F.concat(F.lit('{"op_type": "'), op, F.lit('", "val1": '), (n % 100).cast("string"), F.lit(', "val2": '), F.when(n % 11 == 0, '"many"').otherwise((n % 7).cast("string")), F.lit(', "reason": "r"}'))
+    raw = F.when(F.col("event_type") == "signup", "no idea").when(n % 2 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise(body)
+    return table(spark, sf_dir, "events").select("event_id", answers.calc_payload(raw).alias("p")).select("event_id", "p.*")
+
+
+@query(
+    f"""WITH {ASKED}, r AS (SELECT conv_id, turn, 'q' || conv_id AS q, turn % 3 AS k FROM asked0)
+SELECT conv_id, turn, CASE k WHEN 0 THEN 'better ' || q WHEN 1 THEN 'quoted ' || q ELSE 'what is ' || q || '?' END AS primary_query,
+CASE k WHEN 0 THEN 'one|two|' || q ELSE q || '|' || q || ' 详细信息' END AS rewritten, CASE k WHEN 0 THEN '2021,2023' ELSE '' END AS years FROM r"""
+)
+def rewrite_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rewrites as a model gives them: JSON in a fence, a quoted text, or a bare question."""
+    q = F.concat(F.lit("q"), F.col("conv_id").cast("string"))
+    fenced = F.concat(F.lit('```json\n{"primary_query": "better '), q, F.lit('", "rewritten_queries": ["one", "two"], "extracted_years": ["2021", "x", "2023"]}\n```'))
+    raw = F.when(F.col("turn") % 3 == 0, fenced).when(F.col("turn") % 3 == 1, F.concat(F.lit('I would say "quoted '), q, F.lit('" here'))).otherwise(F.concat(F.lit("what is "), q, F.lit("?")))
+    parsed = _asked(spark, sf_dir).select("conv_id", "turn", providers.parsed_rewrite(raw, q).alias("p"))
+    return parsed.select("conv_id", "turn", "p.primary_query", F.array_join("p.rewritten_queries", "|").alias("rewritten"), F.array_join(F.transform("p.extracted_years", lambda y: y.cast("string")), ",").alias("years"))
+
+
+@query(
+    f"""WITH {ANSWERS}, f AS (SELECT request_id, answer, CASE request_id % 3 WHEN 0 THEN substring(answer, 1, 5) ELSE 'formula ' || request_id END AS formula FROM answers)
+SELECT request_id, CASE WHEN contains(answer, formula) THEN answer ELSE answer || chr(10) || chr(10) || formula END AS answer,
+CASE request_id % 5 WHEN 0 THEN '服务暂时不可用，请稍后重试' WHEN 1 THEN '数据库连接失败，请稍后重试' WHEN 2 THEN '请求超时，请稍后重试' WHEN 3 THEN '请求参数验证失败，请检查输入' ELSE '处理失败，请稍后重试' END AS error FROM f"""
+)
+def answer_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers with their formula below, and what users are told instead of an error."""
+    n = F.col("request_id")
+    formula = F.when(n % 3 == 0, F.substring("answer", 1, 5)).otherwise(F.concat(F.lit("formula "), n.cast("string")))
+    error = F.element_at(F.array(*[F.lit(x) for x in ("Circuit is open", "no connection", "Timeout after 3 s", "pydantic says no", "boom")]), (n % 5 + 1).cast("int"))
+    return _answers(spark, sf_dir).select("request_id", answers.with_formula(F.col("answer"), formula).alias("answer"), policy.error_message(error).alias("error"))
+
+
+@query(
+    f"""WITH {ANSWERS}, a AS (SELECT request_id, answer, cited FROM ids),
+e AS (SELECT request_id, 0 AS seq, 'connected' AS event, '{{}}' AS payload FROM a
+  UNION ALL SELECT request_id, 1, CASE WHEN request_id % 4 = 0 THEN 'slot_asking' ELSE 'citations' END, CASE WHEN request_id % 4 = 0 THEN '{{"missing":["year"]}}' ELSE '{{"citations":[' || array_to_string(cited, ',') || ']}}' END FROM a
+  UNION ALL SELECT request_id, 1 + i, 'answer', '{{"token":' || to_json(substring(answer, i, 1)) || '}}' FROM (SELECT *, unnest(range(1, length(answer) + 1)) AS i FROM a WHERE request_id % 4 <> 0))
+SELECT request_id, CAST(seq AS INTEGER) AS seq, event, payload FROM e"""
+)
+def answer_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events of answers as they are streamed; every fourth asks for a year instead."""
+    missing = F.when(F.col("request_id") % 4 == 0, F.array(F.lit("year"))).otherwise(F.array().cast("array<string>"))
+    return answers.stream_events(_answers(spark, sf_dir).select("request_id", "answer", policy.citations(F.col("answer")).alias("citations"), missing.alias("missing")))
+
+
+@query(f"WITH {ANSWERS} SELECT request_id, answer, CASE request_id % 2 WHEN 0 THEN 0.5::DOUBLE ELSE 0::DOUBLE END AS confidence, FALSE AS success, 0 AS latency_ms, 'https://h/' || CASE request_id % 3 WHEN 0 THEN 'compatible-mode/v1' WHEN 1 THEN 'api/compatible-mode/v1' ELSE 'compatible-mode/x' END AS url FROM answers")
+def response_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses of which half lack a confidence and all lack the rest, and base URLs of their services."""
+    n = F.col("request_id")
+    url = F.when(n % 3 == 0, "https://h/v1").when(n % 3 == 1, "https://h/api/").otherwise("https://h/compatible-mode/x")
+    full = answers.with_response_defaults(_answers(spark, sf_dir).withColumn("confidence", F.when(n % 2 == 0, 0.5)))
+    return full.select("request_id", "answer", "confidence", "success", "latency_ms", providers.compatible_url(url).alias("url"))
+
+
+@query(
+    f"""WITH {CHUNKS}, {BM25}, {KNN}, {HITS}, o AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY rank, route DESC) AS place FROM hits),
+b AS (SELECT query_id, chunk_id, min(place) AS place FROM o GROUP BY 1, 2), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY place) AS INTEGER) AS rank FROM b)
+SELECT query_id, chunk_id, rank FROM r WHERE rank <= {DEFAULT.retrieval.top_k}"""
+)
+def rerank_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both routes' hits in turns, each chunk once where it comes first, cut as for a reranker."""
+    placed = _hits(spark, sf_dir).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank", F.desc("route"))))
+    return retrieval.rerank(retrieval.keep_best(placed)).select("query_id", "chunk_id", "rank")

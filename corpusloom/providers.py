@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import time
 import zlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
+from string import Formatter
 from typing import Protocol
 
 import numpy as np
@@ -13,7 +16,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.config import DEFAULT, Resilience
 from corpusloom.functions import policy
-from corpusloom.functions.text import drop_page_noise, preview, tokens, years
+from corpusloom.functions.text import drop_page_noise, preview, strip, tokens, years
+from corpusloom.operators.state import Breaker
 
 
 class Embedder(Protocol):
@@ -103,14 +107,78 @@ def parse_files(files: DataFrame, parser: PdfParser) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, "path string, page_no int, text string").withColumn("text", drop_page_noise(F.col("text")))
 
 
-def with_retries(call: Callable[[], str], wait: Callable[[float], None], settings: Resilience = DEFAULT.resilience) -> tuple[str | None, list[dict]]:
-    """The result of ``call`` after up to so many attempts, and one event for each failure; waits double between attempts."""
-    events = []
+def with_retries(
+    call: Callable[[], str], wait: Callable[[float], None], settings: Resilience = DEFAULT.resilience, clock: Callable[[], float] = time.monotonic
+) -> tuple[str | None, list[dict]]:
+    """The result of ``call`` after up to so many attempts, and one event for each failure.
+
+    Waits double between attempts; none is made that would go beyond the seconds allowed in all.
+    """
+    events: list[dict] = []
+    began = clock()
     for attempt in range(1, settings.max_attempts + 1):
         try:
             return call(), events
         except (TimeoutError, ConnectionError) as error:
             events.append({"attempt": attempt, "event_type": "timeout" if isinstance(error, TimeoutError) else "fallback", "error_msg": str(error)})
-            if attempt < settings.max_attempts:
-                wait(min(settings.backoff_multiplier * 2 ** (attempt - 1), settings.backoff_max))
+            pause = min(settings.backoff_multiplier * 2 ** (attempt - 1), settings.backoff_max)
+            if attempt == settings.max_attempts or clock() - began + pause > settings.total_seconds:
+                break
+            wait(pause)
     return None, events
+
+
+@dataclass
+class Fallback:
+    """A primary model behind a circuit breaker, and a second one for when it fails or isn't to be asked."""
+
+    primary: Callable[[], str]
+    secondary: Callable[[], str]
+    settings: Resilience = DEFAULT.resilience
+    breaker: Breaker = field(default_factory=Breaker)
+
+    def answer(self, wait: Callable[[float], None], clock: Callable[[], float] = time.monotonic) -> tuple[str | None, str, list[dict]]:
+        """The answer, which model gave it (or none), and the events; each use of the second model is an event."""
+        events: list[dict] = []
+        now = clock()
+        if self.breaker.may_call(now, self.settings):
+            said, events = with_retries(self.primary, wait, self.settings, clock)
+            self.breaker.call(now, said is None, self.settings)
+            if said is not None:
+                return said, "primary", events
+        events.append({"attempt": 1, "event_type": "fallback", "error_msg": "the primary model gave no answer" if events else "the circuit is open"})
+        said, more = with_retries(self.secondary, wait, self.settings, clock)
+        return said, "secondary" if said is not None else "none", events + more
+
+
+# What a model is given.
+SLOT_PROMPT = "槽位名列表：{slots}\n\n用户输入：{query}"
+SUMMARY_PROMPT = "【参考资料】\n{context}\n\n【用户问题】\n{query}"
+
+
+def filled_prompt(template: str | None, **values: Column) -> Column:
+    """A template with its ``{names}`` replaced by columns, for each row; a name without a value, or no template, is an error."""
+    if template is None:
+        raise ValueError("there is no such template")
+    parts = [F.lit(before) if name is None else F.concat(F.lit(before), values[name]) for before, name, _, _ in Formatter().parse(template)]
+    return F.concat(*parts)
+
+
+def slot_prompt(query: Column, names: Column) -> Column:
+    """What asks a model for the values of slots (an array of names); null where none is wanted."""
+    return F.when(F.size(names) > 0, filled_prompt(SLOT_PROMPT, slots=F.array_join(names, "、"), query=F.trim(query)))
+
+
+def parsed_slots(raw: Column, names: Column) -> Column:
+    """Values by slot of a model's JSON, fenced or not: those of wanted names that aren't blank; none of what isn't an object."""
+    fenced = F.regexp_extract(raw, r"(?s)```(?:(?i)json)?\s*(.*?)\s*```", 1)
+    given = F.from_json(F.when(fenced != "", fenced).otherwise(F.trim(raw)), "map<string,string>")
+    stripped = F.transform_values(F.coalesce(given, F.create_map().cast("map<string,string>")), lambda k, v: strip(v))
+    return F.map_filter(stripped, lambda k, v: F.array_contains(names, k) & v.isNotNull() & (v != ""))
+
+
+def compatible_url(base: Column) -> Column:
+    """A service's base URL with the path of its compatible mode."""
+    ends = base.endswith("/v1")
+    whole = F.when(ends, F.replace(base, F.lit("/v1"), F.lit("/compatible-mode/v1"))).otherwise(F.concat(F.rtrim(base, F.lit("/")), F.lit("/compatible-mode/v1")))
+    return F.when(F.contains(base, F.lit("/compatible-mode")), base).otherwise(whole)

@@ -75,3 +75,56 @@ def test_errors(spark):
 def test_backoff(spark):
     got = many(spark, policy.backoff, [1, 2, 5], "int")
     assert got == [1.0, 2.0, 10.0]
+
+
+def test_retries_end_with_the_time():
+    from corpusloom.providers import with_retries
+
+    now, waits = [0.0], []
+
+    def slow():
+        now[0] += 20
+        raise TimeoutError("slow")
+
+    said, events = with_retries(slow, waits.append, clock=lambda: now[0])
+    assert said is None and waits == [1.0] and [e["attempt"] for e in events] == [1, 2]  # 41 seconds are more than 30
+
+
+def test_second_model_answers_for_the_first():
+    from corpusloom.providers import Fallback
+
+    now, asked = [0.0], []
+
+    def broken():
+        asked.append(now[0])
+        raise ConnectionError("down")
+
+    both = Fallback(broken, lambda: "ok")
+    for _ in range(6):
+        said, model, events = both.answer(lambda s: None, lambda: now[0])
+        assert (said, model) == ("ok", "secondary") and events[-1]["event_type"] == "fallback"
+        now[0] += 1
+    assert len(asked) == 15 and events[-1]["error_msg"] == "the circuit is open"  # five failures open it
+    now[0] += 60
+    assert Fallback(lambda: "first", lambda: "ok", breaker=both.breaker).answer(lambda s: None, lambda: now[0])[1] == "primary"
+    assert both.breaker.mode == "CLOSED"
+
+
+def test_numbers_in_formulas(spark):
+    from corpusloom.operators.answers import formulas, number_text
+
+    values = [0.0, 5.0, -3.0, 2.5, 0.1, 1234567.25, 12345678.5, 123456789012.125, 0.0001, 0.00012, 1.5e-5, -2e-7, 1e15, 1e17, 100.0]
+    got = [r.t for r in spark.createDataFrame([(v,) for v in values], "x double").select(number_text(F.col("x")).alias("t")).collect()]
+    assert got == [str(int(v)) if v == int(v) else repr(v) for v in values]
+    rows = [("growth", 100.0, 80.0), ("ratio", 1.07, 40.0), ("diff", float("inf"), 1.0), ("growth", 1.0, 0.0), ("ratio", 2.675, 100.0)]
+    out = [r.formula for r in formulas(spark.createDataFrame(rows, "op string, a double, b double")).collect()]
+    assert out[0] == "(100 - 80) / 80 = 25.00%" and out[1] == f"1.07 / 40 = {1.07 / 40 * 100:.2f}%" and out[2] is None and out[3].startswith("增长率") and out[4] == f"2.675 / 100 = {2.675 / 100 * 100:.2f}%"
+
+
+def test_prompts_need_their_values():
+    import pytest
+
+    from corpusloom.providers import filled_prompt
+
+    with pytest.raises(ValueError):
+        filled_prompt(None)

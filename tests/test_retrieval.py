@@ -37,7 +37,7 @@ def test_year_filter_and_fallback(spark):
 
 
 def test_bm25_like_the_formula(spark):
-    import re
+    import regex as re
 
     rng = random.Random(4)
     docs = [(i, " ".join(rng.choice(("alpha", "beta", "gamma", "delta", "the", "the", "营收")) for _ in range(rng.randint(0, 12)))) for i in range(40)]
