@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import cut, filled, shuffle_partitions, slices
 
-CHUNK = 32768  # characters; a text of no more is one chunk
-OVERLAP = 1024
+CHUNK = 8192  # characters; a text of no more is one chunk
+OVERLAP = 512
 
 _ENCODED = "doc_id long, n_tokens long, ids binary"
 
@@ -147,7 +147,8 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", id_colu
 
     ``path`` is the rank file on every executor and ``pattern`` splits text
     before the merges.  A null text is empty and has no ids.  Null and repeated
-    doc_ids come out as they went in.
+    doc_ids come out as they went in; no rows give none.  Other columns,
+    whatever their names, aren't looked at.
     """
     if not 0 < overlap <= chunk:
         raise ValueError("the overlap must be positive and no longer than a chunk")

@@ -93,3 +93,13 @@ def test_chunks_encode_like_whole_texts(spark):
 
 def test_bpe_empty_table(spark):
     assert bpe.encode(documents(spark, []), RANKS, public_tokenizers.PATTERN).count() == 0
+
+
+def test_production_chunks_meet_in_long_texts(spark):
+    ranks = bpe._ranks(RANKS)
+    whole = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = {0: " ".join(long_texts()) * 20, 1: "w" * (2 * bpe.CHUNK + 1), 2: ("ab, " * bpe.CHUNK)[: bpe.CHUNK + 1], 3: ("ab, " * bpe.CHUNK)[: bpe.CHUNK]}
+    rows = [(i, t, None, None, None) for i, t in texts.items()]
+    got = {r.doc_id: r.ids for r in bpe.encode(documents(spark, rows), RANKS, public_tokenizers.PATTERN).collect()}
+    for i, text in texts.items():
+        assert np.frombuffer(got[i], "<u4").tolist() == whole.encode_ordinary(text)
