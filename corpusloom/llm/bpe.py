@@ -82,7 +82,7 @@ def _encode_short(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def _chunks(docs: DataFrame, chunk: int, overlap: int) -> DataFrame:
-    """row (one for each row of ``docs``), doc_id, k, start, text: each chunk with ``overlap`` characters of the next."""
+    """row (one for each row of ``docs``), doc_id, k, text: each chunk with ``overlap`` characters of the next."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 32
@@ -91,52 +91,58 @@ def _chunks(docs: DataFrame, chunk: int, overlap: int) -> DataFrame:
                 value = text.as_py()
                 row += 1
                 for k, start in enumerate(range(0, len(value), chunk)):
-                    yield pa.RecordBatch.from_pydict({"row": [row], "doc_id": pa.array([doc.as_py()], pa.int64()), "k": [k], "start": [start], "text": [value[start : start + chunk + overlap]]})
+                    yield pa.RecordBatch.from_pydict({"row": [row], "doc_id": pa.array([doc.as_py()], pa.int64()), "k": [k], "text": [value[start : start + chunk + overlap]]})
 
-    return docs.mapInArrow(run, "row long, doc_id long, k long, start long, text string")
+    return docs.mapInArrow(run, "row long, doc_id long, k long, text string")
 
 
 def _encode_long(docs: DataFrame, path: str, pattern: str, chunk: int, overlap: int) -> DataFrame:
-    partitions = shuffle_partitions(docs.sparkSession)
-    chunks = cut(_chunks(docs, chunk, overlap).repartition(partitions, "row", "k"), "bpe-chunks")
+    """Places of cuts count from the border that they lie behind: a chunk's ``head`` from its start, its ``tail`` and ``cut`` from its end.
+
+    A piece that is cut in its chunk's overlap on both sides is encoded where
+    that chunk is; only chunks without a cut between them are put together.
+    """
+    chunks = cut(_chunks(docs, chunk, overlap), "bpe-chunks")  # rows keep their numbers, whatever is computed again
+    # Read twice, shuffled once: the filter, which the join would add on one side alone, keeps both readings the same.
+    dealt = chunks.where("row is not null and k is not null").repartition(shuffle_partitions(docs.sparkSession), "row", "k")
 
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.int32())
         for batch in batches:
-            head, tail = [], []
-            for start, text in zip(batch.column(2).to_pylist(), batch.column(3), strict=True):
-                value = text.as_py()
-                found = boundaries(value, pattern, 0, chunk + overlap, closed=False)
-                head.append([start + x for x in found if x < overlap])
-                tail.append([start + x for x in found if x >= chunk])
-            kind = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(head, kind), pa.array(tail, kind)], ["row", "k", "start", "head", "tail"])
+            found = [boundaries(x.as_py(), pattern, 0, chunk + overlap, closed=False) for x in batch.column(3)]
+            head, tail = [[x for x in own if x < overlap] for own in found], [[x - chunk for x in own if x >= chunk] for own in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(head, kind), pa.array(tail, kind)], ["row", "k", "head", "tail"])
 
-    seen = chunks.select("row", "k", "start", "text").mapInArrow(ends, "row long, k long, start long, head array<long>, tail array<long>")
+    seen = dealt.mapInArrow(ends, "row long, k long, head array<int>, tail array<int>")
     in_text = Window.partitionBy("row").orderBy("k")
-    cuts = seen.select("row", "k", F.array_min(F.array_intersect("tail", F.lead("head").over(in_text))).alias("cut"))
+    following = F.lead("k").over(in_text).isNotNull()
+    cuts = seen.select("row", "k", following.alias("goes_on"), F.array_min(F.array_intersect("tail", F.lead("head").over(in_text))).alias("cut"))
     before = F.lag("cut").over(in_text)
-    cuts = cuts.select("row", "k", "cut", before.alias("from"), F.sum(F.when(F.col("k") == 0, 0).otherwise(before.isNotNull().cast("int"))).over(in_text).alias("piece"))
-    whole = chunks.join(cuts, ["row", "k"])
-    pieces = whole.groupBy("row", "piece").agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.struct("k", "start", "text", "cut", "from"))).alias("parts"))
+    cuts = cuts.select("row", "k", "goes_on", "cut", before.alias("from"), F.sum(F.when(F.col("k") == 0, 0).otherwise(before.isNotNull().cast("int"))).over(in_text).alias("piece"))
+    whole = dealt.join(cuts, ["row", "k"])
+    alone = ((F.col("k") == 0) | F.col("from").isNotNull()) & (~F.col("goes_on") | F.col("cut").isNotNull())
+    part = F.struct("k", "text", "cut", "from")
+    single = whole.where(alone).select("row", "doc_id", F.array(part).alias("parts"))
+    several = whole.where(~alone).groupBy("row", "piece").agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(part)).alias("parts")).select("row", "doc_id", "parts")
+    narrow = "<u2" if len(_bytes_by_id(path)) <= 1 << 16 else "<u4"  # ids on their way to their document
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = []
-            for parts in batch.column(3):
+            first, ids = [], []
+            for parts in batch.column(2):
                 own = parts.as_py()
                 text = "".join([x["text"][:chunk] for x in own[:-1]] + [own[-1]["text"]])
-                base = own[0]["start"]
-                begin = 0 if own[0]["from"] is None else own[0]["from"] - base
-                end = len(text) if own[-1]["cut"] is None else own[-1]["cut"] - base
-                ids.append(encode_text(text[begin:end], path, pattern))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(ids, pa.binary())], ["row", "piece", "doc_id", "ids"])
+                end = len(text) if own[-1]["cut"] is None else len(own) * chunk + own[-1]["cut"]
+                first.append(own[0]["k"])
+                ids.append(np.frombuffer(encode_text(text[own[0]["from"] or 0 : end], path, pattern), "<u4").astype(narrow).tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(first, pa.int64()), pa.array(ids, pa.binary())], ["row", "doc_id", "k", "ids"])
 
-    encoded = pieces.mapInArrow(encode, "row long, piece long, doc_id long, ids binary")
-    gathered = encoded.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.struct("piece", "ids"))).alias("pieces")).select("doc_id", F.col("pieces.ids").alias("ids"))
+    encoded = single.union(several).mapInArrow(encode, "row long, doc_id long, k long, ids binary")
+    gathered = encoded.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.struct("k", "ids"))).alias("pieces")).select("doc_id", F.col("pieces.ids").alias("ids"))
 
     def stitch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [b"".join(x.as_py()) for x in batch.column(1)]
+            ids = [np.frombuffer(b"".join(x.as_py()), narrow).astype("<u4").tobytes() for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
 
     return gathered.mapInArrow(stitch, _ENCODED)
