@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of text that one numpy step looks at; bounds the memory of a task.
@@ -74,6 +74,20 @@ def join_few(many: DataFrame, few: DataFrame, keys: list[str], by: list[str], ho
     return dealt.join(spread, [*keys, "part"], how).drop("part")
 
 
+def numbered(rows: DataFrame, order: list[str], what: str) -> DataFrame:
+    """``rows`` as a table in the order of the columns, with ``place``, how many rows come before each.
+
+    The rows are range-partitioned and counted by partition, so no task has
+    them all; the counts, one for each partition, are broadcast.
+    """
+    at, part = F.col("_at"), F.shiftright("_at", 33)  # Spark's number of a row: its partition, and its place there in 33 bits
+    kept = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), what)
+    earlier = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    before = kept.groupBy(part.alias("_part")).agg(F.count("*").alias("_n")).select("_part", F.coalesce(earlier, F.lit(0)).alias("_before"))
+    placed = kept.withColumn("_part", part).join(F.broadcast(before), "_part")
+    return placed.withColumn("place", F.col("_before") + at.bitwiseAND(F.lit((1 << 33) - 1))).drop("_at", "_part", "_before")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

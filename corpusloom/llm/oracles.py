@@ -64,10 +64,73 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, list_reduce(list_transform(range(1,
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20
 """
 
+_FIELD = "coalesce(strlen({0}::VARCHAR) || ':' || {0}, '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(x) for x in ("doc_id", "source", "lang", "n_chars", "{0}")) + ")"
+
+
+def _tree_sql(name: str, start: str) -> str:
+    """Nodes (k, lvl, pos, n, h) of the trees over the rows ``start``, and each node's siblings (l, r)."""
+    return f"""
+{name} AS (SELECT k, 0 AS lvl, pos, n, h FROM {start} UNION ALL SELECT k, lvl + 1, pos // 3, (any_value(n) + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM {name} WHERE n > 1 GROUP BY k, lvl, pos // 3),
+{name}_sib AS (SELECT u.k, u.lvl, u.pos, coalesce(string_agg(v.h, '' ORDER BY v.pos) FILTER (v.pos < u.pos), '') AS l, coalesce(string_agg(v.h, '' ORDER BY v.pos) FILTER (v.pos > u.pos), '') AS r
+  FROM {name} u JOIN {name} v ON u.k = v.k AND u.lvl = v.lvl AND u.pos // 3 = v.pos // 3 WHERE u.n > 1 GROUP BY 1, 2, 3)"""
+
+
+MERKLE = f"""
+WITH RECURSIVE crc AS (SELECT doc_id, crc_ % 2 = 0 AS even FROM (SELECT doc_id, list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: ascii(substring(doc_id::VARCHAR, i, 1))::UBIGINT)),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), list_transform(range(8), lambda z: 0::UBIGINT)), lambda x, z: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::UBIGINT) ELSE x // 2 END)) AS c0, xor(c0, 4294967295::UBIGINT) AS crc_ FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL))),
+own AS (SELECT row_number() OVER () AS rid, doc_id, coalesce('=' || source, '-') AS k, {_LEAF.format("text")} AS leaf, {_LEAF.format("now")} AS hit
+  FROM (SELECT d.*, CASE WHEN c.even THEN replace(text, chr(10), '') ELSE text END AS now FROM documents d LEFT JOIN crc c USING (doc_id))),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY k) AS n, leaf AS h FROM own),
+{_tree_sql("up", "leaves")},
+subs AS (SELECT k AS source_key, h AS subroot, '' AS k, row_number() OVER (ORDER BY k) - 1 AS pos, count(*) OVER () AS n, h FROM up WHERE n = 1),
+{_tree_sql("top", "subs")},
+walk AS (SELECT rid, k, 0 AS lvl, pos, n, hit AS t, '' AS proof FROM leaves UNION ALL SELECT w.rid, w.k, w.lvl + 1, w.pos // 3, (w.n + 2) // 3, sha256(s.l || w.t || s.r), w.proof || s.l || s.r FROM walk w JOIN up_sib s ON s.k = w.k AND s.lvl = w.lvl AND s.pos = w.pos WHERE w.n > 1),
+walk2 AS (SELECT w.rid, b.k, 0 AS lvl, b.pos, b.n, w.t, w.proof FROM walk w JOIN subs b ON b.source_key = w.k WHERE w.n = 1
+  UNION ALL SELECT w.rid, w.k, w.lvl + 1, w.pos // 3, (w.n + 2) // 3, sha256(s.l || w.t || s.r), w.proof || s.l || s.r FROM walk2 w JOIN top_sib s ON s.k = w.k AND s.lvl = w.lvl AND s.pos = w.pos WHERE w.n > 1)
+SELECT o.doc_id, o.leaf, b.subroot, t.h AS root, sha256(w.proof) AS proof_sha256, w.t AS folded_root, w.t = t.h AS verified
+FROM own o JOIN walk2 w ON w.rid = o.rid AND w.n = 1 JOIN subs b ON b.source_key = o.k CROSS JOIN (SELECT h FROM top WHERE n = 1) t
+"""
+
+
+def _assigned_sql(book: str) -> str:
+    return f"""SELECT rid, p.i, any_value(p.x) AS x, min({{'d': list_sum(list_transform(range(1, len(p.x) + 1), lambda t: (p.x[t] - c.x[t]) * (p.x[t] - c.x[t])))::BIGINT, 'j': c.j}}) AS best FROM parts p JOIN {book} c ON c.i = p.i GROUP BY rid, p.i"""
+
+
+def _learned_sql(old: str, assigned: str) -> str:
+    means = ", ".join(f"floor(sum(x[{t}]) / count(*))::BIGINT" for t in range(1, 5))
+    return f"SELECT c.i, c.j, coalesce(m.x, c.x) AS x FROM {old} c LEFT JOIN (SELECT i, best.j AS j, [{means}] AS x FROM {assigned} GROUP BY 1, 2) m USING (i, j)"
+
+
+#: For vectors of 64 components.
+CODES = f"""
+WITH v AS (SELECT row_number() OVER (ORDER BY vec_id) AS rid, vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS (SELECT rid, i, e[4 * i + 1 : 4 * i + 4] AS x FROM v, range(16) r(i)),
+c0 AS (SELECT i, rid - 1 AS j, x FROM parts WHERE rid <= 64),
+a0 AS ({_assigned_sql("c0")}), c1 AS ({_learned_sql("c0", "a0")}), a1 AS ({_assigned_sql("c1")}), c2 AS ({_learned_sql("c1", "a1")}), a2 AS ({_assigned_sql("c2")}),
+coded AS (SELECT rid, string_agg(format('{{:02x}}', best.j), '' ORDER BY i) AS code, sum(best.d)::BIGINT AS error FROM a2 GROUP BY 1)
+SELECT v.vec_id, c.code, c.error, sum(c.error) OVER (PARTITION BY v.label)::BIGINT AS label_error, (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY i, j)) FROM c2) AS codebooks_sha256 FROM v JOIN coded c USING (rid)
+"""
+
+MIX = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce('=' || source, '>') AS k, len(regexp_extract_all(coalesce(text, ''), {WORD}))::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, '')) AS shuffle FROM documents),
+s AS (SELECT k, sum(size)::BIGINT AS source_size, [5, 2, 1][(row_number() OVER (ORDER BY k) - 1) % 3 + 1] AS w FROM d GROUP BY k),
+total AS (SELECT sum(source_size)::BIGINT AS t FROM s),
+r AS (SELECT 3 * source_size / w::DOUBLE AS limit_ FROM s UNION SELECT -1),
+units AS (SELECT limit_, ((SELECT t FROM total) - coalesce((SELECT sum(3 * source_size) FROM s WHERE 3 * source_size / w::DOUBLE <= limit_), 0))::DOUBLE / (SELECT sum(w) FROM s WHERE 3 * source_size / w::DOUBLE > limit_) AS unit FROM r),
+unit AS (SELECT coalesce((SELECT arg_min(unit, limit_) FROM units WHERE unit IS NOT NULL AND NOT EXISTS (SELECT 1 FROM s WHERE 3 * source_size / w::DOUBLE > limit_ AND 3 * source_size <= unit * w)), 0) AS unit),
+q AS (SELECT d.*, s.source_size, least((3 * s.source_size)::DOUBLE, (SELECT unit FROM unit) * s.w) AS target, (sum(size) OVER (PARTITION BY k ORDER BY shuffle, doc_id, size, rid) - size)::BIGINT AS before FROM d JOIN s USING (k))
+SELECT doc_id, size, source_size, target, (greatest(0, least(size, floor(target)::BIGINT - before)) + greatest(0, least(size, floor(target)::BIGINT - before - source_size)) + greatest(0, least(size, floor(target)::BIGINT - before - 2 * source_size)))::BIGINT AS taken FROM q
+"""
+
 ORACLE_SQL = {
     "op1_quality_rules": QUALITY,
     "op3_line_dedup": LINES,
     "op8_substring_dedup": SUBSTRINGS,
     "op9_warc_revisits": WARC,
     "op10_nearest_neighbours": NEIGHBOURS,
+    "op11_merkle_manifest": MERKLE,
+    "op12_vector_codes": CODES,
+    "op13_source_mix": MIX,
 }

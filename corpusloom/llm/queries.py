@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, lines, neighbours, packing, quality, rollups, secrets, simhash, substrings, warc
+from corpusloom.llm import bpe, lines, merkle, mixing, neighbours, packing, quality, rollups, secrets, simhash, substrings, vectorcodes, warc
 from corpusloom.llm.common import cut, scratch, table
 from corpusloom.llm.oracles import ORACLE_SQL as ORACLE_SQL
 
@@ -75,6 +75,25 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The proof of every document, and what it says of documents of which half have lost their line ends since."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    hit = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    now = F.when(hit, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    found = merkle.proofs(docs.withColumn("now", merkle.leaf("doc_id", "source", "lang", "n_chars", now)), docs.columns, "source", "doc_id", keep=("now",))
+    root, folded = merkle.hexed(F.col("root")), merkle.fold(F.col("now"), F.col("proof"))
+    made = found.select(F.col("id").alias("doc_id"), *[merkle.hexed(F.col(c)).alias(c) for c in ("leaf", "subroot")], root.alias("root"), F.sha2(merkle.siblings(F.col("proof")), 256).alias("proof_sha256"), folded.alias("folded_root"))
+    return made.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.compress(table(spark, sf_dir, "embeddings")).drop("label")
+
+
+def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -86,4 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_warc_revisits": op9_warc_revisits,
     "op10_nearest_neighbours": op10_nearest_neighbours,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_source_mix": op13_source_mix,
 }
