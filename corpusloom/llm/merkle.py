@@ -86,14 +86,16 @@ def proofs(docs: DataFrame, values: list[str], group: str, id_column: str, fanou
     links = nodes.unionByName(more).select("node", F.col("parent").alias("ancestor"), segment, "leaves", "carry")
     if total == 1 and root["carry"] is not None:  # one row in all
         links = ends.select("node", F.col("node").alias("ancestor"), F.array().cast(SEGMENT).alias("segment"), "leaves", "carry")
-    proved = _jumped(links, root["node"], fanout)
-    found = join_few(proved.select("*", F.col("carry.tree").alias("tree")), cut(roots.select("tree", F.col("h").alias("subroot"), F.col("leaves").alias("n")), "merkle-roots"), ["tree"], ["node"])
+    # leaves learn the root of their group while their segments are short
+    subroots = cut(roots.select("tree", F.col("h").alias("subroot"), F.col("leaves").alias("n")), "merkle-roots")
+    own = join_few(links.where("carry is not null").withColumn("tree", F.col("carry.tree")), subroots, ["tree"], ["node"]).drop("tree")
+    proved = _jumped(own.unionByName(links.where("carry is null").withColumn("subroot", F.lit(None).cast("binary"))), root["node"], fanout)
     out = [F.col("carry.passed.id"), F.col("carry.h"), F.col("subroot"), F.lit(bytes(root["h"])), F.col("segment"), *[F.col(f"carry.passed.k{i}") for i in range(len(keep))]]
-    return found.select(*[c.alias(n) for c, (n, _) in zip(out, fields, strict=True)])
+    return proved.select(*[c.alias(n) for c, (n, _) in zip(out, fields, strict=True)])
 
 
 def _jumped(links: DataFrame, root: int, fanout: int) -> DataFrame:
-    """node, carry and segment of every leaf, once its segment goes up to the root.
+    """carry, subroot and segment of every leaf, once its segment goes up to the root.
 
     ``links`` has each node but the root with its parent as ancestor.  After a
     round with distance d only nodes of the trees whose height d divides, and
@@ -103,14 +105,14 @@ def _jumped(links: DataFrame, root: int, fanout: int) -> DataFrame:
     height = F.col("node").bitwiseAND(F.lit(63))
     while True:
         arrived = F.col("ancestor") == root
-        finished.append(links.where(arrived & F.col("carry").isNotNull()).select("node", "carry", "segment"))
+        finished.append(links.where(arrived & F.col("carry").isNotNull()).select("carry", "subroot", "segment"))
         if links.where(~arrived & F.col("carry").isNotNull()).isEmpty():
             return reduce(DataFrame.unionByName, finished)
         used = lambda d: (height % d == 0) | (height >= TOP)
         under = F.least("leaves", F.lit(min(fanout**min(distance, 64), 1 << 62)).cast("long")).alias("n")
         ahead = links.where((height > 0) & used(distance)).select(F.col("node").alias("ancestor"), F.col("ancestor").alias("next"), F.col("segment").alias("more"), under)
         waiting = links.where(~arrived & used(2 * distance))
-        joined = join_few(waiting, ahead, ["ancestor"], ["node"]).select("node", F.col("next").alias("ancestor"), F.concat("segment", "more").alias("segment"), "leaves", "carry")
+        joined = join_few(waiting, ahead, ["ancestor"], ["node"]).select("node", F.col("next").alias("ancestor"), F.concat("segment", "more").alias("segment"), "leaves", "carry", "subroot")
         links, distance = cut(joined.unionByName(links.where(arrived & (height > 0) & used(2 * distance) & F.col("carry").isNull())), "merkle-links"), 2 * distance
 
 
