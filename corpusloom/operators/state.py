@@ -1,22 +1,19 @@
 """Keyed state machines over ordered events, as batch jobs.
 
-The same steps run over streams in ``corpusloom.streaming``.  Where a window
-can't say it, a partition's events are sorted and folded one key after the
-other, so no key's events are held in memory.
+The same steps run over streams in ``corpusloom.streaming``.  Folds are split
+within a key (``operators.folds``), so a key may have any share of the events.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StringType
 
 from corpusloom.config import DEFAULT, Resilience
 from corpusloom.functions import policy
+from corpusloom.operators import folds
 
 
 @dataclass
@@ -62,41 +59,23 @@ class Request:
 
 
 def breaker(events: DataFrame, key: str, order: tuple[str, ...], at: Column, failed: Column, settings: Resilience = DEFAULT.resilience) -> DataFrame:
-    """``events`` with allowed and state for each call of a key, in order."""
-    names = events.columns
-    source = events.withColumn("_at", at.cast("double")).withColumn("_failed", failed.cast("boolean"))
-    sorted_events = source.repartition(F.col(key)).sortWithinPartitions(key, *order)
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, machine = None, Breaker()
-        for pdf in batches:
-            allowed, states = [], []
-            for k, when, bad in zip(pdf[key], pdf["_at"], pdf["_failed"], strict=True):
-                if k != current:
-                    current, machine = k, Breaker()
-                ok, state = machine.call(when, bad, settings)
-                allowed.append(ok)
-                states.append(state)
-            yield pdf[names].assign(allowed=allowed, state=states)
-
-    return sorted_events.mapInPandas(fold, events.schema.add("allowed", BooleanType()).add("state", StringType()))
+    """``events`` with allowed and state for each call of a key, in the order of ``at`` and then ``order``.
+
+    A call without a time stands before all others; one that isn't known to have failed hasn't.
+    """
+    inputs = {"_at": F.coalesce(at.cast("double"), F.lit(float("-inf"))), "_failed": F.coalesce(failed.cast("boolean"), F.lit(False))}
+    return folds.fold(events, key, ("_at", *order), inputs, folds.Breakers(settings.breaker_failures, settings.breaker_seconds))
 
 
 def failure_streaks(events: DataFrame, key: str, order: tuple[str, ...], failed: Column) -> DataFrame:
     """``events`` with streak: failures in a row up to this one, 0 at a success."""
-    w = Window.partitionBy(key).orderBy(*order)
-    resets = F.sum((~failed).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    marked = events.withColumn("_resets", resets)
-    island = Window.partitionBy(key, "_resets").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return marked.withColumn("streak", F.sum(failed.cast("int")).over(island)).drop("_resets")
+    return folds.fold(events, key, order, {"_failed": F.coalesce(failed, F.lit(False))}, folds.Streaks())
 
 
 def replay(requests: DataFrame, task: Column, order: tuple[str, ...], succeeded: Column) -> DataFrame:
     """``requests`` with task_id and action when they come one after the other: run until one succeeds, then cached."""
-    keyed = requests.withColumn("task_id", task)
-    before = Window.partitionBy("task_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    done = F.coalesce(F.max(succeeded.cast("int")).over(before), F.lit(0))
-    return keyed.withColumn("action", F.when(done == 1, "cached").otherwise("run"))
+    keyed = folds.fold(requests.withColumn("task_id", task), "task_id", order, {"_done": F.coalesce(succeeded, F.lit(False))}, folds.Seen())
+    return keyed.withColumn("action", F.when(F.col("seen"), "cached").otherwise("run")).drop("seen")
 
 
 def merge_slots(turns: DataFrame, session: str, order: str, slots: str) -> DataFrame:
