@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.sources.readers import base_name
+from corpusloom.store import Replace, Snapshot, Store
 
 
 def new_files(incoming: DataFrame, known: DataFrame) -> DataFrame:
@@ -92,6 +93,19 @@ def cascade_delete(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str, D
     return out
 
 
+def delete_documents(store: Store, gone: DataFrame) -> int:
+    """Take documents (document_id) and all that hangs on them out of a store in one commit; the new version.
+
+    A reader sees all of the tables with them or all without.
+    """
+
+    def changes(snapshot: Snapshot) -> dict[str, Replace]:
+        names = [n for n in ("documents", "chunks", "doc_versions", "tables", "embeddings", "citations") if n in snapshot.tables]
+        return {n: Replace(df) for n, df in cascade_delete({n: store.read(n, snapshot) for n in names}, gone).items()}
+
+    return store.commit(changes)
+
+
 def by_file_name(documents: DataFrame, names: DataFrame) -> DataFrame:
     """tenant, file_name and document_id of the stored document of each name (tenant, file_name); of several the oldest.
 

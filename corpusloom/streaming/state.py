@@ -1,4 +1,4 @@
-"""The state machines over streams: keyed, checkpointed by Structured Streaming."""
+"""The state machines over streams in the order in which events arrive, checkpointed by Structured Streaming; ``streaming.ordered`` has them in event time."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from corpusloom.config import DEFAULT, Resilience
 from corpusloom.functions import policy
 from corpusloom.operators.state import Breaker, Request
+from corpusloom.store import Store
 
 
 def idempotent(events: DataFrame) -> DataFrame:
@@ -62,10 +63,14 @@ def first_requests(requests: DataFrame, time: str = "ts", late: str = "10 minute
     return requests.withWatermark(time, late).dropDuplicatesWithinWatermark(["task_id"])
 
 
-def answer_batches(requests: DataFrame, answer: Callable[[DataFrame], DataFrame], path: str, checkpoint: str):
-    """Start a query that answers each micro-batch; a batch that comes again replaces its own rows."""
+def answer_batches(requests: DataFrame, answer: Callable[[DataFrame], DataFrame], store: Store, table: str, keys: tuple[str, ...], checkpoint: str, stream: str | None = None):
+    """Start a query that answers each micro-batch and puts the answers over those of equal keys.
+
+    A batch is committed under its number in the name of ``stream``, the table's if none is given: one that comes
+    again, as after a failure between the commit and the checkpoint, changes nothing.
+    """
 
     def save(batch: DataFrame, number: int) -> None:
-        answer(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        store.upsert(table, answer(batch), keys, batch=(stream or table, number))
 
     return requests.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

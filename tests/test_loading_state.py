@@ -7,6 +7,7 @@ from corpusloom import providers
 from corpusloom.config import Settings
 from corpusloom.operators import incremental, state
 from corpusloom.sources import readers, sinks
+from corpusloom.store import Store
 from corpusloom.streaming import state as streaming
 
 
@@ -99,12 +100,16 @@ def test_streaming_slots(spark, tmp_path):
     assert {r.seq: r.slots for r in got} == {1: {"year": "2024"}, 2: {"year": "2024", "dept": "A"}}
 
 
-def test_foreach_batch_replaces_its_own_rows(spark, tmp_path):
-    path = str(tmp_path / "in")
-    spark.range(3).write.parquet(path)
-    source = spark.readStream.schema("id long").parquet(path)
-    streaming.answer_batches(source, lambda b: b.withColumn("answer", F.lit("x")), str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination(90)
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+def test_answers_of_batches_count_once(spark, tmp_path):
+    path, store = str(tmp_path / "in"), Store(spark, str(tmp_path / "out"))
+    for ids in ((0, 1, 2), (2, 3)):
+        spark.createDataFrame([(i,) for i in ids], "id long").coalesce(1).write.mode("append").parquet(path)
+    source = spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(path)
+    said = lambda b: b.distinct().withColumn("answer", F.lit("x"))
+    for checkpoint in ("c", "d"):  # the second run sends the same batches again
+        streaming.answer_batches(source, said, store, "answers", ("id",), str(tmp_path / checkpoint)).awaitTermination(90)
+        assert sorted(r.id for r in store.latest("answers", ("id",)).collect()) == [0, 1, 2, 3]
+    assert store.version() == 2
 
 
 def test_first_requests(spark, tmp_path):
@@ -144,6 +149,8 @@ def test_providers(spark):
     got = [r.p for r in raw.select(providers.parsed_rewrite(F.col("raw"), F.col("q")).alias("p")).collect()]
     assert got[0].primary_query == "p" and got[0].extracted_years == [2023, 2024] and got[0].rewritten_queries == ["a", "q", "q 详细信息"]
     assert got[1].primary_query == "what?" and got[2].primary_query == "q"
+    plain = spark.createDataFrame([("Primary Query: net margin of 2023\nmore", "q"), ("I'd ask 'how much' here", "q")], "raw string, q string")
+    assert [r.p.primary_query for r in plain.select(providers.parsed_rewrite(F.col("raw"), F.col("q")).alias("p")).collect()] == ["net margin of 2023", "d ask "]
     passages = spark.createDataFrame([([(1, "x"), (2, "y")],)], "p array<struct<chunk_id:long,content:string>>")
     assert providers.ExtractiveGenerator().answer(passages, "", "p").first()["answer"] == "x [Chunk 1]\ny [Chunk 2]"
     waits, calls = [], iter([TimeoutError("t"), ConnectionError("c"), "ok"])
@@ -155,7 +162,7 @@ def test_providers(spark):
         return value
 
     result, events = providers.with_retries(call, waits.append)
-    assert result == "ok" and waits == [1, 2] and [e["event_type"] for e in events] == ["timeout", "fallback"]
+    assert result == "ok" and waits == [1, 2] and [e["http_status"] for e in events] == [None, None] and [e["event_type"] for e in events] == ["timeout", "fallback"]
 
 
 def test_settings():
