@@ -6,14 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from corpusloom.config import DEFAULT, AnswerPolicy, Resilience
-from corpusloom.functions.text import any_of, strip
+from corpusloom.functions.text import any_of, ascii_digits, strip
 
 # Word lists and messages that decide results.
 SUMMARY_WORDS = ("报表", "总结", "汇总", "概括", "核心观点", "主要内容", "奋斗", "查询报表", "财务报表")
 CALC_WORDS = ("增长", "同期", "比例", "谁更多", "差值", "计算", "同比", "环比")
 INTENTS = ("FACT", "CALC", "SUMMARY")
 REFUSAL_WORDS = ("无法", "不知道", "没有找到", "未找到", "不清楚", "无法确定")
-CITATION = r"(?i)\[Chunk\s+([0-9]+)\]"
+CITATION = r"(?i)\[Chunk\s+(\p{Nd}+)\]"
 REWRITE_SUFFIX = " 详细信息"
 GROWTH_BY_ZERO = "增长率计算时除数（基期）不能为零，请检查数据。"
 RATIO_BY_ZERO = "占比计算时除数（总量）不能为零，请检查数据。"
@@ -48,8 +48,8 @@ def parse_intent(raw: Column) -> Column:
 
 
 def citations(answer: Column) -> Column:
-    """Cited chunk ids in order, repeats kept."""
-    return F.transform(F.regexp_extract_all(answer, F.lit(CITATION), F.lit(1)), lambda x: x.cast("long"))
+    """Cited chunk ids in order, repeats kept; null stands for a number that no id can have, which counts as a citation of nothing."""
+    return F.transform(F.regexp_extract_all(answer, F.lit(CITATION), F.lit(1)), lambda x: ascii_digits(x).try_cast("long"))
 
 
 def confidence(answer: Column) -> Column:
@@ -149,6 +149,13 @@ def error_message(message: Column) -> Column:
     )
 
 
+def embedding_error(message: Column) -> Column:
+    """Why a question has no vector and is searched by words alone: no_model, no_access, timeout or other; null without an error."""
+    low = F.lower(message)
+    kinds = F.when(any_of(low, ("404", "not found")), "no_model").when(any_of(low, ("401", "unauthorized")), "no_access").when(F.contains(low, F.lit("timeout")), "timeout")
+    return F.when(message.isNotNull(), F.coalesce(kinds, F.lit("other")))
+
+
 def backoff(attempt: Column, resilience: Resilience = DEFAULT.resilience, jitter: Column | None = None) -> Column:
     """Seconds to wait after an attempt, doubled each time up to a maximum; ``jitter`` such as F.rand() comes on top."""
     wait = F.least(F.lit(resilience.backoff_multiplier) * F.pow(F.lit(2.0), attempt - 1), F.lit(resilience.backoff_max))

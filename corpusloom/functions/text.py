@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -19,6 +21,15 @@ TOKEN = r"[一-龥]+|[a-zA-Z]+|\p{Nd}+"
 _SPACE = r"[\s\x{3000}\x{A0}\x{85}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}]"
 
 
+#: The decimal digits of all scripts but ASCII.
+DIGITS = "".join(c for c in map(chr, range(0x80, sys.maxunicode + 1)) if unicodedata.category(c) == "Nd")
+
+
+def ascii_digits(c: Column) -> Column:
+    """Decimal digits of any script as those of ASCII."""
+    return F.translate(c, DIGITS, "".join(str(unicodedata.digit(d)) for d in DIGITS))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is worked out once, however often the body names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -44,11 +44,17 @@ def fan_out(requests: DataFrame, query: str = "query", given: str = "given") ->
     return requests.select("*", F.posexplode(policy.rewrites(F.col(query), F.col(given))).alias("route", "route_query"))
 
 
+@F.pandas_udf(StringType())
+def large_whole(x: pd.Series) -> pd.Series:
+    """All digits of whole numbers that a double has beyond 2^53, which decimals of Spark can't hold."""
+    return pd.Series([str(int(v)) if v is not None and 2.0**53 <= abs(v) < float("inf") else None for v in x], dtype=object)
+
+
 def number_text(x: Column) -> Column:
     """A number in its shortest form: whole ones without decimals, very small ones with an exponent of two digits."""
     plain = F.regexp_replace(x.cast("string").try_cast("decimal(38,20)").cast("string"), r"\.?0+$", "")
     small = F.regexp_replace(F.regexp_replace(x.cast("string"), r"(\.0)?E", "e"), r"e-(\p{Nd})$", "e-0$1")
-    return F.when(F.rint(x) == x, x.try_cast("decimal(38,0)").cast("string")).when(F.abs(x) < 1e-4, small).otherwise(plain)
+    return F.when(F.abs(x) >= 2.0**53, large_whole(x)).when(F.rint(x) == x, x.try_cast("decimal(38,0)").cast("string")).when(F.abs(x) < 1e-4, small).otherwise(plain)
 
 
 @F.pandas_udf(StringType())

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.config import DEFAULT, Retrieval
 from corpusloom.functions.text import preview, tokens
+from corpusloom.session import kept
 
 BROADCAST_TERMS = 100_000  # query terms up to which their weights go to every task; more are joined by term
 QUERY_BLOCK = 1024  # query vectors that a task holds
@@ -60,11 +61,11 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int, settings: Retrieval = DE
     """query_id, chunk_id, score, rank: the k best chunks of positive score for each query (query_id, query).
 
     Query tokens count as often as they stand.  Ties of the rounded score go to
-    the smaller id.  Only the tokens that a query asks for are shuffled, once by
+    the smaller id.  Texts are split once, into a table.  Only the tokens that a query asks for are shuffled, once by
     chunk, which serves both sums; document frequencies are summed before the shuffle, whose
     result serves their mean and the join.
     """
-    split = _split(chunks, text).select("chunk_id", F.size("t").cast("long").alias("dl"), "t")
+    split = kept(_split(chunks, text).select("chunk_id", F.size("t").cast("long").alias("dl"), "t"), "tokens")
     stats = split.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
     frequencies = split.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     idf = weigh_terms(frequencies, stats["n"], settings.bm25_epsilon)
@@ -80,6 +81,11 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int, settings: Retrieval = DE
     return _top(scored, ("query_id",), k, F.desc("score"), F.asc("chunk_id"))
 
 
+def sound(vector: Column) -> Column:
+    """Whether a vector has components, and only finite ones."""
+    return F.coalesce((F.size(vector) > 0) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
+
+
 def knn(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l2") -> DataFrame:
     """query_id, chunk_id, distance (l2: squared) or cosine, score, rank: exact neighbours of a stated query set.
 
@@ -87,19 +93,21 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l2") -> D
     are shuffled: queries in blocks of some ``QUERY_BLOCK``, vectors in as many
     parts as keep all cores busy, and a task holds one block against one part
     and passes on its k best only.  So vectors are copied once for each block of
-    queries, and nothing goes through the driver.  A null vector takes no part,
-    nor does a zero one by cosine.
+    queries, and nothing goes through the driver.  A vector that is null, empty or
+    has a null or non-finite component takes no part, nor does one of another
+    size than a query's; by cosine a zero one doesn't either.
     """
-    as_double = lambda df, key: df.where("vector is not null").select(F.col(key).alias("id"), F.col("vector").cast("array<double>").alias("vector"))
+    as_double = lambda df, key: df.where(sound(F.col("vector"))).select(F.col(key).alias("id"), F.size("vector").alias("size"), F.col("vector").cast("array<double>").alias("vector"))
     asked = as_double(queries, "query_id").distinct()
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     parts = max(1, -(-vectors.sparkSession.sparkContext.defaultParallelism // blocks))
     copies = lambda name, n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
     dealt = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    questions = asked.select("id", "vector", F.lit(True).alias("asks"), dealt(blocks).alias("block"), copies("part", parts))
-    stored = as_double(vectors, "chunk_id").select("id", "vector", F.lit(False).alias("asks"), dealt(parts).alias("part"), copies("block", blocks))
+    questions = asked.select("id", "size", "vector", F.lit(True).alias("asks"), dealt(blocks).alias("block"), copies("part", parts))
+    known = as_double(vectors, "chunk_id").join(F.broadcast(asked.select("size").distinct()), "size", "left_semi")
+    stored = known.select("id", "size", "vector", F.lit(False).alias("asks"), dealt(parts).alias("part"), copies("block", blocks))
     met = questions.unionByName(stored).repartition(max(blocks * parts, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "block", "part")
-    found = met.sortWithinPartitions("block", "part", F.desc("asks")).select("block", "part", "asks", "id", "vector").mapInArrow(_block_search(k, metric), "query_id long, chunk_id long, distance double")
+    found = met.sortWithinPartitions("block", "part", "size", F.desc("asks")).select("block", "part", "size", "asks", "id", "vector").mapInArrow(_block_search(k, metric), "query_id long, chunk_id long, distance double")
     similarity = F.when(F.lit(metric == "l2"), 1 / (1 + F.col("distance"))).otherwise(F.col("distance"))
     ranked = found.withColumn("score", F.round(similarity, 9)).withColumn("distance", F.round("distance", 9))
     order = (F.asc("distance") if metric == "l2" else F.desc("distance"), F.asc("chunk_id"))
@@ -107,7 +115,7 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l2") -> D
 
 
 def _block_search(k: int, metric: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows come by block and part, a block's queries before the vectors that are held against them."""
+    """Rows come by block, part and size, a block's queries before the vectors that are held against them."""
 
     def matrix(column: pa.Array) -> np.ndarray:
         return column.flatten().to_numpy().reshape(len(column), -1)
@@ -115,17 +123,17 @@ def _block_search(k: int, metric: str) -> Callable[[Iterator[pa.RecordBatch]], I
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, ids, asked = None, [], []
         for batch in batches:
-            keys = np.stack([batch.column(c).to_numpy() for c in (0, 1)] + [batch.column(2).to_numpy(zero_copy_only=False)], axis=1).astype(np.int64)
+            keys = np.stack([batch.column(c).to_numpy() for c in (0, 1, 2)] + [batch.column(3).to_numpy(zero_copy_only=False)], axis=1).astype(np.int64)
             edges = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1), True])
             for a, b in zip(edges[:-1], edges[1:], strict=True):
-                if place != tuple(keys[a, :2]):
-                    place, ids, asked = tuple(keys[a, :2]), [], []
+                if place != tuple(keys[a, :3]):
+                    place, ids, asked = tuple(keys[a, :3]), [], []
                 part = batch.slice(a, b - a)
-                if keys[a, 2]:
-                    ids.append(part.column(3).to_numpy())
-                    asked.append(matrix(part.column(4)))
+                if keys[a, 3]:
+                    ids.append(part.column(4).to_numpy())
+                    asked.append(matrix(part.column(5)))
                 elif ids:
-                    yield _nearest(np.concatenate(ids), np.concatenate(asked), part.column(3).to_numpy(), matrix(part.column(4)), k, metric)
+                    yield _nearest(np.concatenate(ids), np.concatenate(asked), part.column(4).to_numpy(), matrix(part.column(5)), k, metric)
 
     return run
 
@@ -217,10 +225,10 @@ def hybrid(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, settings:
 
     Deleted chunks are left out before anything is ranked, so none takes a place in the result.
     """
-    kept = live(chunks)
-    known = vectors.join(kept.select("chunk_id"), "chunk_id", "left_semi")
+    stored = live(chunks)
+    known = vectors.join(stored.select("chunk_id"), "chunk_id", "left_semi")
     near = knn(known, queries, settings.route_top_k).select("query_id", F.lit("vector").alias("route"), "chunk_id", "score", "rank")
-    worded = bm25(kept, queries, settings.route_top_k, settings).select("query_id", F.lit("keyword").alias("route"), "chunk_id", "score", "rank")
-    hits = year_filter(near.unionByName(worded), kept, queries.select("query_id", "years"), settings.min_year_hits)
+    worded = bm25(stored, queries, settings.route_top_k, settings).select("query_id", F.lit("keyword").alias("route"), "chunk_id", "score", "rank")
+    hits = year_filter(near.unionByName(worded), stored, queries.select("query_id", "years"), settings.min_year_hits)
     fused = rerank(weighted_rrf(hits, settings), settings)
-    return hydrate(fused, kept).select("query_id", "rank", "chunk_id", "document_id", "year", F.round("score", 6).alias("score"), F.round("rrf_score", 6).alias("rrf_score"), "preview")
+    return hydrate(fused, stored).select("query_id", "rank", "chunk_id", "document_id", "year", F.round("score", 6).alias("score"), F.round("rrf_score", 6).alias("rrf_score"), "preview")

@@ -16,8 +16,12 @@ from corpusloom import providers
 from corpusloom.config import DEFAULT
 from corpusloom.functions import policy, text
 from corpusloom.operators import answers, chunking, incremental, retrieval, state, tables
+from corpusloom.operators import questions as questions_of
+from corpusloom.operators.keyword_index import KeywordIndex
+from corpusloom.session import scratch
 from corpusloom.sources import sinks
 from corpusloom.sources.readers import chunks, documents, table
+from corpusloom.store import Append, Store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -420,6 +424,14 @@ def vectors_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
 
 
+def _with_odd(vectors: DataFrame) -> DataFrame:
+    """As many vectors again that can't be searched: empty ones, short ones, and ones with a null or no finite number."""
+    n = F.col("chunk_id") % 4
+    short = F.when(n == 0, F.array().cast("array<float>")).when(n == 1, F.slice("vector", 1, 3))
+    odd = short.otherwise(F.transform("vector", lambda x: F.when(x > 0, x).when(n == 3, float("nan")).cast("float")))
+    return vectors.unionByName(vectors.select((-F.col("chunk_id") - 1).alias("chunk_id"), odd.alias("vector")))
+
+
 def _live_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.postings(retrieval.live(chunks(spark, sf_dir)))
 
@@ -457,7 +469,7 @@ cosine AS (SELECT query_id, chunk_id, round(list_sum(list_transform(range(1, 65)
 (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS INTEGER) AS rank FROM l2) WHERE rank <= {K}"""
 )
 def knn_l2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.knn(vectors_of(spark, sf_dir), questions(spark, sf_dir), K).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+    return retrieval.knn(_with_odd(vectors_of(spark, sf_dir)), questions(spark, sf_dir), K).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query(
@@ -465,7 +477,7 @@ def knn_l2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance DESC, chunk_id) AS INTEGER) AS rank FROM cosine) WHERE rank <= {K}"""
 )
 def knn_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.knn(vectors_of(spark, sf_dir), questions(spark, sf_dir), K, "cosine").select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+    return retrieval.knn(_with_odd(vectors_of(spark, sf_dir)), questions(spark, sf_dir), K, "cosine").select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
 HITS = f"""
@@ -583,23 +595,24 @@ def adjacent_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns as answers: two of three cite chunks, one kind twice, and every fifth refuses."""
+    """Turns as answers: two of three cite chunks, one kind twice, some a number that is no id or one in full-width digits, and every fifth refuses."""
     turns = table(spark, sf_dir, "conversations")
     n = F.col("conv_id") + F.col("turn")
     cite = F.when(n % 3 == 1, F.concat(F.lit(" [Chunk "), F.col("conv_id").cast("string"), F.lit("]"))).when(n % 3 == 2, F.concat(F.lit("[chunk  "), n.cast("string"), F.lit("][Chunk "), n.cast("string"), F.lit("]"))).otherwise("")
-    return turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("request_id"), F.concat("text", cite, F.when(n % 5 == 0, "无法确定").otherwise("")).alias("answer"))
+    odd = F.when(n % 7 == 0, "[Chunk 99999999999999999999]").when(n % 7 == 1, "[CHUNK １２]").otherwise("")
+    return turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("request_id"), F.concat("text", cite, odd, F.when(n % 5 == 0, "无法确定").otherwise("")).alias("answer"))
 
 
 ANSWERS = """
 answers AS (SELECT conv_id * 1000 + turn AS request_id, text || CASE (conv_id + turn) % 3 WHEN 1 THEN ' [Chunk ' || conv_id || ']' WHEN 2 THEN '[chunk  ' || (conv_id + turn) || '][Chunk ' || (conv_id + turn) || ']' ELSE '' END
-  || CASE WHEN (conv_id + turn) % 5 = 0 THEN '无法确定' ELSE '' END AS answer FROM conversations),
-ids AS (SELECT request_id, answer, list_transform(regexp_extract_all(answer, '(?i)\\[Chunk\\s+([0-9]+)\\]', 1), lambda x: CAST(x AS BIGINT)) AS cited FROM answers)
+  || CASE (conv_id + turn) % 7 WHEN 0 THEN '[Chunk 99999999999999999999]' WHEN 1 THEN '[CHUNK １２]' ELSE '' END || CASE WHEN (conv_id + turn) % 5 = 0 THEN '无法确定' ELSE '' END AS answer FROM conversations),
+ids AS (SELECT request_id, answer, list_transform(regexp_extract_all(answer, '(?i)\\[Chunk\\s+(\\p{Nd}+)\\]', 1), lambda x: TRY_CAST(translate(x, '０１２３４５６７８９', '0123456789') AS BIGINT)) AS cited FROM answers)
 """
 
 
-@query(f"WITH {ANSWERS} SELECT request_id, CAST(generate_subscripts(cited, 1) AS INTEGER) AS rank_no, unnest(cited) AS chunk_id FROM ids")
+@query(f"WITH {ANSWERS} SELECT * FROM (SELECT request_id, CAST(generate_subscripts(cited, 1) AS INTEGER) AS rank_no, unnest(cited) AS chunk_id FROM ids) WHERE chunk_id IS NOT NULL")
 def citation_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _answers(spark, sf_dir).select("request_id", F.posexplode(policy.citations(F.col("answer"))).alias("pos", "chunk_id")).select("request_id", (F.col("pos") + 1).alias("rank_no"), "chunk_id")
+    return _answers(spark, sf_dir).select("request_id", F.posexplode(policy.citations(F.col("answer"))).alias("pos", "chunk_id")).where("chunk_id is not null").select("request_id", (F.col("pos") + 1).alias("rank_no"), "chunk_id")
 
 
 @query(
@@ -897,23 +910,22 @@ def answer_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""WITH {ANSWERS}, a AS (SELECT request_id, answer, cited FROM ids),
 e AS (SELECT request_id, 0 AS seq, 'connected' AS event, '{{}}' AS payload FROM a
-  UNION ALL SELECT request_id, 1, CASE WHEN request_id % 4 = 0 THEN 'slot_asking' ELSE 'citations' END, CASE WHEN request_id % 4 = 0 THEN '{{"missing":["year"]}}' ELSE '{{"citations":[' || array_to_string(cited, ',') || ']}}' END FROM a
+  UNION ALL SELECT request_id, 1, CASE WHEN request_id % 4 = 0 THEN 'slot_asking' ELSE 'citations' END, CASE WHEN request_id % 4 = 0 THEN '{{"missing":["year"]}}' ELSE '{{"citations":[' || coalesce(array_to_string(cited, ','), '') || ']}}' END FROM a
   UNION ALL SELECT request_id, 1 + i, 'answer', '{{"token":' || to_json(substring(answer, i, 1)) || '}}' FROM (SELECT *, unnest(range(1, length(answer) + 1)) AS i FROM a WHERE request_id % 4 <> 0))
 SELECT request_id, CAST(seq AS INTEGER) AS seq, event, payload FROM e"""
 )
 def answer_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events of answers as they are streamed; every fourth asks for a year instead."""
     missing = F.when(F.col("request_id") % 4 == 0, F.array(F.lit("year"))).otherwise(F.array().cast("array<string>"))
-    return answers.stream_events(_answers(spark, sf_dir).select("request_id", "answer", policy.citations(F.col("answer")).alias("citations"), missing.alias("missing")))
+    return answers.stream_events(_answers(spark, sf_dir).select("request_id", "answer", F.filter(policy.citations(F.col("answer")), lambda x: x.isNotNull()).alias("citations"), missing.alias("missing")))
 
 
-@query(f"WITH {ANSWERS} SELECT request_id, answer, CASE request_id % 2 WHEN 0 THEN 0.5::DOUBLE ELSE 0::DOUBLE END AS confidence, FALSE AS success, 0 AS latency_ms, 'https://h/' || CASE request_id % 3 WHEN 0 THEN 'compatible-mode/v1' WHEN 1 THEN 'api/compatible-mode/v1' ELSE 'compatible-mode/x' END AS url FROM answers")
+@query(f"WITH {ANSWERS} SELECT request_id, answer, CASE request_id % 2 WHEN 0 THEN 0.5::DOUBLE ELSE 0::DOUBLE END AS confidence, FALSE AS success, 0 AS latency_ms FROM answers")
 def response_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Responses of which half lack a confidence and all lack the rest, and base URLs of their services."""
+    """Responses of which half lack a confidence and all lack the rest."""
     n = F.col("request_id")
-    url = F.when(n % 3 == 0, "https://h/v1").when(n % 3 == 1, "https://h/api/").otherwise("https://h/compatible-mode/x")
     full = answers.with_response_defaults(_answers(spark, sf_dir).withColumn("confidence", F.when(n % 2 == 0, 0.5)))
-    return full.select("request_id", "answer", "confidence", "success", "latency_ms", providers.compatible_url(url).alias("url"))
+    return full.select("request_id", "answer", "confidence", "success", "latency_ms")
 
 
 @query(
@@ -925,3 +937,108 @@ def rerank_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both routes' hits in turns, each chunk once where it comes first, cut as for a reranker."""
     placed = _hits(spark, sf_dir).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank", F.desc("route"))))
     return retrieval.rerank(retrieval.keep_best(placed)).select("query_id", "chunk_id", "rank")
+
+
+# Questions over several rewrites
+
+
+def _routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every item with rewrites of its own words: its start and its end, or none; each fifth has no vector, and neither have second rewrites."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    given = F.when(F.col("query_id") % 2 == 0, F.array(F.substring("query", 1, 80), F.substring(F.col("query"), F.greatest(F.length("query") - 79, F.lit(1)), F.lit(80)))).otherwise(F.array().cast("array<string>"))
+    routes = answers.fan_out(items.withColumn("given", given))
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("from_vec"), F.col("embedding").alias("vector"))
+    named = F.when((F.col("query_id") % 5 != 4) & (F.col("route") != 1), F.col("query_id") + 7 * F.col("route"))
+    asked = F.when(F.col("query_id") % 3 != 0, F.array((2020 + F.col("query_id") % 5).cast("int"))).otherwise(F.array().cast("array<int>"))
+    return routes.withColumn("from_vec", named).join(vectors, "from_vec", "left").select("query_id", "route", "route_query", "vector", asked.alias("years"))
+
+
+_REWRITTEN = """
+g AS (SELECT item_id, text AS query, CASE WHEN item_id % 2 = 0 THEN [substring(text, 1, 80), substring(text, greatest(length(text) - 79, 1), 80)] ELSE [] END AS given FROM benchmark),
+f1 AS (SELECT *, CASE WHEN len(given) = 0 THEN [query] ELSE given END AS first FROM g),
+f2 AS (SELECT *, CASE WHEN list_contains(first, query) THEN first ELSE list_append(first, query) END AS with_query FROM f1),
+f3 AS (SELECT item_id, (CASE WHEN len(with_query) < 3 THEN list_append(with_query, query || ' 详细信息') ELSE with_query END)[1:3] AS all_ FROM f2),
+routes AS (SELECT item_id, unnest(all_) AS text, generate_subscripts(all_, 1) - 1 AS route, item_id * 3 + generate_subscripts(all_, 1) - 1 AS rid FROM f3)
+"""
+_ROUTE_BM25 = BM25.replace("SELECT item_id AS query_id, unnest", "SELECT rid AS query_id, unnest").replace("FROM benchmark) GROUP BY", "FROM routes) GROUP BY")
+_ROUTE_KNN = KNN.replace("b.item_id AS query_id", "b.rid AS query_id").replace("FROM benchmark b JOIN embeddings q ON q.vec_id = b.item_id", "FROM routes b JOIN embeddings q ON q.vec_id = b.item_id + 7 * b.route AND b.item_id % 5 <> 4 AND b.route <> 1")
+_ROUTE_HITS = HITS.replace("asked AS (SELECT item_id AS query_id,", "asked AS (SELECT rid AS query_id,").replace("AS years FROM benchmark)", "AS years FROM routes)")
+_OVER_ROUTES = f"""
+WITH {CHUNKS}, {_REWRITTEN}, {_ROUTE_BM25}, {_ROUTE_KNN}, {_ROUTE_HITS}, {_rrf_sql('SELECT * FROM counted WHERE unasked OR allowed OR n < 3')},
+lists AS (SELECT query_id // 3 AS query_id, query_id % 3 AS route, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY rank, chunk_id) AS place FROM fused WHERE rank <= {K}),
+over_ AS (SELECT query_id, chunk_id, round(sum(1 / (60 + place)::DOUBLE), 9) AS s, arg_min(score, route * 1000000 + place) AS score, min(route * 1000000 + place) AS first FROM lists GROUP BY 1, 2),
+best AS (SELECT query_id, chunk_id, score, s, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, first) AS INTEGER) AS rank FROM over_)
+"""
+
+
+@query(f"{_OVER_ROUTES} SELECT query_id, rank, chunk_id, round(score, 6) AS score, round(s, 6) AS rrf_score FROM best WHERE rank <= {DEFAULT.retrieval.top_k}")
+def rewrite_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = questions_of.search_rewrites(chunks(spark, sf_dir), vectors_of(spark, sf_dir), _routes(spark, sf_dir))
+    return found.select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score"), F.round("rrf_score", 6).alias("rrf_score"))
+
+
+@query(
+    f"""{_OVER_ROUTES}, top5 AS (SELECT b.query_id, b.rank, c.* FROM best b JOIN chunks c USING (chunk_id) WHERE b.rank <= {DEFAULT.retrieval.top_k}),
+made AS (SELECT query_id, string_agg('[Chunk ' || chunk_id || ']' || chr(10) || content, chr(10) || chr(10) ORDER BY chunk_id) AS context, string_agg(substring(content, 1, 200) || ' [Chunk ' || chunk_id || ']', chr(10) ORDER BY rank) AS answer,
+  string_agg(chunk_id, ',' ORDER BY rank) AS chunk_ids, count(*) AS n FROM top5 GROUP BY 1),
+m AS (SELECT *, len(regexp_extract_all(answer, '(?i)\[Chunk\s+\p{{Nd}}+\]')) AS k FROM made),
+c AS (SELECT *, round(greatest(0, least(1, 0.5::DOUBLE + CASE WHEN k > 0 THEN 0.3::DOUBLE + least(k * 0.05::DOUBLE, 0.15::DOUBLE) ELSE -0.2::DOUBLE END + CASE WHEN length({strip_sql("answer")}) < 10 THEN -0.3::DOUBLE WHEN length({strip_sql("answer")}) > 50 THEN 0.1::DOUBLE ELSE 0 END
+  + CASE WHEN regexp_matches(answer, '无法|不知道|没有找到|未找到|不清楚|无法确定') THEN -0.2::DOUBLE ELSE 0 END)), 6) AS confidence FROM m)
+SELECT b.item_id AS query_id, coalesce(chunk_ids, '') AS chunk_ids, sha256(context) AS context_sha256, sha256(coalesce(answer, '根据提供的上下文，无法找到相关信息')) AS answer_sha256, coalesce(confidence, 0)::DOUBLE AS confidence, coalesce(confidence < 0.6 OR k = 0, TRUE) AS is_refused
+FROM benchmark b LEFT JOIN c ON c.query_id = b.item_id"""
+)
+def question_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From every question over its rewrites to its context, an extractive answer, and whether that is refused."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    said = questions_of.answer(items, _routes(spark, sf_dir), chunks(spark, sf_dir), vectors_of(spark, sf_dir))
+    ids = F.array_join(F.transform("chunk_ids", lambda c: c.cast("string")), ",").alias("chunk_ids")
+    return said.select("query_id", ids, text.sha256(F.col("context")).alias("context_sha256"), text.sha256(F.col("answer")).alias("answer_sha256"), "confidence", "is_refused")
+
+
+# Stores
+
+
+@query(f"WITH {CHUNKS}, {BM25} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM worded")
+def keyword_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index that was filled with half of the chunks, then with others under wrong texts, which are replaced, while the deleted ones go, and merged."""
+    index = KeywordIndex(Store(spark, scratch(spark, "keyword-index")), fan=2)
+    everything = chunks(spark, sf_dir).select("chunk_id", "content", "is_deleted")
+    even = F.col("chunk_id") % 2 == 0
+    index.update(everything.where(even))
+    index.update(everything.where(~even).withColumn("content", F.reverse("content")))
+    index.merge()
+    index.update(everything.where(~even & ~F.col("is_deleted")), everything.where("is_deleted"))
+    return index.search(questions(spark, sf_dir), K).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(ORACLE_SQL["cascade_delete"])
+def store_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cascade as one commit over three tables, read from its snapshot."""
+    store, all_chunks = Store(spark, scratch(spark, "store")), chunks(spark, sf_dir)
+    store.commit(
+        {
+            "documents": Append(all_chunks.select("document_id").distinct()),
+            "chunks": Append(all_chunks.select("document_id", "chunk_id")),
+            "embeddings": Append(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"))),
+        }
+    )
+    incremental.delete_documents(store, all_chunks.where("is_deleted"))
+    snapshot = store.snapshot()
+    left = {name: store.read(name, snapshot) for name in ("documents", "chunks", "embeddings")}
+    rows = [df.select(F.lit(name).alias("table_name"), F.col(df.columns[-1]).alias("id")) for name, df in left.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+@query(
+    """WITH u AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id % 3 DESC, ts DESC, event_id DESC) AS n FROM events)
+SELECT user_id, event_type, event_id, ts FROM u WHERE n = 1 AND NOT (event_id % 3 = 2 AND value < 10)"""
+)
+def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches of events put over each other by user and kind, of which the second comes twice and the last takes away what is worth little."""
+    store, events = Store(spark, scratch(spark, "upserts")), table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "ts", "value")
+    for number in (0, 1, 1, 2):
+        batch = events.where(F.col("event_id") % 3 == number)
+        store.upsert("requests", batch, ("user_id", "event_type"), F.struct("ts", "event_id"), F.lit(number == 2) & (F.col("value") < 10), ("events", number))
+        if number == 1:
+            store.compact("requests", ("user_id", "event_type"))
+    return store.latest("requests", ("user_id", "event_type")).select("user_id", "event_type", "event_id", "ts")

@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from corpusloom.config import DEFAULT, Resilience
 from corpusloom.functions import policy
@@ -73,6 +74,11 @@ class FormFeedParser:
         return content.decode("utf-8", "replace").split("\f")
 
 
+# Where a model's text that isn't JSON has its main query.
+QUOTED = r"""["']([^"']+)["']"""
+NAMED = r"""(?i)primary[_\s]*query[:\s]+["']?([^"'\n]+)"""
+
+
 def rewrite(df: DataFrame, query: str = "query") -> DataFrame:
     """``df`` with rewritten_queries and years, as without a model: the query itself, and the years it names."""
     return df.withColumn("rewritten_queries", policy.rewrites(F.col(query), F.array(F.col(query)))).withColumn("years", years(F.col(query)))
@@ -83,9 +89,10 @@ def parsed_rewrite(raw: Column, query: Column) -> Column:
     fenced = F.regexp_extract(raw, r"(?s)```(?:json)?\s*(.*?)\s*```", 1)
     body = F.when(fenced != "", fenced).otherwise(F.trim(raw))
     parsed = F.from_json(body, "primary_query string, rewritten_queries array<string>, extracted_years array<string>")
-    quoted = F.regexp_extract(raw, r'"([^"]+)"', 1)
+    quoted = F.regexp_extract(raw, QUOTED, 1)
+    named = strip(F.regexp_extract(raw, NAMED, 1))
     plain = F.when(((F.length(raw) < 200) & F.contains(raw, F.lit("?"))) | F.contains(raw, F.lit("？")), F.trim(raw))
-    primary = F.coalesce(parsed["primary_query"], F.when(quoted != "", quoted), plain, query)
+    primary = F.coalesce(parsed["primary_query"], F.when(quoted != "", quoted), F.when(named != "", named), plain, query)
     found = F.filter(F.transform(F.coalesce(parsed["extracted_years"], F.array().cast("array<string>")), lambda y: y.try_cast("int")), lambda y: y.isNotNull())
     return F.struct(primary.alias("primary_query"), policy.rewrites(query, parsed["rewritten_queries"]).alias("rewritten_queries"), found.alias("extracted_years"))
 
@@ -107,22 +114,46 @@ def parse_files(files: DataFrame, parser: PdfParser) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, "path string, page_no int, text string").withColumn("text", drop_page_noise(F.col("text")))
 
 
+class ModelError(Exception):
+    """What a model's service answers instead of a reply, with its HTTP status."""
+
+    def __init__(self, message: str, status: int | None = None) -> None:
+        super().__init__(message)
+        self.status = status
+
+
+def failure(error: Exception) -> tuple[str, bool]:
+    """The kind of a model's error, and whether to try again: after timeouts, lost connections, too many requests and the service's own faults."""
+    status = getattr(error, "status", None)
+    if isinstance(error, TimeoutError):
+        return "timeout", True
+    if isinstance(error, ConnectionError):
+        return "fallback", True
+    if status == 429:
+        return "rate_limit", True
+    if status is not None and 500 <= status < 600:
+        return "5xx", True
+    return ("parse_error" if isinstance(error, ValueError) else "fallback"), False
+
+
 def with_retries(
     call: Callable[[], str], wait: Callable[[float], None], settings: Resilience = DEFAULT.resilience, clock: Callable[[], float] = time.monotonic
 ) -> tuple[str | None, list[dict]]:
     """The result of ``call`` after up to so many attempts, and one event for each failure.
 
-    Waits double between attempts; none is made that would go beyond the seconds allowed in all.
+    Waits double between attempts; none is made that would go beyond the
+    seconds allowed in all, nor after an error that another try won't mend.
     """
     events: list[dict] = []
     began = clock()
     for attempt in range(1, settings.max_attempts + 1):
         try:
             return call(), events
-        except (TimeoutError, ConnectionError) as error:
-            events.append({"attempt": attempt, "event_type": "timeout" if isinstance(error, TimeoutError) else "fallback", "error_msg": str(error)})
+        except Exception as error:  # whatever a model raises, the next one is asked
+            kind, again = failure(error)
+            events.append({"attempt": attempt, "event_type": kind, "http_status": getattr(error, "status", None), "error_msg": str(error)})
             pause = min(settings.backoff_multiplier * 2 ** (attempt - 1), settings.backoff_max)
-            if attempt == settings.max_attempts or clock() - began + pause > settings.total_seconds:
+            if not again or attempt == settings.max_attempts or clock() - began + pause > settings.total_seconds:
                 break
             wait(pause)
     return None, events
@@ -143,12 +174,45 @@ class Fallback:
         now = clock()
         if self.breaker.may_call(now, self.settings):
             said, events = with_retries(self.primary, wait, self.settings, clock)
+            events = [e | {"model": "primary"} for e in events]
             self.breaker.call(now, said is None, self.settings)
             if said is not None:
                 return said, "primary", events
-        events.append({"attempt": 1, "event_type": "fallback", "error_msg": "the primary model gave no answer" if events else "the circuit is open"})
+        events.append({"attempt": 1, "event_type": "fallback", "http_status": None, "error_msg": "the primary model gave no answer" if events else "the circuit is open", "model": "secondary"})
         said, more = with_retries(self.secondary, wait, self.settings, clock)
-        return said, "secondary" if said is not None else "none", events + more
+        return said, "secondary" if said is not None else "none", events + [e | {"model": "secondary"} for e in more]
+
+
+MODEL_EVENTS = "array<struct<model:string,attempt:int,event_type:string,http_status:int,error_msg:string>>"
+
+
+def ask_models(
+    prompts: DataFrame, prompt: str, primary: Callable[[str], str], secondary: Callable[[str], str], settings: Resilience = DEFAULT.resilience, wait: Callable[[float], None] = time.sleep, clock: Callable[[], float] = time.monotonic
+) -> DataFrame:
+    """``prompts`` with answer, model (primary, secondary or none) and events, asked in the tasks.
+
+    Each task has a breaker of its own for the primary model, as each process of
+    a service has.  Any error of a model leads to the next try or the next model, never
+    to the end of the job; without an answer from either, answer is null.  A null prompt asks nobody.
+    """
+    names = list(prompts.columns)
+    fields = StructType([*prompts.schema.fields, *StructType.fromDDL(f"answer string, model string, events {MODEL_EVENTS}").fields])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        breaker = Breaker()
+        for pdf in batches:
+            said = []
+            for text in pdf[prompt]:
+                asked = Fallback(lambda t=text: primary(t), lambda t=text: secondary(t), settings, breaker)
+                said.append((None, None, []) if text is None else asked.answer(wait, clock))
+            yield pdf[names].assign(answer=[x[0] for x in said], model=[x[1] for x in said], events=[x[2] for x in said])
+
+    return prompts.mapInPandas(run, fields)
+
+
+def model_events(asked: DataFrame, key: str = "request_id") -> DataFrame:
+    """The log of ``ask_models``: a row for each failed try and each use of the second model."""
+    return asked.select(F.col(key), F.posexplode("events").alias("seq", "e")).select(key, "seq", "e.*")
 
 
 # What a model is given.
@@ -175,10 +239,3 @@ def parsed_slots(raw: Column, names: Column) -> Column:
     given = F.from_json(F.when(fenced != "", fenced).otherwise(F.trim(raw)), "map<string,string>")
     stripped = F.transform_values(F.coalesce(given, F.create_map().cast("map<string,string>")), lambda k, v: strip(v))
     return F.map_filter(stripped, lambda k, v: F.array_contains(names, k) & v.isNotNull() & (v != ""))
-
-
-def compatible_url(base: Column) -> Column:
-    """A service's base URL with the path of its compatible mode."""
-    ends = base.endswith("/v1")
-    whole = F.when(ends, F.replace(base, F.lit("/v1"), F.lit("/compatible-mode/v1"))).otherwise(F.concat(F.rtrim(base, F.lit("/")), F.lit("/compatible-mode/v1")))
-    return F.when(F.contains(base, F.lit("/compatible-mode")), base).otherwise(whole)

@@ -27,6 +27,20 @@ def test_citations(spark):
     assert many(spark, policy.citations, ["[Chunk 1][chunk 2] x [Chunk  3][Chunk 1]", "[Chunk]"]) == [[1, 2, 3, 1], []]
 
 
+def test_citations_of_any_digits(spark):
+    said = ["[Chunk 99999999999999999999][Chunk 4]", "[chunk １２][Chunk ٣]", None]
+    assert many(spark, policy.citations, said) == [[None, 4], [12, 3], None]
+    chunks = spark.createDataFrame([(4, "four"), (12, "twelve")], "chunk_id long, content string")
+    given = spark.createDataFrame(list(enumerate(said)), "request_id long, answer string")
+    assert sorted((r.request_id, r.rank_no, r.chunk_id) for r in answers.cited(given, chunks).collect()) == [(0, 2, 4), (1, 1, 12)]
+    assert many(spark, policy.confidence, said[:2]) == [pytest.approx(0.9)] * 2  # what no id can be counts all the same
+
+
+def test_embedding_errors(spark):
+    said = {"Error 404: model": "no_model", "Unauthorized": "no_access", "read Timeout": "timeout", "boom": "other", None: None}
+    assert many(spark, policy.embedding_error, list(said)) == list(said.values())
+
+
 def test_rewrites(spark):
     rows = [("q", ["q"]), ("q", ["a"]), ("q", ["a", "b", "c", "d"]), ("q", []), ("q", ["a", "q"]), ("q", None)]
     got = [r[0] for r in spark.createDataFrame(rows, "q string, g array<string>").select(policy.rewrites(F.col("q"), F.col("g"))).collect()]
@@ -91,7 +105,7 @@ def test_retries_end_with_the_time():
 
 
 def test_second_model_answers_for_the_first():
-    from corpusloom.providers import Fallback
+    from corpusloom.providers import Fallback, ModelError
 
     now, asked = [0.0], []
 
@@ -99,6 +113,14 @@ def test_second_model_answers_for_the_first():
         asked.append(now[0])
         raise ConnectionError("down")
 
+    for error, kind, tries in ((ValueError("HTTP 429"), "parse_error", 1), (ModelError("busy", 429), "rate_limit", 3), (ModelError("down", 503), "5xx", 3), (KeyError("x"), "fallback", 1)):
+
+        def fails(error=error):
+            raise error
+
+        said, model, events = Fallback(fails, lambda: "ok").answer(lambda s: None, lambda: 0.0)
+        assert (said, model) == ("ok", "secondary") and [e["event_type"] for e in events] == [kind] * tries + ["fallback"]
+        assert Fallback(fails, fails).answer(lambda s: None, lambda: 0.0)[:2] == (None, "none")
     both = Fallback(broken, lambda: "ok")
     for _ in range(6):
         said, model, events = both.answer(lambda s: None, lambda: now[0])
@@ -113,7 +135,7 @@ def test_second_model_answers_for_the_first():
 def test_numbers_in_formulas(spark):
     from corpusloom.operators.answers import formulas, number_text
 
-    values = [0.0, 5.0, -3.0, 2.5, 0.1, 1234567.25, 12345678.5, 123456789012.125, 0.0001, 0.00012, 1.5e-5, -2e-7, 1e15, 1e17, 100.0]
+    values = [1e300, -1e40, 2.0**60, 1e23, 0.0, 5.0, -3.0, 2.5, 0.1, 1234567.25, 12345678.5, 123456789012.125, 0.0001, 0.00012, 1.5e-5, -2e-7, 1e15, 1e17, 100.0]
     got = [r.t for r in spark.createDataFrame([(v,) for v in values], "x double").select(number_text(F.col("x")).alias("t")).collect()]
     assert got == [str(int(v)) if v == int(v) else repr(v) for v in values]
     rows = [("growth", 100.0, 80.0), ("ratio", 1.07, 40.0), ("diff", float("inf"), 1.0), ("growth", 1.0, 0.0), ("ratio", 2.675, 100.0)]
@@ -128,3 +150,24 @@ def test_prompts_need_their_values():
 
     with pytest.raises(ValueError):
         filled_prompt(None)
+
+
+def test_models_are_asked_in_tasks(spark):
+    from corpusloom.providers import ModelError, ask_models, model_events
+
+    def primary(text):
+        if text.startswith("bad"):
+            raise ModelError("busy", 429)
+        return text.upper()
+
+    def secondary(text):
+        if text == "bad 3":
+            raise RuntimeError("no")
+        return "second"
+
+    frame = spark.createDataFrame([(i, f"{'bad' if i % 2 else 'good'} {i}") for i in range(12)] + [(99, None)], "request_id long, prompt string").coalesce(1).sortWithinPartitions("request_id")
+    asked = ask_models(frame, "prompt", primary, secondary, wait=lambda s: None, clock=lambda: 0.0)
+    got = {r.request_id: (r.answer, r.model) for r in asked.collect()}
+    assert got[0] == ("GOOD 0", "primary") and got[1] == ("second", "secondary") and got[3] == (None, "none") and got[99] == (None, None)
+    events = model_events(asked).collect()
+    assert sum(e.event_type == "rate_limit" and e.model == "primary" for e in events) == 18 and sum(e.event_type == "fallback" and e.model == "secondary" for e in events) == 7

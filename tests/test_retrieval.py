@@ -75,6 +75,18 @@ def test_knn(spark, monkeypatch):
     assert cosine == [(1, 1), (1, 3), (3, 2), (3, 3)]
 
 
+def test_knn_of_unsound_vectors(spark):
+    nan, inf = float("nan"), float("inf")
+    vectors = [(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, []), (4, [1.0]), (5, [None, 1.0]), (6, [nan, 0.0]), (7, [inf, 0.0]), (8, [1.0, 0.0, 0.0]), (9, None), (10, [0.0, 0.0])]
+    frame = spark.createDataFrame(vectors, "chunk_id long, vector array<float>")
+    queries = spark.createDataFrame([(1, [1.0, 0.1]), (2, [0.9, 0.0, 0.0]), (3, []), (4, [nan, 1.0]), (5, [1.0] * 7)], "query_id long, vector array<float>")
+    for metric, want in (("l2", {1: [1, 10, 2], 2: [8]}), ("cosine", {1: [1, 2], 2: [8]})):
+        got = {}
+        for r in retrieval.knn(frame, queries, 5, metric).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append(r.chunk_id)
+        assert got == want
+
+
 def test_adjacent_merge(spark):
     rows = [(1, 1, 1, 1), (2, 1, 6, 6), (3, 1, 12, 12), (4, 2, None, None)]
     chunks = spark.createDataFrame([(i, d, s, e, f"c{i}") for i, d, s, e in rows], "chunk_id long, document_id long, page_start int, page_end int, content string")
