@@ -92,7 +92,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", max_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str | int = "text", max_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Zero-copy runs of rows with about ``max_bytes`` of text; a longer row stands alone."""
     if not batch.num_rows:
         return

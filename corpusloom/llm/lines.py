@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import cut, join_few
+from corpusloom.llm.common import cut, join_few, slices
 
 RUN = 3
 LONG_WORDS = 50  # a line, or two lines together, with as many words is a passage by itself
@@ -133,7 +133,7 @@ def dedup(docs: DataFrame, text: str = "text", id_column: str = "doc_id", run: i
     at = docs.columns.index(text)
 
     def leave(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, at)):
             texts, n_lines, n_removed = batch.column(at).to_pylist(), [], []
             for i, (value, cuts) in enumerate(zip(texts, batch.column(n), strict=True)):
                 lines = [] if value is None else value.split("\n")

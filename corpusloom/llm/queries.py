@@ -48,17 +48,19 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals after four batches over all documents: all are inserted, the same batch comes again, later exact copies
-    are deleted, and texts with runs of spaces are counted anew without them."""
-    docs = table(spark, sf_dir, "documents")
-    count = lambda d: rollups.count_tokens(d, public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN, "byte_bpe_50k/1")
+    are deleted, and texts with runs of spaces are counted anew without them.  What is taken away and what is added come from the
+    same rows, told by id and text, so that repeated and null ids count as the rows they are."""
+    new = F.regexp_replace("text", "  +", " ")
+    docs = table(spark, sf_dir, "documents").withColumns({"digest": F.unhex(F.sha2("text", 256)), "changes": F.coalesce(new != F.col("text"), F.lit(False))})
+    count = lambda d: rollups.count_tokens(d, public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN, "byte_bpe_50k/1", keep=("digest", "changes"))
     counts = cut(count(docs), "token-counts")
     path = scratch(spark, "token-rollup")
     for _ in range(2):
         rollups.commit(rollups.inserts(counts), path, 0)
-    copies = cut(rollups.later_copies(docs), "later-copies")
-    rollups.commit(rollups.deletes(counts.join(copies, "doc_id", "left_semi")), path, 1)
-    squeezed = docs.withColumn("new", F.regexp_replace("text", "  +", " ")).where("new <> text").drop("text").withColumnRenamed("new", "text").join(copies, "doc_id", "left_anti")
-    rollups.commit(rollups.revisions(counts.join(squeezed.select("doc_id").distinct(), "doc_id", "left_semi"), count(squeezed)), path, 2)
+    copies = cut(rollups.later_copies(docs, by_text=True), "later-copies")
+    rollups.commit(rollups.deletes(counts.join(copies, ["doc_id", "digest"], "left_semi")), path, 1)
+    left = lambda rows: rows.where("changes").join(copies, ["doc_id", "digest"], "left_anti")
+    rollups.commit(rollups.revisions(left(counts), count(left(docs).withColumn("text", new))), path, 2)
     return rollups.totals(spark, path)
 
 

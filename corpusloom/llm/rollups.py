@@ -5,18 +5,18 @@ them away, a revised count takes the old one away and adds the new one.  A
 batch of changes is summed by key before it is shuffled and committed under its
 id.  A commit reads the totals so far, adds the batch, takes away what the same
 id brought before, and writes new totals; so it costs as much as the batch and
-the keys, never the history, and a batch counts once however often it is sent.
+the keys, and a batch counts once however often it is sent.
 
-Nothing is changed in place.  A commit writes new folders and then a manifest,
-``log/<version>.json``, that names the current totals and each batch's folder,
-by a rename: readers see all of it or nothing, and a commit that died leaves
-folders that no manifest names.  The file system must rename a file atomically.
+Nothing is changed in place.  A commit writes new folders and then a manifest
+that names the current totals, as ``corpusloom.store`` publishes it: readers see
+all of it or nothing, and a commit that died leaves folders that no manifest
+names.  Which folder a batch has stands in small files for ranges of ids, of which a
+commit writes one anew; the manifest names those files.  The file system must rename a file atomically.
 """
 
 from __future__ import annotations
 
 import json
-import re
 import uuid
 from collections.abc import Iterator
 from functools import reduce
@@ -27,28 +27,31 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.bpe import encoding
 from corpusloom.llm.common import cut, filled, join_few
+from corpusloom.store import Store
 
 KEYS = ("source", "lang", "tokenizer")
 SUMS = ("n_docs", "n_tokens", "n_chars")
+RANGE = 1000  # ids of batches whose folders one file names
 _SCHEMA = ", ".join([f"{x} string" for x in KEYS] + [f"{x} long" for x in SUMS])
 
 
-def count_tokens(docs: DataFrame, path: str, pattern: str, version: str, text: str = "text", id_column: str = "doc_id") -> DataFrame:
-    """doc_id, source, lang, tokenizer, n_tokens, n_chars for every row; a null text has none of either.
+def count_tokens(docs: DataFrame, path: str, pattern: str, version: str, text: str = "text", id_column: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, lang, tokenizer, n_tokens, n_chars and the columns ``keep`` for every row; a null text has none of either.
 
     Rows are counted one by one, whatever else their table has; no rows give none.
     """
+    kept = [docs.schema[c] for c in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoding(path, pattern).encode_ordinary
         for batch in batches:
             counts = [len(encode(x.as_py())) for x in filled(batch.column(4))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(counts, pa.int64()), batch.column(5)], ["doc_id", *KEYS, "n_tokens", "n_chars"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(counts, pa.int64()), *batch.columns[5:]], ["doc_id", *KEYS, "n_tokens", "n_chars", *keep])
 
     source = docs.select(
-        F.col(id_column).cast("long").alias("doc_id"), F.col("source"), F.col("lang"), F.lit(version).alias("tokenizer"), F.col(text).alias("text"), F.coalesce(F.length(text), F.lit(0)).cast("long").alias("n_chars")
+        F.col(id_column).cast("long").alias("doc_id"), F.col("source"), F.col("lang"), F.lit(version).alias("tokenizer"), F.col(text).alias("text"), F.coalesce(F.length(text), F.lit(0)).cast("long").alias("n_chars"), *keep
     )
-    return source.mapInArrow(run, "doc_id long, source string, lang string, tokenizer string, n_tokens long, n_chars long")
+    return source.mapInArrow(run, ", ".join(["doc_id long, source string, lang string, tokenizer string, n_tokens long, n_chars long", *[f"{f.name} {f.dataType.simpleString()}" for f in kept]]))
 
 
 def inserts(counts: DataFrame) -> DataFrame:
@@ -63,34 +66,16 @@ def revisions(old: DataFrame, new: DataFrame) -> DataFrame:
     return deletes(old).unionByName(inserts(new))
 
 
-def _files(spark: SparkSession, path: str) -> tuple:
-    """Hadoop's file system of ``path``, and its class of paths."""
-    of = spark._jvm.org.apache.hadoop.fs.Path
-    return of(path).getFileSystem(spark._jsc.hadoopConfiguration()), of
-
-
 def _manifest(spark: SparkSession, path: str) -> tuple[int, dict]:
     """The last version and what it names; version 0, which names nothing, before the first commit."""
-    files, of = _files(spark, path)
-    log = of(f"{path}/log")
-    names = [x.getPath().getName() for x in files.listStatus(log)] if files.exists(log) else []
-    last = max([int(x.removesuffix(".json")) for x in names if re.fullmatch(r"\d{12}\.json", x)], default=0)
-    if not last:
-        return 0, {"totals": None, "batches": {}}
-    return last, json.loads(spark.read.text(f"{path}/log/{last:012d}.json", wholetext=True).first()[0])
+    store = Store(spark, path)
+    last = store.version()
+    return last, store.load(last) if last else {"totals": None, "ranges": {}}
 
 
 def _publish(spark: SparkSession, path: str, version: int, manifest: dict) -> bool:
     """Make ``manifest`` the given version; False if another commit has taken it."""
-    files, of = _files(spark, path)
-    temporary, final = of(f"{path}/log/tmp-{uuid.uuid4().hex}"), of(f"{path}/log/{version:012d}.json")
-    stream = files.create(temporary, False)
-    stream.write(bytearray(json.dumps(manifest).encode()))
-    stream.close()
-    if not files.exists(final) and files.rename(temporary, final):
-        return True
-    files.delete(temporary, False)
-    return False
+    return Store(spark, path).publish(version, manifest)
 
 
 def _summed(rows: DataFrame) -> DataFrame:
@@ -115,18 +100,21 @@ def commit(changes: DataFrame, path: str, batch_id: int) -> None:
     spark = changes.sparkSession
     batch = f"batches/{batch_id:012d}-{uuid.uuid4().hex}"
     _summed(changes).write.parquet(f"{path}/{batch}")
+    store, ids = Store(spark, path), str(batch_id // RANGE)
     while True:
         version, manifest = _manifest(spark, path)
-        before = manifest["batches"].get(str(batch_id))
+        batches = store.load_file(manifest["ranges"][ids]) if ids in manifest["ranges"] else {}
+        before = batches.get(str(batch_id))
         parts = [_stored(spark, path, manifest["totals"]), _stored(spark, path, batch), _negative(_stored(spark, path, before))]
         folder = f"totals/{version + 1:012d}-{uuid.uuid4().hex}"
         _summed(reduce(DataFrame.union, parts)).where(" or ".join(f"{x} <> 0" for x in SUMS)).write.parquet(f"{path}/{folder}")
-        if _publish(spark, path, version + 1, {"totals": folder, "batches": manifest["batches"] | {str(batch_id): batch}}):
+        named = store.save_file(f"ranges/{ids}-{uuid.uuid4().hex}.json", batches | {str(batch_id): batch})
+        if _publish(spark, path, version + 1, {"totals": folder, "ranges": manifest["ranges"] | {ids: named}}):
             return
 
 
 def compact(spark: SparkSession, path: str, into: str) -> None:
-    """The totals of ``path`` as the first batch of a new rollup, whose manifest names no other batch."""
+    """The totals of ``path`` as the first batch of a new rollup, which knows no other batch and has no older totals."""
     commit(totals(spark, path), into, 0)
 
 
@@ -138,9 +126,12 @@ def totals(spark: SparkSession, path: str) -> DataFrame:
     return _stored(spark, path, _manifest(spark, path)[1]["totals"])
 
 
-def later_copies(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
-    """doc_id of rows whose exact text a smaller doc_id has too; null texts and ids take no part."""
+def later_copies(docs: DataFrame, text: str = "text", id_column: str = "doc_id", by_text: bool = False) -> DataFrame:
+    """doc_id of rows whose exact text a smaller doc_id has too; null texts and ids take no part.
+
+    With ``by_text`` also digest, the SHA-256 of the text: rows of one id may have several texts, of which only some are copies.
+    """
     digest = F.unhex(F.sha2(F.col(text), 256)).alias("digest")
     keyed = cut(docs.where(F.col(text).isNotNull() & F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("doc_id"), digest), "text-digests")
     first = cut(keyed.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1"), "text-copies")
-    return join_few(keyed, first, ["digest"], ["doc_id"]).where("doc_id > first").select("doc_id").distinct()
+    return join_few(keyed, first, ["digest"], ["doc_id"]).where("doc_id > first").select("doc_id", *(["digest"] if by_text else [])).distinct()

@@ -363,7 +363,7 @@ def redact(docs: DataFrame, text: str = "text", mask: str = "[SECRET]") -> DataF
     limits = thresholds(made, counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, at)):
             column = batch.column(at)
             values = column.to_pylist()
             for i, own, spans, found in _looked_at(filled(column)):

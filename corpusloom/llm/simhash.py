@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import nearcopies
-from corpusloom.llm.common import cut, filled, join_few, shuffle_partitions
+from corpusloom.llm.common import cut, filled, join_few, shuffle_partitions, slices
 from corpusloom.llm.components import components, contract
 
 SHINGLE = 3
@@ -118,7 +118,7 @@ def fingerprints(docs: DataFrame, text: str = "text", id_column: str = "doc_id")
     """doc_id and fp, the fingerprint as a signed long, for every row; a null text has no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             fp = np.fromiter((fingerprint(x) for x in filled(batch.column(1)).to_pylist()), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 

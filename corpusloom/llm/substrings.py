@@ -252,7 +252,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_column: str = "doc_id
     ranges = repeated_ranges(keyed, window, bucket_bytes, mean_bucket).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
 
     def leave(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             n_words, n_removed, kept = [], [], []
             for text, cuts in zip(filled(batch.column(1)), batch.column(2), strict=True):
                 left = text.as_buffer().to_pybytes().split()

@@ -2,6 +2,7 @@ import random
 import re
 
 import public_tokenizers
+import pytest
 import tiktoken
 
 from corpusloom.llm import bpe, lines, queries, rollups
@@ -144,6 +145,28 @@ def test_a_commit_that_died_and_one_at_the_same_time(spark, monkeypatch):
     assert rollups.totals(spark, path).first().n_docs == 4
 
 
+def plain_query(rows):
+    whole = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe._ranks(RANKS), special_tokens={})
+    first, want = {}, {}
+    for doc, text, *_ in rows:
+        if text is not None and doc is not None:
+            first[text] = min(first.get(text, doc), doc)
+    for doc, text, lang, source, _ in rows:
+        if doc is None or text is None or first[text] == doc:
+            now = re.sub("  +", " ", text or "")
+            held = want.setdefault((source, lang, "byte_bpe_50k/1"), [0, 0, 0])
+            for k, x in enumerate((1, len(whole.encode_ordinary(now)), len(now))):
+                held[k] += x
+    return want
+
+
+@pytest.mark.parametrize("rows", [[(1, "a  b", "en", "s", 4), (1, "plain text", "en", "s", 10), (2, "x y", "en", "s", 3), (None, "c  d", "en", "s", 4)], corpus(2, 20) + [(None, "n  n", "en", "s", 4)] * 2 + [(3, "n  n", "en", "s", 4), (3, "other", None, None, 5), (5, "n  n", "en", "s", 4), (5, "kept  one", "en", "s", 9)]])
+def test_the_query_on_repeated_and_null_ids(spark, tmp_path, rows):
+    documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.source, r.lang, r.tokenizer): [r.n_docs, r.n_tokens, r.n_chars] for r in queries.op7_token_rollups(spark, str(tmp_path)).collect()}
+    assert got == plain_query(rows)
+
+
 def test_the_query_like_brute_force(spark, sf_dir):
     whole = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe._ranks(RANKS), special_tokens={})
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
