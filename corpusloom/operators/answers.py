@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from corpusloom.config import DEFAULT
-from corpusloom.functions import policy
-from corpusloom.functions.text import preview
+from corpusloom.functions import policy, replies
+from corpusloom.functions.text import let, preview, strip
 
 
 def merge_adjacent(chunks: DataFrame, by: tuple[str, ...] = ("document_id",), window: int = DEFAULT.policy.page_window) -> DataFrame:
@@ -80,12 +80,15 @@ def with_formula(answer: Column, formula: Column) -> Column:
 
 
 def calc_payload(raw: Column) -> Column:
-    """op_type, val1, val2 of a model's JSON, fenced or not, and whether to fall back to a plain answer."""
-    fenced = F.regexp_extract(raw, r"(?s)```(?:json)?\s*(.*?)\s*```", 1)
-    parsed = F.from_json(F.when(fenced != "", fenced).otherwise(F.trim(raw)), "op_type string, val1 string, val2 string, reason string")
-    val1, val2 = parsed["val1"].try_cast("double"), parsed["val2"].try_cast("double")
-    good = parsed["op_type"].isin("growth", "diff", "ratio") & val1.isNotNull() & val2.isNotNull()
-    return F.struct(parsed["op_type"].alias("op_type"), val1.alias("val1"), val2.alias("val2"), (~F.coalesce(good, F.lit(False))).alias("fallback"))
+    """op_type, val1, val2 of a model's JSON, fenced or not, and whether to fall back to a plain answer; a value that isn't named is 0."""
+
+    def judged(value: Column) -> Column:
+        op = F.lower(strip(replies.text_at(value, "$.op_type")))
+        val1, val2 = (F.when(replies.is_object(value), replies.number_at(value, f"$.{x}", 0.0)) for x in ("val1", "val2"))
+        good = op.isin("growth", "diff", "ratio") & val1.isNotNull() & val2.isNotNull()
+        return F.struct(op.alias("op_type"), val1.alias("val1"), val2.alias("val2"), (~F.coalesce(good, F.lit(False))).alias("fallback"))
+
+    return let(replies.parsed(raw), judged)
 
 
 def history_tail(turns: DataFrame, n: int = 6) -> DataFrame:

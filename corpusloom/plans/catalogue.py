@@ -866,31 +866,68 @@ def slot_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.select("conv_id", "turn", providers.slot_prompt(F.col("text"), names).alias("prompt"), F.array_join(slots, ",").alias("slots"))
 
 
+_FENCED_SQL = "CASE WHEN regexp_extract(raw, '(?is)```(?:json)?\\s*(.*?)\\s*```', 1) <> '' THEN regexp_extract(raw, '(?is)```(?:json)?\\s*(.*?)\\s*```', 1) ELSE trim(raw, ' ' || chr(10) || chr(9) || chr(13)) END"
+
+
+def _reply(n: Column, body: Column, said: Column) -> Column:
+    """A model's reply: fenced in three ways, bare, cut off, with words around it, or words alone."""
+    lit = F.lit
+    fenced = F.when(n % 7 == 0, F.concat(lit("```json\n"), body, lit("\n```"))).when(n % 7 == 1, F.concat(lit("Here:\n```\n"), body, lit("\n``` as asked"))).when(n % 7 == 2, F.concat(lit("```JSON"), body, lit("```")))
+    return fenced.when(n % 7 == 3, F.concat(lit(" \n"), body, lit("\n"))).when(n % 7 == 4, F.substring(body, 1, 30)).when(n % 7 == 5, body).otherwise(said)
+
+
+def _reply_sql(n: str, body: str, said: str) -> str:
+    return f"""CASE {n} % 7 WHEN 0 THEN '```json' || chr(10) || {body} || chr(10) || '```' WHEN 1 THEN 'Here:' || chr(10) || '```' || chr(10) || {body} || chr(10) || '``` as asked' WHEN 2 THEN '```JSON' || {body} || '```'
+  WHEN 3 THEN ' ' || chr(10) || {body} || chr(10) WHEN 4 THEN substring({body}, 1, 30) WHEN 5 THEN {body} ELSE {said} END"""
+
+
 @query(
-    """WITH k AS (SELECT event_id, CASE event_type WHEN 'view' THEN 'growth' WHEN 'click' THEN 'ratio' WHEN 'error' THEN 'power' ELSE 'diff' END AS op, event_id % 100 AS a, event_id % 7 AS b, event_type FROM events)
-SELECT event_id, CASE WHEN event_type <> 'signup' THEN op END AS op_type, CASE WHEN event_type <> 'signup' THEN a::DOUBLE END AS val1, CASE WHEN event_type <> 'signup' AND event_id % 11 <> 0 THEN b::DOUBLE END AS val2,
-op = 'power' OR event_type = 'signup' OR event_id % 11 = 0 AS fallback FROM k"""
+    f"""WITH t AS (SELECT conv_id, turn, conv_id * 5 + turn AS n, text FROM conversations),
+b AS (SELECT *, '{{"op_type": ' || CASE n % 5 WHEN 0 THEN '" Growth "' WHEN 1 THEN '"diff"' WHEN 2 THEN '"ratio"' WHEN 3 THEN '"none"' ELSE to_json(text) END || ', "val1": ' || CASE n % 3 WHEN 0 THEN (n * 7919) || '.25' WHEN 1 THEN '"' || n || '"' ELSE to_json(text) END
+  || CASE WHEN n % 4 = 0 THEN '' ELSE ', "val2": ' || CASE n % 4 WHEN 1 THEN 'null' ELSE '123456789012.5' END END || ', "reason": ' || to_json(text || CASE WHEN n % 11 = 0 THEN ' ```{{"a":1}}``` ' ELSE ' {{"quoted": "\\"}} ' END) || '}}' AS body FROM t),
+r AS (SELECT *, {_reply_sql("n", "body", "text")} AS raw FROM b), p AS (SELECT *, TRY_CAST({_FENCED_SQL} AS JSON) AS j FROM r),
+o AS (SELECT *, json_type(j) = 'OBJECT' AS object, CASE WHEN json_type(j) = 'OBJECT' THEN lower({strip_sql("json_extract_string(j, '$.op_type')")}) END AS op FROM p),
+v AS (SELECT conv_id, turn, op AS op_type, CASE WHEN object THEN CASE WHEN json_type(j, '$.val1') IS NULL THEN 0 ELSE TRY_CAST(json_extract_string(j, '$.val1') AS DOUBLE) END END AS val1,
+  CASE WHEN object THEN CASE WHEN json_type(j, '$.val2') IS NULL THEN 0 ELSE TRY_CAST(json_extract_string(j, '$.val2') AS DOUBLE) END END AS val2 FROM o)
+SELECT conv_id, turn, op_type, val1, val2, NOT coalesce(op_type IN ('growth', 'diff', 'ratio') AND val1 IS NOT NULL AND val2 IS NOT NULL, FALSE) AS fallback FROM v"""
 )
 def calc_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Calculations that a model asks for in JSON, fenced or not, some with a wrong kind, no number, or no JSON at all."""
-    n = F.col("event_id")
-    op = F.when(F.col("event_type") == "view", "growth").when(F.col("event_type") == "click", "ratio").when(F.col("event_type") == "error", "power").otherwise("diff")
-    body = F.concat(F.lit('{"op_type": "'), op, F.lit('", "val1": '), (n % 100).cast("string"), F.lit(', "val2": '), F.when(n % 11 == 0, '"many"').otherwise((n % 7).cast("string")), F.lit(', "reason": "r"}'))
-    raw = F.when(F.col("event_type") == "signup", "no idea").when(n % 2 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise(body)
-    return table(spark, sf_dir, "events").select("event_id", answers.calc_payload(raw).alias("p")).select("event_id", "p.*")
+    """Calculations that a model asks for in JSON with the texts of turns in it: quotes, braces, line ends and fences; some with a wrong kind, a missing value, no number, or no JSON at all."""
+    n, lit = F.col("n"), F.lit
+    quoted = lambda c: F.regexp_replace(F.to_json(F.struct(c.alias("t"))), r"(?s)^\{\"t\":(.*)\}$", "$1")
+    turns = table(spark, sf_dir, "conversations").withColumn("n", F.col("conv_id") * 5 + F.col("turn"))
+    op = F.when(n % 5 == 0, '" Growth "').when(n % 5 == 1, '"diff"').when(n % 5 == 2, '"ratio"').when(n % 5 == 3, '"none"').otherwise(quoted(F.col("text")))
+    val1 = F.when(n % 3 == 0, F.concat((n * 7919).cast("string"), lit(".25"))).when(n % 3 == 1, F.concat(lit('"'), n.cast("string"), lit('"'))).otherwise(quoted(F.col("text")))
+    val2 = F.when(n % 4 == 0, "").when(n % 4 == 1, ', "val2": null').otherwise(', "val2": 123456789012.5')
+    reason = quoted(F.concat("text", F.when(n % 11 == 0, ' ```{"a":1}``` ').otherwise(' {"quoted": "\\"} ')))
+    body = F.concat(lit('{"op_type": '), op, lit(', "val1": '), val1, val2, lit(', "reason": '), reason, lit("}"))
+    return turns.select("conv_id", "turn", answers.calc_payload(_reply(n, body, F.col("text"))).alias("p")).select("conv_id", "turn", "p.*")
 
 
 @query(
-    f"""WITH {ASKED}, r AS (SELECT conv_id, turn, 'q' || conv_id AS q, turn % 3 AS k FROM asked0)
-SELECT conv_id, turn, CASE k WHEN 0 THEN 'better ' || q WHEN 1 THEN 'quoted ' || q ELSE 'what is ' || q || '?' END AS primary_query,
-CASE k WHEN 0 THEN 'one|two|' || q ELSE q || '|' || q || ' 详细信息' END AS rewritten, CASE k WHEN 0 THEN '2021,2023' ELSE '' END AS years FROM r"""
+    f"""WITH t AS (SELECT conv_id, turn, conv_id * 3 + turn AS n, text FROM conversations),
+b AS (SELECT *, '{{' || CASE n % 3 WHEN 0 THEN '"primary_query": ' || to_json('about ' || text) || ', ' ELSE '' END || CASE n % 4 WHEN 0 THEN '"rewritten_queries": [' || to_json(substring(text, 1, 20)) || ', ' || to_json('"two" of ' || n) || '], ' WHEN 1 THEN '"rewritten_queries": [], ' ELSE '' END
+  || '"extracted_years": ' || CASE n % 5 WHEN 0 THEN '[2021, "2022", "x", 2023.7, null]' WHEN 1 THEN '"2020"' ELSE '[' || (2000 + n % 30) || ']' END || '}}' AS body FROM t),
+r AS (SELECT *, {_reply_sql("n", "body", "CASE WHEN n % 2 = 0 THEN 'Primary query: ' || replace(replace(substring(text, 1, 40), chr(39), ' '), chr(34), ' ') ELSE text END")} AS raw FROM b), p AS (SELECT *, TRY_CAST({_FENCED_SQL} AS JSON) AS j FROM r),
+o AS (SELECT *, coalesce(json_type(j) = 'OBJECT', FALSE) AS object FROM p),
+q AS (SELECT *, CASE WHEN object THEN coalesce(json_extract_string(j, '$.primary_query'), text) ELSE coalesce(nullif(regexp_extract(raw, '["\\x27]([^"\\x27]+)["\\x27]', 1), ''),
+  nullif({strip_sql("regexp_extract(raw, '(?i)primary[_\\s]*query[:\\s]+[\"\\x27]?([^\"\\x27\\n]+)', 1)")}, ''), CASE WHEN (length(raw) < 200 AND contains(raw, '?')) OR contains(raw, '？') THEN trim(raw) END, text) END AS primary_query FROM o),
+g AS (SELECT *, CASE WHEN len(CAST(j->'$.rewritten_queries' AS VARCHAR[])) > 0 THEN CAST(j->'$.rewritten_queries' AS VARCHAR[]) WHEN object THEN [primary_query] ELSE [text] END AS first FROM (SELECT * FROM q)),
+w AS (SELECT *, CASE WHEN list_contains(first, text) THEN first ELSE list_append(first, text) END AS with_query FROM g)
+SELECT conv_id, turn, primary_query, array_to_string((CASE WHEN len(first) >= 3 THEN first WHEN len(with_query) < 3 THEN list_append(with_query, text || ' 详细信息') ELSE with_query END)[1:3], '|') AS rewritten,
+CASE WHEN NOT object THEN '' WHEN n % 5 = 0 THEN '2021,2022,2023' WHEN n % 5 = 1 THEN '' ELSE (2000 + n % 30)::VARCHAR END AS years FROM w"""
 )
 def rewrite_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rewrites as a model gives them: JSON in a fence, a quoted text, or a bare question."""
-    q = F.concat(F.lit("q"), F.col("conv_id").cast("string"))
-    fenced = F.concat(F.lit('```json\n{"primary_query": "better '), q, F.lit('", "rewritten_queries": ["one", "two"], "extracted_years": ["2021", "x", "2023"]}\n```'))
-    raw = F.when(F.col("turn") % 3 == 0, fenced).when(F.col("turn") % 3 == 1, F.concat(F.lit('I would say "quoted '), q, F.lit('" here'))).otherwise(F.concat(F.lit("what is "), q, F.lit("?")))
-    parsed = _asked(spark, sf_dir).select("conv_id", "turn", providers.parsed_rewrite(raw, q).alias("p"))
+    """Rewrites as a model gives them, with the texts of turns in them: JSON fenced, bare or cut off, a quoted or named text, a bare question, or anything else."""
+    n, lit = F.col("n"), F.lit
+    quoted = lambda c: F.regexp_replace(F.to_json(F.struct(c.alias("t"))), r"(?s)^\{\"t\":(.*)\}$", "$1")
+    turns = table(spark, sf_dir, "conversations").withColumn("n", F.col("conv_id") * 3 + F.col("turn"))
+    primary = F.when(n % 3 == 0, F.concat(lit('"primary_query": '), quoted(F.concat(lit("about "), F.col("text"))), lit(", "))).otherwise("")
+    given = F.when(n % 4 == 0, F.concat(lit('"rewritten_queries": ['), quoted(F.substring("text", 1, 20)), lit(", "), quoted(F.concat(lit('"two" of '), n.cast("string"))), lit("], "))).when(n % 4 == 1, '"rewritten_queries": [], ').otherwise("")
+    years = F.when(n % 5 == 0, '[2021, "2022", "x", 2023.7, null]').when(n % 5 == 1, '"2020"').otherwise(F.concat(lit("["), (2000 + n % 30).cast("string"), lit("]")))
+    body = F.concat(lit("{"), primary, given, lit('"extracted_years": '), years, lit("}"))
+    said = F.when(n % 2 == 0, F.concat(lit("Primary query: "), F.translate(F.substring("text", 1, 40), "'\"", "  "))).otherwise(F.col("text"))
+    parsed = turns.select("conv_id", "turn", providers.parsed_rewrite(_reply(n, body, said), F.col("text")).alias("p"))
     return parsed.select("conv_id", "turn", "p.primary_query", F.array_join("p.rewritten_queries", "|").alias("rewritten"), F.array_join(F.transform("p.extracted_years", lambda y: y.cast("string")), ",").alias("years"))
 
 
@@ -981,7 +1018,7 @@ def rewrite_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""{_OVER_ROUTES}, top5 AS (SELECT b.query_id, b.rank, c.* FROM best b JOIN chunks c USING (chunk_id) WHERE b.rank <= {DEFAULT.retrieval.top_k}),
 made AS (SELECT query_id, string_agg('[Chunk ' || chunk_id || ']' || chr(10) || content, chr(10) || chr(10) ORDER BY chunk_id) AS context, string_agg(substring(content, 1, 200) || ' [Chunk ' || chunk_id || ']', chr(10) ORDER BY rank) AS answer,
   string_agg(chunk_id, ',' ORDER BY rank) AS chunk_ids, count(*) AS n FROM top5 GROUP BY 1),
-m AS (SELECT *, len(regexp_extract_all(answer, '(?i)\[Chunk\s+\p{{Nd}}+\]')) AS k FROM made),
+m AS (SELECT *, len(regexp_extract_all(answer, '(?i)\\[Chunk\\s+\\p{{Nd}}+\\]')) AS k FROM made),
 c AS (SELECT *, round(greatest(0, least(1, 0.5::DOUBLE + CASE WHEN k > 0 THEN 0.3::DOUBLE + least(k * 0.05::DOUBLE, 0.15::DOUBLE) ELSE -0.2::DOUBLE END + CASE WHEN length({strip_sql("answer")}) < 10 THEN -0.3::DOUBLE WHEN length({strip_sql("answer")}) > 50 THEN 0.1::DOUBLE ELSE 0 END
   + CASE WHEN regexp_matches(answer, '无法|不知道|没有找到|未找到|不清楚|无法确定') THEN -0.2::DOUBLE ELSE 0 END)), 6) AS confidence FROM m)
 SELECT b.item_id AS query_id, coalesce(chunk_ids, '') AS chunk_ids, sha256(context) AS context_sha256, sha256(coalesce(answer, '根据提供的上下文，无法找到相关信息')) AS answer_sha256, coalesce(confidence, 0)::DOUBLE AS confidence, coalesce(confidence < 0.6 OR k = 0, TRUE) AS is_refused

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from corpusloom.config import DEFAULT, Resilience
-from corpusloom.functions import policy
-from corpusloom.functions.text import drop_page_noise, preview, strip, tokens, years
+from corpusloom.functions import policy, replies
+from corpusloom.functions.text import drop_page_noise, let, preview, strip, tokens, years
 from corpusloom.operators.state import Breaker
 
 
@@ -85,33 +85,36 @@ def rewrite(df: DataFrame, query: str = "query") -> DataFrame:
 
 
 def parsed_rewrite(raw: Column, query: Column) -> Column:
-    """primary_query, rewritten_queries and extracted_years of a model's text, fenced or not; the query stands in for what is missing."""
-    fenced = F.regexp_extract(raw, r"(?s)```(?:json)?\s*(.*?)\s*```", 1)
-    body = F.when(fenced != "", fenced).otherwise(F.trim(raw))
-    parsed = F.from_json(body, "primary_query string, rewritten_queries array<string>, extracted_years array<string>")
-    quoted = F.regexp_extract(raw, QUOTED, 1)
-    named = strip(F.regexp_extract(raw, NAMED, 1))
-    plain = F.when(((F.length(raw) < 200) & F.contains(raw, F.lit("?"))) | F.contains(raw, F.lit("？")), F.trim(raw))
-    primary = F.coalesce(parsed["primary_query"], F.when(quoted != "", quoted), F.when(named != "", named), plain, query)
-    found = F.filter(F.transform(F.coalesce(parsed["extracted_years"], F.array().cast("array<string>")), lambda y: y.try_cast("int")), lambda y: y.isNotNull())
-    return F.struct(primary.alias("primary_query"), policy.rewrites(query, parsed["rewritten_queries"]).alias("rewritten_queries"), found.alias("extracted_years"))
+    """primary_query, rewritten_queries and extracted_years of a model's text, JSON or not; the query stands in for what is missing."""
+
+    def taken(value: Column) -> Column:
+        quoted = F.regexp_extract(raw, QUOTED, 1)
+        named = strip(F.regexp_extract(raw, NAMED, 1))
+        plain = F.when(((F.length(raw) < 200) & F.contains(raw, F.lit("?"))) | F.contains(raw, F.lit("？")), F.trim(raw))
+        said = F.coalesce(F.when(quoted != "", quoted), F.when(named != "", named), plain, query)
+        primary = F.when(replies.is_object(value), F.coalesce(replies.text_at(value, "$.primary_query"), query)).otherwise(said)
+        given = replies.texts_at(value, "$.rewritten_queries")
+        given = F.when(F.size(given) > 0, given).when(replies.is_object(value), F.array(primary))
+        return F.struct(primary.alias("primary_query"), policy.rewrites(query, given).alias("rewritten_queries"), replies.whole_numbers_at(value, "$.extracted_years").alias("extracted_years"))
+
+    return let(replies.parsed(raw), taken)
 
 
 def parse_files(files: DataFrame, parser: PdfParser) -> DataFrame:
-    """path, page_no and text of each page of the files (path, content); a file that can't be read gives one page that says so."""
+    """path, page_no, text and failed of each page of the files (path, content); a file that can't be read gives one page that says so, and failed."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
                 try:
-                    pages = parser.pages(bytes(content))
+                    pages, failed = parser.pages(bytes(content)), False
                 except Exception as error:  # a page of its own stands for what a parser can't read
-                    pages = [f"[页面解析失败: {error}]"]
-                rows += [(path, n, text) for n, text in enumerate(pages, 1)]
-            yield pd.DataFrame(rows, columns=["path", "page_no", "text"])
+                    pages, failed = [f"[页面解析失败: {error}]"], True
+                rows += [(path, n, text, failed) for n, text in enumerate(pages, 1)]
+            yield pd.DataFrame(rows, columns=["path", "page_no", "text", "failed"])
 
-    return files.select("path", "content").mapInPandas(run, "path string, page_no int, text string").withColumn("text", drop_page_noise(F.col("text")))
+    return files.select("path", "content").mapInPandas(run, "path string, page_no int, text string, failed boolean").withColumn("text", drop_page_noise(F.col("text")))
 
 
 class ModelError(Exception):
@@ -235,7 +238,10 @@ def slot_prompt(query: Column, names: Column) -> Column:
 
 def parsed_slots(raw: Column, names: Column) -> Column:
     """Values by slot of a model's JSON, fenced or not: those of wanted names that aren't blank; none of what isn't an object."""
-    fenced = F.regexp_extract(raw, r"(?s)```(?:(?i)json)?\s*(.*?)\s*```", 1)
-    given = F.from_json(F.when(fenced != "", fenced).otherwise(F.trim(raw)), "map<string,string>")
-    stripped = F.transform_values(F.coalesce(given, F.create_map().cast("map<string,string>")), lambda k, v: strip(v))
-    return F.map_filter(stripped, lambda k, v: F.array_contains(names, k) & v.isNotNull() & (v != ""))
+    known = sorted({s[1] for s in policy.SLOTS})
+
+    def taken(value: Column) -> Column:
+        pairs = F.array(*[F.struct(F.lit(k).alias("key"), strip(replies.text_at(value, f"$.{k}")).alias("value")) for k in known])
+        return F.map_from_entries(F.filter(pairs, lambda p: F.array_contains(names, p["key"]) & p["value"].isNotNull() & (p["value"] != "")))
+
+    return let(replies.parsed(raw), taken)

@@ -41,7 +41,9 @@ class Snapshot:
 
 @dataclass(frozen=True)
 class Append:
-    rows: DataFrame
+    """``rows`` more; a function that gives them is called once what stands before in the changes is written."""
+
+    rows: DataFrame | Callable[[], DataFrame]
 
 
 @dataclass(frozen=True)
@@ -84,6 +86,20 @@ class Store:
     def _read(self, path: str) -> str:
         return self.spark.read.text(path, wholetext=True).first()[0]
 
+    def load(self, version: int) -> dict:
+        """The manifest of a version."""
+        return json.loads(self._read(self._manifest(version)))
+
+    def load_file(self, name: str) -> dict:
+        return json.loads(self._read(f"{self.path}/{name}"))
+
+    def save_file(self, name: str, values: dict) -> str:
+        """Write a new file of values that a manifest is going to name; its name."""
+        stream = self._files.create(self._at(f"{self.path}/{name}"), False)
+        stream.write(bytearray(json.dumps(values).encode()))
+        stream.close()
+        return name
+
     def version(self) -> int:
         """The last version.  A pointer says where to look from, so that no history is listed."""
         pointer = f"{self.path}/log/last"
@@ -95,9 +111,9 @@ class Store:
 
     def snapshot(self, version: int | None = None) -> Snapshot:
         last = self.version() if version is None else version
-        return Snapshot(last, **json.loads(self._read(self._manifest(last)))) if last else Snapshot()
+        return Snapshot(last, **self.load(last)) if last else Snapshot()
 
-    def _publish(self, version: int, manifest: dict) -> bool:
+    def publish(self, version: int, manifest: dict) -> bool:
         """Make ``manifest`` the given version; False if another commit has taken it."""
         temporary, final = self._at(f"{self.path}/log/tmp-{uuid.uuid4().hex}"), self._at(self._manifest(version))
         stream = self._files.create(temporary, False)
@@ -155,12 +171,14 @@ class Store:
                 if isinstance(change, Note):
                     notes[name] = change.values
                     continue
+                if callable(change.rows):
+                    change = Append(change.rows())
                 if id(change) not in written or callable(changes):
                     written[id(change)] = self._write(name, change.rows, layout or {})
                 old = tables.get(name, {"schema": _ddl(change.rows), "parts": [], "by": list((layout or {}).get(name, ()))})
                 tables[name] = _changed(old, change, written[id(change)])
             batches = before.batches | ({batch[0]: batch[1]} if batch else {})
-            if self._publish(before.version + 1, {"tables": tables, "batches": batches, "notes": notes}):
+            if self.publish(before.version + 1, {"tables": tables, "batches": batches, "notes": notes}):
                 return before.version + 1
         raise Conflict(f"no version was free after {tries} tries")
 

@@ -56,7 +56,7 @@ def test_a_crash_leaves_the_old_state(spark, store, monkeypatch, fails_at):
 
     monkeypatch.setattr(Store, "_write", dies)
     if fails_at == 3:
-        monkeypatch.setattr(Store, "_publish", no_manifest)
+        monkeypatch.setattr(Store, "publish", no_manifest)
     with pytest.raises(RuntimeError):
         incremental.delete_documents(store, spark.createDataFrame([(2,)], "document_id long"))
     monkeypatch.undo()
@@ -67,17 +67,17 @@ def test_a_crash_leaves_the_old_state(spark, store, monkeypatch, fails_at):
 
 def test_commits_at_once_take_turns(spark, store, monkeypatch):
     filled(spark, store)
-    publish, document = Store._publish, spark.createDataFrame([(3,)], "document_id long")
+    publish, document = Store.publish, spark.createDataFrame([(3,)], "document_id long")
 
     def late(self, *args):
-        monkeypatch.setattr(Store, "_publish", publish)
+        monkeypatch.setattr(Store, "publish", publish)
         store.commit({"documents": Append(document)})
         return publish(self, *args)
 
-    monkeypatch.setattr(Store, "_publish", late)
+    monkeypatch.setattr(Store, "publish", late)
     incremental.delete_documents(store, spark.createDataFrame([(2,)], "document_id long"))
     assert ids(store, "documents", "document_id") == [1, 3] and store.version() == 3  # worked out anew on what the other had added
-    monkeypatch.setattr(Store, "_publish", lambda self, *args: False)
+    monkeypatch.setattr(Store, "publish", lambda self, *args: False)
     with pytest.raises(Conflict):
         store.commit({"documents": Append(document)}, tries=2)
 
