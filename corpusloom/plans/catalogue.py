@@ -8,6 +8,7 @@ requests; columns that the tables lack are derived the same way on both sides.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,13 +16,15 @@ from pyspark.sql import functions as F
 from corpusloom import providers
 from corpusloom.config import DEFAULT
 from corpusloom.functions import policy, text
+from corpusloom.functions import tables as table_functions
 from corpusloom.operators import answers, chunking, incremental, retrieval, state, tables
 from corpusloom.operators import questions as questions_of
 from corpusloom.operators.keyword_index import KeywordIndex
 from corpusloom.session import scratch
 from corpusloom.sources import sinks
-from corpusloom.sources.readers import chunks, documents, table
+from corpusloom.sources.readers import chunks, documents, requests, sse_events, table
 from corpusloom.store import Append, Store
+from corpusloom.streaming import loading
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -1079,3 +1082,107 @@ def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
         if number == 1:
             store.compact("requests", ("user_id", "event_type"))
     return store.latest("requests", ("user_id", "event_type")).select("user_id", "event_type", "event_id", "ts")
+
+
+class _Pages:
+    """Pages of text that can't be read where their bytes are a multiple of 17."""
+
+    def pages(self, content: bytes) -> list[str]:
+        if len(content) % 17 == 0:
+            raise ValueError("unreadable")
+        return [content.decode()]
+
+
+@query(
+    f"""WITH RECURSIVE live AS (SELECT lang AS tenant, doc_id % 300 AS k, max(doc_id) AS doc_id FROM documents GROUP BY 1, 2),
+f AS (SELECT l.tenant, l.k, d.doc_id, d.text AS whole, strlen(d.text) % 17 = 0 AS failed FROM live l JOIN documents d USING (doc_id)),
+l AS (SELECT doc_id, unnest(string_split(whole, chr(10))) AS line, generate_subscripts(string_split(whole, chr(10)), 1) AS n FROM f WHERE NOT failed), s AS (SELECT *, {strip_sql("line")} AS x FROM l),
+clean AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY n) AS text FROM s WHERE NOT (regexp_matches(x, '^\\p{{Nd}}{{1,5}}$') OR regexp_matches(x, '^(第\\s*\\p{{Nd}}+\\s*页|Page\\s*\\p{{Nd}}+)$', 'i') OR (length(x) <= 10 AND regexp_matches(x, '^[\\p{{Nd}}\\s./\\-]+$'))) GROUP BY 1),
+{_sentence_chunks_sql("clean").replace("f AS (SELECT", "fold AS (SELECT").replace("FROM f WHERE", "FROM fold WHERE")},
+c AS (SELECT doc_id, count(*) AS n_chunks, sha256(string_agg({strip_sql("c")}, chr(10) ORDER BY n, i)) AS content_sha256 FROM out_ WHERE {strip_sql("c")} <> '' GROUP BY 1)
+SELECT f.tenant, 'f' || f.k || '.pdf' AS file_name, sha256(f.whole) AS file_sha256, CASE WHEN failed THEN 'failed' ELSE 'parsed' END AS parse_status, coalesce(n_chunks, 0) AS n_chunks, content_sha256 FROM f LEFT JOIN c USING (doc_id)"""
+)
+def load_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as files of 300 names, loaded in three batches of which one comes twice, the newest of a name first or last: what each name has in the end."""
+    store, docs = Store(spark, scratch(spark, "loaded")), documents(spark, sf_dir)
+    name = F.concat(F.lit("in/f"), (F.col("doc_id") % 300).cast("string"), F.lit(".pdf"))
+    files = docs.where("text is not null").select(F.col("lang").alias("tenant"), name.alias("path"), F.col("doc_id").alias("modified"), F.encode("text", "UTF-8").alias("content"), "doc_id")
+    for number, part in enumerate((2, 0, 0, 1)):
+        loading.load(store, files.where(F.col("doc_id") % 3 == part).drop("doc_id"), _Pages(), providers.HashingEmbedder(8), ("files", min(number, 1) if number < 3 else 2))
+    chunks_of = loading.live_chunks(store).groupBy("tenant", "file_name").agg(F.count("*").alias("n_chunks"), F.array_sort(F.collect_list(F.struct("chunk_no", "content"))).alias("all"))
+    status = store.latest("files", loading.NAME).join(store.latest("documents", ("document_id",)).select("document_id", "file_sha256", "parse_status"), "document_id")
+    joined = status.join(chunks_of, list(loading.NAME), "left")
+    digest = F.sha2(F.array_join(F.transform("all", lambda c: c["content"]), "\n"), 256)
+    return joined.select("tenant", "file_name", "file_sha256", "parse_status", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"), digest.alias("content_sha256"))
+
+
+@query(ORACLE_SQL["chunk_live"])
+def chunk_table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks and places of ``chunk_live``, asked for in SQL."""
+    table_functions.register(spark)
+    noted(spark, sf_dir).select("doc_id", "text").createOrReplaceTempView("noted_documents")
+    return spark.sql('SELECT doc_id, piece, length(content) AS n_chars, start, `end`, sha2(content, 256) AS content_sha256 FROM chunk_text(TABLE(noted_documents))')
+
+
+@query(
+    """WITH r AS (SELECT conv_id, turn, repeat(text, turn % 6) AS query, turn * 5 - 3 AS top_k FROM conversations)
+SELECT conv_id, turn, coalesce(length(query) BETWEEN 1 AND 1000 AND top_k BETWEEN 1 AND 20, FALSE) AS valid FROM r"""
+)
+def request_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests of no, fitting and too much text, for too few, enough and too many results."""
+    made = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.expr("repeat(text, int(turn % 6))").alias("query"), (F.col("turn") * 5 - 3).alias("top_k"))
+    good, bad = requests(made)
+    return good.select("conv_id", "turn", F.lit(True).alias("valid")).unionByName(bad.select("conv_id", "turn", F.lit(False).alias("valid")))
+
+
+@query(
+    f"""WITH {ASKED} SELECT conv_id, turn, query || '|' || query || ' 详细信息' AS rewritten, coalesce(array_to_string(list_distinct_in_order, ','), '') AS years FROM
+(SELECT *, list_filter(ys, lambda y, i: list_position(ys, y) = i) AS list_distinct_in_order FROM (SELECT *, regexp_extract_all(query, '(?:19|20)[0-9]{{2}}') AS ys FROM asked0))"""
+)
+def rewrite_offline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stands in for a model that rewrites: the question itself, a variant of it, and the years it names."""
+    made = providers.rewrite(_asked(spark, sf_dir))
+    return made.select("conv_id", "turn", F.array_join("rewritten_queries", "|").alias("rewritten"), F.array_join(F.transform("years", lambda y: y.cast("string")), ",").alias("years"))
+
+
+@query(
+    """WITH t AS (SELECT conv_id, turn, role, text FROM conversations WHERE NOT contains(text, chr(10) || chr(10)) AND trim(text) <> ''),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k FROM t)
+SELECT conv_id, CAST(2 * k AS INTEGER) AS seq, role AS type, text AS answer FROM o"""
+)
+def sse_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as server-sent text with comments before each event and a mark at the end, read again."""
+    turns = table(spark, sf_dir, "conversations").where(~F.contains("text", F.lit("\n\n")) & (F.trim("text") != ""))
+    event = F.concat(F.lit(": turn\n\n"), F.lit("data: "), F.to_json(F.struct(F.col("role").alias("type"), F.col("text").alias("answer"))), F.lit("\r\n\r\n"))
+    ordered = F.array_sort(F.collect_list(F.struct("turn", "role", "text", event.alias("e"))))
+    raw = turns.groupBy("conv_id").agg(F.concat(F.array_join(F.transform(ordered, lambda t: t["e"]), ""), F.lit("data: [DONE]\n\n")).alias("raw"))
+    return sse_events(raw, "raw", "type string, answer string").select("conv_id", (F.col("seq") + 1).alias("seq"), "payload.type", "payload.answer")
+
+
+@query(
+    """WITH k AS (SELECT event_id, event_type, event_id % 5 AS f, CASE event_type WHEN 'error' THEN 1 ELSE 0 END AS broken FROM events)
+SELECT event_id, CASE WHEN f = 0 AND broken = 1 THEN NULL WHEN f = 0 OR f = 1 OR f = 2 THEN 'second ' || event_id ELSE 'first ' || event_id END AS answer, CASE WHEN f = 0 AND broken = 1 THEN 'none' WHEN f <= 2 THEN 'secondary' ELSE 'primary' END AS model,
+CASE f WHEN 0 THEN 'rate_limit,rate_limit,rate_limit,fallback' || CASE WHEN broken = 1 THEN ',fallback' ELSE '' END WHEN 1 THEN 'parse_error,fallback' WHEN 2 THEN 'timeout,timeout,timeout,fallback' ELSE '' END AS events FROM k"""
+)
+def model_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Models that fail by the prompt: too many requests, a wrong reply, a timeout; and a second one that fails on some prompts too."""
+
+    def first(prompt: str) -> str:
+        kind = int(prompt.split(" ")[0]) % 5
+        if kind == 0:
+            raise providers.ModelError("busy", 429)
+        if kind == 1:
+            raise ValueError("no JSON")
+        if kind == 2:
+            raise TimeoutError("slow")
+        return f"first {prompt.split(' ')[0]}"
+
+    def second(prompt: str) -> str:
+        if prompt.endswith("error") and int(prompt.split(" ")[0]) % 5 == 0:
+            raise RuntimeError("no")
+        return f"second {prompt.split(' ')[0]}"
+
+    prompts = table(spark, sf_dir, "events").select("event_id", F.concat_ws(" ", F.col("event_id").cast("string"), "event_type").alias("prompt"))
+    never = replace(DEFAULT.resilience, breaker_failures=1 << 30)  # a task's breaker depends on which prompts it has
+    asked = providers.ask_models(prompts, "prompt", first, second, never, wait=lambda s: None, clock=lambda: 0.0)
+    return asked.select("event_id", "answer", "model", F.array_join(F.transform("events", lambda e: e["event_type"]), ",").alias("events"))
