@@ -180,6 +180,9 @@ def nearest(
     counts in a result; two queries with one id make one, with the best of
     both.  Other columns, whatever their names, aren't looked at; an empty
     table gives no rows.  ``complete=False`` leaves the finds of the curves alone.
+
+    Where vectors have no structure no block can be ruled out, and the work is that of
+    comparing all queries with all vectors, dealt out in blocks; on clustered vectors it is a fraction of that.
     """
     vectors = vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector_column).alias("v"), is_query.alias("q")).where(_sound(F.col("v")) & F.col("vec_id").isNotNull())
     squares = F.aggregate("v", F.lit(0.0), lambda total, x: total + x.cast("double") * x.cast("double"))

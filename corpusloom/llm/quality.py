@@ -288,7 +288,11 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text",
 
 
 def quality_verdicts(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """doc_id, the base counts, base_failed and kept for every row of ``docs``; no rows give none."""
+    """doc_id, the base counts, base_failed and kept for every row of ``docs``; no rows give none.
+
+    A null or empty text has no words and fails.  Repeated rows and null ids are
+    judged as the rows they are, texts of any length whole, and other columns, whatever their names, aren't looked at.
+    """
     return judge(docs, rules, keep_columns=("doc_id",), sample_rows=sample_rows)
 
 

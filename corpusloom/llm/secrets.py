@@ -7,8 +7,9 @@ it could be uniform over that alphabet: chi-squared of the counts, runs above
 and below the middle, and serial correlation.  A candidate that any of them
 rejects is ordinary.  For the rest, the chi-squared statistic and the symbols'
 likelihood are held against what text of the same length gives, from the
-character counts of the whole corpus; Benjamini-Hochberg over all candidates, apart for each class of
-lengths, then bounds the share of false finds.
+character counts of the whole corpus; Benjamini-Hochberg over the candidates that pass the first
+tests, apart for each class of lengths, then sets how small a value must be; as those
+that the first tests reject aren't counted, it bounds the share of false finds among the others only.
 """
 
 from __future__ import annotations
@@ -288,7 +289,7 @@ def character_counts(made: DataFrame) -> np.ndarray:
 def thresholds(made: DataFrame, counts: bytes) -> dict[int, int]:
     """The smallest bin that Benjamini-Hochberg accepts in each class of lengths.
 
-    ``made`` is a table of ``findings``.  All candidates of the corpus take part; at most classes x bins counts come to the driver.
+    ``made`` is a table of ``findings``.  All candidates of the corpus that pass the first tests take part; at most classes x bins counts come to the driver.
     """
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -246,6 +246,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_column: str = "doc_i
     Exact copies and texts without words share a fingerprint and so a
     component.  Repeated rows come out repeated.  A null doc_id takes part but
     is never a component's id (a component of nulls alone has a null id).
+    Texts of any length are read whole.  Other columns, whatever their names,
+    aren't looked at; an empty table gives no rows.
     """
     prints = cut(fingerprints(docs, text, id_column), "simhash-fingerprints")
     first = prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
