@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,6 +24,7 @@ from corpusloom.operators.keyword_index import KeywordIndex
 from corpusloom.session import scratch
 from corpusloom.sources import sinks
 from corpusloom.sources.readers import chunks, documents, requests, sse_events, table
+from corpusloom.sources.sse import ServerSentEvents
 from corpusloom.store import Append, Store
 from corpusloom.streaming import loading
 
@@ -314,35 +316,48 @@ def table_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH p AS (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders),
+    """WITH p AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders),
 k AS (SELECT *, n % 5 = 1 AS header, n % 5 <> 1 AND n % 7 = 0 AS wide FROM p),
-c AS (SELECT *, last_value(CASE WHEN header THEN 1 WHEN wide THEN 0 END IGNORE NULLS) OVER (PARTITION BY o_custkey ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) = 1 AND NOT header AND NOT wide AS injected FROM k)
-SELECT o_custkey, count(*) AS n_tables, count(*) FILTER (injected) AS n_injected, sum(CASE WHEN injected THEN 2 ELSE 1 END) AS n_rows, sum(CASE WHEN wide THEN 3 ELSE 2 END) AS n_columns FROM c GROUP BY 1"""
+c AS (SELECT *, last_value(CASE WHEN header THEN n WHEN wide THEN 0 END IGNORE NULLS) OVER (PARTITION BY o_custkey ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS from_ FROM k),
+i AS (SELECT *, coalesce(from_ > 0 AND NOT header AND NOT wide, FALSE) AS injected FROM c)
+SELECT o_custkey, CAST(n AS INTEGER) AS page_no, injected, CASE WHEN header THEN '项目' || n || '|金额' WHEN injected THEN '项目' || from_ || '|金额' WHEN wide THEN o_orderkey || '|100|7' ELSE o_orderkey || '|100' END AS header,
+CASE WHEN injected THEN o_orderkey || '|100' ELSE '' END AS first_row, CASE WHEN injected THEN 2 ELSE 1 END AS n_rows FROM i"""
 )
 def cross_page_header(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A customer's orders as a table that goes on over pages: every fifth page has a header, and every seventh one column more, which ends it."""
+    """A customer's orders as a table that goes on over pages: every fifth page has a header of its own, and every seventh one column more, which ends it; what each page has on top."""
     w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
     row = F.array(F.col("o_orderkey").cast("string"), F.lit("100"))
     pages = table(spark, sf_dir, "orders").withColumn("page_no", F.row_number().over(w))
-    first = F.when(F.col("page_no") % 5 == 1, F.array(F.lit("项目"), F.lit("金额"))).when(F.col("page_no") % 7 == 0, F.array_append(row, "7")).otherwise(row)
-    parts = pages.select(F.col("o_custkey").alias("doc_id"), "page_no", F.lit(1).alias("seq"), tables.table_data(F.array(first)).alias("table_data"))
-    carried = tables.carry_headers(parts)
-    return carried.groupBy(F.col("doc_id").alias("o_custkey")).agg(
-        F.count("*").alias("n_tables"), F.count_if("injected").alias("n_injected"), F.sum("table_data.row_count").cast("decimal(38,0)").alias("n_rows"), F.sum("table_data.col_count").cast("decimal(38,0)").alias("n_columns")
-    )
+    own = F.array(F.concat(F.lit("项目"), F.col("page_no").cast("string")), F.lit("金额"))
+    first = F.when(F.col("page_no") % 5 == 1, own).when(F.col("page_no") % 7 == 0, F.array_append(row, "7")).otherwise(row)
+    carried = tables.carry_headers(pages.select(F.col("o_custkey").alias("doc_id"), "page_no", F.lit(1).alias("seq"), tables.table_data(F.array(first)).alias("table_data")))
+    below = F.coalesce(F.array_join(F.get("table_data.data", F.lit(0)), "|"), F.lit(""))
+    return carried.select(F.col("doc_id").alias("o_custkey"), "page_no", "injected", F.array_join("table_data.header", "|").alias("header"), below.alias("first_row"), F.col("table_data.row_count").alias("n_rows"))
+
+
+_HEADER_SQL = "len(list_filter(cells, lambda c: regexp_matches(c, '" + "|".join(tables.HEADER_WORDS) + "'))) > 0 OR (len(list_filter(cells, lambda c: length(c) > 20)) = 0 AND len(list_filter(cells, lambda c: NOT regexp_matches(c, '^[\\p{Nd}.,%\\s\\-]+$'))) > 0 AND len(cells) >= 2)"
 
 
 @query(
-    """WITH b AS (SELECT l_orderkey AS doc_id, CAST(l_linenumber * 100 + l_quantity AS INTEGER) AS seq, (l_partkey % 400)::DOUBLE AS top, (l_suppkey % 3)::DOUBLE AS left_, l_quantity FROM lineitem)
-SELECT doc_id, seq, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY top, left_, seq) AS INTEGER) AS elem_no, top < 180 AND l_quantity >= 10 AS may_continue FROM b"""
+    f"""WITH b AS (SELECT l_orderkey AS doc_id, CAST(l_linenumber * 100 + l_quantity AS INTEGER) AS seq, (l_partkey % 400)::DOUBLE AS top, (l_suppkey % 3)::DOUBLE AS left_,
+  CASE l_partkey % 8 WHEN 0 THEN [l_partkey::VARCHAR, l_suppkey || ' %'] WHEN 1 THEN [l_returnflag, l_linestatus] WHEN 2 THEN [' 合计 ', l_partkey::VARCHAR] WHEN 3 THEN [repeat(l_returnflag, 21), l_partkey::VARCHAR, l_linestatus] WHEN 4 THEN [' ', NULL]
+    WHEN 5 THEN [l_returnflag] WHEN 6 THEN [l_returnflag, repeat(l_linestatus || ' ', 15), '', l_suppkey || ',5', l_linestatus, l_returnflag] ELSE [CAST(l_shipdate AS DATE)::VARCHAR] END AS row_ FROM lineitem),
+c AS (SELECT *, list_filter(list_transform(row_, lambda c: {strip_sql("coalesce(c, '')")}), lambda c: c <> '') AS cells FROM b),
+h AS (SELECT *, len(cells) > 0 AND ({_HEADER_SQL}) AS header, len(list_filter(cells, lambda c: regexp_matches(c, '^[\\p{{Nd}}.,%\\s\\-]+$') OR length(c) > 20)) AS telling FROM c)
+SELECT doc_id, seq, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY top, left_, seq) AS INTEGER) AS elem_no, header AS header_like, top < 180 AND (len(cells) = 0 OR (NOT header AND telling * 2 >= len(cells))) AS may_continue FROM h"""
 )
 def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An order's lines as tables on a page: their order by place, and which may go on from the page before."""
-    boxes = table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page_no"), (F.col("l_linenumber") * 100 + F.col("l_quantity")).cast("int").alias("seq"), (F.col("l_partkey") % 400).cast("double").alias("top"), (F.col("l_suppkey") % 3).cast("double").alias("left"), "l_quantity"
-    )
-    first = F.when(F.col("l_quantity") >= 10, F.array(F.lit("10.5"), F.lit("3%"))).otherwise(F.array(F.lit("项目"), F.lit("金额")))
-    return tables.reading_order(boxes).select("doc_id", "seq", "elem_no", tables.may_continue(F.col("top"), first).alias("may_continue"))
+    """An order's lines as tables on a page: their order by place, which begin with a header, and which may go on from the page before."""
+    s = lambda c: F.col(c).cast("string")
+    flag, status = F.col("l_returnflag"), F.col("l_linestatus")
+    kinds = (
+        F.array(s("l_partkey"), F.concat(s("l_suppkey"), F.lit(" %"))), F.array(flag, status), F.array(F.lit(" 合计 "), s("l_partkey")), F.array(F.repeat(flag, 21), s("l_partkey"), status), F.array(F.lit(" "), F.lit(None).cast("string")),
+        F.array(flag), F.array(flag, F.repeat(F.concat(status, F.lit(" ")), 15), F.lit(""), F.concat(s("l_suppkey"), F.lit(",5")), status, flag), F.array(F.date_format("l_shipdate", "yyyy-MM-dd")),
+    )
+    first = F.get(F.array(*kinds), (F.col("l_partkey") % len(kinds)).cast("int"))
+    place = [F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page_no"), (F.col("l_linenumber") * 100 + F.col("l_quantity")).cast("int").alias("seq"), (F.col("l_partkey") % 400).cast("double").alias("top"), (F.col("l_suppkey") % 3).cast("double").alias("left")]
+    boxes = table(spark, sf_dir, "lineitem").select(*place, first.alias("first"))
+    return tables.reading_order(boxes).select("doc_id", "seq", "elem_no", tables.is_header_like(F.col("first")).alias("header_like"), tables.may_continue(F.col("top"), F.col("first")).alias("may_continue"))
 
 
 @query(
@@ -392,12 +407,18 @@ def find_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.by_file_name(_stored_files(spark, sf_dir), names)
 
 
-@query(f"WITH {_NAMED} SELECT document_id, tenant, 'annual_report' AS doc_type, 'upload' AS source, 'faiss_' || document_id AS vector_id FROM stored WHERE document_id NOT IN (SELECT document_id FROM same)")
+@query(
+    f"""WITH {_NAMED}, left_ AS (SELECT * FROM stored WHERE document_id NOT IN (SELECT document_id FROM same))
+SELECT 'document' AS kind, document_id AS id, tenant, 'annual_report' AS doc_type, 'upload' AS source, 'faiss_' || document_id AS vector_id FROM left_
+UNION ALL SELECT 'chunk', document_id * 2 + i, NULL, NULL, NULL, NULL FROM left_, range(2) r(i) UNION ALL SELECT 'vector', document_id * 2 + i, NULL, NULL, NULL, NULL FROM left_, range(2) r(i)"""
+)
 def overwrite_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is left of the store when every fourth page comes again, with the defaults of a document."""
+    """What is left of documents, chunks and vectors when every fourth page comes again, with the defaults of a document."""
     stored = _stored_files(spark, sf_dir)
-    left = incremental.overwrite({"documents": stored, "chunks": stored.select("document_id", F.col("document_id").alias("chunk_id"))}, stored.where(F.col("document_id") % 4 == 0))["documents"]
-    return incremental.with_document_defaults(left).select("document_id", "tenant", "doc_type", "source", incremental.vector_id("faiss", F.col("document_id")).alias("vector_id"))
+    pieces = stored.select("document_id", F.explode(F.array(F.col("document_id") * 2, F.col("document_id") * 2 + 1)).alias("chunk_id"))
+    left = incremental.overwrite({"documents": stored, "chunks": pieces, "embeddings": pieces.select("chunk_id")}, stored.where(F.col("document_id") % 4 == 0))
+    full = incremental.with_document_defaults(left["documents"]).select(F.lit("document").alias("kind"), F.col("document_id").alias("id"), "tenant", "doc_type", "source", incremental.vector_id("faiss", F.col("document_id")).alias("vector_id"))
+    return reduce(lambda a, b: a.unionByName(b, True), [full, *[left[t].select(F.lit(k).alias("kind"), F.col("chunk_id").alias("id")) for k, t in (("chunk", "chunks"), ("vector", "embeddings"))]])
 
 
 # Retrieval
@@ -1186,3 +1207,37 @@ def model_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     never = replace(DEFAULT.resilience, breaker_failures=1 << 30)  # a task's breaker depends on which prompts it has
     asked = providers.ask_models(prompts, "prompt", first, second, never, wait=lambda s: None, clock=lambda: 0.0)
     return asked.select("event_id", "answer", "model", F.array_join(F.transform("events", lambda e: e["event_type"]), ",").alias("events"))
+
+
+@query(
+    """WITH m AS (SELECT conv_id, turn, CASE (conv_id + turn) % 6 WHEN 0 THEN 'HTTP 404: ' || text WHEN 1 THEN text || ' UNAUTHORIZED' WHEN 2 THEN 'Read TimeOut after ' || turn WHEN 3 THEN text WHEN 4 THEN 'Model not Found, 401' END AS message FROM conversations),
+l AS (SELECT *, lower(message) AS low FROM m)
+SELECT conv_id, turn, CASE WHEN message IS NULL THEN NULL WHEN contains(low, '404') OR contains(low, 'not found') THEN 'no_model' WHEN contains(low, '401') OR contains(low, 'unauthorized') THEN 'no_access' WHEN contains(low, 'timeout') THEN 'timeout' ELSE 'other' END AS kind FROM l"""
+)
+def embedding_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why questions have no vector, by what the errors say, texts of turns among them."""
+    n = (F.col("conv_id") + F.col("turn")) % 6
+    message = F.when(n == 0, F.concat(F.lit("HTTP 404: "), "text")).when(n == 1, F.concat("text", F.lit(" UNAUTHORIZED"))).when(n == 2, F.concat(F.lit("Read TimeOut after "), F.col("turn").cast("string"))).when(n == 3, F.col("text")).when(n == 4, "Model not Found, 401")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", policy.embedding_error(message).alias("kind"))
+
+
+@query(
+    f"""WITH {CHUNKS}, f AS (SELECT document_id, chunk_id, {strip_sql("regexp_extract(" + strip_sql("content") + ", '^[^。.！？!?\\n]*[。.！？!?]?')")} AS s FROM chunks WHERE NOT is_deleted)
+SELECT document_id, sha256(string_agg(s || ' [Chunk ' || chunk_id || ']', chr(10) ORDER BY chunk_id)) AS summary_sha256, count(*) AS n FROM f WHERE s <> '' GROUP BY 1"""
+)
+def extractive_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first sentence of each of a document's chunks with its citation, as without a model."""
+    kept = retrieval.live(chunks(spark, sf_dir))
+    passages = kept.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("chunk_id", "content"))).alias("passages"))
+    said = providers.ExtractiveSummary().answer(passages, "", "passages").where("answer <> ''")
+    return said.select("document_id", text.sha256(F.col("answer")).alias("summary_sha256"), F.size(policy.citations(F.col("answer"))).cast("long").alias("n"))
+
+
+@query(ORACLE_SQL["answer_events"])
+def sse_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events of answers written by the data source of server-sent events, and read again."""
+    spark.dataSource.register(ServerSentEvents)
+    folder = scratch(spark, "events")
+    QUERIES["answer_events"](spark, sf_dir).select("event", F.to_json(F.struct("request_id", "seq", "payload")).alias("data")).write.format("sse").mode("append").save(folder)
+    back = spark.read.format("sse").load(folder).select("event", F.from_json("data", "request_id long, seq int, payload string").alias("d"))
+    return back.select("d.request_id", "d.seq", "event", "d.payload")

@@ -67,6 +67,15 @@ class ExtractiveGenerator:
         return df.withColumn("answer", F.array_join(cited, "\n"))
 
 
+class ExtractiveSummary:
+    """The first sentence of each passage that has one, with its citation."""
+
+    def answer(self, df: DataFrame, question: str, passages: str) -> DataFrame:
+        first = lambda p: strip(F.regexp_extract(strip(p["content"]), r"^[^。.！？!?\n]*[。.！？!?]?", 0))
+        said = F.transform(passages, lambda p: F.when(first(p) != "", F.concat(first(p), F.lit(" [Chunk "), p["chunk_id"].cast("string"), F.lit("]"))))
+        return df.withColumn("answer", F.array_join(said, "\n"))
+
+
 class FormFeedParser:
     """Pages of plain text parted by form feeds."""
 

@@ -63,16 +63,20 @@ class ServerSentEvents(DataSource):
         return "file string, seq int, event string, data string"
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options["path"])
+        return _Reader(_local(self.options["path"]))
 
     def streamReader(self, schema) -> DataSourceStreamReader:
-        return _StreamReader(self.options["path"])
+        return _StreamReader(_local(self.options["path"]))
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
-        return _Writer(self.options["path"], overwrite)
+        return _Writer(_local(self.options["path"]), overwrite)
 
     def streamWriter(self, schema, overwrite: bool) -> DataSourceStreamWriter:
-        return _StreamWriter(self.options["path"])
+        return _StreamWriter(_local(self.options["path"]))
+
+
+def _local(path: str) -> str:
+    return path.removeprefix("file://").removeprefix("file:")
 
 
 def _names(path: str) -> list[str]:

@@ -95,3 +95,14 @@ def test_reading_order(spark):
     rows = [(1, 1, 1, None, None), (1, 1, 2, 50.0, 1.0), (1, 1, 3, None, None), (1, 1, 4, 20.0, 0.0)]
     got = tables.reading_order(spark.createDataFrame(rows, "doc_id long, page_no int, seq int, top double, left double")).orderBy("elem_no").collect()
     assert [r.seq for r in got] == [1, 3, 4, 2]
+
+
+def test_table_hash_escapes_like_json(spark):
+    import hashlib
+    import json
+
+    cells = ['a"b\\c', "tab\tnl\nret\r", "\x01\x1f\x0b\x08\x0c", "é项\x7f"]
+    made = spark.createDataFrame([([cells, cells[::-1]],)], "rows array<array<string>>").select(tables.table_data(F.col("rows")).alias("t"))
+    got = made.select("t", tables.table_sha256(F.col("t")).alias("h")).first()
+    value = {"header": list(got.t.header), "data": [list(r) for r in got.t.data], "row_count": got.t.row_count, "col_count": got.t.col_count}
+    assert got.h == hashlib.sha256(json.dumps(value, sort_keys=True, ensure_ascii=False).encode()).hexdigest()
