@@ -674,14 +674,16 @@ def intent_route(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH r AS (SELECT event_id, CASE event_type WHEN 'view' THEN ' calc ' WHEN 'click' THEN 'Summary.' WHEN 'error' THEN 'the FACT is' WHEN 'signup' THEN 'CALC or FACT' ELSE 'none' END AS raw FROM events),
-u AS (SELECT event_id, upper(trim(raw)) AS t FROM r)
-SELECT event_id, CASE WHEN split_part(t, ' ', 1) IN ('FACT', 'CALC', 'SUMMARY') THEN split_part(t, ' ', 1) WHEN starts_with(t, 'FACT') OR list_contains(string_split(t, ' '), 'FACT') THEN 'FACT'
-WHEN starts_with(t, 'CALC') OR list_contains(string_split(t, ' '), 'CALC') THEN 'CALC' WHEN starts_with(t, 'SUMMARY') OR list_contains(string_split(t, ' '), 'SUMMARY') THEN 'SUMMARY' ELSE 'FACT' END AS intent FROM u"""
+    f"""WITH r AS (SELECT conv_id, turn, CASE (conv_id + turn) % 8 WHEN 0 THEN ' calc ' || text WHEN 1 THEN text || chr(10) || 'Summary' WHEN 2 THEN text WHEN 3 THEN 'factual: ' || text || ' calc' WHEN 4 THEN substring(text, 1, 30) || ' CALC or fact ' || text WHEN 5 THEN 'Summary.' WHEN 6 THEN text || ' xCALC' ELSE '' END AS raw FROM conversations),
+u AS (SELECT conv_id, turn, upper({strip_sql("raw")}) AS t FROM r), w AS (SELECT *, regexp_split_to_array(t, '\\s+') AS ws FROM u)
+SELECT conv_id, turn, CASE WHEN ws[1] IN ('FACT', 'CALC', 'SUMMARY') THEN ws[1] WHEN starts_with(t, 'FACT') OR list_contains(ws, 'FACT') THEN 'FACT' WHEN starts_with(t, 'CALC') OR list_contains(ws, 'CALC') THEN 'CALC' WHEN starts_with(t, 'SUMMARY') OR list_contains(ws, 'SUMMARY') THEN 'SUMMARY' ELSE 'FACT' END AS intent FROM w"""
 )
 def intent_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = F.create_map(*[F.lit(x) for x in ("view", " calc ", "click", "Summary.", "error", "the FACT is", "signup", "CALC or FACT")])
-    return table(spark, sf_dir, "events").select("event_id", policy.parse_intent(F.coalesce(F.try_element_at(said, F.col("event_type")), F.lit("none"))).alias("intent"))
+    """Intents that a model names first, last, in between, as part of a word, or not at all, among the texts of turns."""
+    n, lit = (F.col("conv_id") + F.col("turn")) % 8, F.lit
+    said = F.when(n == 0, F.concat(lit(" calc "), "text")).when(n == 1, F.concat("text", lit("\nSummary"))).when(n == 2, F.col("text")).when(n == 3, F.concat(lit("factual: "), "text", lit(" calc")))
+    said = said.when(n == 4, F.concat(F.substring("text", 1, 30), lit(" CALC or fact "), "text")).when(n == 5, "Summary.").when(n == 6, F.concat("text", lit(" xCALC"))).otherwise("")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", policy.parse_intent(said).alias("intent"))
 
 
 @query(
@@ -874,22 +876,6 @@ def summary_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.select("request_id", text.sha256(F.col("context")).alias("context_sha256"), text.sha256(prompt).alias("prompt_sha256"))
 
 
-@query(
-    """WITH s AS (SELECT conv_id, turn, text, CASE turn % 3 WHEN 0 THEN ['product', 'date'] WHEN 1 THEN ['year'] ELSE [] END AS names, 2020 + conv_id % 5 AS y FROM conversations)
-SELECT conv_id, turn, CASE WHEN len(names) > 0 THEN '槽位名列表：' || array_to_string(names, '、') || chr(10) || chr(10) || '用户输入：' || trim(text) END AS prompt,
-CASE WHEN turn % 4 = 3 THEN '' WHEN turn % 3 = 0 THEN 'date=' || y WHEN turn % 3 = 1 THEN 'year=' || y ELSE '' END AS slots FROM s"""
-)
-def slot_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What asks for a turn's slots, and what is taken from replies that are plain, fenced or no JSON."""
-    turns = table(spark, sf_dir, "conversations")
-    lit = lambda *x: F.array(*[F.lit(y) for y in x]) if x else F.array().cast("array<string>")
-    names = F.when(F.col("turn") % 3 == 0, lit("product", "date")).when(F.col("turn") % 3 == 1, lit("year")).otherwise(lit())
-    body = F.format_string('{"date": " %d ", "year": "%d", "product": "  ", "other": "x"}', 2020 + F.col("conv_id") % 5, 2020 + F.col("conv_id") % 5)
-    raw = F.when(F.col("turn") % 4 == 3, "I can't say").when(F.col("turn") % 2 == 0, F.concat(F.lit("```JSON\n"), body, F.lit("\n```"))).otherwise(body)
-    slots = F.array_sort(F.transform(F.map_entries(providers.parsed_slots(raw, names)), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
-    return turns.select("conv_id", "turn", providers.slot_prompt(F.col("text"), names).alias("prompt"), F.array_join(slots, ",").alias("slots"))
-
-
 _FENCED_SQL = "CASE WHEN regexp_extract(raw, '(?is)```(?:json)?\\s*(.*?)\\s*```', 1) <> '' THEN regexp_extract(raw, '(?is)```(?:json)?\\s*(.*?)\\s*```', 1) ELSE trim(raw, ' ' || chr(10) || chr(9) || chr(13)) END"
 
 
@@ -905,6 +891,26 @@ def _reply_sql(n: str, body: str, said: str) -> str:
   WHEN 3 THEN ' ' || chr(10) || {body} || chr(10) WHEN 4 THEN substring({body}, 1, 30) WHEN 5 THEN {body} ELSE {said} END"""
 
 
+@query(
+    f"""WITH s AS (SELECT conv_id, turn, conv_id * 2 + turn AS n, text, CASE turn % 3 WHEN 0 THEN ['product', 'date'] WHEN 1 THEN ['year', 'dept'] ELSE [] END AS names FROM conversations),
+b AS (SELECT *, '{{"date": ' || to_json(substring(text, 1, 12)) || ', "year": ' || (2000 + n % 30) || ', "dept": ' || CASE n % 3 WHEN 0 THEN '"  "' WHEN 1 THEN 'null' ELSE to_json(' ' || substring(text, 3, 9) || chr(10)) END || ', "product": ' || to_json(text) || ', "other": "x"}}' AS body FROM s),
+r AS (SELECT *, {_reply_sql("n", "body", "text")} AS raw FROM b), j AS (SELECT *, TRY_CAST({_FENCED_SQL} AS JSON) AS j FROM r),
+v AS (SELECT *, list_transform(list_sort(names), lambda k: CASE k WHEN 'date' THEN json_extract_string(j, '$.date') WHEN 'year' THEN json_extract_string(j, '$.year') WHEN 'dept' THEN json_extract_string(j, '$.dept') ELSE json_extract_string(j, '$.product') END) AS vs FROM j)
+SELECT conv_id, turn, CASE WHEN len(names) > 0 THEN '槽位名列表：' || array_to_string(names, '、') || chr(10) || chr(10) || '用户输入：' || trim(text) END AS prompt,
+coalesce(array_to_string(list_filter(list_transform(list_sort(names), lambda k, i: k || '=' || {strip_sql("vs[i]")}), lambda x: x IS NOT NULL AND NOT ends_with(x, '=')), ','), '') AS slots FROM v"""
+)
+def slot_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What asks for a turn's slots, and what is taken from replies that hold the turn's text in JSON, fenced, bare, cut off or not at all."""
+    quoted = lambda c: F.regexp_replace(F.to_json(F.struct(c.alias("t"))), r"(?s)^\{\"t\":(.*)\}$", "$1")
+    turns, n, one = table(spark, sf_dir, "conversations").withColumn("n", F.col("conv_id") * 2 + F.col("turn")), F.col("n"), F.lit
+    lit = lambda *x: F.array(*[F.lit(y) for y in x]) if x else F.array().cast("array<string>")
+    names = F.when(F.col("turn") % 3 == 0, lit("product", "date")).when(F.col("turn") % 3 == 1, lit("year", "dept")).otherwise(lit())
+    dept = F.when(n % 3 == 0, '"  "').when(n % 3 == 1, "null").otherwise(quoted(F.concat(one(" "), F.substring("text", 3, 9), one("\n"))))
+    body = F.concat(one('{"date": '), quoted(F.substring("text", 1, 12)), one(', "year": '), (2000 + n % 30).cast("string"), one(', "dept": '), dept, one(', "product": '), quoted(F.col("text")), one(', "other": "x"}'))
+    slots = F.array_sort(F.transform(F.map_entries(providers.parsed_slots(_reply(n, body, F.col("text")), names)), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    return turns.select("conv_id", "turn", providers.slot_prompt(F.col("text"), names).alias("prompt"), F.array_join(slots, ",").alias("slots"))
+
+
 @query(
     f"""WITH t AS (SELECT conv_id, turn, conv_id * 5 + turn AS n, text FROM conversations),
 b AS (SELECT *, '{{"op_type": ' || CASE n % 5 WHEN 0 THEN '" Growth "' WHEN 1 THEN '"diff"' WHEN 2 THEN '"ratio"' WHEN 3 THEN '"none"' ELSE to_json(text) END || ', "val1": ' || CASE n % 3 WHEN 0 THEN (n * 7919) || '.25' WHEN 1 THEN '"' || n || '"' ELSE to_json(text) END
