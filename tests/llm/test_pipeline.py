@@ -25,7 +25,7 @@ NAMES = ["quality_rules", "line_dedup", "simhash_near_dedup", "secret_scan", "pa
 
 def test_stages():
     assert [name for name, _ in corpus_pipeline.STAGES] == NAMES
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
 
 
 def test_each_stage_does_its_operators_work(spark):
