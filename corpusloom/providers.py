@@ -96,7 +96,7 @@ def rewrite(df: DataFrame, query: str = "query") -> DataFrame:
 def parsed_rewrite(raw: Column, query: Column) -> Column:
     """primary_query, rewritten_queries and extracted_years of a model's text, JSON or not; the query stands in for what is missing."""
 
-    def taken(value: Column) -> Column:
+    def taken(raw: Column, value: Column) -> Column:
         quoted = F.regexp_extract(raw, QUOTED, 1)
         named = strip(F.regexp_extract(raw, NAMED, 1))
         plain = F.when(((F.length(raw) < 200) & F.contains(raw, F.lit("?"))) | F.contains(raw, F.lit("？")), F.trim(raw))
@@ -106,7 +106,7 @@ def parsed_rewrite(raw: Column, query: Column) -> Column:
         given = F.when(F.size(given) > 0, given).when(replies.is_object(value), F.array(primary))
         return F.struct(primary.alias("primary_query"), policy.rewrites(query, given).alias("rewritten_queries"), replies.whole_numbers_at(value, "$.extracted_years").alias("extracted_years"))
 
-    return let(replies.parsed(raw), taken)
+    return let(raw, lambda r: let(replies.parsed(r), lambda value: taken(r, value)))
 
 
 def parse_files(files: DataFrame, parser: PdfParser) -> DataFrame:
