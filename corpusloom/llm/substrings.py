@@ -6,13 +6,17 @@ minimiser travel together, as one packed string, to the bucket of that
 minimiser; equal windows have equal minimisers, so they meet there, and sorting
 finds equal windows and their smallest document exactly.
 
-Before the shuffle each task keeps, of equal packed strings, only those of the
-smallest document it has seen; the words of the others are already known to be
-covered.  So a passage in a third of all documents is one row for each slice of
-text.  The number of buckets follows the bytes of text, so that a bucket fits a
-task's memory at any size of input.  One that is still too large, since one
-minimiser is very common, is not held: its windows go on one by one and Spark
-aggregates them by content.
+Of equal packed strings of a slice of text only those of the smallest document
+go to the bucket; the words of the others are known to be covered, and their
+ranges go to any partition, in even shares.  So a passage in a third of all
+documents is one row of its bucket for each slice.  Common grams, which a sample
+of the documents shows, come last in the order of grams: a window has one as its
+minimiser only if all its grams are common, as those of such a passage are, and
+a common phrase in other surroundings goes to the buckets of its neighbours.
+The sample sets where windows meet, never which are found.  The number of
+buckets follows the bytes of text, so that a bucket fits a task's memory at any
+size of input.  One that is still too large is not held: its windows go on one
+by one and Spark aggregates them by content.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import codes, cut, filled, join_few, shuffle_partitions, slices, window_hash, words
@@ -38,14 +42,49 @@ MEAN_BUCKET = 6 << 20  # packed bytes of a bucket on average, at most
 PARTITION_BYTES = 192 << 20  # packed bytes of a shuffle partition on average, at most
 EXPANSION = 3  # packed bytes for each byte of text: runs of some six windows are 18 words
 SLICE = 3 << 20
+SAMPLE = 1 / 64  # of the documents, in which grams are counted
+HOT_GRAMS = 1 << 16  # a gram with a larger share of the sample's grams than one over this is common
+LEAST = 8  # and stands there as often
 
 _RANGE = "wkey binary, doc_id long, text_hash long, start long, stop long"
 
 
-def _minimisers(hashes: np.ndarray, window: int) -> np.ndarray:
-    """The smallest gram hash of each window; ``hashes`` has one hash for each word."""
+def _hashes(flat: pa.Array) -> np.ndarray:
+    """A hash for each word."""
+    code, distinct = codes(flat)
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(x) for x in distinct.cast(pa.binary()).to_pylist()), np.uint64, len(distinct))[code]
+
+
+def _grams(batches: Iterator[pa.RecordBatch], gram: int) -> Iterator[pa.RecordBatch]:
+    for part in (p for batch in batches for p in slices(batch, max_bytes=SLICE)):
+        flat, n_words = words(part.column(0))
+        owner = np.repeat(np.arange(part.num_rows), n_words)
+        if len(flat) >= gram:
+            g, n = np.unique(window_hash(_hashes(flat), gram)[owner[: len(flat) - gram + 1] == owner[gram - 1 :]], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(n)], ["gram", "n"])
+
+
+def common_grams(docs: DataFrame, window: int = WINDOW) -> np.ndarray:
+    """Hashes of common grams, sorted; there are fewer than ``HOT_GRAMS``."""
+    sample, total = docs.where("text is not null").select("text").sample(SAMPLE, seed=8), Observation()
+    counted = sample.mapInArrow(lambda it: _grams(it, min(GRAM, window)), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    table = cut(counted.observe(total, F.coalesce(F.sum("n"), F.lit(0)).alias("n")).where(F.col("n") >= LEAST), "substring-grams")
+    rows = table.where(F.col("n") * HOT_GRAMS > total.get["n"]).select("gram").toArrow()
+    return np.sort(rows.column(0).to_numpy().view(np.uint64))
+
+
+def _minimisers(hashes: np.ndarray, window: int, common: np.ndarray) -> np.ndarray:
+    """The first gram of each window, by hash with common ones last; ``hashes`` has one hash for each word."""
     gram = min(GRAM, window)
     g = window_hash(hashes, gram)
+    if len(common):
+        prefix = np.zeros(1 << 20, bool)
+        prefix[common >> np.uint64(44)] = True
+        maybe = np.flatnonzero(prefix[g >> np.uint64(44)])
+        last = maybe[common[np.minimum(np.searchsorted(common, g[maybe]), len(common) - 1)] == g[maybe]]
+        g >>= np.uint64(1)
+        g[last] |= np.uint64(1 << 63)
     width = window - gram + 1
     low, have = g, 1
     while 2 * have <= width:
@@ -70,17 +109,20 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
     return (*out, np.array(data[at:].split(b"\n"), object))
 
 
-def _super_kmers(part: pa.RecordBatch, window: int, buckets: int) -> Iterator[tuple[int, bytes]]:
-    """(bucket, packed strings) of a slice of doc_id, text_hash and text."""
+def _known(row: np.ndarray, doc: np.ndarray, text_hash: np.ndarray, start: np.ndarray, stop: np.ndarray) -> bytes:
+    """Ranges of words, in order, that are already known to be covered; those that meet are joined."""
+    new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (start[1:] > stop[:-1])])
+    return zstandard.ZstdCompressor(level=1).compress(np.concatenate([doc[new], text_hash[new], start[new], stop[np.r_[new[1:] - 1, len(stop) - 1]]]).tobytes())
+
+
+def _super_kmers(part: pa.RecordBatch, window: int, buckets: int, common: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """(bucket, packed strings) of a slice of doc_id, text_hash and text, and known ranges under a number below zero."""
     flat, n_words = words(part.column(2))
     n = len(flat)
     if n < window:
         return
-    code, distinct = codes(flat)
-    digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(x) for x in distinct.cast(pa.binary()).to_pylist()), np.uint64, len(distinct))[code]
     owner = np.repeat(np.arange(part.num_rows), n_words)
-    low = _minimisers(hashes, window)
+    low = _minimisers(_hashes(flat), window, common)
     valid = owner[: n - window + 1] == owner[window - 1 :]
     at = np.flatnonzero(valid)
     if not len(at):
@@ -104,12 +146,16 @@ def _super_kmers(part: pa.RecordBatch, window: int, buckets: int) -> Iterator[tu
     text_start = np.cumsum(n_words) - n_words
     pos, key = first - text_start[owner[first]], low[first]
     bucket, sub = (key % np.uint64(buckets)).astype(np.int64), ((key // np.uint64(buckets)) % np.uint64(SUBBUCKETS)).astype(np.uint8)
-    covered = doc > smallest[same]
-    order = np.argsort(bucket, kind="stable")
+    covered = np.flatnonzero(doc > smallest[same])
+    if len(covered):
+        start = pos[covered]
+        yield -1 - int(text_hash[covered[0]] % buckets), _known(owner[first[covered]], doc[covered], text_hash[covered], start, start + count[covered] + window - 1)
+    going = np.flatnonzero(doc == smallest[same])
+    order = going[np.argsort(bucket[going], kind="stable")]
     edges = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0, True])
     for a, b in zip(edges[:-1], edges[1:], strict=True):
         own = order[a:b]
-        yield int(bucket[own[0]]), _pack(doc[own], text_hash[own], pos[own], count[own], sub[own], [b"" if covered[i] else packed[i] for i in own.tolist()])
+        yield int(bucket[own[0]]), _pack(doc[own], text_hash[own], pos[own], count[own], sub[own], [packed[i] for i in own.tolist()])
 
 
 def _rows(doc: np.ndarray, text_hash: np.ndarray, start: np.ndarray, stop: np.ndarray, wkey: list[bytes] | None = None) -> pa.RecordBatch:
@@ -154,10 +200,7 @@ def _covered(doc: np.ndarray, text_hash: np.ndarray, pos: np.ndarray, packed: np
 
 def _one_by_one(blob: bytes, window: int) -> Iterator[pa.RecordBatch]:
     """Every window of a bucket that is too large, keyed by its words."""
-    doc, text_hash, pos, count, _, packed = _unpack(blob)
-    known = packed == b""
-    if known.any():
-        yield _rows(doc[known], text_hash[known], pos[known], pos[known] + count[known] + window - 1)
+    doc, text_hash, pos, _, _, packed = _unpack(blob)
     flat, owner, at, first = _windows(packed, window)
     length = pc.binary_length(flat).to_numpy().astype(np.int64)
     end = np.cumsum(length + 1) - 1
@@ -169,23 +212,23 @@ def _one_by_one(blob: bytes, window: int) -> Iterator[pa.RecordBatch]:
 
 
 def _in_buckets(batches: Iterator[pa.RecordBatch], window: int, bucket_bytes: int | None = None) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, blob) come sorted by bucket."""
+    """Rows (bucket, blob) come sorted by bucket; known ranges have one below zero."""
     limit = bucket_bytes or BUCKET_BYTES
     bucket, held, size, large = None, [], 0, False
 
     def look() -> Iterator[pa.RecordBatch]:
         columns = [np.concatenate(x) for x in zip(*held, strict=True)]
-        doc, text_hash, pos, count, sub, packed = columns
-        known = packed == b""
-        if known.any():
-            yield _rows(doc[known], text_hash[known], pos[known], pos[known] + count[known] + window - 1)
+        doc, text_hash, pos, _, sub, packed = columns
         for k in range(SUBBUCKETS):
-            own = np.flatnonzero(~known & (sub == k))
+            own = np.flatnonzero(sub == k)
             if len(own) > 1:
                 yield _covered(doc[own], text_hash[own], pos[own], packed[own], window)
 
     for batch in batches:
         for b, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if b < 0:
+                yield _rows(*np.frombuffer(zstandard.ZstdDecompressor().decompress(blob.as_py()), np.int64).reshape(4, -1))
+                continue
             if b != bucket:
                 if held:
                     yield from look()
@@ -211,11 +254,12 @@ def met_in_buckets(docs: DataFrame, window: int = WINDOW, bucket_bytes: int = BU
     packed = EXPANSION * (source.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     partitions = max(shuffle_partitions(docs.sparkSession), -(-packed // PARTITION_BYTES))
     buckets = max(4 * partitions, -(-packed // mean_bucket))
+    common = common_grams(source, window)
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, max_bytes=SLICE):
-                made = list(_super_kmers(part, window, buckets))
+                made = list(_super_kmers(part, window, buckets, common))
                 if made:
                     yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in made], pa.int64()), pa.array([x[1] for x in made], pa.binary())], ["bucket", "blob"])
 

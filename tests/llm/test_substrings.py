@@ -82,3 +82,31 @@ def test_number_of_buckets_follows_the_input(spark):
         keyed = documents(spark, rows).select("doc_id", substrings.F.xxhash64("text").alias("text_hash"), "text")
         one_by_one = substrings.met_in_buckets(keyed, bucket_bytes=40_000, mean_bucket=10_000).where("wkey is not null").count()
         assert one_by_one <= 0.01 * n * 388
+
+
+def test_common_grams_come_last(spark, monkeypatch):
+    """A common phrase gathers no bucket, and a passage in most documents sends one string a slice to its own."""
+    import numpy as np
+
+    for name, value in (("SAMPLE", 1.0), ("LEAST", 50), ("HOT_GRAMS", 2000)):
+        monkeypatch.setattr(substrings, name, value)
+    rng = random.Random(7)
+    vocabulary, phrase = [f"w{i}" for i in range(2000)], ["at", "the", "end", "of"]
+    passage = [f"p{i}" for i in range(40)]
+    rows = []
+    for i in range(200):
+        text = [x for _ in range(12) for x in (*rng.choices(vocabulary, k=6), *phrase)]
+        rows.append((i, " ".join(text + (passage if i % 3 else [])), None, None, None))
+    rows += [(7, "", None, None, None), (8, None, None, None, None), (None, rows[3][1], None, None, None)]
+    docs = documents(spark, rows).repartition(3)
+    common = substrings.common_grams(docs)
+    assert len(common) == 1 + 3 + 37  # of the phrase, over its end, of the passage
+    part = substrings.pa.RecordBatch.from_pydict({"d": list(range(200)), "h": list(range(200)), "t": [r[1] for r in rows[:200]]})
+    held = {order: max(len(substrings._unpack(blob)[0]) for b, blob in substrings._super_kmers(part, 13, 64, grams) if b >= 0) for order, grams in (("hash", common[:0]), ("last", common))}
+    known = [blob for b, blob in substrings._super_kmers(part, 13, 64, common) if b < 0]
+    assert len(known) == 1 and held["last"] <= 2 * 200 * 12 * 10 / 5 / 64
+    rows_known = [r for b in substrings._in_buckets(iter([substrings.pa.RecordBatch.from_pydict({"bucket": [-5], "blob": known})]), 13) for r in b.to_pylist()]
+    assert len(rows_known) == sum(1 for i in range(200) if i % 3) - 1
+    assert all(r["start"] <= 116 and r["stop"] == 160 for r in rows_known)  # the word before may be an earlier document's as well
+    assert np.all(np.diff(common.astype(object)) > 0)
+    assert found(substrings.remove_repeats(docs)) == brute(rows, 13)
