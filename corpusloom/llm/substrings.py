@@ -49,11 +49,16 @@ LEAST = 8  # and stands there as often
 _RANGE = "wkey binary, doc_id long, text_hash long, start long, stop long"
 
 
+def _joined(flat: pa.Array) -> bytes:
+    """The words with a space between them."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat), " ")[0].as_buffer().to_pybytes()
+
+
 def _hashes(flat: pa.Array) -> np.ndarray:
     """A hash for each word."""
     code, distinct = codes(flat)
     digest = xxhash.xxh64_intdigest
-    return np.fromiter((digest(x) for x in distinct.cast(pa.binary()).to_pylist()), np.uint64, len(distinct))[code]
+    return np.fromiter(map(digest, _joined(distinct).split(b" ")), np.uint64, len(distinct))[code]
 
 
 def _grams(batches: Iterator[pa.RecordBatch], gram: int) -> Iterator[pa.RecordBatch]:
@@ -136,7 +141,7 @@ def _super_kmers(part: pa.RecordBatch, window: int, buckets: int, common: np.nda
 
     length = pc.binary_length(flat).to_numpy().astype(np.int64)
     end = np.cumsum(length + 1) - 1
-    joined = b" ".join(flat.cast(pa.binary()).to_pylist())
+    joined = _joined(flat)
     packed = [joined[a:b] for a, b in zip((end - length)[first].tolist(), end[first + count + window - 2].tolist(), strict=True)]
 
     doc, text_hash = part.column(0).to_numpy()[owner[first]], part.column(1).to_numpy()[owner[first]]
@@ -204,7 +209,7 @@ def _one_by_one(blob: bytes, window: int) -> Iterator[pa.RecordBatch]:
     flat, owner, at, first = _windows(packed, window)
     length = pc.binary_length(flat).to_numpy().astype(np.int64)
     end = np.cumsum(length + 1) - 1
-    joined = b" ".join(flat.cast(pa.binary()).to_pylist())
+    joined = _joined(flat)
     keys = [joined[a:b] for a, b in zip((end - length)[at].tolist(), end[at + window - 1].tolist(), strict=True)]
     own = owner[at]
     start = pos[own] + at - first[own]
