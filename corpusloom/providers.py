@@ -148,6 +148,16 @@ def failure(error: Exception) -> tuple[str, bool]:
     return ("parse_error" if isinstance(error, ValueError) else "fallback"), False
 
 
+# The path of a service's compatible mode, and what of a base URL without it makes way: each version where it ends with one, else the slashes at its end.
+MODE = "/compatible-mode"
+MODELESS = r"(?s)/v1(?=(?:.*/v1)?\z)|(?<!/)/+\z|(?<!/v1|/)\z"
+
+
+def compatible_url(base: Column) -> Column:
+    """A service's base URL with the path of its compatible mode; one that names the mode stays as it is."""
+    return F.when(F.contains(base, F.lit(MODE)), base).otherwise(F.regexp_replace(base, MODELESS, f"{MODE}/v1"))
+
+
 def with_retries(
     call: Callable[[], str], wait: Callable[[float], None], settings: Resilience = DEFAULT.resilience, clock: Callable[[], float] = time.monotonic
 ) -> tuple[str | None, list[dict]]:
