@@ -1,9 +1,12 @@
-"""Near copies of texts by the overlap of their five-word shingles.
+"""Near copies of texts: SimHash classes and the overlap of five-word shingles.
 
 Two texts are near copies where the Jaccard similarity of their sets of
-``SHINGLE``-word shingles is 0.8 or more.  Candidates share one of ``BANDS``
-keys of ``ROWS`` minima each (at 0.8 a pair misses all of them once in 1,500,
-higher up far more rarely); each candidate pair is verified on the whole sets.
+``SHINGLE``-word shingles is 0.8 or more.  Candidates are of one SimHash class,
+whose fingerprints are linked by up to three bits, or, as most pairs of such
+similarity have fingerprints further apart, share one of ``BANDS`` keys of
+``ROWS`` minima each (at 0.8 a pair misses all of them once in 1,500, higher up
+far more rarely).  A class is a key like any other: each candidate pair is
+verified on the whole sets.
 
 Candidates under one key are first held against the smallest of them, the lead.
 Those that this links need no further comparison.  Under a key that still has
@@ -16,7 +19,7 @@ the lead's component takes at most m * n + m * m comparisons within tasks.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -134,9 +137,11 @@ def _apart(placed: DataFrame, sets: DataFrame) -> DataFrame:
     return dealt.select("key", "sig", "root", "own", F.explode(places).alias("place")).groupBy("key", "place").applyInPandas(_block_links, "u long, v long")
 
 
-def leaders(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
+def leaders(docs: DataFrame, fingerprint: Callable[[str], int], classes: Callable[[DataFrame], DataFrame], text: str = "text", id_column: str = "doc_id") -> DataFrame:
     """doc_id of the leading document of each component of near copies: the smallest one.
 
+    ``fingerprint`` is a text's SimHash; ``classes`` gives node and root for
+    linked ones among distinct fingerprints (column fp) that aren't roots.
     Texts without words are copies of each other.  A null doc_id takes part but never leads.
     """
     partitions = shuffle_partitions(docs.sparkSession)
@@ -144,9 +149,11 @@ def leaders(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> D
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole)):
-            sets = [shingles(x) for x in filled(batch.column(1)).to_pylist()]
+            texts = filled(batch.column(1)).to_pylist()
+            sets = [shingles(x) for x in texts]
+            fp = np.fromiter(map(fingerprint, texts), np.uint64, len(texts))
             bands = pa.array([band_keys(x) for x in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([signature(x) for x in sets], pa.int64()), bands], ["doc_id", "sig", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([signature(x) for x in sets], pa.int64()), pa.array(fp.view(np.int64)), bands], ["doc_id", "sig", "fp", "bands"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,9 +161,14 @@ def leaders(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> D
                 sets = [shingles(x) for x in filled(batch.column(1).slice(a, 256)).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array([signature(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["sig", "own"])
 
-    marks = source.mapInArrow(mark, "doc_id long, sig long, bands array<long>")
-    first = cut(marks.groupBy("sig").agg(F.min("doc_id").alias("first"), F.first("bands").alias("bands")), "near-signatures")
-    members = first.select("sig", F.explode("bands").alias("key")).repartition(partitions, "key")
+    marks = source.mapInArrow(mark, "doc_id long, sig long, fp long, bands array<long>")
+    prints = cut(marks.groupBy("sig", "fp").agg(F.min("doc_id").alias("first"), F.first("bands").alias("bands")), "near-signatures")
+    first = prints.groupBy("sig").agg(F.min("first").alias("first"))
+    bands = prints.groupBy("sig").agg(F.first("bands").alias("bands")).select("sig", F.explode("bands").alias("key"))
+    counts = prints.groupBy("fp").agg(F.count("*").alias("n"))
+    by_print = cut(counts.join(classes(counts).withColumnRenamed("node", "fp"), "fp", "left").select("fp", "n", F.xxhash64(F.coalesce("root", "fp")).alias("key")), "near-classes")
+    classed = join_few(prints.where("sig <> 0").select("sig", "fp"), by_print, ["fp"], ["sig"]).select("sig", "key").distinct()
+    members = bands.union(classed).repartition(partitions, "key")
     shared = members.groupBy("key").agg(F.min("sig").alias("lead"), F.count("*").alias("n")).where("n > 1").drop("n")
     met = cut(members.join(shared, "key").select("key", "sig", "lead"), "near-candidates")
     wanted = met.select("sig").distinct().join(first.select("sig", "first"), "sig")

@@ -261,12 +261,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_column: str = "doc_i
 def keep_one_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that lead their component of near copies, all columns unchanged; a row without doc_id stays.
 
-    Near copies have a five-word Jaccard similarity of 0.8 or more; three bits
-    of the fingerprint, the contract of ``near_duplicates``, reach only to 0.98
-    or so, and at 0.8 fingerprints lie too far apart to be keys.  Of repeated
-    rows with a leading doc_id all stay, since nothing tells them apart;
-    clashing extra columns do no harm.
+    Near copies have a five-word Jaccard similarity of 0.8 or more.  The texts
+    of a component of fingerprints, as ``near_duplicates`` has them, are held
+    against each other; three bits reach only to 0.98 or so, and at 0.8
+    fingerprints lie too far apart to be keys, so keys of shingles add what is
+    less alike.  Of repeated rows with a leading doc_id all stay, since nothing
+    tells them apart; clashing extra columns do no harm.
     """
-    lead = nearcopies.leaders(docs).withColumnRenamed("doc_id", "__lead")
+    lead = nearcopies.leaders(docs, fingerprint, lambda prints: components(links(prints))).withColumnRenamed("doc_id", "__lead")
     with_id = docs.where(docs["doc_id"].isNotNull())
     return with_id.join(lead, with_id["doc_id"] == F.col("__lead"), "left_semi").union(docs.where(docs["doc_id"].isNull()))
