@@ -3,9 +3,12 @@
     spark.dataSource.register(ServerSentEvents)
     spark.read.format("sse").load(folder)        # file, seq, event, data
     df.write.format("sse").mode("append").save(folder)  # columns event and data
+    df.write.format("sse").option("compression", "zstd").mode("append").save(folder)  # or gzip; readers go by a file's ending
 
 Files are read where tasks run, so the folder is one that all machines mount.
-Names ascend with their commits, which is what a stream goes by.
+Names ascend with their commits, which is what a stream goes by.  Both ways go
+in pieces, so a task holds a few MB and one event, however long a file is; a
+task writes several files once one has ``FILE_BYTES`` of text.
 """
 
 from __future__ import annotations
@@ -16,14 +19,23 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceStreamWriter, DataSourceWriter, InputPartition, WriterCommitMessage
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamArrowWriter, DataSourceStreamReader, InputPartition, WriterCommitMessage
 
-END = ".sse"
+ENDS = {"none": ".sse", "gzip": ".sse.gz", "zstd": ".sse.zst"}
+PIECE_BYTES = 1 << 20
+FILE_BYTES = 64 << 20
 
 
 def parse(text: str) -> Iterator[tuple[str | None, str]]:
     """(event, data) of each block; comments, blocks without data and the end mark are skipped."""
-    for block in text.replace("\r\n", "\n").split("\n\n"):
+    return _parse(text.replace("\r\n", "\n"))
+
+
+def _parse(text: str) -> Iterator[tuple[str | None, str]]:
+    for block in text.split("\n\n"):
         event, data = None, []
         for line in block.split("\n"):
             name, _, value = line.partition(":")
@@ -36,10 +48,14 @@ def parse(text: str) -> Iterator[tuple[str | None, str]]:
             yield event, "\n".join(data)
 
 
-def block(event: str | None, data: str) -> str:
-    """One event as text; every line of data has a field of its own."""
-    lines = [] if event is None else [f"event: {event}"]
-    return "\n".join([*lines, *[f"data: {x}" for x in data.split("\n")]]) + "\n\n"
+def blocks(event: pa.Array | None, data: pa.Array) -> pa.Array:
+    """Events as text; every line of data has a field of its own."""
+    if data.null_count:
+        raise ValueError("an event needs data")
+    text = lambda x: x.cast(pa.large_string())
+    said = lambda x: pa.scalar(x, pa.large_string())
+    head = said("") if event is None else pc.fill_null(pc.binary_join_element_wise(said("event: "), text(event), said("\n"), said("")), "")
+    return pc.binary_join_element_wise(head, said("data: "), pc.replace_substring(text(data), "\n", "\ndata: "), said("\n\n"), said(""))
 
 
 class _File(InputPartition):
@@ -50,8 +66,7 @@ class _File(InputPartition):
 
 @dataclass
 class _Written(WriterCommitMessage):
-    path: str
-    rows: int
+    paths: list[str]
 
 
 class ServerSentEvents(DataSource):
@@ -68,11 +83,17 @@ class ServerSentEvents(DataSource):
     def streamReader(self, schema) -> DataSourceStreamReader:
         return _StreamReader(_local(self.options["path"]))
 
-    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
-        return _Writer(_local(self.options["path"]), overwrite)
+    def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
+        return _Writer(_local(self.options["path"]), self._compression(), overwrite)
 
-    def streamWriter(self, schema, overwrite: bool) -> DataSourceStreamWriter:
-        return _StreamWriter(_local(self.options["path"]))
+    def streamWriter(self, schema, overwrite: bool) -> DataSourceStreamArrowWriter:
+        return _StreamWriter(_local(self.options["path"]), self._compression())
+
+    def _compression(self) -> str:
+        found = self.options.get("compression", "none")
+        if found not in ENDS:
+            raise ValueError(f"compression is one of {', '.join(ENDS)}, not {found}")
+        return found
 
 
 def _local(path: str) -> str:
@@ -80,13 +101,58 @@ def _local(path: str) -> str:
 
 
 def _names(path: str) -> list[str]:
-    return sorted(x for x in os.listdir(path) if x.endswith(END)) if os.path.isdir(path) else []
-
-
-def _rows(path: str) -> Iterator[tuple[str, int, str | None, str]]:
-    with open(path, encoding="utf-8", errors="replace", newline="") as source:
-        for seq, (event, data) in enumerate(parse(source.read())):
-            yield os.path.basename(path), seq, event, data
+    return sorted(x for x in os.listdir(path) if x.endswith(tuple(ENDS.values()))) if os.path.isdir(path) else []
+
+
+def _pieces(source: pa.NativeFile) -> Iterator[str]:
+    """The text between blank lines, some ``PIECE_BYTES`` at a time; what is read grows with a block that has no end yet."""
+    rest = cr = b""
+    while chunk := source.read(max(PIECE_BYTES, len(rest))):
+        chunk = cr + chunk
+        cr = b"\r" if chunk.endswith(b"\r") else b""  # the line end may go on
+        text = rest + chunk[: len(chunk) - len(cr)].replace(b"\r\n", b"\n")
+        cut = text.rfind(b"\n\n")
+        if cut >= 0:
+            yield text[:cut].decode("utf-8", "replace")
+        rest = text[cut + 2 :] if cut >= 0 else text
+    yield (rest + cr).decode("utf-8", "replace")
+
+
+def _columns(text: str) -> tuple[pa.Array, pa.Array]:
+    """event and data of blocks, over whole columns where a block has at most one of either; else line by line."""
+    by_block = pc.split_pattern(pc.split_pattern(pa.array([text], pa.large_string()), "\n\n").flatten(), "\n")
+    lines, block = by_block.flatten(), pc.list_parent_indices(by_block).to_numpy()
+    bare = pc.any(pc.is_in(lines, pa.array(["data", "event"], pa.large_string()))).as_py()
+    at, values = {}, {}
+    for name in ("data", "event"):
+        has = pc.starts_with(lines, f"{name}:")
+        found, n = lines.filter(has), len(name) + 1
+        spaced, found = pc.starts_with(found, f"{name}: "), found.cast(pa.large_binary())
+        if not pc.all(spaced).as_py():
+            found = pc.if_else(spaced, found, pc.binary_replace_slice(found, n, n, b" "))
+        values[name] = pc.binary_replace_slice(found, 0, n + 1, b"").cast(pa.string())
+        at[name] = block[has.to_numpy(zero_copy_only=False)]
+    if bare or any((x[1:] == x[:-1]).any() for x in at.values()):
+        rows = list(_parse(text))
+        return pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())
+    event, data = values["event"], values["data"]
+    if not np.array_equal(at["event"], at["data"]):
+        place = np.full(len(by_block), -1)
+        place[at["event"]] = np.arange(len(event))
+        place = place[at["data"]]
+        event = event.take(pa.array(place, mask=place < 0))
+    said = pc.not_equal(data, "[DONE]")
+    return event.filter(said), data.filter(said)
+
+
+def _rows(path: str) -> Iterator[pa.RecordBatch]:
+    with pa.input_stream(path, compression="detect") as source:
+        seq, name = 0, os.path.basename(path)
+        for text in _pieces(source):
+            event, data = _columns(text)
+            if n := len(data):
+                yield pa.RecordBatch.from_arrays([pa.repeat(name, n), pa.array(range(seq, seq + n), pa.int32()), event, data], ["file", "seq", "event", "data"])
+                seq += n
 
 
 class _Reader(DataSourceReader):
@@ -96,7 +162,7 @@ class _Reader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         return [_File(f"{self.path}/{x}") for x in _names(self.path)]
 
-    def read(self, partition: _File) -> Iterator[tuple]:
+    def read(self, partition: _File) -> Iterator[pa.RecordBatch]:
         return _rows(partition.path) if partition is not None and getattr(partition, "path", None) else iter(())
 
 
@@ -115,7 +181,7 @@ class _StreamReader(DataSourceStreamReader):
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         return [_File(f"{self.path}/{x}") for x in _names(self.path) if start["file"] < x <= end["file"]]
 
-    def read(self, partition: _File) -> Iterator[tuple]:
+    def read(self, partition: _File) -> Iterator[pa.RecordBatch]:
         return _rows(partition.path)
 
 
@@ -123,36 +189,47 @@ class _Writing:
     """Tasks write files that no reader takes; the commit gives them their names in order, or deletes them."""
 
     path: str
+    compression: str
 
-    def _write(self, rows: Iterator) -> _Written:
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
         os.makedirs(self.path, exist_ok=True)
-        temporary, n = f"{self.path}/.tmp-{uuid.uuid4().hex}", 0
-        with open(temporary, "w", encoding="utf-8", newline="") as out:
-            for row in rows:
-                out.write(block(row["event"] if "event" in row.__fields__ else None, row["data"]))
-                n += 1
-        return _Written(temporary, n)
+        paths: list[str] = []
+        out, n = None, 0
+        try:
+            for batch in iterator:
+                if not batch.num_rows:
+                    continue
+                if out is None:
+                    paths.append(f"{self.path}/.tmp-{uuid.uuid4().hex}")
+                    out, n = pa.output_stream(paths[-1], compression=None if self.compression == "none" else self.compression), 0
+                text = blocks(batch.column("event") if "event" in batch.schema.names else None, batch.column("data"))
+                out.write(text.buffers()[2])
+                n += text.buffers()[2].size
+                if n >= FILE_BYTES:
+                    out.close()
+                    out = None
+            if out is not None:
+                out.close()
+        except BaseException:
+            self._drop([_Written(paths)])
+            raise
+        return _Written(paths)
 
     def _name(self, messages: list[_Written | None], prefix: str) -> None:
         for k, message in enumerate(messages):
-            if message is not None:
-                if message.rows:
-                    os.replace(message.path, f"{self.path}/{prefix}-{k:06d}{END}")
-                else:
-                    os.remove(message.path)
+            for i, path in enumerate(message.paths if message is not None else []):
+                os.replace(path, f"{self.path}/{prefix}-{k:06d}-{i:06d}{ENDS[self.compression]}")
 
     def _drop(self, messages: list[_Written | None]) -> None:
         for message in messages:
-            if message is not None and os.path.exists(message.path):
-                os.remove(message.path)
-
+            for path in message.paths if message is not None else []:
+                if os.path.exists(path):
+                    os.remove(path)
 
-class _Writer(_Writing, DataSourceWriter):
-    def __init__(self, path: str, overwrite: bool) -> None:
-        self.path, self.overwrite = path, overwrite
 
-    def write(self, iterator: Iterator) -> _Written:
-        return self._write(iterator)
+class _Writer(_Writing, DataSourceArrowWriter):
+    def __init__(self, path: str, compression: str, overwrite: bool) -> None:
+        self.path, self.compression, self.overwrite = path, compression, overwrite
 
     def commit(self, messages: list) -> None:
         if self.overwrite:
@@ -164,14 +241,11 @@ class _Writer(_Writing, DataSourceWriter):
         self._drop(messages)
 
 
-class _StreamWriter(_Writing, DataSourceStreamWriter):
+class _StreamWriter(_Writing, DataSourceStreamArrowWriter):
     """A micro-batch that comes again writes files of the same names, as many rows and tasks as it had."""
 
-    def __init__(self, path: str) -> None:
-        self.path = path
-
-    def write(self, iterator: Iterator) -> _Written:
-        return self._write(iterator)
+    def __init__(self, path: str, compression: str) -> None:
+        self.path, self.compression = path, compression
 
     def commit(self, messages: list, batchId: int) -> None:
         prefix = f"{batchId:020d}"
