@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,6 +42,18 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/corpusloom/{what}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Within it an action's shuffle files go when the action ends, not when the driver happens to collect its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def kept(df: DataFrame, what: str) -> DataFrame:
     """``df`` written as a table in the shared folder and read again, so that what reads it several times has it made once."""
     path = scratch(df.sparkSession, what)

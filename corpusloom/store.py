@@ -41,9 +41,13 @@ class Snapshot:
 
 @dataclass(frozen=True)
 class Append:
-    """``rows`` more; a function that gives them is called once what stands before in the changes is written."""
+    """``rows`` more; a function that gives them is called once what stands before in the changes is written.
+
+    ``folder`` is where ``Store.stage`` has written them already.
+    """
 
     rows: DataFrame | Callable[[], DataFrame]
+    folder: str | None = None
 
 
 @dataclass(frozen=True)
@@ -57,6 +61,7 @@ class Swap:
 
     rows: DataFrame
     parts: tuple[str, ...]
+    folder: str | None = None
 
 
 @dataclass(frozen=True)
@@ -147,12 +152,17 @@ class Store:
 
     def _write(self, name: str, rows: DataFrame, layout: dict[str, tuple[str, ...]]) -> str:
         folder = f"data/{name}/{uuid.uuid4().hex}"
-        writer = rows.write
+        writer = rows.write.option("compression", "zstd")
         if name in layout:
             writer = writer.partitionBy(*layout[name])
         writer.parquet(f"{self.path}/{folder}")
         return folder
 
+    def stage(self, name: str, rows: DataFrame, layout: dict[str, tuple[str, ...]] | None = None) -> tuple[str, DataFrame]:
+        """A part that a commit is going to name, so that what else is made of it can read it: its folder and its rows."""
+        folder = self._write(name, rows, layout or {})
+        return folder, self.spark.read.schema(_ddl(rows)).parquet(f"{self.path}/{folder}")
+
     def commit(self, changes: Changes | Callable[[Snapshot], Changes], batch: tuple[str, int] | None = None, layout: dict[str, tuple[str, ...]] | None = None, tries: int = 20) -> int:
         """Make all changes at once; the version that has them.
 
@@ -174,7 +184,7 @@ class Store:
                 if callable(change.rows):
                     change = Append(change.rows())
                 if id(change) not in written or callable(changes):
-                    written[id(change)] = self._write(name, change.rows, layout or {})
+                    written[id(change)] = getattr(change, "folder", None) or self._write(name, change.rows, layout or {})
                 old = tables.get(name, {"schema": _ddl(change.rows), "parts": [], "by": list((layout or {}).get(name, ()))})
                 tables[name] = _changed(old, change, written[id(change)])
             batches = before.batches | ({batch[0]: batch[1]} if batch else {})
